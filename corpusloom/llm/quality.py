@@ -44,7 +44,7 @@ class QualityRules:
     steps: int = 4
     tail: float = 1e-9
     min_rows: int = 40
-    floors: tuple[float, ...] = (0.06, 0.05, 0.08, 0.08)
+    floors: tuple[float, ...] = (0.08, 0.04, 0.12, 0.12)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -87,11 +87,14 @@ def text_statistics(text: Column) -> Column:
 
 
 def _vector(s: str) -> list[Column]:
-    """Transformed statistics as fixed-point numbers: sums of them are exact in any order."""
+    """Transformed statistics as fixed-point numbers: sums of them are exact in any order.
+
+    Means of few words scatter more, so they are drawn to 5 characters a word by 20 words' weight.
+    """
     c = lambda k: F.col(f"{s}.{k}").cast("double")
     x = [
-        F.log((c("word_chars") + 1) / (c("n_words") + 1)),
-        F.sqrt(c("n_symbols") / (c("word_chars") + 1)),
+        F.log((c("word_chars") + 100) / (c("n_words") + 20)),
+        F.sqrt(c("n_symbols") / (c("word_chars") + 20)),
         F.sqrt(c("n_dup_lines") / (c("n_lines") + 1)),
         F.sqrt(c("n_repeat_words") / (c("n_words") + 1)),
     ]
@@ -121,11 +124,10 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-#: Estimates of a group: centre, scatter (lower triangle), both in units of 1 / SCALE.
-EST = [f"m{i}" for i in range(DIMS)] + [f"s{i}{j}" for i, j in PAIRS]
 
 
 def _moments(df: DataFrame, factor: float) -> DataFrame:
+    """Centre and scatter (lower triangle) of each g, in units of 1 / SCALE."""
     big = lambda c: F.sum(c.cast("decimal(38,0)"))
     q = [F.col(f"q{i}") for i in range(DIMS)]
     sums = df.groupBy("g").agg(
@@ -139,23 +141,32 @@ def _moments(df: DataFrame, factor: float) -> DataFrame:
     return sums.select("g", *means, *cov)
 
 
-def _distance(floors: tuple[float, ...]) -> Column:
-    """Squared Mahalanobis distance by an unrolled Cholesky factorisation."""
-    low: dict[tuple[int, int], Column] = {}
-    y: list[Column] = []
+def _factored(est: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """g, centre m_i and w_ij, the inverse of the lower Cholesky factor of the scatter."""
     for i in range(DIMS):
         for j in range(i + 1):
-            v = F.col(f"s{i}{j}") + (F.lit((floors[i] * SCALE) ** 2) if i == j else 0)
+            v = F.col(f"s{i}{j}") + (F.lit((floors[i] * SCALE) ** 2) if i == j else F.lit(0.0))
             for k in range(j):
-                v = v - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(v, F.lit((0.5 * floors[i] * SCALE) ** 2))) if i == j else v / low[j, j]
-        r = F.col(f"q{i}") - F.col(f"m{i}")
-        for k in range(i):
-            r = r - low[i, k] * y[k]
-        y.append(r / low[i, i])
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
+                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit((0.5 * floors[i] * SCALE) ** 2))) if i == j else v / F.col(f"l{j}{j}"))
+    for j in range(DIMS):
+        est = est.withColumn(f"w{j}{j}", 1 / F.col(f"l{j}{j}"))
+        for i in range(j + 1, DIMS):
+            v = F.lit(0.0)
+            for k in range(j, i):
+                v = v - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+            est = est.withColumn(f"w{i}{j}", v / F.col(f"l{i}{i}"))
+    return est.select("g", *[f"m{i}" for i in range(DIMS)], *[f"w{i}{j}" for i, j in PAIRS])
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance of q0, ... from a factored estimate."""
+    total = F.lit(0.0)
+    for i in range(DIMS):
+        y = F.lit(0.0)
+        for j in range(i + 1):
+            y = y + F.col(f"w{i}{j}") * (F.col(f"q{j}") - F.col(f"m{j}"))
+        total = total + F.pow(y, F.lit(2.0))
     return total
 
 
@@ -181,15 +192,13 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame, rules: QualityRules) -> DataFrame:
-    """Adds g: the group that a row's estimates come from; null where there are too few rows."""
-    own = F.to_json(F.array(F.col("lang"), F.col("source")))
+def _levels(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    """For languages and sources with too few rows: g_few, the wider group that they are judged with."""
     lang = F.to_json(F.array(F.col("lang")))
-    sizes = stored(rows.filter("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    few = F.col("n") < rules.min_rows
-    rest = sizes.filter(few)
-    per_lang = rest.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    lone = rest.join(per_lang, F.expr("true") & rest["lang"].eqNullSafe(per_lang["lang"])).select(rest["lang"], "source", "n", "n_lang")
+    sizes = stored(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    rest = sizes.filter(F.col("n") < rules.min_rows)
+    per_lang = rest.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
+    lone = rest.join(per_lang, F.col("lang").eqNullSafe(F.col("l")))
     total = lone.filter(F.col("n_lang") < rules.min_rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     level = lone.select(
         F.col("lang").alias("k_lang"),
@@ -197,7 +206,12 @@ def _grouped(rows: DataFrame, rules: QualityRules) -> DataFrame:
         F.when(F.col("n_lang") >= rules.min_rows, lang).when(F.lit(total >= rules.min_rows), F.lit("[]")).alias("g_few"),
         F.lit(True).alias("few"),
     )
-    level, _ = checked_broadcast(stored(level, "levels"), 100_000)
+    return checked_broadcast(stored(level, "levels"), 100_000)[0]
+
+
+def _grouped(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """Adds g: the group that a row's estimates come from; null where there are too few rows."""
+    own = F.to_json(F.array(F.col("lang"), F.col("source")))
     on = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
     return rows.join(level, on, "left").withColumn("g", F.when(F.col("few"), F.col("g_few")).otherwise(own)).drop("k_lang", "k_source", "g_few", "few")
 
@@ -212,36 +226,33 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
     )
     failed = (F.col("s.n_words") < rules.min_words) | (100 * F.col("s.n_repeat_words") > rules.max_repeat_percent * F.col("s.n_words"))
     rows = stored(s.withColumn("base_failed", failed), "statistics")
-    thin = rows.select("lang", "source", "base_failed", *[v.alias(f"q{i}") for i, v in enumerate(_vector("s"))])
-    grouped = _grouped(thin.filter("not base_failed"), rules)
+    vectors = [v.alias(f"q{i}") for i, v in enumerate(_vector("s"))]
+    thin = rows.filter("not base_failed").select("lang", "source", *vectors)
+    level = _levels(thin, rules)
+    grouped = _grouped(thin, level)
     used = stored(grouped.filter(F.col("g").isNotNull()).select("g", *[f"q{i}" for i in range(DIMS)]), "vectors")
 
     cut = chi2_quantile(rules.coverage, DIMS)
     factor = rules.coverage / _chi2_cdf(cut, DIMS + 2)
-    est = stored(_start(used), "estimates")
-    bin_of = F.floor(32 * F.log2(_distance(rules.floors) + 1e-3)).cast("long")
+    est = stored(_factored(_start(used), rules.floors), "estimates")
+    bin_of = F.floor(32 * F.log2(_distance() + 1e-3)).cast("long")
     for _ in range(rules.steps):
         small, _ok = checked_broadcast(est, 100_000)
         far = used.join(small, "g").withColumn("bin", bin_of).select("g", "bin", *[f"q{i}" for i in range(DIMS)])
         limit = _upto(far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c")), ["g"], rules.coverage).withColumnRenamed("bin", "limit")
         limit, _ok = checked_broadcast(stored(limit, "limits"), 100_000)
-        new = stored(_moments(far.join(limit, "g").filter("bin <= limit"), factor), "estimates")
+        new = stored(_factored(_moments(far.join(limit, "g").filter("bin <= limit"), factor), rules.floors), "estimates")
         discard(est)
         est = new
 
     outside = chi2_quantile(1 - rules.tail, DIMS)
     small, _ok = checked_broadcast(est.withColumnRenamed("g", "eg"), 100_000)
-    full = rows.select("*", *[v.alias(f"q{i}") for i, v in enumerate(_vector("s"))])
-    judged = _grouped_like(full, rows, rules).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance(rules.floors))
+    judged = _grouped(rows.select("*", *vectors), level).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance())
     keep = ~F.col("base_failed") & F.coalesce(F.col("distance") <= outside, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names], "base_failed", keep.alias("kept"), "distance", *(["row"] if carry else []))
 
 
-def _grouped_like(full: DataFrame, rows: DataFrame, rules: QualityRules) -> DataFrame:
-    return _grouped(full, rules)
-
-
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     return quality_verdicts(docs, rules, carry=True).filter("kept").select("row.*")
