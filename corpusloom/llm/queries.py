@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, quality
+from corpusloom.llm import decontaminate, neardup, quality
 from corpusloom.sources.tables import read_table
 
 
@@ -26,8 +26,13 @@ def op4_decontamination(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, root, "documents"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 ORACLE: dict[str, str] = {}
