@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, neardup, quality
+from corpusloom.llm import decontaminate, neardup, quality, substring
+from corpusloom.llm.common import split_words
 from corpusloom.sources.tables import read_table
 
 
@@ -30,9 +31,16 @@ def op6_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, root, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    cut = substring.remove_repeats(read_table(spark, root, "documents"))
+    kept = F.sha2(F.array_join(split_words(F.col("kept_text")), " "), 256)
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
 }
 ORACLE: dict[str, str] = {}
