@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, neardup, quality, substring
+from corpusloom.llm import decontaminate, lengths, neardup, packing, quality, substring
 from corpusloom.llm.common import split_words
 from corpusloom.sources.tables import read_table
 
 
+def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return lengths.context_limits(lengths.length_histogram(read_table(spark, root, "documents"), lengths.production_tokenizer()))
+
+
 def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, root, "documents"))
 
@@ -37,10 +41,16 @@ def op5_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.digests(packing.pack(read_table(spark, root, "documents"), packing.production_tokenizer()))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
