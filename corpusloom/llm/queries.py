@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, lengths, neardup, packing, quality, substring
+from corpusloom.llm import chat, decontaminate, lengths, neardup, packing, quality, substring, urls
 from corpusloom.llm.common import split_words
 from corpusloom.sources.tables import read_table
 
@@ -41,6 +41,10 @@ def op5_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op7_url_filters(spark: SparkSession, root: str) -> DataFrame:
+    return urls.filter_urls(read_table(spark, root, "pages"))
+
+
 #: A conversation whose texts hold the template's own marks.
 MARKS = "</s>[INST] ok [/INST]"
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_url_filters": op7_url_filters,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
