@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, lengths, neardup, packing, quality, substring, urls
-from corpusloom.llm.common import split_words
+from corpusloom.llm import chat, decontaminate, lengths, neardup, order, packing, quality, substring, urls
+from corpusloom.llm.common import shared_folder, split_words
 from corpusloom.sources.tables import read_table
 
 
@@ -45,6 +47,12 @@ def op7_url_filters(spark: SparkSession, root: str) -> DataFrame:
     return urls.filter_urls(read_table(spark, root, "pages"))
 
 
+def op8_training_order(spark: SparkSession, root: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/corpusloom/order-{uuid.uuid4().hex}"
+    order.write_order(read_table(spark, root, "documents"), path, lengths.production_tokenizer())
+    return order.read_order(spark, path).withColumn("tokens_crc32", F.crc32("tokens")).drop("tokens")
+
+
 #: A conversation whose texts hold the template's own marks.
 MARKS = "</s>[INST] ok [/INST]"
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_url_filters": op7_url_filters,
+    "op8_training_order": op8_training_order,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
 }
