@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, lengths, neardup, order, packing, quality, substring, urls
+from corpusloom.llm import chat, decontaminate, langid, lengths, neardup, order, packing, quality, substring, urls
 from corpusloom.llm.common import shared_folder, split_words
 from corpusloom.sources.tables import read_table
 
@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return lengths.context_limits(lengths.length_histogram(read_table(spark, root, "documents"), lengths.production_tokenizer()))
 
 
+def op2_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents").select("doc_id", "text", "lang")
+    learned = docs.filter(~langid.held_out(F.col("doc_id"))).dropna()
+    found = langid.predict(docs, langid.train(learned))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, root, "documents"))
 
@@ -79,6 +86,7 @@ def op10_packing(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
