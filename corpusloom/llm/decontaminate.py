@@ -32,8 +32,8 @@ from corpusloom.llm.common import checked_broadcast, let, positions, stored
 WINDOW = 13
 K = 5
 SPAN = WINDOW - K + 1
-#: Positions are kept in the hash's low bits; SPAN positions must differ in them.
-LOW = 15
+#: A gram is one number: 40 bits of hash above so many bits of its position.
+BITS = 24
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,15 +56,15 @@ def _grams(words: Column, k: int) -> Column:
     return F.transform(positions(F.size(words) - (k - 1)), lambda i: F.xxhash64(F.slice(words, i + 1, k)))
 
 
-def _kept_grams(words: Column) -> Column:
-    """array<struct<h, p>>: for each window the least gram hash and its position, repeats left out."""
-    keyed = lambda g: F.transform(g, lambda h, i: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.bitwiseAND(F.lit(LOW))))
-    least = lambda q: F.transform(positions(F.size(q) - (SPAN - 1)), lambda i: F.array_min(F.slice(q, i + 1, SPAN)))
-    fresh = lambda m: F.filter(
-        F.transform(m, lambda x, i: F.when((i == 0) | (F.get(m, i - 1) != x), F.struct(x.bitwiseAND(F.lit(~LOW)).alias("h"), (i + F.pmod(x.bitwiseAND(F.lit(LOW)) - i, F.lit(LOW + 1))).cast("int").alias("p")))),
-        lambda s: s.isNotNull(),
-    )
-    return let(keyed(_grams(words, K)), lambda q: let(least(q), fresh))
+def _keyed(words: Column, keep_position: bool) -> Column:
+    """For each gram its hash in the upper bits; below, the position if wanted."""
+    low = lambda i: i.bitwiseAND(F.lit((1 << BITS) - 1)) if keep_position else F.lit(0)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: F.transform(positions(F.size(h) - (K - 1)), lambda i: F.shiftleft(F.xxhash64(F.slice(h, i + 1, K)), BITS).bitwiseOR(low(i).cast("long"))))
+
+
+def _least(keys: Column) -> Column:
+    return F.transform(positions(F.size(keys) - (SPAN - 1)), lambda i: F.array_min(F.slice(keys, i + 1, SPAN)))
 
 
 def _benchmark_grams(items: DataFrame) -> DataFrame:
@@ -76,24 +76,18 @@ def _benchmark_grams(items: DataFrame) -> DataFrame:
     w = items.filter(F.col("item_id").isNotNull()).select("item_id", folded_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     side = WINDOW - K
 
-    def tied(g: Column) -> Column:
-        clean = F.transform(g, lambda h: h.bitwiseAND(F.lit(~LOW)))
-
-        def chosen(q: Column) -> Column:
-            least = F.transform(positions(F.size(q) - (SPAN - 1)), lambda i: F.array_min(F.slice(q, i + 1, SPAN)))
-            first = lambda p: F.greatest(p - (SPAN - 1), F.lit(0))
-            last = lambda p, m: F.least(p, F.size(m) - 1)
-            return let(
-                least,
-                lambda m: F.filter(
-                    F.transform(q, lambda h, p: F.when(F.array_max(F.slice(m, first(p) + 1, last(p, m) - first(p) + 1)) == h, F.struct(h.alias("h"), p.alias("p")))),
-                    lambda s: s.isNotNull(),
-                ),
-            )
-
-        return let(clean, chosen)
-
-    long = w.filter(F.size("w") >= WINDOW).select("item_id", "w", F.explode(tied(_grams(F.col("w"), K))).alias("s"))
+    def chosen(q: Column) -> Column:
+        first = lambda p: F.greatest(p - (SPAN - 1), F.lit(0))
+        last = lambda p, m: F.least(p, F.size(m) - 1)
+        return let(
+            _least(q),
+            lambda m: F.filter(
+                F.transform(q, lambda h, p: F.when(F.array_max(F.slice(m, first(p) + 1, last(p, m) - first(p) + 1)) == h, F.struct(F.shiftrightunsigned(h, BITS).alias("h"), p.alias("p")))),
+                lambda s: s.isNotNull(),
+            ),
+        )
+
+    long = w.filter(F.size("w") >= WINDOW).select("item_id", "w", F.explode(let(_keyed(F.col("w"), False), chosen)).alias("s"))
     p = F.col("s.p")
     start = F.greatest(p - side, F.lit(0))
     long = long.select(
@@ -115,33 +109,37 @@ def _run(ours: Column, theirs: Column) -> Column:
     return F.when(differ > 0, differ - 1).otherwise(F.size(ours)).cast("int")
 
 
-def _hits(words: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, n_words, from, to, items) of matching runs, and a row without run for each document."""
-    none = F.struct(F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("h"), F.lit(-1).alias("p"))
-    of = lambda a, n: F.transform(a, lambda s: F.struct(F.lit(n).alias("len"), s["h"].alias("h"), s["p"].alias("p")))
-    parts = [F.array(none)]
-    if K in lengths:
-        parts.append(of(_kept_grams(F.col("w")), K))
-    for n in sorted(-x for x in lengths if x < 0):
-        parts.append(F.transform(_grams(F.col("w"), n), lambda h, i, n=n: F.struct(F.lit(-n).alias("len"), h.alias("h"), i.alias("p"))))
-    rows = words.select("key", "w", F.explode(F.concat(*parts)).alias("s")).select("key", "w", F.col("s.len").alias("d_len"), F.col("s.h").alias("d_h"), F.col("s.p").alias("p"))
-    met = rows.join(grams, (F.col("d_len") == F.col("len")) & (F.col("d_h") == F.col("h")), "left").filter((F.col("p") < 0) | F.col("len").isNotNull())
-    size, side, p = F.abs("len"), WINDOW - K, F.col("p")
+def _runs(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, n_words, document, run, items): runs of WINDOW words and more, and a row without run for each document."""
+    kept = F.array_distinct(let(_keyed(F.col("w"), True), _least))
+    rows = words.select("key", "w", F.explode(F.concat(F.array(F.lit(None).cast("long")), kept)).alias("x"))
+    met = rows.join(grams, F.shiftrightunsigned("x", BITS) == F.col("h"), "left").filter(F.col("x").isNull() | F.col("h").isNotNull())
+    # A position is known up to multiples of 2 ** BITS; where a text is that long, each is tried.
+    low = F.col("x").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    tries = F.when(F.col("x").isNotNull(), F.sequence(low, F.greatest(low, F.size("w") - 1), F.lit(1 << BITS))).otherwise(F.array(F.lit(None).cast("int")))
+    met = met.withColumn("p", F.explode(tries))
+    side, p = WINDOW - K, F.col("p")
     start = F.greatest(p - side, F.lit(0))
     met = met.select(
         "key",
-        F.size("w").alias("n_words"),
         "p",
-        size.alias("size"),
-        F.col("len"),
-        (F.slice("w", F.greatest(p, F.lit(0)) + 1, F.coalesce(size, F.lit(0))) == F.col("gram")).alias("same"),
-        _run(F.reverse(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(p - start, F.lit(0)))), F.col("before")).alias("left"),
-        _run(F.slice("w", F.greatest(p, F.lit(0)) + K + 1, side), F.col("after")).alias("right"),
+        F.size("w").alias("n_words"),
+        (F.slice("w", p + 1, K) == F.col("gram")).alias("same"),
+        _run(F.reverse(F.slice("w", start + 1, p - start)), F.col("before")).alias("left"),
+        _run(F.slice("w", p + K + 1, side), F.col("after")).alias("right"),
         "items",
     )
-    whole = F.col("same") & ((F.col("len") < 0) | (F.col("left") + K + F.col("right") >= WINDOW))
-    ends = F.when(F.col("len") < 0, F.struct(p.alias("from"), (p + F.col("size")).alias("to"))).otherwise(F.struct((p - F.col("left")).alias("from"), (p + K + F.col("right")).alias("to")))
-    return met.select("key", "n_words", (p < 0).alias("document"), F.when(whole, ends).alias("run"), F.when(whole, F.col("items")).alias("items")).filter(F.col("document") | F.col("run").isNotNull())
+    whole = F.col("same") & (F.col("left") + K + F.col("right") >= WINDOW)
+    run = F.struct((p - F.col("left")).alias("from"), (p + K + F.col("right")).alias("to"))
+    return met.select("key", "n_words", p.isNull().alias("document"), F.when(whole, run).alias("run"), F.when(whole, F.col("items")).alias("items")).filter("document or run is not null")
+
+
+def _short_runs(words: DataFrame, grams: DataFrame, n: int) -> DataFrame:
+    """The same for occurrences of items that have n words in all; no rows without run."""
+    rows = words.select("key", "w", F.posexplode(_grams(F.col("w"), n)).alias("p", "x"))
+    met = rows.join(grams, F.col("x") == F.col("h")).filter(F.slice("w", F.col("p") + 1, n) == F.col("gram"))
+    run = F.struct(F.col("p").alias("from"), (F.col("p") + n).alias("to"))
+    return met.select("key", F.size("w").alias("n_words"), F.lit(False).alias("document"), run.alias("run"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination()) -> DataFrame:
@@ -151,9 +149,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: Contamination = C
     lengths = [r[0] for r in grams.select("len").distinct().limit(WINDOW + 1).collect()]
     words = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), folded_words(F.col("text")).alias("w"))
     slices = max(1, -(-n // rule.max_broadcast))
-    parts = [grams if slices == 1 else grams.filter(F.pmod("h", F.lit(slices)) == i) for i in range(slices)]
-    found = [_hits(words, checked_broadcast(x, 2 * rule.max_broadcast)[0], lengths) for x in parts]
-    found = [found[0], *[x.filter("not document") for x in found[1:]]]
+    parts = [grams if slices == 1 else grams.filter(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i) for i in range(slices)]
+    found = []
+    for i, part in enumerate(parts):
+        small = lambda n, part=part: checked_broadcast(part.filter(F.col("len") == n), 2 * rule.max_broadcast)[0]
+        runs = _runs(words, small(K))
+        found += [runs if i == 0 else runs.filter("not document"), *[_short_runs(words, small(-n), n) for n in sorted(-x for x in lengths if x < 0)]]
     rows = reduce(DataFrame.unionByName, found)
 
     def union_length(runs: Column) -> Column:
