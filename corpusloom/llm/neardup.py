@@ -9,11 +9,15 @@
    sorted by the longest common prefix, and a block of neighbours is as deep in the tree as the
    region is crowded. Blocks hand the rows that stand for them on to the next block.
 3. In a block, signatures estimate similarities. First the row that is nearest to all others is
-   linked with its neighbours, then the nearest of the rest. After links are confirmed and
-   components known, a second pass proposes every pair left between different components.
-   Pairs whose sizes rule a link out, or whose signatures estimate less than ESTIMATE, are not
-   proposed; a pair of similarity 0.8 falls below ESTIMATE with probability below 1e-7.
-4. Proposed pairs are confirmed on the texts themselves. Components take the least doc_id.
+   linked with its neighbours, then the nearest of the rest. These pairs are confirmed on the
+   texts, which joins nearly all that belongs together. Pairs whose sizes rule a link out, or whose
+   signatures estimate less than ESTIMATE, are left out; a pair of similarity 0.8 falls below
+   ESTIMATE with probability below 1e-7.
+4. A second pass looks at regions that still hold different components, whole, in blocks of rows
+   against blocks of rows. Rows with a fitting row of another component are gathered with their
+   texts, block by block, and the sets of a block are intersected at once; only links that join
+   components leave the task, so a crowded region never becomes a list of its pairs.
+5. Components take their least doc_id.
 
 Cases: null or empty texts have no shingles, link with nothing and are kept. Rows with null doc_id
 link with nothing, have no component and are kept. Rows that share a doc_id and a text share
@@ -44,7 +48,7 @@ TREES = HASHES // DEPTH
 #: Least number of equal signature bytes for a pair to be proposed.
 ESTIMATE = 55
 #: Rows that are compared at once.
-BLOCK = 2048
+BLOCK = 1024
 
 _COMBINE = multipliers(SHINGLE, 7)
 _A, _B = multipliers(HASHES, 11), multipliers(HASHES, 13)
@@ -94,6 +98,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, HASHES)
 
 
+def _regions(sig: np.ndarray) -> np.ndarray:
+    """For each signature the region that it falls in, tree by tree."""
+    out = np.empty((len(sig), TREES), dtype=np.uint64)
+    for t in range(TREES):
+        g = np.full(len(sig), t + 1, dtype=np.uint64)
+        for c in range(DEPTH * t, DEPTH * (t + 1)):
+            g = mix(g * np.uint64(0x9E3779B97F4A7C15) + sig[:, c].astype(np.uint64))
+        out[:, t] = g
+    return out
+
+
 FOREST = "region long, deep long, id long"
 
 
@@ -105,20 +120,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(part):
                 continue
             ids, sig = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1)).astype(np.uint64)
-            regions, deeps = [], []
+            deeps = []
             for t in range(TREES):
-                at = (np.arange(DEPTH + 4) + DEPTH * t) % HASHES
-                g = np.full(len(ids), t + 1, dtype=np.uint64)
-                for c in at[:DEPTH]:
-                    g = mix(g * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
                 deep = np.zeros(len(ids), dtype=np.uint64)
-                for c in at[DEPTH:]:
+                for c in (np.arange(4) + DEPTH * (t + 1)) % HASHES:
                     deep = (deep << np.uint64(16)) | (sig[:, c] & np.uint64(0xFFFF))
-                regions.append(g.view(np.int64))
                 deeps.append(deep.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(regions)), pa.array(np.concatenate(deeps)), pa.array(np.tile(ids, TREES))], names=["region", "deep", "id"]
-            )
+            regions = _regions(sig).T.reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(regions), pa.array(np.concatenate(deeps)), pa.array(np.tile(ids, TREES))], names=["region", "deep", "id"])
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +169,7 @@ def _fits(equal: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Region:
-    """Rows (ids, sizes, labels, signature bytes) of one region: held from earlier blocks, and new."""
+    """Rows (ids, sizes, signature bytes) of one region: held from earlier blocks, and new."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -170,7 +179,7 @@ class _Region:
 
     def stars(self) -> list[tuple]:
         """Links from the rows that are near to most others; these, and rows near to none, are held."""
-        ids, sizes, _, sig = self._all()
+        ids, sizes, sig = self._all()
         equal = _agree(sig, sig)
         fits = _fits(equal, sizes, sizes) & (ids[:, None] != ids[None, :])
         left, out, hubs = fits.any(axis=1), [], ~fits.any(axis=1)
@@ -184,55 +193,119 @@ class _Region:
                 out.append((np.full(len(b), ids[hub]), ids[b]))
                 hubs[hub], left[hub] = True, False
                 left[b[equal[hub, b] >= ESTIMATE + 10]] = False
-        self.rows = [(ids[hubs], sizes[hubs], ids[hubs], sig[hubs])]
-        return out
-
-    def rest(self) -> list[tuple]:
-        """All pairs of different components: those of the largest are met by all others, never by their own."""
-        ids, sizes, labels, sig = self._all()
-        names, where, counts = np.unique(labels, return_inverse=True, return_counts=True)
-        small = np.flatnonzero(where != counts.argmax())
-        out = []
-        for k in range(0, len(small), 256):
-            own = small[k : k + 256]
-            a, b = np.nonzero(_fits(_agree(sig[own], sig), sizes[own], sizes) & (labels[own][:, None] != labels[None, :]))
-            out.append((ids[own[a]], ids[b]))
-        self.rows = []
+        self.rows = [(ids[hubs], sizes[hubs], sig[hubs])]
         return out
 
 
-def _proposer(rest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (region, deep, id, n_shingles, label, sketch) sorted by region and order."""
-        state, at, fresh = _Region(), None, 0
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (region, deep, id, n_shingles, sketch) sorted by region and order."""
+    state, at, fresh = _Region(), None, 0
 
-        def done() -> Iterator[pa.RecordBatch]:
-            nonlocal fresh
-            if fresh and sum(len(r[0]) for r in state.rows) > 1:
-                for a, b in state.rest() if rest else state.stars():
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            fresh = 0
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal fresh
+        if fresh and sum(len(r[0]) for r in state.rows) > 1:
+            for a, b in state.stars():
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        fresh = 0
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            region, ids, sizes, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(len(batch), HASHES)
-            cuts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
-                if region[lo] != at:
+    for batch in batches:
+        if not len(batch):
+            continue
+        region, ids, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+        sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(len(batch), HASHES)
+        cuts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
+            if region[lo] != at:
+                yield from done()
+                state.rows, at = [], region[lo]
+            while lo < hi:
+                take = min(hi - lo, BLOCK - fresh)
+                state.rows.append((ids[lo : lo + take], sizes[lo : lo + take], sig[lo : lo + take]))
+                fresh, lo = fresh + take, lo + take
+                if fresh >= BLOCK:
                     yield from done()
-                    state.rows, at = [], region[lo]
-                while lo < hi:
-                    take = hi - lo if rest else min(hi - lo, BLOCK - fresh)
-                    state.rows.append((ids[lo : lo + take], sizes[lo : lo + take], labels[lo : lo + take], sig[lo : lo + take]))
-                    fresh, lo = fresh + take, lo + take
-                    if fresh >= BLOCK and not rest:
-                        yield from done()
-        yield from done()
+    yield from done()
 
-    return run
+
+KEY = ["region", "i", "j"]
+INVOLVED = "region long, i int, j int, id long, label long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal KEY, which are the first three columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield key, rows
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block that fit a row of another component and meet it in no earlier tree."""
+    for (region, i, j), rows in _blocks(batches):
+        ids, labels, sizes, signatures = zip(*rows, strict=True)
+        ids, labels, sizes = (np.array(x, dtype=np.int64) for x in (ids, labels, sizes))
+        sig = np.frombuffer(b"".join(signatures), dtype="<u4").reshape(-1, HASHES)
+        low, trees = sig.astype(np.uint8), _regions(sig)
+        hit = np.zeros(len(ids), dtype=bool)
+        for k in range(0, len(ids), 128):
+            a, b = np.nonzero(_fits(_agree(low[k : k + 128], low), sizes[k : k + 128], sizes) & (labels[k : k + 128, None] != labels[None, :]))
+            a += k
+            for c in range(0, len(a), 20_000):
+                x, y = a[c : c + 20_000], b[c : c + 20_000]
+                first = (trees[x] == trees[y]).argmax(axis=1)
+                here = trees[x, first].view(np.int64) == region
+                hit[x[here]] = hit[y[here]] = True
+        if hit.any():
+            n = int(hit.sum())
+            cols = [pa.array([region] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(ids[hit]), pa.array(labels[hit])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "id", "label"])
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (KEY, id, label, text): links between components of a block, as many as join them."""
+    for _, rows in _blocks(batches):
+        ids, labels, texts = zip(*rows, strict=True)
+        sets: list[np.ndarray] = []
+        for _, _, data, ends in documents(pa.array(texts, pa.large_string())):
+            w = Words(data, ends, lower=True)
+            sets += [_shingles(w.hash[w.first[k] : w.first[k + 1]]) for k in range(w.n)]
+        size = np.array([len(x) for x in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        owner = np.repeat(np.arange(len(sets)), size)
+        keep = count[column] > 1
+        owner, column = owner[keep], shared[column[keep]]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
+            here = (column >= c) & (column < c + 4096)
+            dense = np.zeros((len(sets), 4096), dtype=np.float32)
+            dense[owner[here], column[here] - c] = 1
+            both += dense @ dense.T
+        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        root = {x: x for x in labels}
+
+        def top(x: int, root: dict = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            x, y = top(labels[a]), top(labels[b])
+            if x != y:
+                root[x] = y
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _shingle_set(text: str) -> set:
@@ -252,16 +325,34 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in `ids`; other texts stay where they are while ids are few."""
+    some, _ = checked_broadcast(stored(ids.select("id").distinct(), "proposed"), 1_000_000)
+    return stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links. Only texts of proposed documents are moved."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "proposed")
-    some, _ = checked_broadcast(ids, 1_000_000)
-    texts = stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    """The pairs (a, b) that are links."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     met = pairs.join(one, "a").join(two, "b")
     return met.filter(_confirmed("text_a", "text_b")).select("a", "b").distinct()
 
 
+def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that `labels` still holds apart."""
+    named = stored(forest.select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
+    rows = named.join(mixed.select("region", "n"), "region").join(reps.select(F.col("rep").alias("id"), "n_shingles", "signature"), "id")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature")
+    involved = stored(rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_involved, INVOLVED), "involved")
+    texts = _texts(involved.select("id"), docs)
+    met = involved.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*KEY, "id", "label", "text")
+    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_joining, PAIRS)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
     features = stored(docs.select("doc_id", "text").mapInArrow(_features, FEATURES), "features")
@@ -273,24 +364,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forest = reps.select("rep", "signature").mapInArrow(_forest, FOREST)
     forest = forest.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(_crowded, FOREST)
     forest = stored(forest, "forest")
-    sketch = reps.select(F.col("rep").alias("id"), "n_shingles", "sketch")
-
-    def proposed(labels: DataFrame | None) -> DataFrame:
-        rows = forest.join(sketch, "id")
-        if labels is not None:
-            rows = rows.join(labels, "id", "left")
-        label = F.col("id") if labels is None else F.coalesce(F.col("label"), F.col("id"))
-        rows = rows.select("region", "deep", "id", "n_shingles", label.alias("label"), "sketch")
-        rows = rows.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id")
-        return rows.mapInArrow(_proposer(labels is not None), PAIRS).select("a", "b").distinct()
-
-    first = stored(proposed(None), "pairs")
-    links = stored(_confirm(first, docs), "links")
+    ordered = forest.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sketch"), "id").select("region", "deep", "id", "n_shingles", "sketch")
+    pairs = ordered.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(_stars, PAIRS).distinct()
+    links = stored(_confirm(stored(pairs, "pairs"), docs), "links")
     labels = connected_components(links)
-    rest = stored(proposed(labels).join(first, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        more = stored(_confirm(rest, docs).union(links), "links")
-        labels = connected_components(more)
+    more = stored(_rest(forest, labels, reps, docs), "links")
+    if more.limit(1).count():
+        labels = connected_components(links.union(more))
     member = features.select("doc_id", "digest", "n_shingles").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
