@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, quality
+from corpusloom.llm import decontaminate, neardup, packing, quality, substring
 from corpusloom.llm.common import stored
 from corpusloom.sources.tables import read_table
 
@@ -14,16 +14,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least doc_id, of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; n_chars follows, emptied documents go."""
+    return substring.remove_from(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not repeat the benchmark."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, each a sequence of its own."""
+    return packing.digests(packing.pack(docs, packing.production_tokenizer()))
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("packing", pack),
 ]
-#: The outlier test iterates to robust estimates, which SQL cannot state; tests use a brute-force version.
+#: Robust estimates and tokenizers cannot be stated in SQL; a test runs a brute-force version instead.
 ORACLE_SQL = None
 
 

@@ -375,3 +375,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept. Texts move only if more rows go than can be broadcast."""
+    gone = stored(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")), "gone").distinct()
+    gone, _ = checked_broadcast(gone, 1_000_000)
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
