@@ -1,16 +1,658 @@
-"""All queries of the engine by name, with the DuckDB SQL that gives the same rows."""
+"""All queries of the engine by name, with the DuckDB SQL that gives the same rows.
+
+The tables at hand stand in for decision records: `corpus` adds a date, norms, descriptors and a
+result to `documents`, each by one expression that both engines share in meaning.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusloom.functions import legal, passages, phrases, text
+from corpusloom.operators import answers, clustering, facets, joins, ranking, search, selection, stats, vectors
+from corpusloom.sources import records
 from corpusloom.sources.tables import read_table
+from corpusloom.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+NORMS = ("CO.336c.al1.letb", "LPAC.20", "Cst.29.al2", "LPA.46", "LPAC.22")
+WORDS = ("POLICE", "MOTIF", "NOTIFICATION", "DELAI")
+RESULTS = ("REJETE", "ADMIS", "")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; `sql` may use {corpus}, {tokens} and {padded}."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql.replace("{corpus}", CORPUS).replace("{tokenized}", TOKENIZED).replace("{elements}", ELEMENTS).replace("{padded}", PADDED)
+        return f
+
+    return add
+
+
+def _duck(values: tuple[str, ...], index: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][CAST({index} AS INTEGER) + 1]"
+
+
+CORPUS = f"""(SELECT doc_id, text, lang, source, n_chars,
+  DATE '2000-01-01' + CAST((doc_id * 37) % 8766 AS INTEGER) AS decision_date,
+  {_duck(NORMS, 'doc_id % 5')} || ';' || {_duck(NORMS, '(doc_id + 2) % 5')} AS standards,
+  {_duck(WORDS, 'doc_id % 4')} || ';' || {_duck(WORDS, '(doc_id + 1) % 4')} AS descriptors,
+  {_duck(RESULTS, 'doc_id % 3')} AS result FROM documents)"""
+TOKENIZED = "(SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens FROM documents)"
+PADDED = "(SELECT *, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS p FROM " + CORPUS + ")"
+ELEMENTS = "(SELECT vec_id AS doc_id, label AS cluster_id, CAST(embedding[1] AS DOUBLE) AS pos_x, CAST(embedding[2] AS DOUBLE) AS pos_y FROM embeddings)"
+
+
+def corpus(spark: SparkSession, root: str) -> DataFrame:
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
+    k = F.col("doc_id")
+    return read_table(spark, root, "documents").withColumns(
+        {
+            "decision_date": F.date_add(F.lit(date(2000, 1, 1)), F.pmod(k * 37, F.lit(8766)).cast("int")),
+            "standards": F.concat_ws(";", pick(NORMS, k), pick(NORMS, k + 2)),
+            "descriptors": F.concat_ws(";", pick(WORDS, k), pick(WORDS, k + 1)),
+            "result": pick(RESULTS, k),
+        }
+    )
+
+
+def tokenized(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "documents").select("doc_id", "lang", text.index_tokens(F.col("text")).alias("tokens"))
+
+
+def elements(spark: SparkSession, root: str) -> DataFrame:
+    e = F.col("embedding")
+    return read_table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster_id"), F.get(e, F.lit(0)).cast("double").alias("pos_x"), F.get(e, F.lit(1)).cast("double").alias("pos_y"))
+
+
+def choice(spark: SparkSession, root: str) -> DataFrame:
+    """Three-valued selection: quality 1 is yes, 0 is no, no label is maybe."""
+    labels = read_table(spark, root, "labels")
+    docs = read_table(spark, root, "documents").select("doc_id", "lang")
+    return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic") == 0, F.lit(True)).alias("to_display"), (F.col("lang") == "en").alias("is_initial"), (F.col("quality") == 1).alias("is_check"))
+
+
+CHOICE = "(SELECT doc_id, coalesce(toxic = 0, true) AS to_display, lang = 'en' AS is_initial, quality = 1 AS is_check FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+# Boolean search.
+
+
+@query("q_bool_and", "SELECT doc_id, source FROM {padded} WHERE (contains(p, ' this ') OR contains(p, ' with ')) AND contains(p, ' from ')")
+def q_bool_and(spark, root):
+    return search.matching(corpus(spark, root), "(this OR with) AND from").select("doc_id", "source")
+
+
+@query("q_bool_or_not_hoist", "SELECT doc_id FROM {padded} WHERE (contains(p, ' this ') OR contains(p, ' with ')) AND NOT contains(p, ' ble ')")
+def q_bool_or_not_hoist(spark, root):
+    return search.matching(corpus(spark, root), "this OR with NOT ble").select("doc_id")
+
+
+@query("q_bool_left_to_right", "SELECT doc_id FROM {padded} WHERE (contains(p, ' this ') OR contains(p, ' with ')) AND contains(p, ' from ') AND NOT contains(p, ' of the ')")
+def q_bool_left_to_right(spark, root):
+    return search.matching(corpus(spark, root), 'this OR with AND from NOT "of the"').select("doc_id")
+
+
+@query("q_phrase", "SELECT doc_id FROM {padded} WHERE contains(p, ' of the ')")
+def q_phrase(spark, root):
+    return search.matching(corpus(spark, root), '"of the"').select("doc_id")
+
+
+@query("q_date_range", "SELECT doc_id, decision_date FROM {padded} WHERE decision_date BETWEEN DATE '2005-01-01' AND DATE '2015-12-31' AND contains(p, ' the ')")
+def q_date_range(spark, root):
+    return search.matching(corpus(spark, root), "the", date(2005, 1, 1), date(2015, 12, 31), day="decision_date").select("doc_id", "decision_date")
+
+
+@query("q_count_by_source", "SELECT source, count(*) AS n FROM {padded} WHERE contains(p, ' und ') OR contains(p, ' et ') GROUP BY source")
+def q_count_by_source(spark, root):
+    return search.matching(corpus(spark, root), "und OR et").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_preview", "SELECT count(*) AS total, count(*) >= 20 AS can_cluster, count(*) > 0 AS can_continue FROM {padded} WHERE contains(p, ' para ')")
+def q_preview(spark, root):
+    return search.preview(corpus(spark, root), "para")
+
+
+def _bm25(terms: tuple[str, ...], where: str) -> str:
+    tf = ", ".join(f"len(list_filter(tokens, lambda t: t = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    part = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(terms)))
+    return f"""WITH t AS (SELECT doc_id, tokens, len(tokens) AS dl, {tf} FROM {{tokenized}} WHERE len(tokens) >= 0),
+      s AS (SELECT count(*) AS n, avg(dl) AS mean, {df} FROM t)
+      SELECT doc_id, round({part}, 6) AS score FROM t, s WHERE {where} ORDER BY {part} DESC, doc_id LIMIT 20"""
+
+
+@query("q_bm25_top20", _bm25(("this", "with", "from"), "(tf0 > 0 OR tf1 > 0) AND tf2 > 0 AND NOT list_contains(tokens, 'ble')"))
+def q_bm25_top20(spark, root):
+    hits = search.scored(corpus(spark, root), "(this OR with) AND from NOT ble")
+    return search.top(hits, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("q_history", "SELECT o_orderkey AS project_id, o_orderpriority AS query FROM orders WHERE regexp_matches(o_orderpriority, '(?i)urg') ")
+def q_history(spark, root):
+    projects = read_table(spark, root, "orders").select(F.col("o_orderkey").alias("project_id"), F.col("o_orderpriority").alias("query"))
+    return search.history(projects, ["URG"])
+
+
+# Facets.
+
+FACETS = {
+    "Norm": facets.pattern("standards"),
+    "Descriptor": facets.pattern("descriptors"),
+    "Result": facets.result("result"),
+    "chamber": facets.equals("source"),
+    "year_range": facets.years("decision_date"),
+    "Keyword": facets.pattern("text"),
+}
+
+
+@query(
+    "u_union_intersect_exclude",
+    """SELECT doc_id FROM {corpus} WHERE ((standards ILIKE '%LPAC_20%' AND (result = '' OR result = 'ADMIS'))
+      OR (source = 'src1' AND decision_date BETWEEN DATE '2003-01-01' AND DATE '2010-12-31')) AND NOT (descriptors ILIKE '%police%')""",
+)
+def u_union_intersect_exclude(spark, root):
+    chosen = {
+        "filter-union-0": {"Norm": ["LPAC.20"], "Result": ["NO RESULT", "ADMIS"]},
+        "filter-union-1": {"chamber": ["src1"], "year_range": ["2003-2010"]},
+        "filter-exclude-0": {"Descriptor": ["police"]},
+    }
+    return facets.filtered(corpus(spark, root), chosen, FACETS).select("doc_id")
+
+
+@query("u_empty_facet_ignored", "SELECT doc_id FROM {corpus} WHERE result = 'REJETE'")
+def u_empty_facet_ignored(spark, root):
+    return facets.filtered(corpus(spark, root), {"filter-union-0": {"Norm": ["XYZ.1"], "Result": ["REJETE"]}}, FACETS).select("doc_id")
+
+
+@query("u_facet_options", "SELECT DISTINCT trim(unnest(string_split(descriptors, ';'))) AS value FROM {corpus}")
+def u_facet_options(spark, root):
+    return facets.options(corpus(spark, root), "descriptors")
+
+
+@query(
+    "u_clustered_base",
+    "SELECT d.doc_id FROM documents d WHERE (SELECT count(*) FROM documents) < 20 OR d.doc_id IN (SELECT vec_id FROM embeddings)",
+)
+def u_clustered_base(spark, root):
+    return facets.with_clusters_only(read_table(spark, root, "documents"), elements(spark, root), 20, True).select("doc_id")
+
+
+# Lookups.
+
+
+@query("j_score_left_join", "SELECT doc_id, coalesce(CAST(quality AS DOUBLE), CAST('-inf' AS DOUBLE)) AS score FROM documents LEFT JOIN labels USING (doc_id)")
+def j_score_left_join(spark, root):
+    scores = read_table(spark, root, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
+    return joins.with_scores(read_table(spark, root, "documents").select("doc_id"), scores)
+
+
+@query("j_topic_scores", "SELECT vec_id AS doc_id, 'topic ' || label AS topic, 100.0 * CAST(quality AS DOUBLE) AS percent FROM embeddings JOIN labels ON vec_id = doc_id")
+def j_topic_scores(spark, root):
+    e = elements(spark, root)
+    clusters = e.select("cluster_id").distinct().withColumn("topic", F.concat(F.lit("topic "), F.col("cluster_id").cast("string")))
+    return joins.topic_scores(e, clusters, read_table(spark, root, "labels").select("doc_id", F.col("quality").cast("double").alias("prob")))
+
+
+@query("j_overlap_conflicts", "SELECT doc_id, quality AS left_value, toxic AS right_value FROM labels WHERE quality IS DISTINCT FROM toxic OR quality IS NULL")
+def j_overlap_conflicts(spark, root):
+    labels = read_table(spark, root, "labels")
+    return joins.conflicts(labels.select("doc_id", F.col("quality").alias("v")), labels.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+
+
+@query(
+    "j_rekey_last_wins",
+    """SELECT p_type AS decision_type, arg_max(p_partkey, p_partkey) AS record_key, count(*) AS n,
+       CAST(arg_max(p_partkey, p_partkey) AS VARCHAR) || '|s|' || p_size AS chunk_id FROM part GROUP BY p_type, p_size""",
+)
+def j_rekey_last_wins(spark, root):
+    part = read_table(spark, root, "part")
+    names = part.select("p_type", "p_size", "p_partkey").withColumn("decision_type", F.concat_ws("#", "p_type", F.col("p_size").cast("string"))).withColumn("record_key", F.col("p_partkey").cast("string"))
+    vecs = part.groupBy("p_type", "p_size").agg(F.count(F.lit(1)).alias("n")).withColumns({"decision_type": F.concat_ws("#", "p_type", F.col("p_size").cast("string")), "section": F.lit("s"), "position": F.col("p_size")})
+    out = joins.rekeyed(vecs, names, "p_partkey")
+    return out.select(F.col("p_type").alias("decision_type"), F.col("record_key").cast("long").alias("record_key"), "n", "chunk_id")
+
+
+@query("j_missing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def j_missing(spark, root):
+    return joins.missing(read_table(spark, root, "documents").select("doc_id"), read_table(spark, root, "labels"))
+
+
+@query(
+    "r_knn10",
+    """SELECT doc_id, neighbour, round(d2, 9) AS d2, place FROM (SELECT q.doc_id, p.doc_id AS neighbour,
+        pow(p.pos_x - q.pos_x, 2) + pow(p.pos_y - q.pos_y, 2) AS d2,
+        row_number() OVER (PARTITION BY q.doc_id ORDER BY pow(p.pos_x - q.pos_x, 2) + pow(p.pos_y - q.pos_y, 2), p.doc_id) AS place
+      FROM {elements} p JOIN {elements} q ON p.doc_id <> q.doc_id WHERE q.doc_id % 20 = 0) WHERE place <= 10""",
+)
+def r_knn10(spark, root):
+    e = elements(spark, root)
+    out = joins.nearest_points(e, e.filter("doc_id % 20 = 0"))
+    return out.select("doc_id", "neighbour", F.round("d2", 9).alias("d2"), F.col("place").cast("long").alias("place"))
+
+
+# Counts and summaries.
+
+
+@query("g_cluster_counts", "SELECT r_regionkey AS cluster_id, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def g_cluster_counts(spark, root):
+    clusters = read_table(spark, root, "region").select(F.col("r_regionkey").alias("cluster_id"))
+    return stats.cluster_counts(clusters, read_table(spark, root, "nation").select(F.col("n_regionkey").alias("cluster_id"), F.col("n_nationkey").alias("doc_id")))
+
+
+@query("g_centroids", "SELECT cluster_id, round(avg(pos_x), 6) AS mean_x, round(avg(pos_y), 6) AS mean_y, count(*) AS n FROM {elements} GROUP BY cluster_id")
+def g_centroids(spark, root):
+    return stats.centroids(elements(spark, root)).withColumns({c: F.round(c, 6) for c in ("mean_x", "mean_y")})
+
+
+@query("g_status_counters", f"SELECT count(*) FILTER (is_check) AS chosen, count(*) FILTER (is_initial) AS initial, count(*) FILTER (to_display AND NOT is_initial) AS neighbours, count(*) FILTER (to_display) AS visible FROM {CHOICE}")
+def g_status_counters(spark, root):
+    return stats.selection_counts(choice(spark, root))
+
+
+@query("g_group_count", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def g_group_count(spark, root):
+    return read_table(spark, root, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g_terms_agg_nested", "SELECT value, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(standards, ';')) AS value FROM {corpus}) GROUP BY value")
+def g_terms_agg_nested(spark, root):
+    return stats.term_counts(corpus(spark, root), "doc_id", text.multi_values(F.col("standards")))
+
+
+@query("g_distinct_keys", "SELECT count(DISTINCT nullif(result, '')) AS n FROM {corpus}")
+def g_distinct_keys(spark, root):
+    return stats.distinct_keys(corpus(spark, root), "result")
+
+
+@query("g_token_lengths", "SELECT CAST(max(greatest(1, length(text) // 4)) AS BIGINT) AS longest, count(*) AS n FROM documents WHERE trim(coalesce(text, '')) <> ''")
+def g_token_lengths(spark, root):
+    return stats.token_lengths(read_table(spark, root, "documents"), "text", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long"))
+
+
+@query("g_score_summary", "SELECT round_even(avg(l_discount), 3) AS mean, round_even(median(l_discount), 3) AS median, round_even(stddev_samp(l_discount), 3) AS deviation, round_even(100 * avg(CASE WHEN l_discount >= 0.05 THEN 1 ELSE 0 END), 2) AS percent FROM lineitem")
+def g_score_summary(spark, root):
+    return stats.score_summary(read_table(spark, root, "lineitem"), "l_discount", 0.05)
+
+
+@query(
+    "g_polar_stats",
+    "SELECT " + ", ".join(f"count(*) FILTER (lang = '{x}') AS n_{x}, round_even(100.0 * count(*) FILTER (lang = '{x}') / count(*), 2) AS p_{x}" for x in ("en", "fr", "de")) + ", count(*) AS total FROM documents",
+)
+def g_polar_stats(spark, root):
+    return stats.polar_answers(read_table(spark, root, "documents"), "lang", ("en", "fr", "de"))
+
+
+@query(
+    "g_consideration_support",
+    "SELECT source AS consideration, count(*) FILTER (quality = 1) AS frequency, coalesce(array_to_string(list_sort(list(DISTINCT doc_id) FILTER (quality = 1)), ','), '') AS documents FROM documents JOIN labels USING (doc_id) GROUP BY source",
+)
+def g_consideration_support(spark, root):
+    rows = read_table(spark, root, "documents").join(read_table(spark, root, "labels"), "doc_id").select("doc_id", F.col("source").alias("consideration"), (F.col("quality") == 1).alias("supported"))
+    return stats.consideration_support(rows).withColumn("documents", F.array_join(F.transform("documents", lambda x: x.cast("string")), ","))
+
+
+@query("g_progress", "SELECT o_orderstatus, CAST(trunc(100.0 * count(*) FILTER (o_totalprice > 100000) / count(*)) AS INTEGER) AS percent FROM orders GROUP BY o_orderstatus")
+def g_progress(spark, root):
+    rows = read_table(spark, root, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 100000).alias("done"), F.count(F.lit(1)).alias("n"))
+    return rows.select("o_orderstatus", stats.progress(F.col("done"), F.col("n")).alias("percent"))
+
+
+@query("g_noise_summary", "SELECT count(*) FILTER (label = 0) AS noise, round_even(100.0 * count(*) FILTER (label = 0) / count(*), 2) AS percent, count(DISTINCT nullif(label, 0)) AS clusters FROM embeddings")
+def g_noise_summary(spark, root):
+    return stats.noise_summary(elements(spark, root).withColumn("cluster_id", F.when(F.col("cluster_id") == 0, -1).otherwise(F.col("cluster_id"))))
+
 
+@query("g_corpus_terms", "SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM {tokenized}) GROUP BY term")
+def g_corpus_terms(spark, root):
+    return stats.corpus_counts(tokenized(spark, root))
 
-def scan_documents(spark: SparkSession, root: str) -> DataFrame:
+
+# Orders, pages, ranks.
+
+
+@query("r_topk_per_cluster", "SELECT cluster_id, doc_id, round(pos_x, 6) AS pos_x, place FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pos_x DESC, doc_id) AS place FROM {elements}) WHERE place <= 10")
+def r_topk_per_cluster(spark, root):
+    return ranking.top_per_group(elements(spark, root), "cluster_id", "pos_x", 10).select("cluster_id", "doc_id", F.round("pos_x", 6).alias("pos_x"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "r_representative",
+    """SELECT cluster_id, doc_id, round(d, 6) AS distance FROM (SELECT e.*, sqrt(pow(pos_x - cx, 2) + pow(pos_y - cy, 2)) AS d FROM {elements} e
+       JOIN (SELECT cluster_id, avg(pos_x) AS cx, avg(pos_y) AS cy FROM {elements} GROUP BY cluster_id) USING (cluster_id))
+       QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY d, doc_id) = 1""",
+)
+def r_representative(spark, root):
+    return ranking.representatives(elements(spark, root)).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "r_cluster_order",
+    """SELECT cluster_id, topic, n, CASE WHEN topic = 'unclassified papers' THEN -1 ELSE row_number() OVER (PARTITION BY topic = 'unclassified papers' ORDER BY n DESC, topic, cluster_id) END AS "order"
+       FROM (SELECT label AS cluster_id, CASE WHEN label = 0 THEN 'unclassified papers' ELSE 'topic ' || label END AS topic, count(*) AS n FROM embeddings GROUP BY label)""",
+)
+def r_cluster_order(spark, root):
+    topic = F.when(F.col("cluster_id") == 0, ranking.NOISE_TOPIC).otherwise(F.concat(F.lit("topic "), F.col("cluster_id").cast("string")))
+    rows = elements(spark, root).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).withColumns({"topic": topic, "project_id": F.lit(1)})
+    return ranking.cluster_order(rows).select("cluster_id", "topic", "n", F.col("order").cast("long").alias("order"))
+
+
+@query(
+    "r_page",
+    "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30 OFFSET 30",
+)
+def r_page(spark, root):
+    return ranking.page(read_table(spark, root, "documents").select("doc_id", "n_chars"), 2, [F.desc("n_chars"), F.asc("doc_id")])
+
+
+@query("r_history_sort", "SELECT c_custkey AS project_id, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def r_history_sort(spark, root):
+    counts = read_table(spark, root, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count(F.lit(1)).alias("n"))
+    return ranking.by_history(read_table(spark, root, "customer").select(F.col("c_custkey").alias("project_id")), counts, True)
+
+
+@query(
+    "r_iteration_snapshot",
+    f"""SELECT coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_check)), ','), '') AS yes, coalesce(array_to_string(list_sort(list(doc_id) FILTER (NOT is_check)), ','), '') AS no,
+        coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_check IS NULL)), ','), '') AS maybe, coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_initial)), ','), '') AS initial,
+        count(*) FILTER (to_display) AS shown FROM {CHOICE}""",
+)
+def r_iteration_snapshot(spark, root):
+    joined = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("yes", "no", "maybe", "initial")}
+    return selection.snapshot(choice(spark, root)).withColumns(joined)
+
+
+@query(
+    "r_iterate",
+    f"""WITH c AS {CHOICE}, e AS {{elements}}, near AS (SELECT doc_id FROM (SELECT p.doc_id, row_number() OVER (PARTITION BY q.doc_id
+          ORDER BY pow(p.pos_x - q.pos_x, 2) + pow(p.pos_y - q.pos_y, 2), p.doc_id) AS place FROM e p JOIN e q ON p.doc_id <> q.doc_id JOIN c ON c.doc_id = q.doc_id AND is_check) WHERE place <= 10)
+        SELECT doc_id, to_display AND coalesce(is_check, true) AS to_display, is_initial, is_check FROM c
+        UNION ALL SELECT DISTINCT doc_id, true, false, CAST(NULL AS BOOLEAN) FROM near WHERE doc_id NOT IN (SELECT doc_id FROM c)""",
+)
+def r_iterate(spark, root):
+    none = spark.createDataFrame([], "doc_id long")
+    return selection.iterated(choice(spark, root), elements(spark, root), none)[0]
+
+
+@query("r_lineage", "WITH RECURSIVE up(id, depth) AS (SELECT 1000, 0 UNION ALL SELECT id // 2, depth + 1 FROM up WHERE id > 1) SELECT CAST(id AS BIGINT) AS id, depth FROM up")
+def r_lineage(spark, root):
+    half = F.floor(F.col("id") / 2).cast("long")
+    tree = spark.range(1, 1025).select("id", F.when(F.col("id") > 1, half).alias("parent"))
+    return selection.lineage(tree, 1000)
+
+
+@query(
+    "r_topic_labels",
+    """WITH t AS (SELECT doc_id, unnest(tokens) AS term FROM {tokenized}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+       df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS docs FROM documents),
+       raw AS (SELECT doc_id, term, tf * (ln((1.0 + docs) / (1.0 + df)) + 1) AS r FROM tf JOIN df USING (term), n),
+       w AS (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS tfidf FROM raw),
+       e AS (SELECT vec_id AS doc_id, label AS cluster_id FROM embeddings), size AS (SELECT cluster_id, count(*) AS size FROM e GROUP BY cluster_id),
+       m AS (SELECT cluster_id, term, round(sum(tfidf) / any_value(size), 9) AS weight FROM w JOIN e USING (doc_id) JOIN size USING (cluster_id) GROUP BY cluster_id, term),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS place FROM m)
+       SELECT cluster_id, string_agg(term, ', ' ORDER BY place) AS topic FROM ranked WHERE place <= 30 GROUP BY cluster_id""",
+)
+def r_topic_labels(spark, root):
+    return ranking.topic_labels(phrases.tfidf(tokenized(spark, root)), elements(spark, root).select("doc_id", "cluster_id"))
+
+
+# Words, phrases, weights.
+
+
+@query("x_tokens", "SELECT doc_id, array_to_string(list_filter(tokens, lambda t: length(t) BETWEEN 2 AND 15), ' ') AS tokens FROM {tokenized}")
+def x_tokens(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.array_join(text.simple_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("x_clean")
+def x_clean(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.clean_document(F.col("text"), text.STOP_WORDS_FR).alias("cleaned"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS_FR)
+
+
+@query("x_stopwords", f"SELECT doc_id, array_to_string(list_filter(tokens, lambda t: NOT list_contains([{_STOP}], t)), ' ') AS words FROM {{tokenized}}")
+def x_stopwords(spark, root):
+    return tokenized(spark, root).select("doc_id", F.array_join(text.without(F.col("tokens"), text.STOP_WORDS_FR), " ").alias("words"))
+
+
+_PROFILE = ", ".join(f"len(list_filter(tokens, lambda t: list_contains([{', '.join(repr(w) for w in ws)}], t))) AS n_{lang}" for lang, ws in text.PROFILES.items())
+
+
+@query(
+    "x_language",
+    f"SELECT doc_id, CASE WHEN greatest(n_fr, n_de, n_it, n_en) = 0 THEN NULL WHEN n_fr >= greatest(n_de, n_it, n_en) THEN 'fr' WHEN n_de >= greatest(n_it, n_en) THEN 'de' WHEN n_it >= n_en THEN 'it' END AS found FROM (SELECT doc_id, {_PROFILE} FROM {{tokenized}})",
+)
+def x_language(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.detected_language(F.col("text")).alias("found"))
+
+
+@query(
+    "x_bigram_pmi",
+    """WITH t AS (SELECT doc_id, tokens FROM {tokenized}), w AS (SELECT unnest(tokens) AS w FROM t), c AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+       p AS (SELECT unnest(list_zip(tokens[:-2], tokens[2:])) AS p FROM t WHERE len(tokens) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2),
+       s AS (SELECT (SELECT count(*) FROM w) AS nw, (SELECT count(*) FROM p) AS np)
+       SELECT b.a, b.b, b.n, round(log2((b.n / np) / ((x.n / nw) * (y.n / nw))), 4) AS pmi FROM b JOIN c x ON x.w = b.a JOIN c y ON y.w = b.b, s
+       WHERE log2((b.n / np) / ((x.n / nw) * (y.n / nw))) >= 1.0""",
+)
+def x_bigram_pmi(spark, root):
+    return phrases.pmi_bigrams(tokenized(spark, root)).withColumn("pmi", F.round("pmi", 4))
+
+
+@query("x_ngram_merge")
+def x_ngram_merge(spark, root):
+    docs = tokenized(spark, root)
+    once = phrases.merged(docs, phrases.pmi_bigrams(docs))
+    twice = phrases.merged(once, phrases.pmi_bigrams(once))
+    return twice.select("doc_id", F.array_join("tokens", " ").alias("words"))
+
+
+@query(
+    "x_df_prune",
+    """WITH t AS (SELECT doc_id, tokens, len(tokens) AS n FROM {tokenized}), w AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS i FROM t),
+       df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term), v AS (SELECT term FROM df WHERE length(term) >= 2 AND df >= 2 AND df <= 0.7 * (SELECT count(*) FROM documents)),
+       k AS (SELECT doc_id, string_agg(term, ' ' ORDER BY i) AS words FROM w SEMI JOIN v USING (term) GROUP BY doc_id)
+       SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN k USING (doc_id)""",
+)
+def x_df_prune(spark, root):
+    docs = tokenized(spark, root)
+    return phrases.pruned(docs, phrases.vocabulary(docs)).select("doc_id", F.array_join("tokens", " ").alias("words"))
+
+
+@query(
+    "x_tfidf",
+    """WITH t AS (SELECT doc_id, unnest(tokens) AS term FROM {tokenized}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+       df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT doc_id, term, tf, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS r FROM tf JOIN df USING (term))
+       SELECT doc_id, term, tf, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM raw""",
+)
+def x_tfidf(spark, root):
+    return phrases.tfidf(tokenized(spark, root)).withColumn("tfidf", F.round("tfidf", 6))
+
+
+# Sentences, sections, citations.
+
+
+@query("t_after_marker", "SELECT doc_id, CASE WHEN position('the' IN text) > 0 THEN regexp_replace(substr(text, position('the' IN text) + 3), '^\\n+', '') ELSE text END AS tail FROM documents")
+def t_after_marker(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.after_marker(F.col("text"), "the").alias("tail"))
+
+
+@query("t_sentences")
+def t_sentences(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.posexplode(passages.merged_sentence_array(F.col("text"))).alias("place", "sentence"))
+
+
+@query("t_chunks")
+def t_chunks(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.posexplode(passages.chunk_array(F.col("text"))).alias("place", "chunk"))
+
+
+@query("t_coarse_sentences")
+def t_coarse_sentences(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.size(text.coarse_sentences(F.col("text"))).alias("n"))
+
+
+@query(
+    "t_islands",
+    """SELECT doc_id, section, min(id) AS first_id, count(*) AS n, string_agg(sentence, chr(10) ORDER BY id) AS text FROM
+       (SELECT conv_id AS doc_id, role AS section, turn AS id, text AS sentence, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island FROM conversations)
+       GROUP BY doc_id, section, island""",
+)
+def t_islands(spark, root):
+    rows = read_table(spark, root, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("section"), F.col("turn").alias("id"), F.col("text").alias("sentence"))
+    return passages.section_runs(rows).withColumn("n", F.col("n").cast("long"))
+
+
+@query(
+    "t_norm_refs",
+    """SELECT doc_id, token, CASE token WHEN 'CO.336c.al1.letb' THEN 'CO art. 336c al. 1 let. b' WHEN 'Cst.29.al2' THEN 'Cst art. 29 al. 2' ELSE replace(token, '.', ' art. ') END AS label,
+       CASE token WHEN 'CO.336c.al1.letb' THEN 'https://www.fedlex.admin.ch/eli/cc/27/317_321_377/fr#art_336c' WHEN 'Cst.29.al2' THEN 'https://www.fedlex.admin.ch/eli/cc/1999/404/fr#art_29'
+         WHEN 'LPA.46' THEN 'https://silgeneve.ch/legis/data/rsg_e5_10.htm' ELSE 'https://silgeneve.ch/legis/data/rsg_b5_05.htm' END AS url
+       FROM (SELECT doc_id, unnest(string_split(standards, ';')) AS token FROM {corpus})""",
+)
+def t_norm_refs(spark, root):
+    return corpus(spark, root).select("doc_id", F.explode(legal.norms(F.col("standards"))).alias("n")).select("doc_id", "n.token", "n.label", "n.url")
+
+
+# Vectors and clusters.
+
+_COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+
+@query(
+    "v_cosine_topk",
+    f"""SELECT query_id, vec_id, round(s, 6) AS similarity, place FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS s,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format(a='e.embedding', b='q.embedding')}, 9) DESC, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE place <= 5""",
+)
+def v_cosine_topk(spark, root):
+    e = read_table(spark, root, "embeddings")
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    out = vectors.nearest_of_each(e, queries, 5)
+    return out.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "v_section_top8",
+    f"""WITH s AS (SELECT vec_id AS chunk_id, vec_id // 50 AS record_key, label AS section, {_COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 0)')} AS s FROM embeddings),
+        d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY s DESC, chunk_id) <= 10)
+        SELECT chunk_id, record_key, section, round(s, 6) AS similarity FROM d QUALIFY row_number() OVER (PARTITION BY record_key, section ORDER BY s DESC, chunk_id) <= 8""",
+)
+def v_section_top8(spark, root):
+    e = read_table(spark, root, "embeddings")
+    first = e.filter("vec_id = 0").first()["embedding"]
+    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 50).alias("record_key"), F.col("label").alias("section"), "embedding")
+    return vectors.section_best(chunks, first).select("chunk_id", "record_key", "section", F.round("similarity", 6).alias("similarity"))
+
+
+@query("v_clusters")
+def v_clusters(spark, root):
+    points = clustering.document_vectors(phrases.tfidf(tokenized(spark, root)), 64)
+    return clustering.kmeans(points, clustering.Trial(8, 64)).withColumn("prob", F.round("prob", 6))
+
+
+@query("v_embedded")
+def v_embedded(spark, root):
+    rows = vectors.embedded(read_table(spark, root, "benchmark"), "text", vectors.hashed_embedding(16))
+    return rows.select("item_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+
+
+# Answers, caches, versions.
+
+
+@query("a_keys", "SELECT doc_id, sha256('which?::' || doc_id) AS key FROM documents")
+def a_keys(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.answer_key(F.lit(" which? "), F.col("doc_id")).alias("key"))
+
+
+@query("a_cache_misses", "SELECT doc_id, sha256('which?::' || doc_id) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def a_cache_misses(spark, root):
+    cache = read_table(spark, root, "labels").select(text.answer_key(F.lit("which?"), F.col("doc_id")).alias("key"))
+    return answers.cache_misses(read_table(spark, root, "documents").select("doc_id"), "which?", cache)
+
+
+@query("a_sanitize", "SELECT doc_id, replace(text, chr(0), '') AS text FROM documents")
+def a_sanitize(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.without_nul(F.col("text")).alias("text"))
+
+
+@query("a_incremental", "SELECT doc_id, n_chars FROM documents")
+def a_incremental(spark, root):
+    docs = corpus(spark, root).select("doc_id", "n_chars", "decision_date")
+    old = docs.filter(F.col("decision_date") <= F.lit(date(2012, 6, 1)))
+    new = docs.filter(F.col("decision_date") >= F.lit(date(2012, 6, 1)))
+    return answers.incremental(old, new).select("doc_id", "n_chars")
+
+
+@query(
+    "a_prompt_budget",
+    "SELECT source, doc_id, before AS tokens_before FROM (SELECT source, doc_id, coalesce(CAST(sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM documents) WHERE before <= 4000",
+)
+def a_prompt_budget(spark, root):
+    rows = read_table(spark, root, "documents").withColumn("tokens", F.floor(F.col("n_chars") / 4).cast("long"))
+    return answers.prompt_parts(rows, "source", "doc_id", "tokens", 4000).select("source", "doc_id", "tokens_before")
+
+
+@query("a_invalid", "SELECT doc_id, lower(trim(result)) = '' AS invalid FROM {corpus}")
+def a_invalid(spark, root):
+    return corpus(spark, root).select("doc_id", answers.invalid_exact(F.col("result"), ("",)).alias("invalid"))
+
+
+@query("a_latest", "SELECT o_custkey AS project_id, max(o_orderkey) AS rag_id FROM orders GROUP BY o_custkey")
+def a_latest(spark, root):
+    rows = read_table(spark, root, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("rag_id"))
+    return answers.latest(rows, "project_id", "rag_id")
+
+
+# Records and events.
+
+
+@query(
+    "s_etl_nested",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS record_key, strftime(o_orderdate, '%Y-%m-%d') AS decision_date, count(*) AS n_appeals, min(strftime(l_shipdate, '%Y-%m-%d')) AS first_start FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate",
+)
+def s_etl_nested(spark, root):
+    items = read_table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.date_format("l_shipdate", "dd.MM.yyyy").alias("date_debut"), *[F.lit(None).cast("string").alias(k) for k in records.APPEAL_FIELDS if k != "date_debut"])).alias("recours"))
+    raw = read_table(spark, root, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("cle_fiche"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("datedecision"), "recours")
+    done = records.normalized(records.translated(raw))
+    return done.select("record_key", "decision_date", F.size("appeals").cast("long").alias("n_appeals"), F.array_min(F.transform("appeals", lambda a: a["start_date"])).alias("first_start"))
+
+
+@query("s_upsert", "SELECT c_custkey AS record_key, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) ELSE c_acctbal END AS amount FROM customer")
+def s_upsert(spark, root):
+    old = read_table(spark, root, "customer").select(F.col("c_custkey").alias("record_key"), F.col("c_acctbal").alias("amount"))
+    new = read_table(spark, root, "orders").select(F.col("o_custkey").alias("record_key"), F.col("o_totalprice").alias("amount"))
+    return records.upserted(old, new, order="amount")
+
+
+@query("s_upsert_counts", "SELECT count(*) FILTER (quality IS NULL) AS created, count(*) FILTER (quality IS NOT NULL) AS overwritten, CAST(0 AS BIGINT) AS without_key FROM documents LEFT JOIN labels USING (doc_id)")
+def s_upsert_counts(spark, root):
+    return records.upsert_counts(read_table(spark, root, "labels"), read_table(spark, root, "documents"), "doc_id")
+
+
+@query("s_scan_documents", "SELECT doc_id, lang, source, n_chars FROM documents")
+def s_scan_documents(spark, root):
     return read_table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-QUERIES = {"s12_scan_documents": scan_documents}
-ORACLE = {"s12_scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents"}
-FLAGSHIP = "s12_scan_documents"
+@query("s_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def s_event_windows(spark, root):
+    return ingest.windowed_counts(read_table(spark, root, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("h_highlight")
+def h_highlight(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", text.highlighted(F.col("text"), ("the", "of"), "hit").alias("marked"))
+
+
+FLAGSHIP = "q_bm25_top20"

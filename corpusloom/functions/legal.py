@@ -54,7 +54,7 @@ def _reference(code: Column, article: Column, subs: Column, lang: str) -> Column
 
 def norm(token: Column, lang: str = "fr") -> Column:
     """struct(code, article, subrefs, url, label) of a norm like `CO.336c.al1.letb`; null if empty."""
-    parts = F.filter(F.transform(F.split(F.coalesce(token, F.lit("")), r"\."), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(token, F.lit("")), r"\."), lambda p: F.trim(p)), lambda p: p != "")
     second = F.get(parts, F.lit(1))
     is_article = F.coalesce(second.rlike(r"(?i)^\d+[a-z]*$"), F.lit(False))
     rest = F.when(is_article, F.slice(parts, 3, F.size(parts))).otherwise(F.slice(parts, 2, F.size(parts)))
@@ -75,5 +75,5 @@ def reference(text: Column, lang: str = "fr") -> Column:
 
 def norms(standards: Column, lang: str = "fr") -> Column:
     """array of struct(token, label, url) of a `;`-list."""
-    tokens = F.filter(F.transform(F.split(F.coalesce(standards, F.lit("")), ";"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce(standards, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), norm(t, lang)["label"].alias("label"), norm(t, lang)["url"].alias("url")))

@@ -65,8 +65,11 @@ PROFILES = {
 def detected_language(text: Column, kept: Sequence[str] = ("fr", "de", "it")) -> Column:
     """The best profile's language if it is kept, else null; null too if no profile word occurs."""
     tokens = index_tokens(text)
-    hits = F.array(*[F.struct(F.size(F.filter(tokens, lambda t, ws=ws: t.isin(*ws))).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate(PROFILES.items())])
-    best = F.array_max(hits)
+
+    def hits(words: Sequence[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(*words)))
+
+    best = F.array_max(F.array(*[F.struct(hits(ws).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, ws) in enumerate(PROFILES.items())]))
     return F.when((best["n"] > 0) & best["lang"].isin(*kept), best["lang"])
 
 
@@ -94,7 +97,7 @@ def after_marker(text: Column, marker: str = "EN DROIT") -> Column:
 
 
 def coarse_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\n", " "), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\n", " "), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def without_nul(value: Column) -> Column:
@@ -115,7 +118,7 @@ def file_name(*parts: Column) -> Column:
 
 def multi_values(text: Column) -> Column:
     """A `;`-list as a trimmed array; null and blank have none. A trailing `;` gives an empty value."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(text, ";"), F.trim))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(text, ";"), lambda v: F.trim(v)))
 
 
 def topic_label(topic: Column, order: Column, words: int = 10) -> Column:
