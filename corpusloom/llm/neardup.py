@@ -47,6 +47,8 @@ DEPTH = 3
 TREES = HASHES // DEPTH
 #: Least number of equal signature bytes for a pair to be proposed.
 ESTIMATE = 55
+#: As many make a link likely; the first pass proposes such pairs, and each row's nearest.
+LIKELY = 68
 #: Rows that are compared at once.
 BLOCK = 1024
 
@@ -189,10 +191,10 @@ class _Region:
         weight = (equal * fits).sum(axis=1, dtype=np.int64)
         for hub in np.argsort(-weight, kind="stable"):
             if left[hub]:
-                b = np.flatnonzero(fits[hub] & left)
+                b = np.flatnonzero(fits[hub] & left & (equal[hub] >= LIKELY))
                 out.append((np.full(len(b), ids[hub]), ids[b]))
-                hubs[hub], left[hub] = True, False
-                left[b[equal[hub, b] >= ESTIMATE + 10]] = False
+                hubs[hub] = True
+                left[hub] = left[b] = False
         self.rows = [(ids[hubs], sizes[hubs], sig[hubs])]
         return out
 
