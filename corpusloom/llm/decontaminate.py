@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: Contamination = C
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination()) -> DataFrame:
     """The rows of `docs` that are not contaminated."""
-    bad = stored(contamination(docs, benchmark, rule).filter("contaminated").select("key"), "contaminated")
+    bad = stored(contamination(docs, benchmark, rule).filter("contaminated").select(F.col("key.doc_id").alias("__doc"), F.col("key.text_hash").alias("__hash")), "contaminated")
     bad, _ = checked_broadcast(bad, 1_000_000)
-    on = docs["doc_id"].eqNullSafe(F.col("key.doc_id")) & (F.xxhash64(docs["text"]) == F.col("key.text_hash"))
+    on = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
     return docs.join(bad, on, "left_anti")
