@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.wordstream import mix, multipliers
 
 ORDER = 4
-SLOTS = 1 << 16
+SLOTS = 1 << 20
 #: Alphabet that unseen characters share.
 ALPHABET = 256.0
 STEP = 0.005
@@ -161,7 +161,7 @@ def train(labelled: DataFrame) -> UrlModel | None:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(accepted, 3)), pa.array(table), pa.array(slot), pa.array(np.concatenate([n, n, np.ones_like(n)]))], names=["kind", "table", "slot", "n"])
 
     rows = counts.mapInArrow(slots, "kind int, table int, slot long, n long").groupBy("kind", "table", "slot").agg(F.sum("n").alias("n"))
-    tables = np.zeros((2, 3, SLOTS))
+    tables = np.zeros((2, 3, SLOTS), dtype=np.float32)
     got = rows.toArrow()
     tables[got["kind"].to_numpy(), got["table"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
     return UrlModel(tables) if (tables[:, 1].sum(axis=1) > 0).all() else None
