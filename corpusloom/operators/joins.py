@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.blocks import against_all
+
 
 def with_scores(items: DataFrame, scores: DataFrame, key: str = "doc_id", score: str = "score") -> DataFrame:
     """All items with their score; a missing one is minus infinity."""
@@ -54,14 +56,18 @@ def carried_scores(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
 def nearest_points(points: DataFrame, selected: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """(doc_id, neighbour, d2, place): for each selected document its k nearest others on the map.
 
-    The selected rows are the query set; they are few, so they go to all points. Each task keeps
-    its k best for a query before the shuffle.
+    The selected rows are the query set; they go to all points in blocks of a checked size. Each
+    task keeps its k best for a query before the shuffle.
     """
     chosen = points.join(selected.select(key), key, "left_semi").select(F.col(key).alias("doc_id"), F.col("pos_x").alias("qx"), F.col("pos_y").alias("qy"))
-    pairs = points.select(F.col(key).alias("neighbour"), "pos_x", "pos_y").join(chosen, F.col("neighbour") != F.col("doc_id"))
     d2 = F.pow(F.col("pos_x") - F.col("qx"), F.lit(2)) + F.pow(F.col("pos_y") - F.col("qy"), F.lit(2))
     w = Window.partitionBy("doc_id").orderBy("d2", "neighbour")
-    return pairs.select("doc_id", "neighbour", d2.alias("d2")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+    def run(queries: DataFrame) -> DataFrame:
+        pairs = points.select(F.col(key).alias("neighbour"), "pos_x", "pos_y").join(queries, F.col("neighbour") != F.col("doc_id"))
+        return pairs.select("doc_id", "neighbour", d2.alias("d2")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+    return against_all(chosen, "doc_id", run)
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

@@ -23,10 +23,18 @@ def page(rows: DataFrame, number: int, order: list[Column], size: int = 30, tota
 
 
 def batches(rows: DataFrame, size: int, key: str) -> DataFrame:
-    """Adds `batch`: consecutive groups of `size` keys."""
+    """Adds `batch`: consecutive groups of `size` keys.
+
+    Rows are dealt by ranges of the key; a batch number is a row's place in its range plus the
+    rows of the ranges before, whose counts are one small table.
+    """
     if size <= 0:
         raise ValueError("a batch has at least one row")
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    dealt = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()).persist()
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("_before")
+    return dealt.join(before, "_part").withColumn("batch", F.floor(place / size)).drop("_part", "_before")
 
 
 def top_per_group(rows: DataFrame, group: str, score: str, n: int, key: str = "doc_id") -> DataFrame:

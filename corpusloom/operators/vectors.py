@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.blocks import against_all
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -31,11 +33,14 @@ def nearest(chunks: DataFrame, query: Sequence[float] | Column, k: int, embeddin
 
 
 def nearest_of_each(chunks: DataFrame, queries: DataFrame, k: int, embedding: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(query_id, key, similarity, place) for a stated, small query set (query_id, query)."""
-    pairs = chunks.select(key, embedding).crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", key, cosine(F.col(embedding), F.col("query")).alias("similarity"))
+    """(query_id, key, similarity, place) for a stated query set (query_id, query), in checked blocks."""
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+    def run(block: DataFrame) -> DataFrame:
+        scored = chunks.select(key, embedding).crossJoin(block).select("query_id", key, cosine(F.col(embedding), F.col("query")).alias("similarity"))
+        return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+    return against_all(queries, "query_id", run)
 
 
 def section_best(chunks: DataFrame, query: Sequence[float] | Column, per_document: int = 10, per_section: int = 8, document: str = "record_key", section: str = "section", key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
