@@ -655,4 +655,32 @@ def h_highlight(spark, root):
     return read_table(spark, root, "documents").select("doc_id", text.highlighted(F.col("text"), ("the", "of"), "hit").alias("marked"))
 
 
+@query("h_topic_options", "SELECT label || ': topic ' || label AS value, 'topic ' || label AS title FROM (SELECT DISTINCT label FROM embeddings)")
+def h_topic_options(spark, root):
+    from corpusloom.operators import render
+
+    clusters = elements(spark, root).select(F.concat(F.lit("topic "), F.col("cluster_id").cast("string")).alias("topic"), F.col("cluster_id").alias("order")).distinct()
+    return render.topic_options(clusters)
+
+
+@query("j_first_by_type", "SELECT o_orderpriority AS procedure_type, min(o_orderkey) AS doc_id FROM orders GROUP BY o_orderpriority")
+def j_first_by_type(spark, root):
+    return joins.first_by_type(read_table(spark, root, "orders").select(F.col("o_orderpriority").alias("procedure_type"), F.col("o_orderkey").alias("doc_id")))
+
+
+@query("r_top_documents", "SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, doc_id LIMIT 10")
+def r_top_documents(spark, root):
+    scores = read_table(spark, root, "labels").select("doc_id", F.col("quality").alias("score"))
+    return ranking.top_documents(read_table(spark, root, "documents").select("doc_id"), scores).select("doc_id", F.coalesce("score", F.lit(-1)).alias("quality"))
+
+
+@query(
+    "q_html_text",
+    "SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS n FROM pages",
+)
+def q_html_text(spark, root):
+    bare = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\r]+", " ")
+    return read_table(spark, root, "pages").select("page_id", F.length(bare).cast("long").alias("n"))
+
+
 FLAGSHIP = "q_bm25_top20"

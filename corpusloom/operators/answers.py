@@ -131,3 +131,30 @@ def incremental(old: DataFrame, new: DataFrame, key: str = "doc_id", legacy: boo
     """Old rows and the new ones that are not there yet; `legacy` repeats those of the shared day."""
     fresh = new if legacy else new.join(old.select(key), key, "left_anti")
     return old.unionByName(fresh)
+
+
+def flattened(record: Column) -> Column:
+    """A map of a JSON object's values as texts without NUL characters; nested values are JSON."""
+    from corpusloom.functions.text import without_nul
+
+    return F.transform_values(F.from_json(record, "map<string,string>"), lambda _, v: without_nul(v))
+
+
+def parsed_summary(text: Column) -> Column:
+    """struct(summary, considerations) of a JSON answer; what is missing or broken has a default."""
+    v = F.try_parse_json(text)
+    considerations = F.coalesce(F.try_variant_get(v, "$.considerations", "array<string>"), F.array().cast("array<string>"))
+    return F.struct(F.coalesce(F.try_variant_get(v, "$.summary", "string"), text, F.lit("")).alias("summary"), considerations.alias("considerations"))
+
+
+def supported_only(considerations: DataFrame) -> DataFrame:
+    return considerations.filter(F.col("frequency") > 0)
+
+
+def of_project(answers: DataFrame, rag_id: int) -> DataFrame:
+    return answers.filter(F.col("rag_id") == rag_id)
+
+
+def valid_json(text: Column) -> Column:
+    """The text, or an error payload where it is not JSON."""
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.lit('{"error": "invalid JSON"}'))

@@ -82,3 +82,8 @@ def fuzzy_sentences(sentences: DataFrame, targets: DataFrame, least: float = 65.
     """(doc_id, place, sentence, marked): marked if a target of the document is alike enough."""
     met = sentences.join(targets, "doc_id", "left").withColumn("hit", F.coalesce(fuzzy_ratio(F.col("sentence"), F.col("target")) >= least, F.lit(False)))
     return met.groupBy("doc_id", "place", "sentence").agg(F.bool_or("hit").alias("marked"))
+
+
+def first_by_type(documents: DataFrame) -> DataFrame:
+    """(procedure_type, doc_id): the first document of each type."""
+    return documents.groupBy("procedure_type").agg(F.min("doc_id").alias("doc_id"))

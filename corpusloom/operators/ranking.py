@@ -97,3 +97,34 @@ def answer_table(answers: DataFrame, facets: dict[str, str], needle: str, order:
         rows = rows.filter(F.lower(F.concat_ws(" ", *fields)).contains(needle.lower()))
     by = F.coalesce(F.col(order), F.lit(0.0) if order == "confidence_score" else F.lit(""))
     return rows.orderBy(by.desc() if descending else by.asc(), "doc_id")
+
+
+def order_key(order: str, has_scores: bool) -> str:
+    """The order asked for, or the latest first where relevance is asked for and there is none."""
+    known = {"score": "-score", "-score": "-score", "date": "decision_date", "-date": "-decision_date", "decision_date": "decision_date", "-decision_date": "-decision_date"}
+    key = known.get(order, "-decision_date")
+    return "-decision_date" if key == "-score" and not has_scores else key
+
+
+def top_documents(docs: DataFrame, scores: DataFrame | None, n: int = 10, keep_without: bool = True) -> DataFrame:
+    """The n best documents; without scores the first n, or none."""
+    if scores is None:
+        return docs.orderBy("doc_id").limit(n if keep_without else 0)
+    return docs.join(scores.select("doc_id", "score"), "doc_id", "left").orderBy(F.col("score").desc_nulls_last(), "doc_id").limit(n)
+
+
+def facet_values(answers: DataFrame, column: str) -> DataFrame:
+    """Distinct values of valid answers, sorted."""
+    return answers.filter("valid").select(F.col(column).alias("value")).filter("value is not null").distinct().orderBy("value")
+
+
+def by_percent(considerations: Column) -> Column:
+    """An array of structs with `percent`, the greatest first; equals keep their order."""
+    placed = F.transform(considerations, lambda x, i: F.struct((-x["percent"]).alias("p"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(placed), lambda s: s["x"])
+
+
+def by_term(docs: DataFrame, weights: DataFrame, term: str) -> DataFrame:
+    """Documents by the weight of a term, those without it last."""
+    own = weights.filter(F.col("term") == term).select("doc_id", "tfidf")
+    return docs.join(own, "doc_id", "left").orderBy(F.col("tfidf").desc_nulls_last(), "doc_id")

@@ -309,3 +309,13 @@ def checked_range(begin: date, end: date) -> tuple[date, date]:
     if end < begin:
         raise ValueError("the range ends before it begins")
     return begin, end
+
+
+def from_text(text: str, model: Callable[[str], str]) -> str:
+    """A model's query for a text, checked; a query with NOT is refused, as models are told to use AND and OR."""
+    tokens = tokenize(model(text))
+    if wrong := validate(tokens):
+        raise wrong
+    if any(t.kind == "not" for t in tokens):
+        raise LogicalOperatorError("NOT is not asked for")
+    return canonical(tokens).replace("+", " ").strip()

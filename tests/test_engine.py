@@ -222,3 +222,41 @@ def test_streams(spark, tmp_path):
     query = ingest.append_to(ingest.record_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_projects(spark, tmp_path):
+    from corpusloom.sources import projects
+
+    docs = spark.createDataFrame([(1, "foo bar"), (2, "bar")], "doc_id int, text string")
+
+    def broken():
+        raise RuntimeError("down")
+
+    hits, wrong = projects.project_documents({"a": lambda: docs, "b": broken, "c": lambda: docs.filter("doc_id = 2")}, "bar")
+    assert wrong == {"b": "down"} and sorted((r["doc_id"], r["source"]) for r in hits.collect()) == [(1, "a"), (2, "a"), (2, "c")]
+    projects.save_project(hits, 7, str(tmp_path / "d"), str(tmp_path / "s"))
+    scores = projects.side_table(spark, str(tmp_path / "s"), "doc_id int, score double, project_id int", 7)
+    assert scores.count() == 3 and projects.side_table(spark, str(tmp_path / "none"), "a int").count() == 0
+    new = spark.createDataFrame([("k", 1)], "record_key string, v int")
+    assert projects.load(new, str(tmp_path / "t")) == 1 and projects.load(new.union(new.selectExpr("'j'", "2")), str(tmp_path / "t")) == 2
+    assert projects.deleted({"s": scores}, 7)["s"].count() == 0 and projects.deleted({"s": scores}, 7, (7,))["s"].count() == 3
+
+
+def test_rendering(spark):
+    from corpusloom.functions import predicates
+    from corpusloom.operators import render
+    from corpusloom.plans import boolean
+
+    choice = spark.createDataFrame([(1, True), (2, False)], "doc_id int, to_display boolean")
+    docs = spark.createDataFrame([(1, "the word", "s", "en"), (2, "x", "s", "en")], "doc_id int, text string, source string, lang string")
+    topics = spark.createDataFrame([(1, "word, other", 1)], "doc_id int, topic string, order int")
+    row = render.rendered_rows(choice, docs, topics, ["word"]).first()
+    assert row["excerpt"] == 'the <span class="query">word</span>' and row["label"] == "Topic 1 : word, other"
+    text_ = spark.range(1).select(render.citation_text(F.lit("H"), {"Faits": F.lit("f"), "Droit": F.lit(" ")}, F.lit("q")).alias("t"), render.chunk_prompt(F.array(F.lit("a"), F.lit("b"))).alias("p")).first()
+    assert text_["t"] == "H\nFaits : f\n« q »" and text_["p"] == "[1] a\n[2] b"
+    assert predicates.year_range("2017-2022") == (date(2017, 1, 1), date(2022, 12, 31))
+    assert boolean.from_text("anything", lambda t: "(a OR b) AND c") == "( a OR b ) AND c".replace("( ", "(").replace(" )", ")")
+    s = spark.range(1).select(answers.parsed_summary(F.lit('{"summary": "s", "considerations": ["c"]}')).alias("a"), answers.parsed_summary(F.lit("plain")).alias("b")).first()
+    assert s["a"]["considerations"] == ["c"] and s["b"]["summary"] == "plain" and s["b"]["considerations"] == []
+    faults = spark.range(1).select(passages.classification_faults(F.array(*[F.lit(k) for k in (1, 2)]), F.array(F.lit(1), F.lit(3)), F.array(F.lit(1))).alias("f")).first()["f"]
+    assert faults == ["unknown ids: 3", "ids in both classes: 1", "missing ids: 2"]
