@@ -35,10 +35,10 @@ def simple_tokens(text: Column, least: int = 2, most: int = 15, accents: bool =
 PASSES = (
     (r"(?U)\S*@\S*\s?", ""),
     (r"(?U)\s+", " "),
-    ("_", " "),
+    ("_", ""),
     (r"(?U)https?://\S+", ""),
-    (r"(?U)www\S+", ""),
-    (r"(?U)([a-zA-Z ])\1{2,}", "$1$1"),
+    (r"(?U)www\.*[\r\n]*\S+", ""),
+    (r"(?U)([a-zA-Z\s])\1{2,}", "$1$1"),
 )
 
 
@@ -83,13 +83,18 @@ def clean_document(text: Column, stop: Sequence[str] = (), lemmas: Callable[[Col
     return F.when(words != "", words)
 
 
-def highlighted(text: Column, words: Iterable[str], css: str) -> Column:
-    """Whole words in a span, whatever their case; not inside of tags or quoted attributes."""
-    for w in words:
-        text = F.regexp_replace(text, rf'(?iu)(?<![\w"])({re.escape(w)})(?![\w"])(?![^<]*>)', f'<span class="{css}">$1</span>')
+def highlighted(text: Column, words: Iterable[str], css: str = "", colour: str = "") -> Column:
+    """Whole words in a span of a class, or of a colour, whatever their case; not inside of tags or next to quotes."""
+    style = f'class="{css}"' if css else f'style="background-color: {colour}40"'
+    for w in filter(None, words):
+        text = F.regexp_replace(text, rf"""(?iU)\b(?<!["'<>])({_literal(w)})(?![^<>]*>)\b""", f"<span {style}>$1</span>")
     return text
 
 
+def _literal(word: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", word)
+
+
 def after_marker(text: Column, marker: str = "EN DROIT") -> Column:
     """What follows the marker's first occurrence, without leading line feeds; all if it is missing."""
     at = F.locate(marker, text)
@@ -97,7 +102,7 @@ def after_marker(text: Column, marker: str = "EN DROIT") -> Column:
 
 
 def coarse_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\n", " "), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.split(F.regexp_replace(text, r"\n", " "), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
 def without_nul(value: Column) -> Column:

@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 from corpusloom.functions.text import answer_key
 
 NO_CONTEXT = "No relevant information found."
-#: Answers that say nothing, in lower case.
-INVALID = ("", "n/a", "none", "error", "not found", "no answer")
+#: Answers that say nothing, in lower case.
+INVALID = ("", "réponse non disponible", "no content available.", "no content available", "error generating response.")
 
 
 def invalid_exact(answer: Column, values: Sequence[str] = INVALID) -> Column:

@@ -102,12 +102,21 @@ def test_feed(spark):
 
 
 def test_passages(spark):
-    t = "Selon l'art. 12 al. 3 CO, le recours est admis. Il vaut 3.5 francs (cf. ch. 2. et suite). Non!\nTITRE\nLa suite\nvient ici."
-    assert passages.sentences(t) == ["Selon l'art. 12 al. 3 CO, le recours est admis.", "Il vaut 3.5 francs (cf. ch. 2. et suite).", "Non!", "TITRE La suite vient ici."]
-    assert passages.merge_short(["HEAD", "a b.", "c" * 70 + " d e f g h i j."]) == ["HEAD", "a b. " + "c" * 70 + " d e f g h i j."]
+    assert passages.unwrapped("Premiere ligne sans point\nseconde ligne.\nTroisieme ligne.") == "Premiere ligne sans point seconde ligne. Troisieme ligne."
+    assert passages.unwrapped("Ligne A\\nLigne B\\n\\tC \\u00e9") == "Ligne A Ligne B C é"
+    assert passages.repaired("\u00e2\u0080\u0099 \u00c3\u00a2 \u00c3") == "\u2019 â à" and passages.repaired("\u00c3\u00a2", legacy=True) == "à\u00a2"
+    assert passages.sentences("Selon l'art. 5 CPC. La demande est admise.") == ["Selon l'art. 5 CPC.", "La demande est admise."]
+    assert passages.sentences("Consid. 1. Faits (cf. art. 5 LTF). Ensuite. 2.1. Règle.") == ["Consid. 1.", "Faits (cf. art. 5 LTF).", "Ensuite.", "2.1. Règle."]
+    assert passages.sentences("Vu cela. (ATF 1. Et 2). Non! oui; Mais. Fin") == ["Vu cela. (ATF 1. Et 2).", "Non! oui; Mais.", "Fin"]
+    assert passages.plain_sentences("Art. 1. Le test. M. Dupont. Fin.\nSuite") == ["Art. 1. Le test.", "M. Dupont.", "Fin.", "Suite"]
+    assert passages.headed_sentences("Titre\nEN FAIT\nA. Le recours\nest admis. Oui.\nEN DROIT\nLe 12.03.2020, p. ex. ceci. Fin.") == ["Titre", "EN FAIT\n\nA.", "Le recours est admis.", "Oui.", "EN DROIT\n\nLe 12.03.2020, p. ex. ceci.", "Fin."]
+    long = "c" * 70 + " d e f g h i j."
+    assert passages.merge_short(["a b.", long, "EN DROIT", long, "x."]) == [f"a b. {long}", f"EN DROIT {long} x."]
     chunks = passages.packed_chunks([f"sentence number {k} of the text." for k in range(60)], most=50, overlap=10)
-    assert all(sum(map(passages.token_estimate, [c])) <= 60 for c in chunks) and len(chunks) > 5
-    assert "".join(passages.packed_chunks(["x" * 1000], most=50, overlap=0)) == "x" * 1000
+    assert all(passages.token_estimate(c) <= 60 for c in chunks) and len(chunks) > 5 and chunks[1].startswith(chunks[0][-40:])
+    assert passages.packed_chunks(["ab cd " * 20], most=10, overlap=0)[0] == "ab cd ab cd ab cd ab cd ab cd"
+    assert passages.packed_chunks(["Premiere phrase.", "Deuxieme phrase."], most=40, overlap=0) == ["Premiere phrase. Deuxieme phrase."]
+    assert passages.packed_chunks(["a.", "b" * 30], most=100) == ["a. " + "b" * 30]
     parts = passages.split_recursively("word " * 600, 1000, 200)
     assert all(len(p) <= 1000 for p in parts) and len(parts) >= 3
     df = spark.createDataFrame([(1, "A", 1, "a"), (1, "A", 2, "b"), (1, "A", 4, "d"), (1, "B", 3, "c")], "doc_id int, section string, id int, sentence string")
@@ -119,9 +128,9 @@ def test_passages(spark):
 
 def test_text(spark):
     df = spark.createDataFrame([("Mail a.b@c.ch  see_this http://x.y/z www.foo aaaaab   end EN DROIT\n\nrest",)], "t string")
-    row = df.select(text.cleaned(F.col("t")).alias("c"), text.after_marker(F.col("t")).alias("a"), text.highlighted(F.lit('<a href="the">the The then</a>'), ["the"], "x").alias("h")).first()
-    assert row["a"] == "rest" and "@" not in row["c"] and "http" not in row["c"] and "aab" in row["c"]
-    assert row["h"] == '<a href="the"><span class="x">the</span> <span class="x">The</span> then</a>'
+    row = df.select(text.cleaned(F.col("t")).alias("c"), text.after_marker(F.col("t")).alias("a"), text.highlighted(F.lit('<a href="the">the The then</a>'), ["the"], "x").alias("h"), text.highlighted(F.lit("Contrat <span>contrat</span> (a.b)"), ["contrat", "a.b"], colour="#abc").alias("k")).first()
+    assert row["k"].count("<span style=") == 2 and row["a"] == "rest" and "@" not in row["c"] and "http" not in row["c"] and "aab" in row["c"]
+    assert row["h"] == '<a href="the">the <span class="x">The</span> then</a>'
     assert df.select(text.clean_document(F.lit(" . "))).first()[0] is None
 
 
