@@ -23,6 +23,7 @@ CANTONAL = {
 LANGUAGES = ("fr", "de", "it", "rm", "en")
 #: Markers of sub-references and how they are written.
 MARKERS = {"al": "al.", "let": "let.", "lit": "lit.", "lett": "lett.", "ch": "ch.", "cpv": "cpv.", "abs": "Abs.", "ziff": "Ziff.", "par": "§", "n": "n°", "no": "n°"}
+#: Patterns of sub-references and citations.
 _ALL = "al|let|lit|lett|ch|cpv|abs|ziff|par|n|no"
 _CITED = "al|let|lit|lett|ch|cpv|abs|ziff|par"
 _SUB = rf"(?i)^({_ALL})\.?\s*([0-9]+|[a-z]+)$"

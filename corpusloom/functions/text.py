@@ -31,7 +31,7 @@ def simple_tokens(text: Column, least: int = 2, most: int = 15, accents: bool =
     return F.filter(tokens, lambda t: F.length(t).between(least, most))
 
 
-#: Ordered passes: pattern and what replaces it.
+#: Ordered passes, a pattern and what replaces it.
 PASSES = (
     (r"(?U)\S*@\S*\s?", ""),
     (r"(?U)\s+", " "),
@@ -53,7 +53,7 @@ def without(words: Column, stop: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
 
 
-#: Words that mark a language; the one with most hits wins, the first named among equals.
+#: Common words that mark a language; the one with most hits wins, the first named among equals.
 PROFILES = {
     "fr": ("le", "la", "les", "des", "et", "une", "dans", "que", "qui", "pour", "est", "pas"),
     "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "von", "ein", "eine", "den", "zu"),
