@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,52 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+#: Rows that go to a Python worker at once while a table is stored: whole texts make them large.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy(run: Callable) -> Callable:
+    """`run` over Arrow batches, giving memory back when a task ends: idle workers would keep it."""
+
+    def wrapped(batches):
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+
+    return wrapped
+
+
+def batch_by_text(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For jobs whose last plan hands whole texts to Python workers: at most so many at once from now on."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside hand Python workers at most BATCH_ROWS rows at once."""
+    was = spark.conf.get(_BATCH)
+    if 0 < int(was) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends at the files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -48,6 +89,21 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Stored tables that only an operator's own steps read: `clear` them once its last step is stored."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            discard(self.tables.pop())
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """`df` with a broadcast hint if a count shows at most `max_rows` rows, and whether it has one.
 
