@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import tidy
 from corpusloom.llm.encoder import encoder, public_path
 
 LENGTH = 2048
@@ -52,8 +53,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.slice(k, 200)
+            for k in range(0, len(batch), 2500):
+                part = batch.slice(k, 2500)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), encode.ids([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += last
@@ -63,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), PIECES)
     return out.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
