@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import stored, tidy
 from corpusloom.llm.wordstream import mix, multipliers
 
 SLOTS = 1 << 16
@@ -267,7 +267,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
                 langs, scores = own.texts(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
@@ -289,7 +289,7 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, kind)], names=["doc_id", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, runs array<struct<first:long,words:long,lang:string>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, runs array<struct<first:long,words:long,lang:string>>")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import checked_broadcast, stored
+from corpusloom.llm.common import checked_broadcast, stored, tidy
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Lengths that are summed together first.
@@ -59,7 +59,7 @@ def length_histogram(docs: DataFrame, tokenizer: tuple[str, str], group: Sequenc
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(n, pa.int64())], names=[*batch.schema.names[:at], "length"])
 
     schema = ", ".join([*[f"g{i} {rows.schema[f'g{i}'].dataType.simpleString()}" for i in range(at)], "length long"])
-    counted = rows.mapInArrow(run, schema).groupBy(*[f"g{i}" for i in range(at)], "length").agg(F.count(F.lit(1)).alias("n_docs"))
+    counted = rows.mapInArrow(tidy(run), schema).groupBy(*[f"g{i}" for i in range(at)], "length").agg(F.count(F.lit(1)).alias("n_docs"))
     return counted.select(*[F.col(f"g{i}").alias(g) for i, g in enumerate(group)], "length", "n_docs")
 
 
