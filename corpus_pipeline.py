@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, neardup, packing, quality, substring
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import batch_by_text, stored
 from corpusloom.sources.tables import read_table
 
 
@@ -31,6 +31,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, each a sequence of its own."""
+    batch_by_text(spark)
     return packing.digests(packing.pack(docs, packing.production_tokenizer()))
 
 

@@ -41,12 +41,18 @@ def tidy(run: Callable) -> Callable:
     """`run` over Arrow batches, giving memory back when a task ends: idle workers would keep it."""
 
     def wrapped(batches):
+        import ctypes
+
         import pyarrow
 
         try:
             yield from run(batches)
         finally:
             pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError, TypeError):
+                pass  # another C library keeps its own ways
 
     return wrapped
 

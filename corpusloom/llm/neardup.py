@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corpusloom.llm.common import checked_broadcast, stored
+from corpusloom.llm.common import Scratch, checked_broadcast, stored, tidy
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.wordstream import Words, documents, mix, multipliers
 
@@ -285,12 +285,15 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = count[column] > 1
         owner, column = owner[keep], shared[column[keep]]
         both = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
-            here = (column >= c) & (column < c + 4096)
-            dense = np.zeros((len(sets), 4096), dtype=np.float32)
+        for c in range(0, int(shared[-1]) + 1 if len(shared) else 0, 1024):
+            here = (column >= c) & (column < c + 1024)
+            dense = np.zeros((len(sets), 1024), dtype=np.float32)
             dense[owner[here], column[here] - c] = 1
-            both += dense @ dense.T
-        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+            for k in range(0, len(sets), 256):
+                both[k : k + 256] += dense[k : k + 256] @ dense.T
+        linked = np.zeros(both.shape, dtype=bool)
+        for k in range(0, len(sets), 256):
+            linked[k : k + 256] = 100 * both[k : k + 256] >= PERCENT * (size[k : k + 256, None] + size[None, :] - both[k : k + 256])
         root = {x: x for x in labels}
 
         def top(x: int, root: dict = root) -> int:
@@ -327,52 +330,54 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, text) of the documents in `ids`; other texts stay where they are while ids are few."""
-    some, _ = checked_broadcast(stored(ids.select("id").distinct(), "proposed"), 1_000_000)
-    return stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    some, _ = checked_broadcast(scratch.stored(ids.select("id").distinct(), "proposed"), 1_000_000)
+    return scratch.stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     met = pairs.join(one, "a").join(two, "b")
     return met.filter(_confirmed("text_a", "text_b")).select("a", "b").distinct()
 
 
-def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between the components that `labels` still holds apart."""
-    named = stored(forest.select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    named = scratch.stored(forest.select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), "labelled")
     mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
     rows = named.join(mixed.select("region", "n"), "region").join(reps.select(F.col("rep").alias("id"), "n_shingles", "signature"), "id")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature")
-    involved = stored(rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_involved, INVOLVED), "involved")
-    texts = _texts(involved.select("id"), docs)
+    involved = scratch.stored(rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(_involved), INVOLVED), "involved")
+    texts = _texts(involved.select("id"), docs, scratch)
     met = involved.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*KEY, "id", "label", "text")
-    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(_joining, PAIRS)
+    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(_joining), PAIRS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
-    features = stored(docs.select("doc_id", "text").mapInArrow(_features, FEATURES), "features")
+    scratch = Scratch()
+    features = stored(docs.select("doc_id", "text").mapInArrow(tidy(_features), FEATURES), "features")
     sets = features.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     sets = stored(sets, "sets")
     own = features.select("doc_id", "digest", "n_shingles", "signature", "sketch").dropDuplicates(["doc_id", "digest"])
-    reps = stored(own.join(sets.withColumnRenamed("digest", "set_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("set_digest"))).select("rep", "n_shingles", "signature", "sketch"), "representatives")
+    reps = scratch.stored(own.join(sets.withColumnRenamed("digest", "set_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("set_digest"))).select("rep", "n_shingles", "signature", "sketch"), "representatives")
 
-    forest = reps.select("rep", "signature").mapInArrow(_forest, FOREST)
-    forest = forest.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(_crowded, FOREST)
-    forest = stored(forest, "forest")
+    forest = reps.select("rep", "signature").mapInArrow(tidy(_forest), FOREST)
+    forest = forest.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(tidy(_crowded), FOREST)
+    forest = scratch.stored(forest, "forest")
     ordered = forest.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sketch"), "id").select("region", "deep", "id", "n_shingles", "sketch")
-    pairs = ordered.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(_stars, PAIRS).distinct()
-    links = stored(_confirm(stored(pairs, "pairs"), docs), "links")
+    pairs = ordered.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(tidy(_stars), PAIRS).distinct()
+    links = scratch.stored(_confirm(scratch.stored(pairs, "pairs"), docs, scratch), "links")
     labels = connected_components(links)
-    more = stored(_rest(forest, labels, reps, docs), "links")
+    more = scratch.stored(_rest(forest, labels, reps, docs, scratch), "links")
     if more.limit(1).count():
         labels = connected_components(links.union(more))
+    scratch.clear()
     member = features.select("doc_id", "digest", "n_shingles").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

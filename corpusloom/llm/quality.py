@@ -27,6 +27,8 @@ from corpusloom.llm.common import BLANKS, checked_broadcast, discard, let, posit
 WINDOW = 5
 SCALE = 4096
 DIMS = 4
+#: Width of the bins that medians are found in: a group has a few hundred, however many its rows.
+BIN = 16
 
 
 @dataclass(frozen=True)
@@ -178,17 +180,17 @@ def _upto(counts: DataFrame, keys: list[str], part: float) -> DataFrame:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and scaled median deviation of each statistic; no correlation."""
-    long = rows.select("g", F.posexplode(F.array(*[F.col(f"q{i}") for i in range(DIMS)])).alias("dim", "q"))
-    counts = long.groupBy("g", "dim", F.col("q").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    """Median and scaled median deviation of each statistic, to within a bin; no correlation."""
+    long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"q{i}") / BIN) for i in range(DIMS)])).alias("dim", "bin"))
+    counts = long.groupBy("g", "dim", "bin").agg(F.count(F.lit(1)).alias("c"))
     mid = _upto(counts, ["g", "dim"], 0.5).withColumnRenamed("bin", "mid")
     away = counts.join(mid, ["g", "dim"]).groupBy("g", "dim", F.abs(F.col("bin") - F.col("mid")).alias("bin")).agg(F.sum("c").alias("c"))
     mad = _upto(away, ["g", "dim"], 0.5).withColumnRenamed("bin", "mad")
     both = mid.join(mad, ["g", "dim"])
     pick = lambda k, c: F.max(F.when(F.col("dim") == k, c)).cast("double")
     return both.groupBy("g").agg(
-        *[pick(i, F.col("mid")).alias(f"m{i}") for i in range(DIMS)],
-        *[(pick(i, F.pow(F.col("mad") * 1.4826, 2)) if i == j else F.max(F.lit(0.0))).alias(f"s{i}{j}") for i, j in PAIRS],
+        *[pick(i, F.col("mid") * BIN + BIN // 2).alias(f"m{i}") for i in range(DIMS)],
+        *[(pick(i, F.pow(F.col("mad") * (BIN * 1.4826), 2)) if i == j else F.max(F.lit(0.0))).alias(f"s{i}{j}") for i, j in PAIRS],
     )
 
 
@@ -245,6 +247,7 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
         discard(est)
         est = new
 
+    discard(used)
     outside = chi2_quantile(1 - rules.tail, DIMS)
     small, _ok = checked_broadcast(est.withColumnRenamed("g", "eg"), 100_000)
     judged = _grouped(rows.select("*", *vectors), level).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.automaton import SuffixAutomaton
-from corpusloom.llm.common import checked_broadcast, discard, split_words, stored
+from corpusloom.llm.common import Scratch, checked_broadcast, split_words, stored, tidy
 from corpusloom.llm.wordstream import Words, documents, mix, multipliers
 
 WINDOW = 13
@@ -42,7 +42,7 @@ K = 6
 SPAN = WINDOW - K + 1
 SHARD = 4096
 #: Segments that a task combines before they are sent.
-COMBINED = 1_500_000
+COMBINED = 400_000
 
 _GRAM = multipliers(K, 17)
 _BASE = int(multipliers(1, 19)[0])
@@ -251,20 +251,21 @@ def repeated_spans(docs: DataFrame, max_broadcast_ids: int = 1_000_000) -> DataF
     spark = docs.sparkSession
     buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    sent = texts.mapInArrow(_packer(buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    found = stored(sent.mapInArrow(_meet, FOUND), "found")
+    sent = texts.mapInArrow(tidy(_packer(buckets)), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    scratch = Scratch()
+    found = scratch.stored(sent.mapInArrow(tidy(_meet), FOUND), "found")
 
     wanted = found.filter("shard != 0")
-    hot = stored(wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD), "hot")
+    hot = scratch.stored(wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD), "hot")
     hot, _ = checked_broadcast(hot, 1_000_000)
     parts = F.coalesce(F.ceil(F.col("n") / SHARD), F.lit(1)).cast("int")
     wants = wanted.join(hot, "shard", "left").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "at", parts.alias("parts"))).alias("wants"))
-    wants = stored(wants, "wanted")
-    pieces = _only(texts, wants.select("doc_id"), max_broadcast_ids).join(wants, "doc_id").select("doc_id", "text", "wants").mapInArrow(_fetch, PIECES)
-    streamed = pieces.repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id").mapInArrow(_stream, COVERED)
+    wants = scratch.stored(wants, "wanted")
+    pieces = _only(texts, wants.select("doc_id"), max_broadcast_ids).join(wants, "doc_id").select("doc_id", "text", "wants").mapInArrow(tidy(_fetch), PIECES)
+    streamed = pieces.repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id").mapInArrow(tidy(_stream), COVERED)
     spans = found.filter("shard = 0").select("doc_id", "at").unionByName(streamed)
     out = stored(spans.groupBy("doc_id").agg(F.collect_list("at").alias("spans")), "spans")
-    discard(found)
+    scratch.clear()
     return out
 
 
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, max_broadcast_ids: int = 1_000_000) -> DataF
         both = rows.join(spans, "doc_id", "left")
         same, cut = both.filter("spans is null").drop("spans"), both.filter("spans is not null")
     kind = rows.schema["row"].dataType.simpleString()
-    cut = cut.select("row", "text", "spans").mapInArrow(_cutter, f"row {kind}, n_words long, n_removed long, kept_text string")
+    cut = cut.select("row", "text", "spans").mapInArrow(tidy(_cutter), f"row {kind}, n_words long, n_removed long, kept_text string")
     same = same.select("row", F.size(split_words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
     return cut.unionByName(same)
 
@@ -341,7 +342,7 @@ def match_reference(docs: DataFrame, shards: list[list[str]], max_words: int = 2
             n, gone, left = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def remove_from(docs: DataFrame) -> DataFrame:
