@@ -22,15 +22,20 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small_batches, tidy
 from corpusloom.llm.lengths import rank_encoder
 from corpusloom.llm.wordstream import mix
 
@@ -52,6 +57,10 @@ class Layout:
         return HEAD_SIZE + 2 * self.length + 1
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u2").tobytes()
+
+
 def _bits(n: int) -> int:
     return max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
 
@@ -80,10 +89,12 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: tuple[str, str], end: int) -> Iterator[tuple[int | None, list[int]]]:
     encode = rank_encoder(*tokenizer).encode_ordinary
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py() or "")
-            ids.append(end)
-            yield doc, ids
+        for k in range(0, len(batch), 500):
+            part = batch.slice(k, 500)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids = encode(text) if text else []
+                ids.append(end)
+                yield doc, ids
 
 
 def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout: Layout = Layout()) -> int:
@@ -93,10 +104,20 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
     length, end, per_shard, key = layout.length, layout.end, layout.per_shard, layout.key
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(-(-len(ids) // length) for _, ids in _encoded(batches, tokenizer, end))
+        encode, known, n = rank_encoder(*tokenizer).encode_ordinary, {}, 0
+        for batch in batches:
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                digest = xxhash.xxh3_128_intdigest(text)
+                if digest not in known:  # copies are counted once; so many digests are kept
+                    if len(known) >= 100_000:
+                        known.clear()
+                    known[digest] = len(encode(text)) // length + 1
+                n += known[digest]
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}
+    with small_batches(spark):
+        counts = {r["part"]: r["n"] for r in rows.mapInArrow(tidy(count), "part int, n long").collect()}
     total, first = 0, {}
     for part in sorted(counts):
         first[part], total = total, total + counts[part]
@@ -106,6 +127,7 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
         part = TaskContext.get().partitionId()
         at, stop = shared.value[0][part], shared.value[0][part] + shared.value[1][part]
         out: list[bytes] = []
+        filling = _packed([end] * length)
 
         def done() -> pa.RecordBatch:
             slots = permute(np.arange(at - len(out), at), total, key)
@@ -113,9 +135,7 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
 
         for doc, ids in _encoded(batches, tokenizer, end):
             n = len(ids)
-            flat = np.full(-(-n // length) * length, end, dtype="<u2")
-            flat[:n] = ids
-            raw = flat.tobytes()
+            raw = _packed(ids) + filling[2 * (n % length or length) :]
             for s in range(0, n, length):
                 out.append(struct.pack(HEAD, at, NO_ID if doc is None else doc, s, min(length, n - s)) + raw[2 * s : 2 * (s + length)])
                 at += 1
@@ -127,41 +147,43 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
         if out:
             yield done()
 
-    made = rows.mapInArrow(records, "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
-    made.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
+    made = rows.mapInArrow(tidy(records), "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
+    with small_batches(spark):
+        made.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
     about = asdict(layout) | {"sequences": total, "stride": layout.stride}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
     return total
 
 
-def read_order(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
+def read_order(spark: SparkSession, path: str, from_slot: int = 0, digest: bool = False) -> DataFrame:
     """slot, shard, offset (bytes into the shard's file), sequence_id, doc_id, start, n_tokens, tokens (binary), from a slot on.
 
-    Shards before it are not opened.
+    With `digest`, tokens_crc32 in place of tokens. Shards before the slot's are not opened.
     """
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     layout = Layout(**{k: about[k] for k in ("key", "length", "per_shard", "end")})
     stride, per_shard = layout.stride, layout.per_shard
-    schema = "slot long, shard long, offset long, sequence_id long, doc_id long, start long, n_tokens long, tokens binary"
+    schema = "slot long, shard long, offset long, sequence_id long, doc_id long, start long, n_tokens long, " + ("tokens_crc32 long" if digest else "tokens binary")
     if not about["sequences"]:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(f"{path}/shards").select(F.col("shard").cast("long").alias("shard"), "content")
     files = files.filter(F.col("shard") >= from_slot // per_shard)
 
+    record = np.dtype([("sequence", "<i8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<u4"), ("ids", "u1", 2 * layout.length), ("close", "u1")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_buffer()
-                at = range(max(0, from_slot - shard * per_shard), len(data) // stride)
-                view = memoryview(data)
-                for k in range(at.start, at.stop, 1000):
-                    some = range(k, min(k + 1000, at.stop))
-                    heads = [struct.unpack_from(HEAD, view, i * stride) for i in some]
-                    seq, doc, start, n = zip(*heads, strict=True)
-                    tokens = [bytes(view[i * stride + HEAD_SIZE : i * stride + HEAD_SIZE + 2 * m]) for i, m in zip(some, n, strict=True)]
-                    base = np.array(some)
-                    ids = pa.array([None if d == NO_ID else d for d in doc], pa.int64())
-                    cols = [pa.array(base + shard * per_shard), pa.array(np.full(len(base), shard)), pa.array(base * stride), pa.array(seq, pa.int64()), ids, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
-
-    return files.mapInArrow(run, schema)
+                whole = np.frombuffer(data, dtype=record)
+                first = max(0, from_slot - shard * per_shard)
+                for k in range(first, len(whole), 2000):
+                    some = whole[k : k + 2000]
+                    base = np.arange(k, k + len(some))
+                    tokens = [t[: 2 * m] for t, m in zip(some["ids"], some["n"].tolist(), strict=True)]
+                    told = pa.array([zlib.crc32(t) for t in tokens], pa.int64()) if digest else pa.array([t.tobytes() for t in tokens], pa.binary())
+                    cols = [base + shard * per_shard, np.full(len(base), shard), base * stride, some["sequence"], pa.array(some["doc"], mask=some["doc"] == NO_ID), some["start"], some["n"].astype(np.int64)]
+                    arrays = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in cols]
+                    yield pa.RecordBatch.from_arrays([*arrays, told], names=[c.split()[0] for c in schema.split(", ")])
+
+    return files.mapInArrow(tidy(run), schema)
