@@ -112,3 +112,28 @@ def test_layouts(spark):
         _, name, turns = records[r["id"]]
         assert r["mapping"] == name and (r["turns"] and [tuple(t) for t in r["turns"]]) == turns
     assert hashlib.sha256(b"x").hexdigest() == df.select(F.sha2(F.lit("x"), 256)).first()[0]
+
+
+def test_texts_beyond_the_limits_of_variants(spark):
+    size = 20_000_001
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    rows = rows.withColumn("text", F.repeat("text", F.lit(size)))
+    for records in (chat.conversation_records(rows), chat.conversation_records(rows).withColumn("record", F.to_json("record"))):
+        done = chat.format_chats(records)
+        back = done.select("mapping", F.length("formatted").alias("n"), F.length(chat.masked_text(F.col("formatted"), F.col("loss_mask"))).alias("m"))
+        marks = len(chat.OPEN + chat.MIDDLE + chat.CLOSE)
+        assert back.collect() == [("messages", 2 * (size + marks) + len("user") + len("assistant"), size)]
+    bad = records.select(F.concat(F.substring("record", 1, 2_000_000), F.lit("\\q\"}]}")).alias("record"))
+    assert [tuple(r) for r in chat.canonical(bad).select("mapping", "turns").collect()] == [(None, None)]
+
+
+def test_layouts_of_structs(spark):
+    own = spark.sql("SELECT named_struct('instruction', 'i', 'input', '', 'output', cast(null AS string)) AS record UNION ALL SELECT null")
+    got = [(r["mapping"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical(own).collect()]
+    assert sorted(got, key=str) == [("instruction", [("user", "i"), ("assistant", "")]), (None, None)]
+    assert chat.canonical(spark.sql("SELECT named_struct('a', 1) AS record")).select("mapping", "turns").first() == (None, None)
+
+
+def test_emptied_values(spark):
+    record = r'{"a b": "x\"y: \\", "c" :["q", "r:"], "d": {"e": "", "f": 1}}'
+    assert spark.createDataFrame([(record,)], "r string").select(chat._skeleton(F.col("r"))).first()[0] == '{"a b": "", "c" :["", ""], "d": {"e": "", "f": 1}}'
