@@ -5,8 +5,9 @@ interpolated by Witten and Bell's weights). A URL's score is the difference of i
 by its length. The cut between accepted and rejected scores is calibrated on all URLs with a rule:
 it is the one with the least sum of both error rates.
 
-Gram counts are summed over all such URLs by Spark. The models are tables of SLOTS entries that
-grams are hashed into, so what is collected and broadcast has a fixed size whatever the input.
+Gram counts are summed over all such URLs by Spark, one for each gram (contexts by a 64-bit hash),
+so the models grow with the input. Up to `max_broadcast_grams` of them are broadcast; beyond, grams
+and URLs meet in joins. A gram's part of a score is a fixed-point number, so both ways give the same.
 
 Cases: null URLs and URLs without `://` have empty host and path; a null URL scores like an empty
 one. With no accepted or no rejected URL the models say nothing, and URLs without rule are allowed.
@@ -23,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import stored
 from corpusloom.llm.wordstream import mix, multipliers
 
 ORDER = 4
-SLOTS = 1 << 20
+#: Grams are joined in so many parts of each key, as some contexts and grams are in nearly every URL.
+SALTS = 16
+#: Of the fixed-point numbers that scores are summed in.
+FIXED = float(1 << 32)
 #: Alphabet that unseen characters share.
 ALPHABET = 256.0
 STEP = 0.005
@@ -99,12 +104,8 @@ def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chars, contexts, owner
 
 
-def _slot(context: np.ndarray) -> np.ndarray:
-    return (context % np.uint64(SLOTS)).astype(np.int64)
-
-
 def _pair(context: np.ndarray, char: np.ndarray) -> np.ndarray:
-    return _slot(mix(context + char * _KEY[0]))
+    return mix(context + char * _KEY[0])
 
 
 COUNTS = "accepted boolean, context long, char long, n long"
@@ -125,50 +126,138 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays(cols, names=["accepted", "context", "char", "n"])
 
 
+def _ratios(n: np.ndarray, seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each character by the accepted less that by the rejected, in units of 1 / FIXED.
+
+    By class (rejected, accepted), order and character: the counts of the gram and of its context,
+    and the context's kinds of next character.
+    """
+    total = np.zeros(n.shape[2])
+    for c, sign in ((0, -1), (1, 1)):
+        p = np.full(n.shape[2], 1 / ALPHABET)
+        for k in range(ORDER + 1):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                p = np.where(seen[c, k] > 0, (n[c, k] + kinds[c, k] * p) / (seen[c, k] + kinds[c, k]), p)
+        total += sign * np.log(p)
+    return np.rint(total * FIXED).astype(np.int64)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Of sorted keys: the values of the wanted ones, 0 for those that are not there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return [np.where(hit, v[at], 0) for v in values]
+
+
 class UrlModel:
-    """Tables of both classes, in the order rejected, accepted: grams, contexts, kinds of next character."""
+    """Sorted tables of both classes, in the order rejected, accepted: grams and their counts;
+    contexts, their counts and kinds of next character."""
 
-    def __init__(self, tables: np.ndarray):
+    def __init__(self, tables: list[tuple[np.ndarray, ...]]):
         self.tables = tables
 
     def scores(self, urls: list[str | None]) -> np.ndarray:
         """Log-likelihood of the accepted less that of the rejected, by length."""
         chars, contexts, owner = _grams(urls)
-        total = np.zeros(len(chars))
-        for sign, (pairs, seen, kinds) in zip((-1, 1), self.tables, strict=True):
-            p = np.full(len(chars), 1 / ALPHABET)
+        _, at, back = np.unique(_pair(contexts[ORDER], chars), return_index=True, return_inverse=True)
+        n, seen, kinds = (np.zeros((2, ORDER + 1, len(at))) for _ in range(3))
+        for c, (pairs, pair_n, known, known_n, known_kinds) in enumerate(self.tables):
             for k in range(ORDER + 1):
-                slot = _slot(contexts[k])
-                n, t = seen[slot], kinds[slot]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    p = np.where(n > 0, (np.minimum(pairs[_pair(contexts[k], chars)], n) + t * p) / (n + t), p)
-            total += sign * np.log(p)
-        sums = np.bincount(owner, weights=total, minlength=len(urls))
-        return sums / np.bincount(owner, minlength=len(urls))
+                (n[c, k],) = _found(pairs, _pair(contexts[k, at], chars[at]), pair_n)
+                seen[c, k], kinds[c, k] = _found(known, contexts[k, at], known_n, known_kinds)
+        sizes = np.bincount(owner, minlength=len(urls))
+        return np.add.reduceat(_ratios(n, seen, kinds)[back], np.cumsum(sizes) - sizes) / FIXED / sizes
+
+
+@dataclass(frozen=True)
+class WideModel:
+    """A model of more grams than are broadcast: (accepted, context, char, n)."""
+
+    grams: DataFrame
 
 
-def train(labelled: DataFrame) -> UrlModel | None:
+def train(labelled: DataFrame, max_broadcast_grams: int = 2_000_000) -> UrlModel | WideModel | None:
     """The models of all rows of (accepted, url); None unless there are both kinds."""
     counts = labelled.select("accepted", "url").mapInArrow(_count, COUNTS).groupBy("accepted", "context", "char").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "url-grams")
+    if counts.select("accepted").distinct().count() < 2:
+        return None
+    if counts.count() > max_broadcast_grams:
+        return WideModel(counts)
+    got = counts.toArrow()
+    accepted = got["accepted"].to_numpy(zero_copy_only=False).astype(bool)
+    context, char = (got[c].to_numpy().view(np.uint64) for c in ("context", "char"))
+    n = got["n"].to_numpy()
+    tables = []
+    for own in (~accepted, accepted):
+        pairs = _pair(context[own], char[own])
+        order = np.argsort(pairs)
+        known, at = np.unique(context[own], return_inverse=True)
+        tables.append((pairs[order], n[own][order], known, np.bincount(at, weights=n[own]).astype(np.int64), np.bincount(at)))
+    return UrlModel(tables)
+
+
+def _url_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (at, url): the grams of each URL and how often it holds them."""
+    for batch in batches:
+        for k in range(0, len(batch), 5000):
+            part = batch.slice(k, 5000)
+            if len(part):
+                chars, contexts, owner = _grams(part.column(1).to_pylist())
+                held, n = np.unique(np.stack([owner.astype(np.uint64), _pair(contexts[ORDER], chars)], axis=1), axis=0, return_counts=True)
+                at = part.column(0).take(pa.array(held[:, 0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([at, pa.array(held[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["at", "gram", "times"])
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            accepted = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            context, char = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in (1, 2))
-            n = batch.column(3).to_numpy()
-            table = np.repeat(np.arange(3, dtype=np.int32), len(n))
-            slot = np.concatenate([_pair(context, char), _slot(context), _slot(context)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(accepted, 3)), pa.array(table), pa.array(slot), pa.array(np.concatenate([n, n, np.ones_like(n)]))], names=["kind", "table", "slot", "n"])
 
-    rows = counts.mapInArrow(slots, "kind int, table int, slot long, n long").groupBy("kind", "table", "slot").agg(F.sum("n").alias("n"))
-    tables = np.zeros((2, 3, SLOTS), dtype=np.float32)
-    got = rows.toArrow()
-    tables[got["kind"].to_numpy(), got["table"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
-    return UrlModel(tables) if (tables[:, 1].sum(axis=1) > 0).all() else None
+def _gram_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (at, url): each gram's contexts of all orders and its character."""
+    for batch in batches:
+        for k in range(0, len(batch), 5000):
+            part = batch.slice(k, 5000)
+            if len(part):
+                chars, contexts, _ = _grams(part.column(1).to_pylist())
+                gram, at = np.unique(_pair(contexts[ORDER], chars), return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (ORDER + 1)), pa.array(contexts[:, at].T.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), lists, pa.array(chars[at].astype(np.int64))], names=["gram", "contexts", "char"])
+
 
+_TOLD = [f"{name}{c}" for name in ("n", "seen", "kinds") for c in (0, 1)]
 
-def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
+
+def _gram_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (gram, one struct of counts for each order): the gram's part of a score."""
+    for batch in batches:
+        if len(batch):
+            told = batch.column(1).flatten()
+            n, seen, kinds = (np.stack([told.field(f"{name}{c}").to_numpy().reshape(-1, ORDER + 1).T.astype(float) for c in (0, 1)]) for name in ("n", "seen", "kinds"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_ratios(n, seen, kinds))], names=["gram", "ratio"])
+
+
+def _joined(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """`rows` and their score by a model that stays a table."""
+    of_class = lambda value, c: F.coalesce(F.sum(F.when(F.col("accepted") == F.lit(bool(c)), value)), F.lit(0))
+    salted = lambda df: df.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    pairs = grams.groupBy("context", "char").agg(*[of_class(F.col("n"), c).alias(f"n{c}") for c in (0, 1)])
+    known = grams.groupBy("context").agg(*[of_class(v, c).alias(f"{name}{c}") for name, v in (("seen", F.col("n")), ("kinds", F.lit(1))) for c in (0, 1)])
+
+    key = F.unhex(F.md5(F.coalesce("url", F.lit(""))))
+    own = stored(rows.select(key.alias("at"), F.coalesce("url", F.lit("")).alias("url")).dropDuplicates(["at"]), "urls")
+    wanted = own.mapInArrow(_gram_contexts, "gram long, contexts array<long>, char long").dropDuplicates(["gram"])
+    wanted = wanted.select("gram", "char", F.pmod("gram", F.lit(SALTS)).cast("int").alias("salt"), F.posexplode("contexts").alias("k", "context"))
+    met = wanted.join(salted(pairs), ["context", "char", "salt"], "left").join(salted(known), ["context", "salt"], "left").fillna(0, _TOLD)
+    told = met.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", *_TOLD))).alias("told"))
+    ratios = stored(told.mapInArrow(_gram_ratios, "gram long, ratio long"), "url-ratios")
+
+    held = own.mapInArrow(_url_grams, "at binary, gram long, times long").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
+    sums = held.join(salted(ratios), ["gram", "salt"]).groupBy("at").agg(F.sum(F.col("ratio") * F.col("times")).alias("total"), F.sum("times").alias("size"))
+    score = F.col("total").cast("double") / FIXED / F.col("size")
+    return rows.withColumn("at", key).join(sums, "at").select(*rows.columns, score.alias("score"))
+
+
+def _scored(rows: DataFrame, model: UrlModel | WideModel) -> DataFrame:
     """`rows` (with url) and their score; `rows` has the columns named here and no other."""
+    if isinstance(model, WideModel):
+        return _joined(rows, model.grams)
     shared = rows.sparkSession.sparkContext.broadcast(model.tables)
     at = rows.columns.index("url")
 
@@ -184,7 +273,7 @@ def _scored(rows: DataFrame, model: UrlModel) -> DataFrame:
     return rows.mapInArrow(run, schema + ", score double")
 
 
-def calibrate(labelled: DataFrame, model: UrlModel) -> float:
+def calibrate(labelled: DataFrame, model: UrlModel | WideModel) -> float:
     """The score with the least sum of error rates, from a histogram of steps of STEP within -20 to 20."""
     cell = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / STEP).cast("int")
     rows = _scored(labelled.select("accepted", "url"), model).groupBy("accepted", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -199,14 +288,14 @@ def calibrate(labelled: DataFrame, model: UrlModel) -> float:
     return float((best[len(best) // 2]) * STEP - 20)
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = PRODUCTION) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = PRODUCTION, max_broadcast_grams: int = 2_000_000) -> DataFrame:
     """page_id, host, path, rule, verdict, score (null where a rule decides or the models say nothing)."""
     url = F.col("url")
     judged = pages.select("page_id", url.cast("string").alias("url"), host(url).alias("host"), path(url).alias("path"))
     judged = judged.withColumn("r", rule(F.col("host"), F.col("path"), rules))
     judged = judged.select("page_id", "url", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"))
     labelled = judged.filter("rule is not null").select((F.col("verdict") == "allow").alias("accepted"), "url")
-    model = train(labelled)
+    model = train(labelled, max_broadcast_grams)
     if model is None:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     cut = calibrate(labelled, model)

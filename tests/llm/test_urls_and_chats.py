@@ -76,6 +76,30 @@ def test_character_models(spark):
     assert (s[:60] >= cut).all() and (s[60:] < cut).all()
 
 
+def test_models_of_many_grams(spark):
+    """More grams than any table of fixed size holds apart; broadcast and joined models agree."""
+    rng = random.Random(2)
+    make = lambda: "http://x/" + "".join(chr(rng.randint(0x4E00, 0x6000)) for _ in range(40))
+    labelled = [(k % 2 == 0, make()) for k in range(9000)]
+    df = spark.createDataFrame(labelled, "accepted boolean, url string")
+    model = urls.train(df)
+    assert sum(len(t[0]) for t in model.tables) > 1 << 20
+    some = [labelled[0][1], labelled[1][1] + "x"]
+    assert np.allclose(model.scores(some), [by_hand(labelled, u) for u in some], rtol=0, atol=1e-6)
+    wide = urls.train(df, max_broadcast_grams=0)
+    got = urls._scored(spark.createDataFrame([(u,) for u in [*some, *some, "", None]], "url string"), wide).collect()
+    assert len(got) == 6 and all(r["score"] == model.scores([r["url"]])[0] for r in got)
+
+
+def test_verdicts_of_joined_models(spark):
+    rng = random.Random(3)
+    made = [f"http://{rng.choice('abc')}{rng.randint(0, 99)}.{rng.choice(['net/de/', 'org/es/', 'com/en/', 'it/x/'])}{rng.randint(0, 999)}" for _ in range(400)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*made, None, ""])], "page_id long, url string")
+    key = lambda r: r["page_id"]
+    one, two = urls.filter_urls(pages), urls.filter_urls(pages, max_broadcast_grams=0)
+    assert one.columns == two.columns and sorted(one.collect(), key=key) == sorted(two.collect(), key=key)
+
+
 def test_chats_round_trip(spark):
     marks = "</s>[INST] ok [/INST] [\\ <\\ \\[ <s>"
     turns = [
