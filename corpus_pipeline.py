@@ -8,6 +8,9 @@ from corpusloom.llm import decontaminate, neardup, packing, quality, substring
 from corpusloom.llm.common import batch_by_text, stored
 from corpusloom.sources.tables import read_table
 
+#: Words of a shingle in the near-duplicate stage; the contract of op6, which takes four, binds that query alone.
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
@@ -16,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least doc_id, of each group of near copies."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, SHINGLE)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,13 +21,14 @@
 
 Cases: null or empty texts have no shingles, link with nothing and are kept. Rows with null doc_id
 link with nothing, have no component and are kept. Rows that share a doc_id and a text share
-their result. Texts of fewer than SHINGLE words are one shingle.
+their result. Texts of fewer than `shingle` words are one shingle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ from corpusloom.llm.common import Scratch, checked_broadcast, stored, tidy
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.wordstream import Words, documents, mix, multipliers
 
+#: Words of a shingle, by the contract of op6; callers with another contract give their own.
 SHINGLE = 4
 PERCENT = 80
 HASHES = 96
@@ -52,19 +54,20 @@ LIKELY = 68
 #: Rows that are compared at once.
 BLOCK = 1024
 
-_COMBINE = multipliers(SHINGLE, 7)
+_combine = cache(partial(multipliers, seed=7))
 _A, _B = multipliers(HASHES, 11), multipliers(HASHES, 13)
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
+def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one document's word hashes."""
-    if len(h) >= SHINGLE:
-        n = len(h) - SHINGLE + 1
-        g = h[:n] * _COMBINE[0]
-        for j in range(1, SHINGLE):
-            g = g + h[j : n + j] * _COMBINE[j]
+    by = _combine(shingle)
+    if len(h) >= shingle:
+        n = len(h) - shingle + 1
+        g = h[:n] * by[0]
+        for j in range(1, shingle):
+            g = g + h[j : n + j] * by[j]
         return np.unique(mix(g))
-    return mix(np.atleast_1d((h * _COMBINE[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h)))) if len(h) else h
+    return mix(np.atleast_1d((h * by[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h)))) if len(h) else h
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
@@ -77,14 +80,14 @@ def _signature(s: np.ndarray) -> np.ndarray:
 FEATURES = "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for row, stop, data, ends in documents(batch.column(1)):
             w = Words(data, ends, lower=True)
             sizes, digests, signatures, sketches = [], [], [], []
             for i in range(stop - row):
-                s = _shingles(w.hash[w.first[i] : w.first[i + 1]])
+                s = _shingles(w.hash[w.first[i] : w.first[i + 1]], shingle)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
                 low = _signature(s) if len(s) else None
@@ -270,14 +273,14 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "id", "label"])
 
 
-def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joining(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Rows (KEY, id, label, text): links between components of a block, as many as join them."""
     for _, rows in _blocks(batches):
         ids, labels, texts = zip(*rows, strict=True)
         sets: list[np.ndarray] = []
         for _, _, data, ends in documents(pa.array(texts, pa.large_string())):
             w = Words(data, ends, lower=True)
-            sets += [_shingles(w.hash[w.first[k] : w.first[k + 1]]) for k in range(w.n)]
+            sets += [_shingles(w.hash[w.first[k] : w.first[k + 1]], shingle) for k in range(w.n)]
         size = np.array([len(x) for x in sets])
         _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.cumsum(count > 1) - 1
@@ -313,21 +316,24 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _shingle_set(text: str) -> set:
+def _shingle_set(text: str, shingle: int) -> set:
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    return set(zip(*[w[j:] for j in range(SHINGLE)], strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+    return set(zip(*[w[j:] for j in range(shingle)], strict=False)) if len(w) >= shingle else {tuple(w)} if w else set()
 
 
-@F.pandas_udf(BooleanType())
-def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, last, x = [], None, set()
-    for s, t in zip(a, b, strict=True):
-        if s != last:
-            last, x = s, _shingle_set(s)
-        y = _shingle_set(t)
-        both = len(x & y)
-        out.append(bool(x) and 100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pd.Series(out)
+def _confirmed(shingle: int) -> Callable:
+    @F.pandas_udf(BooleanType())
+    def confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, x = [], None, set()
+        for s, t in zip(a, b, strict=True):
+            if s != last:
+                last, x = s, _shingle_set(s, shingle)
+            y = _shingle_set(t, shingle)
+            both = len(x & y)
+            out.append(bool(x) and 100 * both >= PERCENT * (len(x) + len(y) - both))
+        return pd.Series(out)
+
+    return confirmed
 
 
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -336,15 +342,15 @@ def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """The pairs (a, b) that are links."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     met = pairs.join(one, "a").join(two, "b")
-    return met.filter(_confirmed("text_a", "text_b")).select("a", "b").distinct()
+    return met.filter(_confirmed(shingle)("text_a", "text_b")).select("a", "b").distinct()
 
 
-def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """Links (a, b) between the components that `labels` still holds apart."""
     named = scratch.stored(forest.select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), "labelled")
     mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
@@ -355,13 +361,13 @@ def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame
     involved = scratch.stored(rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(_involved), INVOLVED), "involved")
     texts = _texts(involved.select("id"), docs, scratch)
     met = involved.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*KEY, "id", "label", "text")
-    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(_joining), PAIRS)
+    return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(partial(_joining, shingle=shingle)), PAIRS)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
     scratch = Scratch()
-    features = stored(docs.select("doc_id", "text").mapInArrow(tidy(_features), FEATURES), "features")
+    features = stored(docs.select("doc_id", "text").mapInArrow(tidy(partial(_features, shingle=shingle)), FEATURES), "features")
     sets = features.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     sets = stored(sets, "sets")
     own = features.select("doc_id", "digest", "n_shingles", "signature", "sketch").dropDuplicates(["doc_id", "digest"])
@@ -372,9 +378,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forest = scratch.stored(forest, "forest")
     ordered = forest.join(reps.select(F.col("rep").alias("id"), "n_shingles", "sketch"), "id").select("region", "deep", "id", "n_shingles", "sketch")
     pairs = ordered.repartitionByRange("region", "deep", "id").sortWithinPartitions("region", "deep", "id").mapInArrow(tidy(_stars), PAIRS).distinct()
-    links = scratch.stored(_confirm(scratch.stored(pairs, "pairs"), docs, scratch), "links")
+    links = scratch.stored(_confirm(scratch.stored(pairs, "pairs"), docs, scratch, shingle), "links")
     labels = connected_components(links)
-    more = scratch.stored(_rest(forest, labels, reps, docs, scratch), "links")
+    more = scratch.stored(_rest(forest, labels, reps, docs, scratch, shingle), "links")
     if more.limit(1).count():
         labels = connected_components(links.union(more))
     scratch.clear()
@@ -384,8 +390,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that are kept. Texts move only if more rows go than can be broadcast."""
-    gone = stored(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")), "gone").distinct()
+    gone = stored(near_duplicates(docs, shingle).filter("not kept").select(F.col("doc_id").alias("gone")), "gone").distinct()
     gone, _ = checked_broadcast(gone, 1_000_000)
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")

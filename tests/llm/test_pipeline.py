@@ -6,7 +6,7 @@ import numpy as np
 from test_documents import SCHEMA, blank_words, folded, messy_rows, shingle_set
 
 import corpus_pipeline
-from corpusloom.llm import packing, quality
+from corpusloom.llm import neardup, packing, quality
 from corpusloom.llm.common import stored
 
 
@@ -89,3 +89,11 @@ def test_random_pieces():
         got = packing.pieces(n)
         assert sum(m for _, m in got) == n and all(m & (m - 1) == 0 for _, m in got)
         assert [s for s, _ in got] == [sum(m for _, m in got[:k]) for k in range(len(got))]
+
+
+def test_near_duplicates_take_five_words(spark):
+    words = [f"w{k}" for k in range(44)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "other", *words[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert neardup.keep_one(docs).count() == 1
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
