@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, each a sequence of its own."""
     batch_by_text(spark)
-    return packing.digests(packing.pack(docs, packing.production_tokenizer()))
+    return packing.with_digests(packing.pack(docs, packing.production_tokenizer()))
 
 
 STAGES = [

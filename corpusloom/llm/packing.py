@@ -73,6 +73,11 @@ def digests(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def with_digests(packed: DataFrame) -> DataFrame:
+    """The pieces with their ids and the CRC of these."""
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
+
+
 def production_tokenizer() -> str:
     return public_path(TOKENIZER)
 

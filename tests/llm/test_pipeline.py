@@ -97,3 +97,15 @@ def test_near_duplicates_take_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert neardup.keep_one(docs).count() == 1
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
+
+
+def test_packed_ids_are_written(spark, tmp_path):
+    text = "some words of a text that is long enough to be kept by all rules"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, text, "en", "a", len(text), *[""] * (len(SCHEMA.split(",")) - 5))], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(packing.production_tokenizer()).encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(b"".join(bytes(r["ids"]) for r in pieces), dtype="<u4").tolist() == want
+    assert all(r["ids_crc32"] == packing.crc32_of(bytes(r["ids"])) for r in pieces)
