@@ -9,8 +9,9 @@ holds a third of the rows is no hot spot, and a lost executor changes no digit.
 
 Cases: null or empty text has no words and fails the base rules; null language or source is a
 group of its own; rows are judged one by one, so repeated rows and ids give repeated results;
-an empty table gives an empty result. A group with fewer than `min_rows` rows is judged with
-its language, then with all other such rows, and not at all if those too are fewer.
+an empty table gives an empty result. A group with fewer than `min_rows` rows is judged by
+estimates from all rows of its language, by those from all rows if these are fewer too, and not at
+all if the whole table has fewer.
 """
 
 from __future__ import annotations
@@ -195,27 +196,30 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _levels(rows: DataFrame, rules: QualityRules) -> DataFrame:
-    """For languages and sources with too few rows: g_few, the wider group that they are judged with."""
-    lang = F.to_json(F.array(F.col("lang")))
+    """For languages and sources: g, the group that they are judged by (null where the table has too
+    few rows), and groups, those whose estimates their rows go into."""
     sizes = stored(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    rest = sizes.filter(F.col("n") < rules.min_rows)
-    per_lang = rest.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
-    lone = rest.join(per_lang, F.col("lang").eqNullSafe(F.col("l")))
-    total = lone.filter(F.col("n_lang") < rules.min_rows).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    level = lone.select(
+    per_lang = sizes.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"), (F.min("n") < rules.min_rows).alias("some_few"))
+    known = sizes.join(per_lang, F.col("lang").eqNullSafe(F.col("l")))
+    few = F.col("n") < rules.min_rows
+    lone = few & (F.col("n_lang") < rules.min_rows)
+    total, any_lone = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bool(known.filter(lone).limit(1).count())
+    own, lang, every = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    wide = F.col("some_few") & (F.col("n_lang") >= rules.min_rows)
+    pooled = F.lit(any_lone and total >= rules.min_rows)
+    level = known.select(
         F.col("lang").alias("k_lang"),
         F.col("source").alias("k_source"),
-        F.when(F.col("n_lang") >= rules.min_rows, lang).when(F.lit(total >= rules.min_rows), F.lit("[]")).alias("g_few"),
-        F.lit(True).alias("few"),
+        F.when(~few, own).when(~lone, lang).when(pooled, every).alias("g"),
+        F.array_compact(F.array(F.when(~few, own), F.when(wide, lang), F.when(pooled, every))).alias("groups"),
     )
     return checked_broadcast(stored(level, "levels"), 100_000)[0]
 
 
 def _grouped(rows: DataFrame, level: DataFrame) -> DataFrame:
-    """Adds g: the group that a row's estimates come from; null where there are too few rows."""
-    own = F.to_json(F.array(F.col("lang"), F.col("source")))
+    """Adds g and groups."""
     on = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
-    return rows.join(level, on, "left").withColumn("g", F.when(F.col("few"), F.col("g_few")).otherwise(own)).drop("k_lang", "k_source", "g_few", "few")
+    return rows.join(level, on, "left").drop("k_lang", "k_source")
 
 
 def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carry: bool = False) -> DataFrame:
@@ -231,8 +235,7 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
     vectors = [v.alias(f"q{i}") for i, v in enumerate(_vector("s"))]
     thin = rows.filter("not base_failed").select("lang", "source", *vectors)
     level = _levels(thin, rules)
-    grouped = _grouped(thin, level)
-    used = stored(grouped.filter(F.col("g").isNotNull()).select("g", *[f"q{i}" for i in range(DIMS)]), "vectors")
+    used = stored(_grouped(thin, level).select(F.explode("groups").alias("g"), *[f"q{i}" for i in range(DIMS)]), "vectors")
 
     cut = chi2_quantile(rules.coverage, DIMS)
     factor = rules.coverage / _chi2_cdf(cut, DIMS + 2)
@@ -250,7 +253,7 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
     discard(used)
     outside = chi2_quantile(1 - rules.tail, DIMS)
     small, _ok = checked_broadcast(est.withColumnRenamed("g", "eg"), 100_000)
-    judged = _grouped(rows.select("*", *vectors), level).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance())
+    judged = _grouped(rows.select("*", *vectors), level.drop("groups")).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance())
     keep = ~F.col("base_failed") & F.coalesce(F.col("distance") <= outside, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names], "base_failed", keep.alias("kept"), "distance", *(["row"] if carry else []))

@@ -99,6 +99,20 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert kept >= {r[0] for r in clean} and not kept & {r[0] for r in junk}
 
 
+def test_small_groups_are_judged_by_all_of_their_language(spark):
+    rng = random.Random(9)
+    junk = lambda: prose(rng, 20).replace(" ", " ### $$$ ")
+    clean = [(k, prose(rng, rng.randint(30, 200)), "en", "a") for k in range(300)]
+    clean += [(400 + k, prose(rng, rng.randint(30, 200)), lang, "b") for k, lang in enumerate(["en", "en", "fr", None])]
+    bad = [(500, junk(), "en", "b"), (501, junk(), "en", None), (502, junk(), "fr", "b"), (503, junk(), None, "a")]
+    schema = "doc_id long, text string, lang string, source string"
+    got = quality.quality_verdicts(spark.createDataFrame(clean + bad, schema))
+    assert {r["doc_id"] for r in got.filter("kept").collect()} == {r[0] for r in clean}
+    assert not got.filter("distance is null").count()
+    few = quality.quality_verdicts(spark.createDataFrame(clean[:30] + bad, schema))
+    assert few.filter("kept").count() == 34 and few.filter("distance is null").count() == 34
+
+
 def test_chi_square_quantiles():
     assert abs(quality.chi2_quantile(0.95, 4) - 9.4877) < 1e-3 and abs(quality.chi2_quantile(0.75, 4) - 5.3853) < 1e-3
 
