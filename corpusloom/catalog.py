@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import legal, passages, phrases, text
 from corpusloom.operators import answers, clustering, facets, joins, ranking, search, selection, stats, vectors
 from corpusloom.sources import records
-from corpusloom.sources.tables import read_table
+from corpusloom.sources.tables import read_table, spread
 from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ ELEMENTS = "(SELECT vec_id AS doc_id, label AS cluster_id, CAST(embedding[1] AS
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), (i % len(values)).cast("int"))
     k = F.col("doc_id")
-    return read_table(spark, root, "documents").withColumns(
+    return texts(spark, root).withColumns(
         {
             "decision_date": F.date_add(F.lit(date(2000, 1, 1)), F.pmod(k * 37, F.lit(8766)).cast("int")),
             "standards": F.concat_ws(";", pick(NORMS, k), pick(NORMS, k + 2)),
@@ -67,7 +67,12 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, "documents").select("doc_id", "lang", text.index_tokens(F.col("text")).alias("tokens"))
+    return texts(spark, root).select("doc_id", "lang", text.index_tokens(F.col("text")).alias("tokens"))
+
+
+def texts(spark: SparkSession, root: str) -> DataFrame:
+    """`documents` over all cores, for queries that work on whole texts."""
+    return spread(read_table(spark, root, "documents"), "doc_id")
 
 
 def elements(spark: SparkSession, root: str) -> DataFrame:
@@ -411,12 +416,12 @@ def r_topic_labels(spark, root):
 
 @query("x_tokens", "SELECT doc_id, array_to_string(list_filter(tokens, lambda t: length(t) BETWEEN 2 AND 15), ' ') AS tokens FROM {tokenized}")
 def x_tokens(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", F.array_join(text.simple_tokens(F.col("text")), " ").alias("tokens"))
+    return texts(spark, root).select("doc_id", F.array_join(text.simple_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query("x_clean")
 def x_clean(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", text.clean_document(F.col("text"), text.STOP_WORDS_FR).alias("cleaned"))
+    return texts(spark, root).select("doc_id", text.clean_document(F.col("text"), text.STOP_WORDS_FR).alias("cleaned"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS_FR)
@@ -435,27 +440,37 @@ _PROFILE = ", ".join(f"len(list_filter(tokens, lambda t: list_contains([{', '.jo
     f"SELECT doc_id, CASE WHEN greatest(n_fr, n_de, n_it, n_en) = 0 THEN NULL WHEN n_fr >= greatest(n_de, n_it, n_en) THEN 'fr' WHEN n_de >= greatest(n_it, n_en) THEN 'de' WHEN n_it >= n_en THEN 'it' END AS found FROM (SELECT doc_id, {_PROFILE} FROM {{tokenized}})",
 )
 def x_language(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", text.detected_language(F.col("text")).alias("found"))
+    return texts(spark, root).select("doc_id", text.detected_language(F.col("text")).alias("found"))
 
 
-@query(
-    "x_bigram_pmi",
-    """WITH t AS (SELECT doc_id, tokens FROM {tokenized}), w AS (SELECT unnest(tokens) AS w FROM t), c AS (SELECT w, count(*) AS n FROM w GROUP BY w),
-       p AS (SELECT unnest(list_zip(tokens[:-2], tokens[2:])) AS p FROM t WHERE len(tokens) > 1), b AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 2),
-       s AS (SELECT (SELECT count(*) FROM w) AS nw, (SELECT count(*) FROM p) AS np)
-       SELECT b.a, b.b, b.n, round(log2((b.n / np) / ((x.n / nw) * (y.n / nw))), 4) AS pmi FROM b JOIN c x ON x.w = b.a JOIN c y ON y.w = b.b, s
-       WHERE log2((b.n / np) / ((x.n / nw) * (y.n / nw))) >= 1.0""",
-)
+def _merging(source: str, step: str) -> str:
+    """CTEs of one pass of phrase merging: pairs{step}, pmi{step} and words{step} (doc_id, i, w), from such words."""
+    return f"""seq{step} AS MATERIALIZED (SELECT doc_id, row_number() OVER o AS i, w AS a, lead(w) OVER o AS b FROM {source} WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+       uni{step} AS MATERIALIZED (SELECT a AS w, count(*) AS n FROM seq{step} GROUP BY a), size{step} AS MATERIALIZED (SELECT count(*) AS nw, count(b) AS np FROM seq{step}),
+       pairs{step} AS MATERIALIZED (SELECT a, b, count(*) AS n FROM seq{step} WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+       pmi{step} AS MATERIALIZED (SELECT * FROM (SELECT p.a, p.b, p.n, (CAST(p.n AS DOUBLE) / np) / ((CAST(x.n AS DOUBLE) / nw) * (CAST(y.n AS DOUBLE) / nw)) AS ratio
+         FROM pairs{step} p JOIN uni{step} x ON x.w = p.a JOIN uni{step} y ON y.w = p.b, size{step}) WHERE ratio >= 2),
+       hits{step} AS MATERIALIZED (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM seq{step} SEMI JOIN pmi{step} USING (a, b)),
+       kept{step} AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM hits{step}) WHERE k % 2 = 1),
+       words{step} AS MATERIALIZED (SELECT s.doc_id, s.i, CASE WHEN k.i IS NULL THEN s.a ELSE s.a || '_' || s.b END AS w FROM seq{step} s
+         LEFT JOIN kept{step} k ON k.doc_id = s.doc_id AND k.i = s.i LEFT JOIN kept{step} t ON t.doc_id = s.doc_id AND t.i = s.i - 1 WHERE t.i IS NULL)"""
+
+
+_WORDS = "words0 AS MATERIALIZED (SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM {tokenized})"
+
+
+@query("x_bigram_pmi", f"WITH {_WORDS}, {_merging('words0', '1')} SELECT a, b, n, round(log2(ratio), 4) AS pmi FROM pmi1")
 def x_bigram_pmi(spark, root):
     return phrases.pmi_bigrams(tokenized(spark, root)).withColumn("pmi", F.round("pmi", 4))
 
 
-@query("x_ngram_merge")
+@query(
+    "x_ngram_merge",
+    f"""WITH {_WORDS}, {_merging('words0', '1')}, {_merging('words1', '2')}, text AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM words2 GROUP BY doc_id)
+       SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN text USING (doc_id)""",
+)
 def x_ngram_merge(spark, root):
-    docs = tokenized(spark, root)
-    once = phrases.merged(docs, phrases.pmi_bigrams(docs))
-    twice = phrases.merged(once, phrases.pmi_bigrams(once))
-    return twice.select("doc_id", F.array_join("tokens", " ").alias("words"))
+    return phrases.ngrams(tokenized(spark, root)).select("doc_id", F.array_join("tokens", " ").alias("words"))
 
 
 @query(
@@ -485,22 +500,22 @@ def x_tfidf(spark, root):
 
 @query("t_after_marker", "SELECT doc_id, CASE WHEN position('the' IN text) > 0 THEN regexp_replace(substr(text, position('the' IN text) + 3), '^\\n+', '') ELSE text END AS tail FROM documents")
 def t_after_marker(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", text.after_marker(F.col("text"), "the").alias("tail"))
+    return texts(spark, root).select("doc_id", text.after_marker(F.col("text"), "the").alias("tail"))
 
 
 @query("t_sentences")
 def t_sentences(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", F.posexplode(passages.merged_sentence_array(F.col("text"))).alias("place", "sentence"))
+    return texts(spark, root).select("doc_id", F.posexplode(passages.merged_sentence_array(F.col("text"))).alias("place", "sentence"))
 
 
 @query("t_chunks")
 def t_chunks(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", F.posexplode(passages.chunk_array(F.col("text"))).alias("place", "chunk"))
+    return texts(spark, root).select("doc_id", F.posexplode(passages.chunk_array(F.col("text"))).alias("place", "chunk"))
 
 
 @query("t_coarse_sentences")
 def t_coarse_sentences(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", F.size(text.coarse_sentences(F.col("text"))).alias("n"))
+    return texts(spark, root).select("doc_id", F.size(text.coarse_sentences(F.col("text"))).alias("n"))
 
 
 @query(
@@ -583,7 +598,7 @@ def a_cache_misses(spark, root):
 
 @query("a_sanitize", "SELECT doc_id, replace(text, chr(0), '') AS text FROM documents")
 def a_sanitize(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", text.without_nul(F.col("text")).alias("text"))
+    return texts(spark, root).select("doc_id", text.without_nul(F.col("text")).alias("text"))
 
 
 @query("a_incremental", "SELECT doc_id, n_chars FROM documents")
@@ -652,7 +667,7 @@ def s_event_windows(spark, root):
 
 @query("h_highlight")
 def h_highlight(spark, root):
-    return read_table(spark, root, "documents").select("doc_id", text.highlighted(F.col("text"), ("the", "of"), "hit").alias("marked"))
+    return texts(spark, root).select("doc_id", text.highlighted(F.col("text"), ("the", "of"), "hit").alias("marked"))
 
 
 @query("h_topic_options", "SELECT label || ': topic ' || label AS value, 'topic ' || label AS title FROM (SELECT DISTINCT label FROM embeddings)")
