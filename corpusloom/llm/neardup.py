@@ -7,35 +7,40 @@
    similarity 0.8 shares none of the TREES regions with probability (1 - 0.8^3)^32 < 2e-10. The
    order is dealt by range, so a region of any size spreads over tasks; the region's rows come
    sorted by the longest common prefix, and a block of neighbours is as deep in the tree as the
-   region is crowded. Blocks hand the rows that stand for them on to the next block.
+   region is crowded. Of a block at most BLOCK rows, those that stand for others, go on to the next.
 3. In a block, signatures estimate similarities. First the row that is nearest to all others is
    linked with its neighbours, then the nearest of the rest. These pairs are confirmed on the
    texts, which joins nearly all that belongs together. Pairs whose sizes rule a link out, or whose
    signatures estimate less than ESTIMATE, are left out; a pair of similarity 0.8 falls below
    ESTIMATE with probability below 1e-7.
 4. A second pass looks at regions that still hold different components, whole, in blocks of rows
-   against blocks of rows. Rows with a fitting row of another component are gathered with their
-   texts, block by block, and the sets of a block are intersected at once; only links that join
-   components leave the task, so a crowded region never becomes a list of its pairs.
+   against blocks of rows. Depth is adaptive: a region of more than CROWD rows is not compared but
+   cut by STEP more values of the order, in as many more orders as keep the probability of missing
+   a pair of similarity 0.8 below 1e-7; so rows that share a part of their text, like a site's
+   pages, separate before they are compared. Regions still crowded at the last of LEVELS are
+   compared all the same, so no link is given up.
+   Rows with a fitting row of another component are gathered with their texts, block by block, and
+   the sets of a block are intersected at once; only links that join components leave the task, so
+   a crowded region never becomes a list of its pairs.
 5. Components take their least doc_id.
 
 Cases: null or empty texts have no shingles, link with nothing and are kept. Rows with null doc_id
 link with nothing, have no component and are kept. Rows that share a doc_id and a text share
-their result. Texts of fewer than `shingle` words are one shingle.
+their result. Texts of fewer than `shingle` words are one shingle. A text may be of any length: its
+shingles are hashed in slices, and its set is one row's. Other columns, whatever their names, are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from corpusloom.llm.common import Scratch, checked_broadcast, stored, tidy
 from corpusloom.llm.components import connected_components
@@ -53,6 +58,10 @@ ESTIMATE = 55
 LIKELY = 68
 #: Rows that are compared at once.
 BLOCK = 1024
+#: Regions of more rows are cut deeper, STEP values at a time, LEVELS times.
+CROWD = 4096
+STEP = 3
+LEVELS = 5
 
 _combine = cache(partial(multipliers, seed=7))
 _A, _B = multipliers(HASHES, 11), multipliers(HASHES, 13)
@@ -103,12 +112,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, HASHES)
 
 
-def _regions(sig: np.ndarray) -> np.ndarray:
+@cache
+def _orders(level: int) -> list[list[int]]:
+    """The signature values that regions of a level agree on, tree by tree.
+
+    Deeper levels take more trees, so that a pair of similarity 0.8 shares none with probability below 1e-7.
+    """
+    if not level:
+        return [list(range(DEPTH * t, DEPTH * (t + 1))) for t in range(TREES)]
+    depth = DEPTH + STEP * level
+    trees = int(np.ceil(np.log(1e-7) / np.log1p(-((PERCENT / 100) ** depth))))
+    rng = np.random.default_rng(1000 + level)
+    return [rng.permutation(HASHES)[:depth].tolist() for _ in range(trees)]
+
+
+def _regions(sig: np.ndarray, level: int = 0) -> np.ndarray:
     """For each signature the region that it falls in, tree by tree."""
-    out = np.empty((len(sig), TREES), dtype=np.uint64)
-    for t in range(TREES):
-        g = np.full(len(sig), t + 1, dtype=np.uint64)
-        for c in range(DEPTH * t, DEPTH * (t + 1)):
+    orders = _orders(level)
+    out = np.empty((len(sig), len(orders)), dtype=np.uint64)
+    for t, order in enumerate(orders):
+        g = np.full(len(sig), (level << 32) + t + 1, dtype=np.uint64)
+        for c in order:
             g = mix(g * np.uint64(0x9E3779B97F4A7C15) + sig[:, c].astype(np.uint64))
         out[:, t] = g
     return out
@@ -174,7 +198,7 @@ def _fits(equal: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class _Region:
-    """Rows (ids, sizes, signature bytes) of one region: held from earlier blocks, and new."""
+    """Rows (ids, sizes, signature bytes) of one region: at most BLOCK held from earlier blocks, and new."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -183,11 +207,14 @@ class _Region:
         return tuple(np.concatenate(x) for x in zip(*self.rows, strict=True))
 
     def stars(self) -> list[tuple]:
-        """Links from the rows that are near to most others; these, and rows near to none, are held."""
+        """Links from the rows that are near to most others; these are held, the latest ones if there are many.
+
+        Rows near to none are not held: of a region of unlike rows nothing is.
+        """
         ids, sizes, sig = self._all()
         equal = _agree(sig, sig)
         fits = _fits(equal, sizes, sizes) & (ids[:, None] != ids[None, :])
-        left, out, hubs = fits.any(axis=1), [], ~fits.any(axis=1)
+        left, out, hubs = fits.any(axis=1), [], np.zeros(len(ids), dtype=bool)
         close = np.where(fits, equal, 0).argmax(axis=1)
         a = np.flatnonzero(left)
         out.append((ids[a], ids[close[a]]))
@@ -198,6 +225,7 @@ class _Region:
                 out.append((np.full(len(b), ids[hub]), ids[b]))
                 hubs[hub] = True
                 left[hub] = left[b] = False
+        hubs = np.flatnonzero(hubs)[-BLOCK:]
         self.rows = [(ids[hubs], sizes[hubs], sig[hubs])]
         return out
 
@@ -251,13 +279,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
         yield key, rows
 
 
-def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block that fit a row of another component and meet it in no earlier tree."""
+def _involved(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a block that fit a row of another component and meet it in no earlier tree that is looked at.
+
+    Of two rows, both know in which trees of this level their region is too crowded to be.
+    """
     for (region, i, j), rows in _blocks(batches):
-        ids, labels, sizes, signatures = zip(*rows, strict=True)
+        ids, labels, sizes, signatures, crowded = zip(*rows, strict=True)
         ids, labels, sizes = (np.array(x, dtype=np.int64) for x in (ids, labels, sizes))
         sig = np.frombuffer(b"".join(signatures), dtype="<u4").reshape(-1, HASHES)
-        low, trees = sig.astype(np.uint8), _regions(sig)
+        low, trees = sig.astype(np.uint8), _regions(sig, level)
+        for k, gone in enumerate(crowded):
+            if gone:
+                trees[k, np.isin(trees[k].view(np.int64), gone)] = np.uint64(ids[k])
         hit = np.zeros(len(ids), dtype=bool)
         for k in range(0, len(ids), 128):
             a, b = np.nonzero(_fits(_agree(low[k : k + 128], low), sizes[k : k + 128], sizes) & (labels[k : k + 128, None] != labels[None, :]))
@@ -273,6 +307,17 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "id", "label"])
 
 
+def _deeper(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Of (id, signature): the regions of a level."""
+    for batch in batches:
+        for k in range(0, len(batch), 1000):
+            part = batch.slice(k, 1000)
+            if len(part):
+                regions = _regions(_matrix(part.column(1)), level)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), regions.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(regions.reshape(-1).view(np.int64)), pa.array(ids)], names=["region", "id"])
+
+
 def _joining(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Rows (KEY, id, label, text): links between components of a block, as many as join them."""
     for _, rows in _blocks(batches):
@@ -321,19 +366,21 @@ def _shingle_set(text: str, shingle: int) -> set:
     return set(zip(*[w[j:] for j in range(shingle)], strict=False)) if len(w) >= shingle else {tuple(w)} if w else set()
 
 
-def _confirmed(shingle: int) -> Callable:
-    @F.pandas_udf(BooleanType())
-    def confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, last, x = [], None, set()
-        for s, t in zip(a, b, strict=True):
-            if s != last:
-                last, x = s, _shingle_set(s, shingle)
-            y = _shingle_set(t, shingle)
-            both = len(x & y)
-            out.append(bool(x) and 100 * both >= PERCENT * (len(x) + len(y) - both))
-        return pd.Series(out)
-
-    return confirmed
+def _linked(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, chunk, b, text), of each chunk first those of a itself, without b: the pairs that are links."""
+    at, own = None, []
+    for batch in batches:
+        links = []
+        for a, chunk, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = _shingle_set(text, shingle)
+            if b is None:
+                if at != (a, chunk):
+                    at, own = (a, chunk), []
+                own.append(found)
+            elif any(x and 100 * (both := len(x & found)) >= PERCENT * (len(x) + len(found) - both) for x in own):
+                links.append((min(a, b), max(a, b)))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -342,23 +389,59 @@ def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stored(docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
 
+#: Pairs of one row that are confirmed together; its text is sent once for so many.
+CHUNK = 64
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links. Of a pair, that row is sent by chunk which is in most pairs."""
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch)
-    one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    met = pairs.join(one, "a").join(two, "b")
-    return met.filter(_confirmed(shingle)("text_a", "text_b")).select("a", "b").distinct()
+    many = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK)
+    many, _ = checked_broadcast(scratch.stored(many, "hubs"), 1_000_000)
+    both = pairs.join(many.toDF("a", "na"), "a", "left").join(many.toDF("b", "nb"), "b", "left").fillna(0, ["na", "nb"])
+    turned = F.col("nb") > F.col("na")
+    parts = F.greatest(F.ceil(F.greatest("na", "nb") / CHUNK), F.lit(1)).cast("int")
+    cut = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), parts.alias("parts"))
+    cut = scratch.stored(cut.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("chunk"), "b"), "chunks")
+    one = cut.select("a", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
+    two = cut.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", "b", "text")
+    met = one.unionByName(two).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+    return met.mapInArrow(tidy(partial(_linked, shingle=shingle)), PAIRS).distinct()
+
+
+def _mixed(named: DataFrame, reps: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of a level's regions with different components that may link: by block; and the (id, label) of crowded regions, if any.
+
+    named: (region, id, label).
+    """
+    mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("region", "n")
+    mixed = scratch.stored(mixed, "mixed")
+    own = reps.select(F.col("rep").alias("id"), "n_shingles", "signature")
+    rows, left, gone = named.join(mixed, "region"), None, None
+    if level < LEVELS and mixed.filter(F.col("n") > CROWD).limit(1).count():
+        crowd = scratch.stored(rows.filter(F.col("n") > CROWD).groupBy("id", "label").agg(F.collect_list("region").alias("crowded")), "crowded")
+        left, gone = crowd.select("id", "label"), crowd.select("id", "crowded")
+        rows = rows.filter(F.col("n") <= CROWD)
+    rows = rows.join(own, "id")
+    rows = rows.join(gone, "id", "left") if gone is not None else rows.withColumn("crowded", F.lit(None).cast("array<long>"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature", "crowded")
+    found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(partial(_involved, level=level)), INVOLVED)
+    return scratch.stored(found, "involved"), left
 
 
 def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
     """Links (a, b) between the components that `labels` still holds apart."""
     named = scratch.stored(forest.select("region", "id").join(labels, "id", "left").select("region", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    mixed = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
-    rows = named.join(mixed.select("region", "n"), "region").join(reps.select(F.col("rep").alias("id"), "n_shingles", "signature"), "id")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature")
-    involved = scratch.stored(rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(_involved), INVOLVED), "involved")
+    involved, left = _mixed(named, reps, scratch, 0)
+    level = 0
+    while left is not None:
+        level += 1
+        deeper = left.join(reps.select(F.col("rep").alias("id"), "signature"), "id").select("id", "signature").mapInArrow(tidy(partial(_deeper, level=level)), "region long, id long")
+        named = scratch.stored(deeper.join(left, "id").select("region", "id", "label"), "labelled")
+        more, left = _mixed(named, reps, scratch, level)
+        involved = involved.unionByName(more)
     texts = _texts(involved.select("id"), docs, scratch)
     met = involved.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*KEY, "id", "label", "text")
     return met.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(partial(_joining, shingle=shingle)), PAIRS)

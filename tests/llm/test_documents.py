@@ -203,6 +203,50 @@ def test_crowded_near_duplicates(spark):
     assert got == low and 1 < len(set(low.values())) < 150
 
 
+def test_crowded_regions_of_unlike_rows(spark, monkeypatch):
+    """Regions beyond CROWD are cut deeper, and compared at the last level, without losing a link."""
+    monkeypatch.setattr(neardup, "CROWD", 6)
+    monkeypatch.setattr(neardup, "LEVELS", 2)
+    rng = random.Random(12)
+    shared = prose(rng, 120)
+    texts = [(k, shared + " " + prose(rng, 60)) for k in range(120)]
+    texts += [(200 + k, texts[3 * k][1] + " " + prose(rng, rng.randint(20, 70))) for k in range(30)]
+    sets = {k: shingle_set(t) for k, t in texts}
+    low = {k: k for k in sets}
+    for k in range(30):
+        a, b = sets[3 * k], sets[200 + k]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            low[200 + k] = 3 * k
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == low and 120 < len(set(low.values())) < 150
+
+
+def test_a_region_of_unlike_rows_takes_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def seconds(n):
+        def batches():
+            rng = np.random.default_rng(n)
+            for k in range(0, n, 1000):
+                sketch = [rng.integers(0, 256, neardup.HASHES, dtype=np.uint8).tobytes() for _ in range(1000)]
+                ids = pa.array(np.arange(k, k + 1000))
+                yield pa.RecordBatch.from_arrays([pa.array([7] * 1000, pa.int64()), ids, ids, pa.array([50] * 1000, pa.int64()), pa.array(sketch)], names=list("abcde"))
+
+        began = time.perf_counter()
+        assert not list(neardup._stars(batches()))
+        return time.perf_counter() - began
+
+    few = seconds(10_000)
+    tracemalloc.start()
+    many = seconds(50_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many < 15 * few + 5 and peak < 300_000_000
+
+
 def removed_by_force(rows):
     docs = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
     first = {}
