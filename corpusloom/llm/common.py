@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,25 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` as the session has it.
-
-    Unset, it becomes a temporary folder, but only where one process does all the work.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="corpusloom-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return _LOCAL[0]
+from corpusloom.functions.arrays import let, positions
+from corpusloom.sources.staging import shared_folder, table_bytes
 
+__all__ = ["let", "positions", "shared_folder", "table_bytes"]
 
 #: Rows that go to a Python worker at once while a table is stored: whole texts make them large.
 BATCH_ROWS = 1000
@@ -110,29 +92,19 @@ class Scratch:
             discard(self.tables.pop())
 
 
+#: Bytes of a table's files beyond which it is not broadcast, whatever its rows.
+MOST_BYTES = 128 << 20
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """`df` with a broadcast hint if a count shows at most `max_rows` rows, and whether it has one.
+    """`df` with a broadcast hint if it has at most `max_rows` rows, by a count, and MOST_BYTES bytes, and whether it has one.
 
     Give a `stored` table: the count then reads only file footers.
     """
-    small = df.count() <= max_rows
+    small = table_bytes(df) <= MOST_BYTES and df.count() <= max_rows
     return (F.broadcast(df) if small else df), small
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, evaluated once per row.
-
-    An expression that a lambda names is evaluated anew for each element; a lambda's own
-    variable is not.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
-def positions(n: Column) -> Column:
-    """array(0, ..., n - 1); empty if n is not positive."""
-    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
 #: Bytes that separate words, as a Java regular expression.
 BLANKS = r"[\x20\x09-\x0D]"
 

@@ -7,8 +7,9 @@ word by word along its diagonal, which also rules out hash collisions, and count
 run reaches WINDOW words. Of grams that tie in a window, documents keep one and the benchmark
 keeps all, so the right diagonal is always among the hits.
 
-The benchmark side is broadcast in slices of at most `max_broadcast` rows, each checked by a
-count; a larger benchmark takes more passes over the documents, never a larger broadcast.
+The benchmark side is broadcast in slices of at most `max_broadcast` rows and of bounded bytes, dealt
+by a hash of all that tells rows apart and checked; a larger benchmark takes more passes over the
+documents, never a larger broadcast.
 Document words stay in their row: only hits (a start, an end, item ids) reach the shuffle, and
 what is gathered for one document is bounded by its own length.
 
@@ -16,7 +17,9 @@ Items of fewer than WINDOW words are matched whole, by a gram of their own lengt
 
 Cases: null or empty text has no words, is hit by nothing and comes back; items without words
 and items with null item_id are ignored; items with one item_id count once; equal rows of
-`documents` give one result row each; empty tables on either side work.
+`documents` give one result row each; empty tables on either side work. A text of any length stays
+in its row; a gram's position is held modulo 2^24, and each place that it may stand for is tried.
+Other columns, whatever their names, are not read, and come back from `decontaminate`.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checked_broadcast, let, positions, stored
+from corpusloom.llm.common import MOST_BYTES, checked_broadcast, let, positions, stored, table_bytes
 
 WINDOW = 13
 K = 5
@@ -148,8 +151,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: Contamination = C
     n = grams.count()
     lengths = [r[0] for r in grams.select("len").distinct().limit(WINDOW + 1).collect()]
     words = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("key"), folded_words(F.col("text")).alias("w"))
-    slices = max(1, -(-n // rule.max_broadcast))
-    parts = [grams if slices == 1 else grams.filter(F.pmod(F.xxhash64("gram"), F.lit(slices)) == i) for i in range(slices)]
+    slices = max(1, -(-n // rule.max_broadcast), -(-table_bytes(grams) // (MOST_BYTES // 2)))
+    part_of = F.pmod(F.xxhash64("gram", "before", "after"), F.lit(slices))
+    parts = [grams if slices == 1 else grams.filter(part_of == i) for i in range(slices)]
     found = []
     for i, part in enumerate(parts):
         small = lambda n, part=part: checked_broadcast(part.filter(F.col("len") == n), 2 * rule.max_broadcast)[0]

@@ -6,16 +6,18 @@ table of SLOTS rows with a weight for each language. Learned transition weights
 Forward-backward gives each word's probability of each language; a document's is the mean of its
 words'.
 
-Training takes a sample of at most about `per_language` labelled documents of each language, chosen
-by a hash of doc_id. Their words are labelled with their document's language and spliced into
-sequences that switch language now and then, so that transitions are learned from switches.
+Training takes a sample of at most `per_language` passages of `chars` characters of each language's
+labelled documents, the same from any part of a text, chosen by hash; so what reaches the driver is
+bounded however long the texts are. Words are labelled with their document's language and spliced
+into sequences that switch language now and then, so that transitions are learned from switches.
+More than `languages` languages are refused, as the model has a weight for each feature and language.
 
 Work is done at array speed for whole batches: features of all characters at once, the chain for
 all documents of a slice in step. Memory follows the slice's text, not the batch's.
 
 Cases: null text and text without letters give `und` with score 0; null doc_id is kept and never
 used in training; rows are judged one by one, so repeated rows repeat; with no labelled rows every
-text is `und`; empty tables work.
+text is `und`; empty tables work; a text of any length is judged whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import stored, tidy
 from corpusloom.llm.wordstream import mix, multipliers
@@ -48,9 +51,12 @@ def _letters() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Training:
-    """per_language: documents sampled of each language. steps: gradient steps of `batch` sequences of `words` words."""
+    """per_language: passages of `chars` characters sampled of each of at most `languages` languages.
+    steps: gradient steps of `batch` sequences of `words` words."""
 
     per_language: int = 150
+    chars: int = 4000
+    languages: int = 2000
     steps: int = 150
     batch: int = 48
     words: int = 32
@@ -192,9 +198,10 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
                 t += len(run)
         slots = [words[w] for w in picked.reshape(-1)]
         owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-        flat = np.concatenate(slots)
+        used, flat = np.unique(np.concatenate(slots), return_inverse=True)
+        own = weights[used]
         e = np.zeros((len(slots), size), dtype=np.float32)
-        np.add.at(e, owner, weights[flat])
+        np.add.at(e, owner, own[flat])
         e = np.exp(e - e.max(axis=1, keepdims=True)) + np.float32(1e-30)
         step = np.exp(trans)
         shape = (how.words, how.batch, size)
@@ -209,42 +216,54 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
             beta[t] = g / g.sum(axis=1, keepdims=True)
         node = alpha * beta
         node /= node.sum(axis=2, keepdims=True)
-        edge = alpha[:-1, :, :, None] * step * (grid[1:] * beta[1:])[:, :, None, :]
-        edge /= edge.sum(axis=(2, 3), keepdims=True)
+        ahead = grid[1:] * beta[1:]
+        whole = ((alpha[:-1] @ step) * ahead).sum(axis=2, keepdims=True)
+        edges = step * ((alpha[:-1] / whole).reshape(-1, size).T @ ahead.reshape(-1, size))
         delta = -node.reshape(-1, size)
         delta[np.arange(len(slots)), gold.reshape(-1)] += 1
-        pull = np.zeros_like(weights)
+        pull = np.zeros_like(own)
         np.add.at(pull, flat, delta[owner])
-        pull = pull / how.batch - 1e-4 * weights
-        moved += pull * pull
-        weights += how.rate * pull / np.sqrt(moved)
+        pull = pull / how.batch - 1e-4 * own
+        moved[used] += pull * pull
+        weights[used] += how.rate * pull / np.sqrt(moved[used])
         found = np.zeros((size, size), dtype=np.float32)
         np.add.at(found, (gold[:-1].reshape(-1), gold[1:].reshape(-1)), 1)
-        pull = (found - edge.sum(axis=(0, 1))) / how.batch - 1e-3 * trans
+        pull = (found - edges) / how.batch - 1e-3 * trans
         trans_moved += pull * pull
         trans += how.rate * pull / np.sqrt(trans_moved)
     return Crf(languages, weights, trans)
 
 
+def _sample(labelled: DataFrame, how: Training) -> DataFrame:
+    """(doc_id, lang, text) of at most `per_language` passages of each language; which ones, a hash says.
+
+    Texts are not moved: passages are ranked by their places, and the few chosen places go to the texts.
+    """
+    own = labelled.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    last = F.greatest(F.ceil(F.length("text") / how.chars) - 1, F.lit(0)).cast("int")
+    places = own.select("doc_id", "lang", "h", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h", "piece"), "doc_id", "h", "piece")
+    chosen = places.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= how.per_language)
+    chosen = stored(chosen.select("doc_id", "lang", "h", "piece").distinct(), "places")
+    n = chosen.select("lang").distinct().count()
+    if n > how.languages:
+        raise ValueError(f"{n} languages; a model of at most {how.languages} is trained (Training.languages)")
+    # At most per_language * languages rows, by construction.
+    met = own.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
+    return met.select("doc_id", "lang", "piece", F.substring("text", F.col("piece") * how.chars + 1, F.lit(how.chars)).alias("text")).distinct()
+
+
 def train(labelled: DataFrame, how: Training = Training()) -> Crf | None:
     """A model of the rows (doc_id, text, lang), none of them null; None if there are none."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(1000).collect()}
-    if not sizes:
-        return None
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    take = F.lit(False)
-    for lang, n in sizes.items():
-        take = take | ((F.col("lang") == lang) & (part < how.per_language / n))
-    rows = stored(labelled.filter(take).select("doc_id", "text", "lang"), "sample").orderBy("doc_id", "lang", "text").collect()
-    if not rows:
-        rows = labelled.orderBy("doc_id", "lang", "text").limit(how.per_language).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], how)
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
+    rows = stored(_sample(labelled, how), "sample").orderBy("doc_id", "lang", "piece", "text").collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], how) if rows else None
+
+
+def _slices(texts: list[str | None], languages: int) -> Iterator[tuple[int, int]]:
+    """Of a batch: runs of texts that are worked on at once, the fewer the more languages there are."""
+    start, held, most = 0, 0, SLICE * 4 // max(4, languages)
     for k, t in enumerate(texts):
-        if held and held + len(t or "") > SLICE:
+        if held and held + len(t or "") > most:
             yield start, k
             start, held = k, 0
         held += len(t or "") + 1
@@ -263,7 +282,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
         own = Crf(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in _slices(texts, len(own.languages)):
                 langs, scores = own.texts(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -279,7 +298,7 @@ def label_words(docs: DataFrame, model: Crf) -> DataFrame:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in _slices(texts, len(own.languages)):
                 n, p = own.word_probabilities(texts[a:b])
                 best, out = p.argmax(axis=1), []
                 for start, size in zip(np.cumsum(n) - n, n, strict=True):

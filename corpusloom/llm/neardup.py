@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, checked_broadcast, stored, tidy
+from corpusloom.llm.common import Scratch, checked_broadcast, discard, stored, tidy
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.wordstream import Words, documents, mix, multipliers
 
@@ -86,12 +86,12 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
-FEATURES = "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
+FEATURES = "doc_id long, text_hash long, n_shingles long, digest binary, signature binary, sketch binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
+        ids, hashes = batch.column(0), batch.column(2)
         for row, stop, data, ends in documents(batch.column(1)):
             w = Words(data, ends, lower=True)
             sizes, digests, signatures, sketches = [], [], [], []
@@ -103,8 +103,8 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
                 signatures.append(None if low is None else low.tobytes())
                 sketches.append(None if low is None else low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(row, stop - row).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "signature", "sketch"],
+                [ids.slice(row, stop - row).cast(pa.int64()), hashes.slice(row, stop - row), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "signature", "sketch"],
             )
 
 
@@ -449,8 +449,12 @@ def _rest(forest: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text)."""
+    return _judged(docs, shingle).drop("text_hash")
+
+
+def _judged(docs: DataFrame, shingle: int) -> DataFrame:
     scratch = Scratch()
-    features = stored(docs.select("doc_id", "text").mapInArrow(tidy(partial(_features, shingle=shingle)), FEATURES), "features")
+    features = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(partial(_features, shingle=shingle)), FEATURES), "features")
     sets = features.filter("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     sets = stored(sets, "sets")
     own = features.select("doc_id", "digest", "n_shingles", "signature", "sketch").dropDuplicates(["doc_id", "digest"])
@@ -467,14 +471,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     if more.limit(1).count():
         labels = connected_components(links.union(more))
     scratch.clear()
-    member = features.select("doc_id", "digest", "n_shingles").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    member = features.select("doc_id", "text_hash", "digest", "n_shingles").join(sets, "digest", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = member.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` that are kept. Texts move only if more rows go than can be broadcast."""
-    gone = stored(near_duplicates(docs, shingle).filter("not kept").select(F.col("doc_id").alias("gone")), "gone").distinct()
-    gone, _ = checked_broadcast(gone, 1_000_000)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """The rows of `docs` that are kept, and of rows that share a doc_id and a text one.
+
+    Texts move only if more rows go than can be broadcast, or repeat.
+    """
+    judged = stored(_judged(docs, shingle).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "kept"), "judged")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    keys = judged.groupBy("__id", "__hash").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = stored(keys.filter("not kept").select("__id", "__hash"), "gone")
+    again = stored(keys.filter("kept and n > 1").select("__id", "__hash"), "repeated")
+    discard(judged)
+    left = docs.join(checked_broadcast(gone, 1_000_000)[0], same, "left_anti")
+    if not again.limit(1).count():
+        return left
+    again, _ = checked_broadcast(again, 1_000_000)
+    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -4,18 +4,24 @@ A document's ids and END are cut into sequences of LENGTH, the last filled up wi
 are numbered in reading order: one pass counts those of each partition, the second numbers them.
 A Feistel network over the next even power of two, walked in cycles until it stays below their
 number, gives each its slot; whoever has the key can compute either way for any sequence.
-Slots are dealt by range: shard s holds the slots from s * per_shard on, one file a shard, one
+Slots are dealt by range, computed from the counted total, so nothing is sampled: a task takes the
+next shards in order, and shard s holds the slots from s * per_shard on, one file a shard, one
 record a slot in slot order, all of one size. A reader seeks to any slot and reads on from there.
+Shards grow with the total, from 4096 slots up to 65,536, so their number stays manageable.
 
 Records: sequence, document and start as signed 64-bit, the number of ids that are not filling as
 unsigned 32-bit, LENGTH ids as unsigned 16-bit, a closing line feed; all little-endian. Files are
 written by Spark's text writer, so commits are atomic and any Hadoop file system will do.
 
-Only numbers of sequences by partition come to the driver. Should a partition not give in the
-second pass what it gave in the first, the job fails rather than write wrong slots.
+Only the number of sequences and a digest of each partition's rows, in order, come to the driver. A
+partition that gives other rows, or the same in another order, in the second pass than in the first
+fails the job rather than write wrong slots; write an input that is not read from files first.
+Which sequence has which number depends on how the table's files are cut into partitions; the
+permutation of the numbers does not.
 
 Cases: null text is empty and gives one sequence of END; null doc_id comes back as null; rows are
-cut one by one, so repeated rows repeat; an empty table writes no shard.
+cut one by one, so repeated rows repeat; an empty table writes no shard. A text of any length is
+cut in its row. Other columns are not read. Tokenizers with more than 65,536 ids are refused.
 """
 
 from __future__ import annotations
@@ -47,11 +53,16 @@ ROUNDS = 6
 
 @dataclass(frozen=True)
 class Layout:
+    """per_shard: slots of a shard; by default a power of two that follows from the total."""
+
     key: int = 20_240_601
     length: int = 512
-    per_shard: int = 4096
+    per_shard: int | None = None
     end: int = 50256
 
+    def shard_slots(self, total: int) -> int:
+        return self.per_shard or min(1 << 16, max(1 << 12, 1 << (total // 10_000).bit_length()))
+
     @property
     def stride(self) -> int:
         return HEAD_SIZE + 2 * self.length + 1
@@ -86,54 +97,80 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: tuple[str, str], end: int) -> Iterator[tuple[int | None, list[int]]]:
-    encode = rank_encoder(*tokenizer).encode_ordinary
+class _Digest:
+    """A digest of rows (doc_id, text) in order."""
+
+    def __init__(self) -> None:
+        self.held = xxhash.xxh3_64()
+
+    def add(self, doc: int | None, text: str | None) -> bytes:
+        """Takes a row in; returns the text's own digest."""
+        own = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        self.held.update(struct.pack("<q", NO_ID if doc is None else doc) + own)
+        return own
+
+    def value(self) -> int:
+        return self.held.intdigest() - (1 << 63)
+
+
+#: Bytes of records that a task writes, while tasks number fewer than MOST_TASKS.
+TASK_BYTES = 1 << 26
+MOST_TASKS = 20_000
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
     for batch in batches:
         for k in range(0, len(batch), 500):
             part = batch.slice(k, 500)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = encode(text) if text else []
-                ids.append(end)
-                yield doc, ids
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
 
 def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout: Layout = Layout()) -> int:
     """Write the shards of all sequences of `docs` below `path`; returns the number of sequences."""
+    if (ids := max(rank_encoder(*tokenizer).max_token_value, layout.end)) >= 1 << 16:
+        raise ValueError(f"records hold ids of 16 bits; the tokenizer has {ids}")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    length, end, per_shard, key = layout.length, layout.end, layout.per_shard, layout.key
+    length, end, key = layout.length, layout.end, layout.key
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, n = rank_encoder(*tokenizer).encode_ordinary, {}, 0
-        for batch in batches:
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                digest = xxhash.xxh3_128_intdigest(text)
-                if digest not in known:  # copies are counted once; so many digests are kept
-                    if len(known) >= 100_000:
-                        known.clear()
-                    known[digest] = len(encode(text)) // length + 1
-                n += known[digest]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+        encode, known, n, digest = rank_encoder(*tokenizer).encode_ordinary, {}, 0, _Digest()
+        for doc, text in _rows(batches):
+            own = digest.add(doc, text)
+            if own not in known:  # copies are counted once; so many digests are kept
+                if len(known) >= 100_000:
+                    known.clear()
+                known[own] = len(encode(text or "")) // length + 1
+            n += known[own]
+        cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([digest.value()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["part", "n", "digest"])
 
     with small_batches(spark):
-        counts = {r["part"]: r["n"] for r in rows.mapInArrow(tidy(count), "part int, n long").collect()}
+        counts = {r["part"]: (r["n"], r["digest"]) for r in rows.mapInArrow(tidy(count), "part int, n long, digest long").collect()}
     total, first = 0, {}
     for part in sorted(counts):
-        first[part], total = total, total + counts[part]
+        first[part], total = total, total + counts[part][0]
+    per_shard = layout.shard_slots(total)
+    shards = max(1, -(-total // per_shard))
+    tasks = min(MOST_TASKS, shards, max(1, -(-total * layout.stride // TASK_BYTES)))
     shared = spark.sparkContext.broadcast((first, counts))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        at, stop = shared.value[0][part], shared.value[0][part] + shared.value[1][part]
+        at, (n_counted, known) = shared.value[0][part], shared.value[1][part]
+        stop, digest, encode = at + n_counted, _Digest(), rank_encoder(*tokenizer).encode_ordinary
         out: list[bytes] = []
         filling = _packed([end] * length)
 
         def done() -> pa.RecordBatch:
             slots = permute(np.arange(at - len(out), at), total, key)
-            return pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(out, pa.binary())], names=["shard", "slot", "record"])
+            shard = slots // per_shard
+            return pa.RecordBatch.from_arrays([pa.array((shard * tasks // shards).astype(np.int32)), pa.array(shard), pa.array(slots), pa.array(out, pa.binary())], names=["task", "shard", "slot", "record"])
 
-        for doc, ids in _encoded(batches, tokenizer, end):
+        for doc, text in _rows(batches):
+            digest.add(doc, text)
+            ids = encode(text) if text else []
+            ids.append(end)
             n = len(ids)
             raw = _packed(ids) + filling[2 * (n % length or length) :]
             for s in range(0, n, length):
@@ -142,15 +179,15 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
             if len(out) >= 2000:
                 yield done()
                 out = []
-        if at != stop:
-            raise RuntimeError(f"partition {part} gave other sequences than when it was counted")
+        if at != stop or digest.value() != known:
+            raise RuntimeError(f"partition {part} gave other rows than when it was counted")
         if out:
             yield done()
 
-    made = rows.mapInArrow(tidy(records), "shard long, slot long, record binary").repartition("shard").sortWithinPartitions("shard", "slot")
+    made = rows.mapInArrow(tidy(records), "task int, shard long, slot long, record binary").repartitionById(tasks, "task").sortWithinPartitions("shard", "slot")
     with small_batches(spark):
         made.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/shards")
-    about = asdict(layout) | {"sequences": total, "stride": layout.stride}
+    about = asdict(layout) | {"per_shard": per_shard, "sequences": total, "stride": layout.stride}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
     return total
 

@@ -1,17 +1,25 @@
 """Quality rules: word statistics, fixed limits, and robust multivariate outliers (native).
 
 Statistics come from array functions within a row, so a text is never exploded. Verdicts come
-from minimum-covariance-determinant estimates for each language and source: from a robust start
-(median and scaled median deviation), concentration steps keep the part of the rows that is
-nearest by Mahalanobis distance and estimate centre and scatter from it again. Everything that
-crosses rows is a sum or a count of integers, so it combines before the shuffle, a source that
-holds a third of the rows is no hot spot, and a lost executor changes no digit.
+from minimum-covariance-determinant estimates for each language and source. Three deterministic
+starts are taken: medians with scaled median deviations, spatial signs around them, and the mean
+and scatter of all rows. From each, concentration steps keep the part of the rows that is nearest
+by Mahalanobis distance and estimate centre and scatter from it again, until no estimate changes
+any more; of the starts, that with the least determinant counts. Everything that crosses rows is a
+sum or a count of integers, so it combines before the shuffle, a source that holds a third of the
+rows is no hot spot, and a lost executor changes no digit.
+
+The part that is kept is met up to a bin of 1/32 octave of distance: as rows of one bin are kept or
+left together, ties are settled without an order, and a bin's few rows more or less are all that
+tells the steps from exact ones. Because of them a determinant could rise again, so steps end after
+`steps` in any case. A scatter gets a floor on its diagonal.
 
 Cases: null or empty text has no words and fails the base rules; null language or source is a
 group of its own; rows are judged one by one, so repeated rows and ids give repeated results;
 an empty table gives an empty result. A group with fewer than `min_rows` rows is judged by
 estimates from all rows of its language, by those from all rows if these are fewer too, and not at
-all if the whole table has fewer.
+all if the whole table has fewer. A text of any length is judged whole, in its row. Other columns,
+whatever their names, go through `quality_filter` unchanged.
 """
 
 from __future__ import annotations
@@ -36,15 +44,15 @@ BIN = 16
 class QualityRules:
     """Limits of the base rules and of the outlier test.
 
-    coverage: part of a group's rows that its estimates rest on. tail: probability beyond the
-    cut if rows were normal. floors: the least standard deviation taken for each transformed
+    coverage: part of a group's rows that its estimates rest on. steps: concentration steps at most,
+    should estimates not settle before. tail: probability beyond the cut if rows were normal. floors: the least standard deviation taken for each transformed
     statistic, which also keeps a scatter of constant statistics invertible.
     """
 
     min_words: int = 10
     max_repeat_percent: int = 20
     coverage: float = 0.75
-    steps: int = 4
+    steps: int = 30
     tail: float = 1e-9
     min_rows: int = 40
     floors: tuple[float, ...] = (0.08, 0.04, 0.12, 0.12)
@@ -129,11 +137,16 @@ def chi2_quantile(p: float, d: int) -> float:
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
+#: Estimates belong to a group and the start they come from.
+KEY = ["g", "start"]
+CENTRE, SCATTER, FACTOR = [f"m{i}" for i in range(DIMS)], [f"s{i}{j}" for i, j in PAIRS], [f"w{i}{j}" for i, j in PAIRS]
+
+
 def _moments(df: DataFrame, factor: float) -> DataFrame:
-    """Centre and scatter (lower triangle) of each g, in units of 1 / SCALE."""
+    """Centre and scatter (lower triangle) of each group and start, in units of 1 / SCALE."""
     big = lambda c: F.sum(c.cast("decimal(38,0)"))
     q = [F.col(f"q{i}") for i in range(DIMS)]
-    sums = df.groupBy("g").agg(
+    sums = df.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"),
         *[big(q[i]).alias(f"a{i}") for i in range(DIMS)],
         *[big(q[i] * q[j]).alias(f"b{i}{j}") for i, j in PAIRS],
@@ -141,11 +154,11 @@ def _moments(df: DataFrame, factor: float) -> DataFrame:
     f = lambda c: F.col(c).cast("double")
     means = [(f(f"a{i}") / f("n")).alias(f"m{i}") for i in range(DIMS)]
     cov = [((f(f"b{i}{j}") - f(f"a{i}") * f(f"a{j}") / f("n")) / F.greatest(f("n") - 1, F.lit(1.0)) * factor).alias(f"s{i}{j}") for i, j in PAIRS]
-    return sums.select("g", *means, *cov)
+    return sums.select(*KEY, *means, *cov)
 
 
 def _factored(est: DataFrame, floors: tuple[float, ...]) -> DataFrame:
-    """g, centre m_i and w_ij, the inverse of the lower Cholesky factor of the scatter."""
+    """Group, start, centre m_i, w_ij (the inverse of the lower Cholesky factor of the scatter) and the scatter's log-determinant."""
     for i in range(DIMS):
         for j in range(i + 1):
             v = F.col(f"s{i}{j}") + (F.lit((floors[i] * SCALE) ** 2) if i == j else F.lit(0.0))
@@ -159,7 +172,10 @@ def _factored(est: DataFrame, floors: tuple[float, ...]) -> DataFrame:
             for k in range(j, i):
                 v = v - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
             est = est.withColumn(f"w{i}{j}", v / F.col(f"l{i}{i}"))
-    return est.select("g", *[f"m{i}" for i in range(DIMS)], *[f"w{i}{j}" for i, j in PAIRS])
+    logdet = F.lit(0.0)
+    for i in range(DIMS):
+        logdet = logdet + 2 * F.log(F.col(f"l{i}{i}"))
+    return est.select(*KEY, *CENTRE, *FACTOR, logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -180,8 +196,8 @@ def _upto(counts: DataFrame, keys: list[str], part: float) -> DataFrame:
     return run.filter(F.col("run") >= F.col("all") * F.lit(part)).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and scaled median deviation of each statistic, to within a bin; no correlation."""
+def _medians(rows: DataFrame) -> DataFrame:
+    """Start 0: median and scaled median deviation of each statistic, to within a bin; no correlation."""
     long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"q{i}") / BIN) for i in range(DIMS)])).alias("dim", "bin"))
     counts = long.groupBy("g", "dim", "bin").agg(F.count(F.lit(1)).alias("c"))
     mid = _upto(counts, ["g", "dim"], 0.5).withColumnRenamed("bin", "mid")
@@ -189,12 +205,76 @@ def _start(rows: DataFrame) -> DataFrame:
     mad = _upto(away, ["g", "dim"], 0.5).withColumnRenamed("bin", "mad")
     both = mid.join(mad, ["g", "dim"])
     pick = lambda k, c: F.max(F.when(F.col("dim") == k, c)).cast("double")
-    return both.groupBy("g").agg(
+    return both.groupBy("g", F.lit(0).alias("start")).agg(
         *[pick(i, F.col("mid") * BIN + BIN // 2).alias(f"m{i}") for i in range(DIMS)],
         *[(pick(i, F.pow(F.col("mad") * (BIN * 1.4826), 2)) if i == j else F.max(F.lit(0.0))).alias(f"s{i}{j}") for i, j in PAIRS],
     )
 
 
+def _signs(rows: DataFrame, medians: DataFrame) -> DataFrame:
+    """Start 1: the scatter of directions from the medians, where a far row weighs no more than a near one.
+
+    medians: factored estimates of start 0.
+    """
+    z = [(F.col(f"q{i}") - F.col(f"m{i}")) * F.col(f"w{i}{i}") for i in range(DIMS)]
+    size = F.sqrt(sum((F.pow(x, F.lit(2.0)) for x in z[1:]), F.pow(z[0], F.lit(2.0))))
+    met = _with_estimates(rows, medians).select("g", *[(F.round(F.when(size > 0, x / size).otherwise(F.lit(0.0)) * SCALE)).cast("long").alias(f"u{i}") for i, x in enumerate(z)])
+    sums = met.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"b{i}{j}") for i, j in PAIRS])
+    own, _ok = checked_broadcast(medians.drop("start", "logdet"), MAX_GROUPS)
+    cov = [(F.col(f"b{i}{j}") / F.col("n") * (DIMS / SCALE**2) / (F.col(f"w{i}{i}") * F.col(f"w{j}{j}"))).alias(f"s{i}{j}") for i, j in PAIRS]
+    return sums.join(own, "g").select("g", F.lit(1).alias("start"), *CENTRE, *cov)
+
+
+def _starts(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """Factored estimates of all starts."""
+    medians = stored(_factored(_medians(rows), floors), "estimates")
+    everything = _moments(rows.withColumn("start", F.lit(2)), 1.0)
+    out = stored(medians.unionByName(_factored(_signs(rows, medians).unionByName(everything), floors)), "estimates")
+    discard(medians)
+    return out
+
+
+#: Estimates of so many groups are broadcast. Beyond, each is joined in so many parts, as one group may hold a third of all rows.
+MAX_GROUPS, SALTS = 100_000, 32
+
+
+def _with_estimates(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """Rows (g, salt, ...) with the estimates of their group, one row for each start that `est` has."""
+    small, ok = checked_broadcast(est, 3 * MAX_GROUPS)
+    if ok:
+        return rows.join(small, "g")
+    return rows.join(est.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))), ["g", "salt"])
+
+
+def _concentrated(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    """The estimate of least determinant of each group: g, m_i, w_ij, logdet."""
+    cut = chi2_quantile(rules.coverage, DIMS)
+    factor = rules.coverage / _chi2_cdf(cut, DIMS + 2)
+    bin_of = F.floor(32 * F.log2(_distance() + 1e-3)).cast("long")
+    est = _starts(rows, rules.floors)
+    for _ in range(rules.steps):
+        far = _with_estimates(rows, est).select(*KEY, "salt", bin_of.alias("bin"), *[f"q{i}" for i in range(DIMS)])
+        limit = stored(_upto(far.groupBy(*KEY, "bin").agg(F.count(F.lit(1)).alias("c")), KEY, rules.coverage).withColumnRenamed("bin", "limit"), "limits")
+        near, ok = checked_broadcast(limit, 3 * MAX_GROUPS)
+        on = KEY if ok else [*KEY, "salt"]
+        near = near if ok else near.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        new = stored(_factored(_moments(far.join(near, on).filter("bin <= limit"), factor), rules.floors), "estimates")
+        now = [(F.col(f"now.{c}") == F.col(f"was.{c}")) for c in (*CENTRE, *FACTOR)]
+        same = now[0]
+        for c in now[1:]:
+            same = same & c
+        moved = new.alias("now").join(est.alias("was"), KEY).filter(~same).limit(1).count()
+        discard(est)
+        discard(limit)
+        est = new
+        if not moved:
+            break
+    best = est.groupBy("g").agg(F.min(F.struct("logdet", "start", *CENTRE, *FACTOR)).alias("e"))
+    out = stored(best.select("g", *[f"e.{c}" for c in (*CENTRE, *FACTOR, "logdet")]), "estimates")
+    discard(est)
+    return out
+
+
 def _levels(rows: DataFrame, rules: QualityRules) -> DataFrame:
     """For languages and sources: g, the group that they are judged by (null where the table has too
     few rows), and groups, those whose estimates their rows go into."""
@@ -235,25 +315,15 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
     vectors = [v.alias(f"q{i}") for i, v in enumerate(_vector("s"))]
     thin = rows.filter("not base_failed").select("lang", "source", *vectors)
     level = _levels(thin, rules)
-    used = stored(_grouped(thin, level).select(F.explode("groups").alias("g"), *[f"q{i}" for i in range(DIMS)]), "vectors")
-
-    cut = chi2_quantile(rules.coverage, DIMS)
-    factor = rules.coverage / _chi2_cdf(cut, DIMS + 2)
-    est = stored(_factored(_start(used), rules.floors), "estimates")
-    bin_of = F.floor(32 * F.log2(_distance() + 1e-3)).cast("long")
-    for _ in range(rules.steps):
-        small, _ok = checked_broadcast(est, 100_000)
-        far = used.join(small, "g").withColumn("bin", bin_of).select("g", "bin", *[f"q{i}" for i in range(DIMS)])
-        limit = _upto(far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c")), ["g"], rules.coverage).withColumnRenamed("bin", "limit")
-        limit, _ok = checked_broadcast(stored(limit, "limits"), 100_000)
-        new = stored(_factored(_moments(far.join(limit, "g").filter("bin <= limit"), factor), rules.floors), "estimates")
-        discard(est)
-        est = new
-
+    used = _grouped(thin, level).select(F.explode("groups").alias("g"), *[f"q{i}" for i in range(DIMS)])
+    used = stored(used.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "vectors")
+    est = _concentrated(used, rules)
     discard(used)
     outside = chi2_quantile(1 - rules.tail, DIMS)
-    small, _ok = checked_broadcast(est.withColumnRenamed("g", "eg"), 100_000)
-    judged = _grouped(rows.select("*", *vectors), level.drop("groups")).join(small, F.col("g") == F.col("eg"), "left").withColumn("distance", _distance())
+    judged = _grouped(rows.select("*", *vectors, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")), level.drop("groups"))
+    own, ok = checked_broadcast(est.drop("logdet"), MAX_GROUPS)
+    own = own if ok else own.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    judged = judged.join(own, ["g"] if ok else ["g", "salt"], "left").withColumn("distance", _distance())
     keep = ~F.col("base_failed") & F.coalesce(F.col("distance") <= outside, F.lit(True))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"s.{n}").alias(n) for n in names], "base_failed", keep.alias("kept"), "distance", *(["row"] if carry else []))

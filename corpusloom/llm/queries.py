@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, langid, lengths, neardup, oracles, order, packing, quality, substring, urls
-from corpusloom.llm.common import batch_by_text, shared_folder, split_words
+from corpusloom.llm.common import shared_folder, split_words, stored
 from corpusloom.sources.tables import read_table
 
 
 def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
-    batch_by_text(spark)
     return lengths.context_limits(lengths.length_histogram(read_table(spark, root, "documents"), lengths.production_tokenizer()))
 
 
 def op2_language_id(spark: SparkSession, root: str) -> DataFrame:
-    batch_by_text(spark)
     docs = read_table(spark, root, "documents").select("doc_id", "text", "lang")
     learned = docs.filter(~langid.held_out(F.col("doc_id"))).dropna()
-    found = langid.predict(docs, langid.train(learned))
+    found = stored(langid.predict(docs, langid.train(learned)), "languages")
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -83,8 +81,7 @@ def op9_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, root: str) -> DataFrame:
-    batch_by_text(spark, 2500)
-    return packing.digests(packing.pack(read_table(spark, root, "documents"), packing.production_tokenizer()))
+    return stored(packing.digests(packing.pack(read_table(spark, root, "documents"), packing.production_tokenizer())), "pieces")
 
 
 QUERIES = {

@@ -7,20 +7,26 @@ Shards are cut by content instead, so that a reference and all that can match it
 
 1. Each window belongs to the K-gram of it that has the least hash. Neighbouring windows with one
    such gram are a segment (at most SPAN windows). A window occurs only in segments of its gram.
-2. A document's segment that equals one of an earlier document is covered whole. That is decided
-   in the task that reads both where one does, which leaves one document for each segment and
-   task: a passage in a third of all documents is no hot spot. The rest meet by gram, packed.
+2. A document's segment that equals one of an earlier document is covered whole. Segments are equal
+   if the 64-bit hashes of their gram and of all their words are, 128 bits in all: among 10^13
+   segments a wrong match has a probability below 10^-12. That is decided in the task that reads
+   both where one does, which leaves one document for each segment and task: a passage in a third
+   of all documents is no hot spot. The rest meet by gram, packed, in buckets whose number follows
+   from the size of the input.
 3. Grams that still have different segments of several documents are the reference shards. Their
    segments' words are fetched; in order of doc_id each is streamed past the automaton of the
    shard's earlier ones for matching statistics, then added. Lengths of WINDOW and more are spans
-   to remove. Shards of more than SHARD segments are split by windows, which keeps them small.
+   to remove. Shards of more than SHARD segments are split by windows, which keeps them small; of a
+   window that many segments hold, the task that fetches their words sends on the earliest alone.
 
 Against a given reference (`match_reference`) whose shards have a proven size, automata are
 broadcast and every document is streamed past each.
 
 Cases: null or empty texts have no words and come back. Rows with null doc_id come back whole and
 are no reference. Rows that share a doc_id are one document: none is a reference for the other,
-and each loses what is found in any of them. Texts that lose nothing are returned unchanged.
+and each loses what is found in any of them. Texts that lose nothing are returned unchanged. A text
+of any length is cut whole, in its row. Other columns, whatever their names, come back. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.automaton import SuffixAutomaton
-from corpusloom.llm.common import Scratch, checked_broadcast, split_words, stored, tidy
+from corpusloom.llm.common import Scratch, checked_broadcast, split_words, stored, table_bytes, tidy
 from corpusloom.llm.wordstream import Words, documents, mix, multipliers
 
 WINDOW = 13
@@ -44,6 +50,9 @@ SHARD = 4096
 #: Segments that a task combines before they are sent.
 COMBINED = 400_000
 
+#: Bytes of input for each bucket of packed segments, which a task holds one at a time.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 21
+
 _GRAM = multipliers(K, 17)
 _BASE = int(multipliers(1, 19)[0])
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -169,12 +178,35 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PIECES = "shard long, part int, doc_id long, start long, words string"
+#: Windows of split shards that a task gathers before it sends them.
+GATHERED = 100_000
+#: What is decided already is dealt by document into so many parts of shard 0, without words.
+DECIDED = 1 << 20
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of wanted segments (text, array<struct<shard, at, parts>>), or of their windows where a shard is split."""
     import xxhash
 
+    split: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+
+    def sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows), 20_000):
+            cols = list(zip(*rows[k : k + 20_000], strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], names=["shard", "part", "doc_id", "start", "words"])
+
+    def earliest() -> list[tuple]:
+        """The windows gathered: words go with the earliest document of each alone, the others are decided."""
+        rows = []
+        for (shard, part, window), held in split.items():
+            least = min(held)[0]
+            rows += [(shard, part, d, s, window) if d == least else (0, d % DECIDED, d, s, None) for d, s in held]
+        split.clear()
+        return rows
+
+    held = 0
     for batch in batches:
         rows = []
         for doc, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -186,12 +218,12 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     for s in range(start, start + n):
                         window = b" ".join(words[s : s + WINDOW])
-                        rows.append((want["shard"], xxhash.xxh3_64_intdigest(window) % parts, doc, s, window))
-        for k in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[k : k + 20_000], strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].cast(pa.string())], names=["shard", "part", "doc_id", "start", "words"])
+                        split.setdefault((want["shard"], xxhash.xxh3_64_intdigest(window) % parts, window), []).append((doc, s))
+                    held += n
+            if held >= GATHERED:
+                rows, held = rows + earliest(), 0
+        yield from sent(rows)
+    yield from sent(earliest())
 
 
 def _covered(lengths: list[int]) -> list[tuple[int, int]]:
@@ -217,6 +249,10 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, ats = [], []
     for batch in batches:
         for shard, part, d, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if words is None:
+                docs.append(d)
+                ats.append(start * 16 + 1)
+                continue
             if (shard, part) != key:
                 key, doc, waiting = (shard, part), d, []
                 automaton, known = SuffixAutomaton(), set()
@@ -249,7 +285,8 @@ def _only(docs: DataFrame, ids: DataFrame, max_ids: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, spans): windows to remove, each as 16 * first word + number of windows; a stored table."""
     spark = docs.sparkSession
-    buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = table_bytes(docs)  # of a table that is not read from files it is not known, and beyond all bounds
+    buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, size // BUCKET_BYTES) if size < 1 << 60 else 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     sent = texts.mapInArrow(tidy(_packer(buckets)), PACKED).repartition("bucket").sortWithinPartitions("bucket")
     scratch = Scratch()

@@ -1,17 +1,22 @@
 """URL filters: host and path rules, and a character language-model ratio where no rule fits.
 
-URLs that a rule accepts or rejects train two variable-order Markov models (orders 0 to ORDER,
-interpolated by Witten and Bell's weights). A URL's score is the difference of its log-likelihoods
-by its length. The cut between accepted and rejected scores is calibrated on all URLs with a rule:
-it is the one with the least sum of both error rates.
+URLs that a rule accepts or rejects train two Markov models of variable order: a character is told
+by the longest of its contexts of up to ORDER characters that was seen at least LEAST times, mixed
+with the shorter ones by Witten and Bell's weights; contexts seen less often are pruned. A URL's
+score is the difference of its log-likelihoods by its length. The cut between accepted and rejected
+scores is calibrated by cross-fitting: URLs with a rule fall into FOLDS parts by hash, each part is
+scored by models of the other parts, and the cut with the least sum of both error rates counts.
+The models of all parts then judge the URLs without rule.
 
 Gram counts are summed over all such URLs by Spark, one for each gram (contexts by a 64-bit hash),
 so the models grow with the input. Up to `max_broadcast_grams` of them are broadcast; beyond, grams
 and URLs meet in joins. A gram's part of a score is a fixed-point number, so both ways give the same.
 
 Cases: null URLs and URLs without `://` have empty host and path; a null URL scores like an empty
-one. With no accepted or no rejected URL the models say nothing, and URLs without rule are allowed.
-Rows are judged one by one, so repeated rows repeat; empty tables work.
+one. With no accepted or no rejected URL the models say nothing, and URLs without rule are allowed;
+where a part leaves no models of both kinds, the cut is 0 if that holds for all parts. Rows are
+judged one by one, so repeated rows repeat (and all fall into one part); empty tables work; a URL
+of any length is scored whole, together with few others; columns besides page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import discard, stored, tidy
 from corpusloom.llm.wordstream import mix, multipliers
 
-ORDER = 4
+ORDER = 6
+#: Occurrences of a context that count as evidence for it.
+LEAST = 2
+FOLDS = 3
+#: Characters that are worked on at once.
+SLICE = 400_000
 #: Grams are joined in so many parts of each key, as some contexts and grams are in nearly every URL.
 SALTS = 16
 #: Of the fixed-point numbers that scores are summed in.
@@ -108,22 +120,30 @@ def _pair(context: np.ndarray, char: np.ndarray) -> np.ndarray:
     return mix(context + char * _KEY[0])
 
 
-COUNTS = "accepted boolean, context long, char long, n long"
+def _slices(batches: Iterator[pa.RecordBatch], url: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with at most SLICE characters of URLs, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column(url)), 0).to_numpy(zero_copy_only=False) + 1
+        ends, k = np.cumsum(sizes), 0
+        while k < len(batch):
+            stop = max(k + 1, int(np.searchsorted(ends, ends[k] - sizes[k] + SLICE, side="right")))
+            yield batch.slice(k, stop - k)
+            k = stop
+
+
+COUNTS = "accepted boolean, fold int, context long, char long, n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, len(batch), 5000):
-            part = batch.slice(k, 5000)
-            accepted = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            chars, contexts, owner = _grams(part.column(1).to_pylist())
-            for yes in (True, False):
-                own = accepted[owner] == yes
-                keys = np.stack([contexts[:, own].reshape(-1), np.tile(chars[own], ORDER + 1)], axis=1)
-                if len(keys):
-                    grams, n = np.unique(keys, axis=0, return_counts=True)
-                    cols = [pa.array(np.full(len(n), yes)), pa.array(grams[:, 0].view(np.int64)), pa.array(grams[:, 1].astype(np.int64)), pa.array(n.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["accepted", "context", "char", "n"])
+    for part in _slices(batches, 2):
+        kind = 2 * part.column(1).to_numpy(zero_copy_only=False).astype(np.int64) + part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        chars, contexts, owner = _grams(part.column(2).to_pylist())
+        for k in np.unique(kind):
+            own = kind[owner] == k
+            keys = np.stack([contexts[:, own].reshape(-1), np.tile(chars[own], ORDER + 1)], axis=1)
+            grams, n = np.unique(keys, axis=0, return_counts=True)
+            cols = [pa.array(np.full(len(n), bool(k % 2))), pa.array(np.full(len(n), k // 2, dtype=np.int32)), pa.array(grams[:, 0].view(np.int64)), pa.array(grams[:, 1].astype(np.int64)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["accepted", "fold", "context", "char", "n"])
 
 
 def _ratios(n: np.ndarray, seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -176,49 +196,60 @@ class WideModel:
     grams: DataFrame
 
 
-def train(labelled: DataFrame, max_broadcast_grams: int = 2_000_000) -> UrlModel | WideModel | None:
-    """The models of all rows of (accepted, url); None unless there are both kinds."""
-    counts = labelled.select("accepted", "url").mapInArrow(_count, COUNTS).groupBy("accepted", "context", "char").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "url-grams")
+def counted(labelled: DataFrame) -> DataFrame:
+    """(accepted, fold, context, char, n): the grams of all rows of (accepted, url), by part."""
+    rows = labelled.select("accepted", _fold(F.col("url")).alias("fold"), "url").mapInArrow(tidy(_count), COUNTS)
+    return stored(rows.groupBy("accepted", "fold", "context", "char").agg(F.sum("n").alias("n")), "url-grams")
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def train(grams: DataFrame, max_broadcast_grams: int = 2_000_000, without: int | None = None) -> UrlModel | WideModel | None:
+    """The models of `counted` grams, of all parts or without one; None unless there are both kinds.
+
+    Contexts that were seen fewer than LEAST times go: a context's grams are at most as many as the
+    characters that follow it, so no key is hot.
+    """
+    own = grams if without is None else grams.filter(F.col("fold") != without)
+    own = own.groupBy("accepted", "context", "char").agg(F.sum("n").alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("accepted", "context"))
+    counts = stored(own.withColumn("seen", seen).filter(F.col("seen") >= LEAST).drop("seen"), "url-model")
     if counts.select("accepted").distinct().count() < 2:
         return None
     if counts.count() > max_broadcast_grams:
         return WideModel(counts)
     got = counts.toArrow()
+    discard(counts)
     accepted = got["accepted"].to_numpy(zero_copy_only=False).astype(bool)
     context, char = (got[c].to_numpy().view(np.uint64) for c in ("context", "char"))
     n = got["n"].to_numpy()
     tables = []
-    for own in (~accepted, accepted):
-        pairs = _pair(context[own], char[own])
+    for kind in (~accepted, accepted):
+        pairs = _pair(context[kind], char[kind])
         order = np.argsort(pairs)
-        known, at = np.unique(context[own], return_inverse=True)
-        tables.append((pairs[order], n[own][order], known, np.bincount(at, weights=n[own]).astype(np.int64), np.bincount(at)))
+        known, at = np.unique(context[kind], return_inverse=True)
+        tables.append((pairs[order], n[kind][order], known, np.bincount(at, weights=n[kind]).astype(np.int64), np.bincount(at)))
     return UrlModel(tables)
 
 
 def _url_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (at, url): the grams of each URL and how often it holds them."""
-    for batch in batches:
-        for k in range(0, len(batch), 5000):
-            part = batch.slice(k, 5000)
-            if len(part):
-                chars, contexts, owner = _grams(part.column(1).to_pylist())
-                held, n = np.unique(np.stack([owner.astype(np.uint64), _pair(contexts[ORDER], chars)], axis=1), axis=0, return_counts=True)
-                at = part.column(0).take(pa.array(held[:, 0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([at, pa.array(held[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["at", "gram", "times"])
+    for part in _slices(batches, 1):
+        chars, contexts, owner = _grams(part.column(1).to_pylist())
+        held, n = np.unique(np.stack([owner.astype(np.uint64), _pair(contexts[ORDER], chars)], axis=1), axis=0, return_counts=True)
+        at = part.column(0).take(pa.array(held[:, 0].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([at, pa.array(held[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], names=["at", "gram", "times"])
 
 
 def _gram_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (at, url): each gram's contexts of all orders and its character."""
-    for batch in batches:
-        for k in range(0, len(batch), 5000):
-            part = batch.slice(k, 5000)
-            if len(part):
-                chars, contexts, _ = _grams(part.column(1).to_pylist())
-                gram, at = np.unique(_pair(contexts[ORDER], chars), return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (ORDER + 1)), pa.array(contexts[:, at].T.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), lists, pa.array(chars[at].astype(np.int64))], names=["gram", "contexts", "char"])
+    for part in _slices(batches, 1):
+        chars, contexts, _ = _grams(part.column(1).to_pylist())
+        gram, at = np.unique(_pair(contexts[ORDER], chars), return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (ORDER + 1)), pa.array(contexts[:, at].T.reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), lists, pa.array(chars[at].astype(np.int64))], names=["gram", "contexts", "char"])
 
 
 _TOLD = [f"{name}{c}" for name in ("n", "seen", "kinds") for c in (0, 1)]
@@ -263,23 +294,29 @@ def _scored(rows: DataFrame, model: UrlModel | WideModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = UrlModel(shared.value)
-        for batch in batches:
-            for k in range(0, len(batch), 5000):
-                part = batch.slice(k, 5000)
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.scores(part.column(at).to_pylist()))], names=[*part.schema.names, "score"])
+        for part in _slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.scores(part.column(at).to_pylist()))], names=[*part.schema.names, "score"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, schema + ", score double")
+    return rows.mapInArrow(tidy(run), schema + ", score double")
+
 
+def calibrate(labelled: DataFrame, grams: DataFrame, max_broadcast_grams: int = 2_000_000) -> float:
+    """The score with the least sum of error rates, from a histogram of steps of STEP within -20 to 20.
 
-def calibrate(labelled: DataFrame, model: UrlModel | WideModel) -> float:
-    """The score with the least sum of error rates, from a histogram of steps of STEP within -20 to 20."""
+    Each row is scored by models that have not seen it; 0 where no part leaves models of both kinds.
+    """
     cell = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) / STEP).cast("int")
-    rows = _scored(labelled.select("accepted", "url"), model).groupBy("accepted", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     size = int(40 / STEP) + 2
     cells = np.zeros((2, size))
-    cells[rows["accepted"].to_numpy(zero_copy_only=False).astype(int), rows["cell"].to_numpy() + int(20 / STEP)] = rows["n"].to_numpy()
+    for k in range(FOLDS):
+        model = train(grams, max_broadcast_grams, without=k)
+        if model is not None:
+            part = labelled.select("accepted", "url").filter(_fold(F.col("url")) == k)
+            rows = _scored(part, model).groupBy("accepted", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+            cells[rows["accepted"].to_numpy(zero_copy_only=False).astype(int), rows["cell"].to_numpy() + int(20 / STEP)] += rows["n"].to_numpy()
+    if not cells.sum(axis=1).all():
+        return 0.0
     parts = cells / cells.sum(axis=1, keepdims=True)
     below = np.concatenate([[0], np.cumsum(parts[1])])[:-1]
     above = 1 - np.concatenate([[0], np.cumsum(parts[0])])[:-1]
@@ -295,10 +332,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = PRODUCTION, max_broadc
     judged = judged.withColumn("r", rule(F.col("host"), F.col("path"), rules))
     judged = judged.select("page_id", "url", "host", "path", F.col("r.name").alias("rule"), F.col("r.verdict").alias("verdict"))
     labelled = judged.filter("rule is not null").select((F.col("verdict") == "allow").alias("accepted"), "url")
-    model = train(labelled, max_broadcast_grams)
+    grams = counted(labelled)
+    model = train(grams, max_broadcast_grams)
     if model is None:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    cut = calibrate(labelled, model)
+    cut = calibrate(labelled, grams, max_broadcast_grams)
+    discard(grams)
     out = _scored(judged, model)
     free = F.col("rule").isNull()
     by_score = F.when(F.col("score") >= cut, "allow").otherwise("block")

@@ -55,8 +55,9 @@ def by_hand(labelled, url):
         for ctx, c in grams(url):
             if not ctx:
                 p = 1 / urls.ALPHABET
-            if d := seen.get(ctx):
-                n = sum(d.values())
+            d = seen.get(ctx, {})
+            n = sum(d.values())
+            if n >= urls.LEAST:
                 p = (d.get(c, 0) + len(d) * p) / (n + len(d))
             if len(ctx) == urls.ORDER:
                 total += sign * math.log(p)
@@ -66,27 +67,51 @@ def by_hand(labelled, url):
 def test_character_models(spark):
     rng = random.Random(1)
     labelled = [(True, f"http://good{rng.randint(0, 99)}.net/de/{rng.randint(0, 999)}") for _ in range(60)] + [(False, f"http://spam-{rng.randint(0, 99)}.org/es/{rng.randint(0, 999)}") for _ in range(60)]
-    model = urls.train(spark.createDataFrame(labelled, "accepted boolean, url string"))
+    df = spark.createDataFrame(labelled, "accepted boolean, url string")
+    grams = urls.counted(df)
+    model = urls.train(grams)
     some = ["http://good5.net/de/77", "http://spam-5.org/es/1", "", "ö://"]
     assert np.allclose(model.scores(some), [by_hand(labelled, u) for u in some], atol=1e-6)
     assert model.scores(some)[0] > 0 > model.scores(some)[1]
-    assert urls.train(spark.createDataFrame(labelled[:60], "accepted boolean, url string")) is None
-    cut = urls.calibrate(spark.createDataFrame(labelled, "accepted boolean, url string"), model)
+    assert urls.train(urls.counted(df.filter("accepted"))) is None
+    cut = urls.calibrate(df, grams)
     s = model.scores([u for _, u in labelled])
     assert (s[:60] >= cut).all() and (s[60:] < cut).all()
 
 
+def test_the_cut_is_cross_fitted(spark):
+    """Labels without any pattern: models tell their own URLs apart, but not those of another part."""
+    rng = random.Random(5)
+    labelled = [(rng.random() < 0.5, "http://" + "".join(rng.choice("abcdefgh") for _ in range(12))) for _ in range(400)]
+    df = spark.createDataFrame(labelled, "accepted boolean, url string")
+    grams = urls.counted(df)
+    fold = {r["url"]: r["f"] for r in df.select("url", urls._fold(F.col("url")).alias("f")).collect()}
+    scores = {True: [], False: []}
+    for k in range(urls.FOLDS):
+        rest = [x for x in labelled if fold[x[1]] != k]
+        for yes, u in labelled:
+            if fold[u] == k:
+                scores[yes].append(by_hand(rest, u))
+    rate = lambda c: sum(x < c for x in scores[True]) / len(scores[True]) + sum(x >= c for x in scores[False]) / len(scores[False])
+    least = min(rate(c) for c in np.arange(-2, 2, urls.STEP))
+    assert rate(urls.calibrate(df, grams)) <= least + 0.02 and least > 0.6
+    own = {u: s for u, s in zip([u for _, u in labelled], urls.train(grams).scores([u for _, u in labelled]), strict=True)}
+    assert sum((own[u] >= 0) == yes for yes, u in labelled) > 0.9 * len(labelled)
+
+
 def test_models_of_many_grams(spark):
     """More grams than any table of fixed size holds apart; broadcast and joined models agree."""
     rng = random.Random(2)
     make = lambda: "http://x/" + "".join(chr(rng.randint(0x4E00, 0x6000)) for _ in range(40))
-    labelled = [(k % 2 == 0, make()) for k in range(9000)]
+    labelled = [(k % 2 == 0, make()) for k in range(12000)]
+    labelled += labelled[:4000]
     df = spark.createDataFrame(labelled, "accepted boolean, url string")
-    model = urls.train(df)
+    grams = urls.counted(df)
+    model = urls.train(grams)
     assert sum(len(t[0]) for t in model.tables) > 1 << 20
     some = [labelled[0][1], labelled[1][1] + "x"]
     assert np.allclose(model.scores(some), [by_hand(labelled, u) for u in some], rtol=0, atol=1e-6)
-    wide = urls.train(df, max_broadcast_grams=0)
+    wide = urls.train(grams, max_broadcast_grams=0)
     got = urls._scored(spark.createDataFrame([(u,) for u in [*some, *some, "", None]], "url string"), wide).collect()
     assert len(got) == 6 and all(r["score"] == model.scores([r["url"]])[0] for r in got)
 
