@@ -1,11 +1,17 @@
-"""Training-data pipeline over `documents`: one operator a stage, each written before the next reads it."""
+"""Training-data pipeline over `documents`: one operator a stage, each written before the next reads it.
+
+Cases: null, empty and blank texts fail the base rules and go at once. Of rows that share a doc_id
+and a text one stays; of rows that share a doc_id only, all that are no near copies. Texts may be of
+any length. Nulls in other columns and extra columns come through all stages but the last, which
+returns pieces. An empty table gives no pieces; an empty benchmark contaminates nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontaminate, neardup, packing, quality, substring
-from corpusloom.llm.common import batch_by_text, stored
+from corpusloom.llm.common import batch_by_text, discard, small_batches, stored
 from corpusloom.sources.tables import read_table
 
 #: Words of a shingle in the near-duplicate stage; the contract of op6, which takes four, binds that query alone.
@@ -50,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    """The last stage's rows. A stage's table is deleted once the next one is written."""
+    docs, held = read_table(spark, sf_dir, "documents"), None
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            if held is not None:
+                discard(held)
+            held = docs
     return docs
