@@ -300,11 +300,17 @@ def g_polar_stats(spark, root):
 
 @query(
     "g_consideration_support",
-    "SELECT source AS consideration, count(*) FILTER (quality = 1) AS frequency, coalesce(array_to_string(list_sort(list(DISTINCT doc_id) FILTER (quality = 1)), ','), '') AS documents FROM documents JOIN labels USING (doc_id) GROUP BY source",
+    """WITH r AS (SELECT doc_id, source AS consideration, coalesce(quality = 1, false) AS supported FROM documents JOIN labels USING (doc_id)),
+       f AS (SELECT consideration, count(*) FILTER (supported) AS frequency FROM r GROUP BY consideration)
+       SELECT consideration, frequency, s.doc_id FROM f LEFT JOIN (SELECT DISTINCT consideration, doc_id FROM r WHERE supported) s USING (consideration)""",
 )
 def g_consideration_support(spark, root):
-    rows = read_table(spark, root, "documents").join(read_table(spark, root, "labels"), "doc_id").select("doc_id", F.col("source").alias("consideration"), (F.col("quality") == 1).alias("supported"))
-    return stats.consideration_support(rows).withColumn("documents", F.array_join(F.transform("documents", lambda x: x.cast("string")), ","))
+    return stats.consideration_support(support_rows(spark, root))
+
+
+def support_rows(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "documents").join(read_table(spark, root, "labels"), "doc_id")
+    return rows.select("doc_id", F.col("source").alias("consideration"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("supported"))
 
 
 @query("g_progress", "SELECT o_orderstatus, CAST(trunc(100.0 * count(*) FILTER (o_totalprice > 100000) / count(*)) AS INTEGER) AS percent FROM orders GROUP BY o_orderstatus")
@@ -366,15 +372,18 @@ def r_history_sort(spark, root):
     return ranking.by_history(read_table(spark, root, "customer").select(F.col("c_custkey").alias("project_id")), counts, True)
 
 
+@query("r_iteration_snapshot", f"SELECT doc_id, CASE WHEN is_check THEN 'yes' WHEN NOT is_check THEN 'no' ELSE 'maybe' END AS state, is_initial, to_display FROM {CHOICE}")
+def r_iteration_snapshot(spark, root):
+    return selection.snapshot(choice(spark, root))
+
+
 @query(
-    "r_iteration_snapshot",
-    f"""SELECT coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_check)), ','), '') AS yes, coalesce(array_to_string(list_sort(list(doc_id) FILTER (NOT is_check)), ','), '') AS no,
-        coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_check IS NULL)), ','), '') AS maybe, coalesce(array_to_string(list_sort(list(doc_id) FILTER (is_initial)), ','), '') AS initial,
-        count(*) FILTER (to_display) AS shown FROM {CHOICE}""",
+    "r_snapshot_counts",
+    f"""SELECT count(*) FILTER (is_check) AS yes, count(*) FILTER (NOT is_check) AS no, count(*) FILTER (is_check IS NULL) AS maybe,
+        count(*) FILTER (is_initial) AS initial, count(*) FILTER (to_display) AS shown FROM {CHOICE}""",
 )
-def r_iteration_snapshot(spark, root):
-    joined = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("yes", "no", "maybe", "initial")}
-    return selection.snapshot(choice(spark, root)).withColumns(joined)
+def r_snapshot_counts(spark, root):
+    return selection.snapshot_counts(selection.snapshot(choice(spark, root)))
 
 
 @query(
@@ -419,11 +428,6 @@ def x_tokens(spark, root):
     return texts(spark, root).select("doc_id", F.array_join(text.simple_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("x_clean")
-def x_clean(spark, root):
-    return texts(spark, root).select("doc_id", text.clean_document(F.col("text"), text.STOP_WORDS_FR).alias("cleaned"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS_FR)
 
 
@@ -435,6 +439,27 @@ def x_stopwords(spark, root):
 _PROFILE = ", ".join(f"len(list_filter(tokens, lambda t: list_contains([{', '.join(repr(w) for w in ws)}], t))) AS n_{lang}" for lang, ws in text.PROFILES.items())
 
 
+def _cleaned(text_: str) -> str:
+    """The cleaning passes in DuckDB, whose patterns have neither back-references nor Unicode blanks of their own."""
+    blank = "[\\t-\\r \\x{85}\\p{Z}]"
+    full = blank.replace("[", "[^", 1)
+    out = text_
+    for pattern, put in ((f"{full}*@{full}*{blank}?", ""), (f"{blank}+", " "), ("_", ""), (f"https?://{full}+", ""), (f"www\\.*[\\r\\n]*{full}+", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{put}', 'g')"
+    for c in " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        out = f"regexp_replace({out}, '{c}{{3,}}', '{c}{c}', 'g')"
+    return out
+
+
+@query(
+    "x_clean",
+    f"""SELECT doc_id, nullif(array_to_string(list_filter(regexp_extract_all(lower({_cleaned('text')}), '[\\p{{L}}\\p{{N}}_]+'),
+        lambda t: length(t) BETWEEN 2 AND 15 AND NOT list_contains([{_STOP}], t)), ' '), '') AS cleaned FROM documents""",
+)
+def x_clean(spark, root):
+    return texts(spark, root).select("doc_id", text.clean_document(F.col("text"), text.STOP_WORDS_FR).alias("cleaned"))
+
+
 @query(
     "x_language",
     f"SELECT doc_id, CASE WHEN greatest(n_fr, n_de, n_it, n_en) = 0 THEN NULL WHEN n_fr >= greatest(n_de, n_it, n_en) THEN 'fr' WHEN n_de >= greatest(n_it, n_en) THEN 'de' WHEN n_it >= n_en THEN 'it' END AS found FROM (SELECT doc_id, {_PROFILE} FROM {{tokenized}})",
@@ -513,9 +538,12 @@ def t_chunks(spark, root):
     return texts(spark, root).select("doc_id", F.posexplode(passages.chunk_array(F.col("text"))).alias("place", "chunk"))
 
 
-@query("t_coarse_sentences")
+@query(
+    "t_coarse_sentences",
+    """SELECT doc_id, len(list_filter(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS n FROM documents""",
+)
 def t_coarse_sentences(spark, root):
-    return texts(spark, root).select("doc_id", F.size(text.coarse_sentences(F.col("text"))).alias("n"))
+    return texts(spark, root).select("doc_id", F.size(text.coarse_sentences(F.col("text"))).cast("long").alias("n"))
 
 
 @query(
@@ -601,12 +629,29 @@ def a_sanitize(spark, root):
     return texts(spark, root).select("doc_id", text.without_nul(F.col("text")).alias("text"))
 
 
-@query("a_incremental", "SELECT doc_id, n_chars FROM documents")
+@query(
+    "a_incremental",
+    """WITH d AS (SELECT doc_id, n_chars, decision_date FROM {corpus}), old AS (SELECT doc_id, n_chars FROM d WHERE decision_date <= DATE '2012-06-01')
+       SELECT * FROM old UNION ALL SELECT doc_id, 10 * n_chars FROM d WHERE decision_date >= DATE '2010-01-01' AND doc_id NOT IN (SELECT doc_id FROM old)""",
+)
 def a_incremental(spark, root):
+    return answers.incremental(*versions(spark, root))
+
+
+@query(
+    "a_incremental_legacy",
+    """WITH d AS (SELECT doc_id, n_chars, decision_date FROM {corpus})
+       SELECT doc_id, n_chars FROM d WHERE decision_date <= DATE '2012-06-01' UNION ALL SELECT doc_id, 10 * n_chars FROM d WHERE decision_date >= DATE '2010-01-01'""",
+)
+def a_incremental_legacy(spark, root):
+    return answers.incremental(*versions(spark, root), legacy=True)
+
+
+def versions(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """An old version of a project and a newer fetch, whose ranges of days overlap and whose lengths differ."""
     docs = corpus(spark, root).select("doc_id", "n_chars", "decision_date")
-    old = docs.filter(F.col("decision_date") <= F.lit(date(2012, 6, 1)))
-    new = docs.filter(F.col("decision_date") >= F.lit(date(2012, 6, 1)))
-    return answers.incremental(old, new).select("doc_id", "n_chars")
+    old = docs.filter(F.col("decision_date") <= F.lit(date(2012, 6, 1))).select("doc_id", "n_chars")
+    return old, docs.filter(F.col("decision_date") >= F.lit(date(2010, 1, 1))).select("doc_id", (10 * F.col("n_chars")).alias("n_chars"))
 
 
 @query(
@@ -618,9 +663,18 @@ def a_prompt_budget(spark, root):
     return answers.prompt_parts(rows, "source", "doc_id", "tokens", 4000).select("source", "doc_id", "tokens_before")
 
 
-@query("a_invalid", "SELECT doc_id, lower(trim(result)) = '' AS invalid FROM {corpus}")
+SAID = ("Réponse non disponible", " No content available. ", "error GENERATING response.", "", "  ", "The appeal is admitted", "no content")
+INVALID_SAID = "('', 'réponse non disponible', 'no content available.', 'no content available', 'error generating response.')"
+
+
+@query("a_invalid", f"SELECT doc_id, lower(trim({_duck(SAID, 'doc_id % 7')})) IN {INVALID_SAID} AS invalid FROM documents")
 def a_invalid(spark, root):
-    return corpus(spark, root).select("doc_id", answers.invalid_exact(F.col("result"), ("",)).alias("invalid"))
+    return said(spark, root).select("doc_id", answers.invalid_exact(F.col("answer")).alias("invalid"))
+
+
+def said(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, answer): valid and invalid answers by turns."""
+    return read_table(spark, root, "documents").select("doc_id", F.get(F.array(*[F.lit(x) for x in SAID]), F.pmod("doc_id", F.lit(len(SAID))).cast("int")).alias("answer"))
 
 
 @query("a_latest", "SELECT o_custkey AS project_id, max(o_orderkey) AS rag_id FROM orders GROUP BY o_custkey")
@@ -699,3 +753,5 @@ def q_html_text(spark, root):
 
 
 FLAGSHIP = "q_bm25_top20"
+
+from corpusloom import catalog_workspace  # noqa: E402, F401  (registers its queries)

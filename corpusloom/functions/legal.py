@@ -78,3 +78,11 @@ def norms(standards: Column, lang: str = "fr") -> Column:
     """array of struct(token, label, url) of a `;`-list."""
     tokens = F.filter(F.transform(F.split(F.coalesce(standards, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), norm(t, lang)["label"].alias("label"), norm(t, lang)["url"].alias("url")))
+
+
+def law_articles(rows: Column, lang: str = "fr") -> Column:
+    """Rows of law articles (struct with `article`, a citation) with the address of the statute, null if none is known.
+
+    The fields of a row stay; `article_url` joins them.
+    """
+    return F.transform(rows, lambda r: r.withField("article_url", F.when(F.trim(r["article"]) != "", reference(r["article"], lang)["url"])))

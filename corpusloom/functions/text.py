@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.staging import if_small, stored
+
 #: French words that topics leave out when no list is given.
 STOP_WORDS_FR = (
     "au aux avec ce ces dans de des du elle en et eux il je la le leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous"
@@ -55,10 +57,18 @@ def without(words: Column, stop: Sequence[str]) -> Column:
 
 #: Common words that mark a language; the one with most hits wins, the first named among equals.
 PROFILES = {
-    "fr": ("le", "la", "les", "des", "et", "une", "dans", "que", "qui", "pour", "est", "pas"),
-    "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "von", "ein", "eine", "den", "zu"),
-    "it": ("il", "lo", "gli", "che", "di", "della", "un", "per", "non", "con", "sono", "del"),
-    "en": ("the", "and", "of", "to", "in", "that", "is", "for", "with", "by", "was", "it"),
+    "fr": (
+        "le la les des et une dans que qui pour est pas du au aux ce cette ces il elle nous vous ils sur par avec ne se sont été être ont mais ou où leur leurs dont ainsi comme plus sans sous"
+    ).split(),
+    "de": (
+        "der die das und ist nicht mit von ein eine den zu des dem im auf für sich auch als an werden aus er sie es hat dass wird bei oder nach wie über nur noch am einer einem einen sind zur zum"
+    ).split(),
+    "it": (
+        "il lo gli che di della un per non con sono del dei delle nel nella alla ai al dal dalla come anche più questo questa si da è ha essere stato o ed ma se loro quale tra fra sul sulla degli"
+    ).split(),
+    "en": (
+        "the and of to in that is for with by was it as on are this be at from which or an not have has had were been their they but its his her who will would can more no such any"
+    ).split(),
 }
 
 
@@ -83,6 +93,30 @@ def clean_document(text: Column, stop: Sequence[str] = (), lemmas: Callable[[Col
     return F.when(words != "", words)
 
 
+#: Parts of speech that lemmatising keeps.
+KEPT_POS = ("NOUN", "ADJ", "VERB", "ADV")
+
+
+def lemmatized(docs: DataFrame, lemmas: DataFrame, kept: Sequence[str] = KEPT_POS, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(key, tokens) with each word's lemma, in order, by a dictionary (word, lemma, pos), one row for a word.
+
+    Words of other parts of speech go; a word that the dictionary lacks stays as it is. The
+    dictionary is broadcast while its size allows.
+    """
+    known = if_small(stored(lemmas.select(F.col("word").alias("_w"), "lemma", F.col("pos").isin(*kept).alias("_kept")), "lemmas"))
+    words = docs.repartition(key).select(key, F.posexplode_outer(tokens).alias("i", "_w")).join(known, "_w", "left")
+    put = F.when(F.coalesce("_kept", F.lit(True)), F.coalesce("lemma", "_w"))
+    held = F.collect_list(F.when(put.isNotNull(), F.struct("i", put.alias("word"))))
+    return words.groupBy(key).agg(F.transform(F.array_sort(held), lambda x: x["word"]).alias(tokens))
+
+
+def prepared(docs: DataFrame, text: str = "text", language: Callable[[Column], Column] | None = None, stop: Sequence[str] = STOP_WORDS_FR, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(processed, rejected): (key, language, prepared) of documents in a language that is kept with words left, and the keys of the others."""
+    rows = docs.select(key, (language or detected_language)(F.col(text)).alias("language"), clean_document(F.col(text), stop).alias("prepared"))
+    good = F.col("language").isNotNull() & F.col("prepared").isNotNull()
+    return rows.filter(good), rows.filter(~good).select(key)
+
+
 def highlighted(text: Column, words: Iterable[str], css: str = "", colour: str = "") -> Column:
     """Whole words in a span of a class, or of a colour, whatever their case; not inside of tags or next to quotes."""
     style = f'class="{css}"' if css else f'style="background-color: {colour}40"'
@@ -91,6 +125,14 @@ def highlighted(text: Column, words: Iterable[str], css: str = "", colour: str =
     return text
 
 
+def highlighted_by_row(text: Column, words: Column, colour: Column) -> Column:
+    """The same in a colour for words that differ from row to row: an array, folded one word after the other."""
+    escaped = lambda w: F.regexp_replace(w, r"(?U)([^\w\s])", r"\\$1")
+    pattern = lambda w: F.concat(F.lit(r"""(?iU)\b(?<!["'<>])("""), escaped(w), F.lit(r""")(?![^<>]*>)\b"""))
+    put = F.concat(F.lit('<span style="background-color: '), F.coalesce(colour, F.lit("")), F.lit('40">$1</span>'))
+    return F.aggregate(F.filter(words, lambda w: w != ""), text, lambda t, w: F.regexp_replace(t, pattern(w), put))
+
+
 def _literal(word: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", word)
 

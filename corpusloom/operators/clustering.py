@@ -1,4 +1,4 @@
-"""Clusters and maps of weighted documents. The clusterer is a parameter; the default is Spark's own.
+"""Clusters and maps of weighted documents. The clusterer is a parameter: by density, or Spark's k-means.
 
 Labels are numbers from 0, -1 is noise, probabilities lie between 0 and 1. Vectors come from hashed
 terms, so no vocabulary is gathered in one place.
@@ -6,17 +6,29 @@ terms, so no vocabulary is gathered in one place.
 
 from __future__ import annotations
 
+import itertools
+import json
+import random
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.operators.graph import connected_components
+from corpusloom.operators.stats import NOISE
+from corpusloom.sources.staging import stored
 
 LEAST_DOCUMENTS = 20
+#: Fixed value: the colour of the noise topic.
+NOISE_COLOUR = "#9494b8"
 
 
 @dataclass(frozen=True)
@@ -47,16 +59,134 @@ def kmeans(vectors: DataFrame, trial: Trial, noise_below: float = 0.0, key: str
     return rows.withColumn("cluster_id", F.when(F.col("prob") < noise_below, -1).otherwise(F.col("cluster_id")))
 
 
-Clusterer = Callable[[DataFrame, Trial], DataFrame]
+Clusterer = Callable[..., DataFrame]
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame, key: str = "doc_id") -> float:
-    """Mean cosine silhouette; -1 where it is not defined."""
-    rows = vectors.join(labels.filter("cluster_id >= 0"), key)
-    try:
-        return ClusteringEvaluator(predictionCol="cluster_id", distanceMeasure="cosine").evaluate(rows)
-    except Exception:  # one cluster or none
+    """Mean cosine silhouette of rows that are no noise; -1 where there are not two clusters."""
+    rows = stored(vectors.join(labels.filter("cluster_id >= 0").select(key, "cluster_id"), key), "silhouette")
+    if rows.select("cluster_id").distinct().limit(2).count() < 2:
         return -1.0
+    return ClusteringEvaluator(predictionCol="cluster_id", distanceMeasure="cosine").evaluate(rows)
+
+
+@dataclass(frozen=True)
+class Density:
+    """dimensions that vectors are projected to; width of a cell in units of the projection's spread; documents that make a cell dense."""
+
+    dimensions: int
+    width: float
+    least: int
+
+
+def projected(vectors: DataFrame, dimensions: int, key: str = "doc_id") -> DataFrame:
+    """(key, p): the first principal components, an array."""
+    rows = PCA(k=dimensions, inputCol="features", outputCol="_p").fit(vectors).transform(vectors)
+    return rows.select(key, vector_to_array("_p").alias("p"))
+
+
+def density(vectors: DataFrame, trial: Density, key: str = "doc_id") -> DataFrame:
+    """(key, cluster_id, prob) by density in a projection of vectors."""
+    points = stored(projected(vectors, trial.dimensions, key), "projected")
+    spread = points.agg(*[F.var_pop(F.get("p", F.lit(i))).alias(f"v{i}") for i in range(trial.dimensions)]).first()
+    size = (sum(v or 0.0 for v in spread) / trial.dimensions) ** 0.5 or 1.0
+    return density_clusters(points, trial.width * size, trial.least, trial.dimensions, key)
+
+
+def density_clusters(points: DataFrame, width: float, least: int, dimensions: int, key: str = "doc_id") -> DataFrame:
+    """(key, cluster_id, prob) of points (key, p) by the density of the cells of a grid.
+
+    A cell of at least `least` points is dense. Dense cells that touch, by a corner at least, form a
+    cluster; numbers rise as sizes fall, from 0. A point of another cell that touches dense ones goes to
+    the densest of these (the first in order among equals); the rest is noise, -1. prob: how dense
+    its cell is by the cluster's densest, per dimension; 0 for noise. What is compared is cells, each
+    with its 3 ** dimensions neighbours, never points with points.
+    """
+    cell = F.transform("p", lambda x: F.floor(x / F.lit(width)).cast("int"))
+    placed = stored(points.select(key, cell.alias("cell")), "placed")
+    cells = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")), "cells")
+    steps = F.array(*[F.array(*[F.lit(d) for d in step]) for step in itertools.product((-1, 0, 1), repeat=dimensions)])
+    beside = cells.select("cell", "c", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("near"))
+    dense = cells.filter(F.col("c") >= least).select(F.col("cell").alias("near"), F.col("c").alias("near_c"))
+    touching = stored(beside.join(dense, "near"), "touching")
+    joined = connected_components(touching.filter(F.col("c") >= least).select(F.col("cell").alias("a"), F.col("near").alias("b")))
+    best = touching.filter(F.col("c") < least).groupBy("cell", "c").agg(F.min(F.struct((-F.col("near_c")).alias("n"), "near")).alias("b"))
+    homes = touching.filter((F.col("c") >= least) & (F.col("cell") == F.col("near"))).select("cell", "c", F.col("cell").alias("home"))
+    homes = homes.unionByName(best.select("cell", "c", F.col("b.near").alias("home"))).join(joined.select(F.col("id").alias("home"), "label"), "home")
+    homes = stored(homes, "homes")
+    sizes = homes.groupBy("label").agg(F.sum("c").alias("size"), F.max("c").alias("top"))
+    # One row for each cluster, of which each has `least` documents.
+    ranks = sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("int"))
+    named = homes.join(ranks, "label").select("cell", "cluster_id", F.pow(F.col("c") / F.col("top"), F.lit(1.0 / dimensions)).alias("prob"))
+    return placed.join(named, "cell", "left").select(key, F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+
+
+def search_space(count: int, documents: int, seed: int = 5) -> list[Density]:
+    """The first trials of an endless series; which one has which number depends on the seed alone."""
+    draw = random.Random(seed)
+    most = max(5, min(50, documents // 20))
+    return [Density(draw.randint(2, 5), round(draw.uniform(0.2, 1.2), 3), draw.randint(3, most)) for _ in range(count)]
+
+
+TRIALS = "number int, params string, state string, score double"
+
+
+def study(vectors: DataFrame, wanted: int, done: DataFrame | None = None, jobs: int = 1, clusterer: Clusterer = density, space: Sequence | None = None) -> DataFrame:
+    """The trials table (TRIALS) with `wanted` trials: those of `done` that are complete, and new ones for the numbers that lack.
+
+    `jobs` trials run at a time, as Spark jobs side by side. A trial that fails is recorded as such
+    and tried again when the study is resumed. Write the table to resume later.
+    """
+    spark = vectors.sparkSession
+    kept = [] if done is None else [tuple(r) for r in done.filter((F.col("state") == "COMPLETE") & (F.col("number") < wanted)).select(*[c.split()[0] for c in TRIALS.split(", ")]).collect()]
+    space = search_space(wanted, vectors.count()) if space is None else space
+    left = sorted(set(range(min(wanted, len(space)))) - {r[0] for r in kept})
+
+    def run(number: int) -> tuple:
+        told = json.dumps(asdict(space[number]))
+        try:
+            labels = stored(clusterer(vectors, space[number]), "trial")
+            noise = labels.agg(F.avg((F.col("cluster_id") < 0).cast("double"))).first()[0] or 0.0
+            return number, told, "COMPLETE", silhouette(vectors, labels) * (1 - noise)
+        except PySparkException:
+            return number, told, "FAIL", None
+
+    with ThreadPoolExecutor(max(1, jobs)) as pool:
+        made = list(pool.map(run, left))
+    return spark.createDataFrame(kept + made, TRIALS)
+
+
+def count_trials(trials: DataFrame) -> int:
+    return trials.filter(F.col("state") == "COMPLETE").count()
+
+
+def best_params(trials: DataFrame) -> dict | None:
+    """Parameters of the complete trial of greatest score, the first among equals; None without any."""
+    rows = trials.filter(F.col("state") == "COMPLETE").agg(F.max_by("params", F.struct("score", -F.col("number"))).alias("p"))
+    found = rows.first()["p"]
+    return json.loads(found) if found else None
+
+
+def clustered(vectors: DataFrame, wanted: int = 10, done: DataFrame | None = None, jobs: int = 1) -> tuple[DataFrame | None, DataFrame | None]:
+    """(labels, trials): a study and the clusters of its best trial; (None, done) below LEAST_DOCUMENTS."""
+    if vectors.limit(LEAST_DOCUMENTS).count() < LEAST_DOCUMENTS:
+        return None, done
+    trials = study(vectors, wanted, done, jobs)
+    best = best_params(trials)
+    return (density(vectors, Density(**best)) if best else None), trials
+
+
+#: Topic and number of the one cluster that an early map has until clusters are found.
+PROVISIONAL = ("provisional", -2)
+
+
+def early_map(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, cluster_id, pos_x, pos_y): the map with all documents in one provisional cluster."""
+    return mapped(vectors, key).select(key, F.lit(PROVISIONAL[1]).alias("cluster_id"), "pos_x", "pos_y")
+
+
+def without_provisional(elements: DataFrame) -> DataFrame:
+    return elements.filter(F.col("cluster_id") != PROVISIONAL[1])
 
 
 def best_trial(vectors: DataFrame, trials: Sequence[Trial], clusterer: Clusterer = kmeans) -> tuple[Trial, float]:
@@ -91,4 +221,4 @@ def palette(topics: Sequence[str], noise: str = "unclassified papers") -> dict[s
 
     named = [t for t in topics if t != noise]
     out = {t: "#" + "".join(f"{round(255 * c):02x}" for c in colorsys.hls_to_rgb(k / max(1, len(named)), 0.5, 0.65)) for k, t in enumerate(named)}
-    return out | ({noise: "#9494b8"} if noise in topics else {})
+    return out | ({noise: NOISE_COLOUR} if noise in topics else {})

@@ -8,6 +8,7 @@ inside its group instead of emptying it.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -78,9 +79,11 @@ def topic(column: str) -> Facet:
     return predicate
 
 
-def filtered(docs: DataFrame, filters: Mapping[str, Mapping[str, Sequence[str]]], facets: Mapping[str, Facet], key: str = "doc_id", base: Column | None = None) -> DataFrame:
+def filtered(docs: DataFrame, filters: Mapping[str, Mapping[str, Sequence[str]]], facets: Mapping[str, Facet], key: str = "doc_id", base: Column | None = None, clustered: Column | None = None, free: Sequence[str] = ("Topic",)) -> DataFrame:
     """The rows of `docs` that the payload selects. Without a union group the rows of `base` (all) count.
 
+    Where only clustered documents count, give `clustered`, a condition: all facets but the `free` ones are bound to it.
+
     Whether a facet matches anything is one aggregate over the documents; the rest is a filter.
     """
     rows = docs
@@ -91,7 +94,8 @@ def filtered(docs: DataFrame, filters: Mapping[str, Mapping[str, Sequence[str]]]
         for facet, values in chosen.items():
             name = f"_f{len(names)}"
             names.append(name)
-            rows = rows.withColumn(name, reduce(Column.__or__, [facets[facet](v) for v in values], F.lit(False)))
+            hit = reduce(Column.__or__, [facets[facet](v) for v in values], F.lit(False))
+            rows = rows.withColumn(name, hit if clustered is None or facet in free else hit & F.coalesce(clustered, F.lit(False)))
             flags.append(name)
         if "filter-union" in group:
             union.append(flags)
@@ -128,10 +132,36 @@ def options(docs: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(multi_values(F.col(column))).alias("value")).distinct().orderBy("value")
 
 
-def rendered(filters: Mapping[str, Mapping[str, Sequence[str]]]) -> str:
-    """The payload in words: `(a AND b) OR (c) NOT (x OR y)`."""
-    words = lambda values, op: f" {op} ".join(values)
-    inner = lambda facets: [words(v, "OR") if len(v) == 1 else f"({words(v, 'OR')})" for v in facets.values()]
-    union = [f"({' AND '.join(inner(f))})" for g, f in filters.items() if "filter-union" in g]
-    gone = [x for g, f in filters.items() if "filter-exclude" in g for v in f.values() for x in v]
-    return " OR ".join(union) + (f" NOT ({words(gone, 'OR')})" if gone else "")
+def rendered(filters: Mapping[str, Mapping[str, Sequence[str]]], emphasis: tuple[str, str] = ("<b>", "</b>")) -> tuple[str, str]:
+    """The union groups and the exclude groups of a payload in words, as they are shown.
+
+    Values are named by their facet; topics by their number, with their words as a tooltip.
+    Groups are `(a AND b) OR (c)`, what is excluded `(x OR y)`, for each exclude group.
+    """
+    tips: dict[str, str] = {}
+
+    def named(facet: str, value: str) -> str:
+        if facet != "Topic":
+            return f"{facet}: {value}"
+        number, _, words = value.partition(": ")
+        name = value if value == NOISE_TOPIC else f"Topic {number}"
+        tips[name] = value if value == NOISE_TOPIC else words.split(": ")[0]
+        return name
+
+    def groups(kind: str, word: str) -> list[str]:
+        own = [g for name, g in filters.items() if kind in name and not (kind == "exclude" and "union" in name)]
+        return ["(" + _said(word, emphasis).join(named(f, v) for f, vs in g.items() for v in vs) + ")" for g in own]
+
+    union, gone = _said("OR", emphasis).join(groups("union", "AND")), _said("OR", emphasis).join(groups("exclude", "OR"))
+    return with_tips(union, tips), with_tips(gone, tips)
+
+
+def _said(word: str, emphasis: tuple[str, str]) -> str:
+    return f"{emphasis[0]} {word} {emphasis[1]}"
+
+
+def with_tips(text: str, tips: Mapping[str, str]) -> str:
+    """Whole words, whatever their case, in a span with a tooltip; not inside of tags."""
+    for word, tip in tips.items():
+        text = re.sub(rf"""\b(?<!["'<>])({re.escape(word)})(?![^<>]*>)\b""", lambda m, tip=tip: f'<span data-toggle="tooltip" data-placement="bottom" title="{tip}">{m[1]}</span>', text, flags=re.I)
+    return text

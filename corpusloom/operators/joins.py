@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from corpusloom.operators.blocks import against_all
+from corpusloom.functions.text import coarse_sentences
+from corpusloom.operators.ranking import numbered
+from corpusloom.sources.staging import stored
 
 
 def with_scores(items: DataFrame, scores: DataFrame, key: str = "doc_id", score: str = "score") -> DataFrame:
@@ -53,35 +60,105 @@ def carried_scores(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     return both.crossJoin(F.broadcast(sides)).filter("sides = 2").select("doc_id", "score")
 
 
+#: Points of a cell of the map, on average.
+PER_CELL = 64
+
+
 def nearest_points(points: DataFrame, selected: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """(doc_id, neighbour, d2, place): for each selected document its k nearest others on the map.
 
-    The selected rows are the query set; they go to all points in blocks of a checked size. Each
-    task keeps its k best for a query before the shuffle.
+    The map is cut into cells of a grid, finer for more points. A document meets the points of the
+    rings of cells around its own: first of so few rings that k points are expected, then of as
+    many as its k-th best so far (or their lack) asks for, until no nearer one can lie outside. So
+    pairs grow with the documents that are selected, not with all points times all selected.
     """
-    chosen = points.join(selected.select(key), key, "left_semi").select(F.col(key).alias("doc_id"), F.col("pos_x").alias("qx"), F.col("pos_y").alias("qy"))
+    edge = points.agg(F.count(F.lit(1)).alias("n"), F.min("pos_x"), F.max("pos_x"), F.min("pos_y"), F.max("pos_y")).first()
+    n, lo_x, hi_x, lo_y, hi_y = (edge[i] for i in range(5))
+    cells = max(1, math.isqrt(max(n, 1) // PER_CELL))
+    size = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0)) / cells or 1.0
+    cell = lambda c, lo: F.floor((F.col(c) - F.lit(lo or 0.0)) / F.lit(size)).cast("int")
+    placed = points.withColumns({"cx": cell("pos_x", lo_x), "cy": cell("pos_y", lo_y)}).select(F.col(key).alias("neighbour"), "pos_x", "pos_y", "cx", "cy")
+    dealt = stored(placed, "cells")
+    chosen = stored(points.join(selected.select(key), key, "left_semi").select(F.col(key).alias("doc_id"), F.col("pos_x").alias("qx"), F.col("pos_y").alias("qy")), "chosen")
     d2 = F.pow(F.col("pos_x") - F.col("qx"), F.lit(2)) + F.pow(F.col("pos_y") - F.col("qy"), F.lit(2))
-    w = Window.partitionBy("doc_id").orderBy("d2", "neighbour")
-
-    def run(queries: DataFrame) -> DataFrame:
-        pairs = points.select(F.col(key).alias("neighbour"), "pos_x", "pos_y").join(queries, F.col("neighbour") != F.col("doc_id"))
-        return pairs.select("doc_id", "neighbour", d2.alias("d2")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-    return against_all(chosen, "doc_id", run)
+    best = Window.partitionBy("doc_id").orderBy("d2", "neighbour")
+    home_x, home_y = F.floor((F.col("qx") - F.lit(lo_x or 0.0)) / F.lit(size)).cast("int"), F.floor((F.col("qy") - F.lit(lo_y or 0.0)) / F.lit(size)).cast("int")
+
+    def within(queries: DataFrame) -> DataFrame:
+        """The k best of queries (doc_id, qx, qy, rings) among points at most so many cells away, and all that is left of the map."""
+        reach = lambda home: F.sequence(F.greatest(home - F.col("rings"), F.lit(0)), F.least(home + F.col("rings"), F.lit(cells)))
+        met = queries.withColumn("cx", F.explode(reach(home_x))).withColumn("cy", F.explode(reach(home_y)))
+        pairs = met.join(dealt, ["cx", "cy"]).filter(F.col("neighbour") != F.col("doc_id"))
+        return pairs.select("doc_id", "qx", "qy", "rings", "neighbour", d2.alias("d2")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+
+    found, open_ = [], chosen.withColumn("rings", F.lit(max(1, math.ceil(math.sqrt((k + 1) / PER_CELL)))))
+    while True:
+        near = stored(within(open_), "near")
+        # A query is settled once its k-th best lies within the rings that were read, or the whole map was.
+        last = near.groupBy("doc_id").agg(F.max("place").alias("got"), F.sqrt(F.max("d2")).alias("far"))
+        asked = open_.join(last, "doc_id", "left").withColumn("need", F.when(F.coalesce("got", F.lit(0)) >= k, (F.floor(F.col("far") / size) + 1).cast("int")).otherwise(2 * F.col("rings")))
+        more = stored(asked.filter((F.col("rings") < cells + 1) & (F.col("need") > F.col("rings"))).select("doc_id", "qx", "qy", F.least("need", F.lit(cells + 1)).alias("rings")), "open")
+        found.append(near.join(more.select("doc_id"), "doc_id", "left_anti").select("doc_id", "neighbour", "d2", "place"))
+        if not more.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        open_ = more
+
+
+def _common(a: str, b: str) -> int:
+    """Characters of the longest common subsequence, with a bit for each character of `b`."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    row = whole
+    for c in a:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
+
+
+def _sorted_words(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")), " ")
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([200.0 * _common(a, b) / n if (n := len(a) + len(b)) else 0.0 for a, b in zip(x, y, strict=True)])
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """Likeness in percent of two texts with sorted words: 100 less the share of edits."""
-    words = lambda t: F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: w != "")), " ")
-    x, y = words(a), words(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(100.0 * (1 - F.levenshtein(x, y) / longest))
+    """Likeness in percent of two texts with sorted words: 100 less the share of characters to put in or take out. Case counts."""
+    return _ratio(_sorted_words(a), _sorted_words(b))
 
 
 def fuzzy_sentences(sentences: DataFrame, targets: DataFrame, least: float = 65.0) -> DataFrame:
-    """(doc_id, place, sentence, marked): marked if a target of the document is alike enough."""
-    met = sentences.join(targets, "doc_id", "left").withColumn("hit", F.coalesce(fuzzy_ratio(F.col("sentence"), F.col("target")) >= least, F.lit(False)))
-    return met.groupBy("doc_id", "place", "sentence").agg(F.bool_or("hit").alias("marked"))
+    """(doc_id, place, sentence, marked): marked if a target of the document is alike enough.
+
+    Words are sorted once for each side; pairs whose lengths alone rule it out are not compared.
+    """
+    one = sentences.select("doc_id", "place", "sentence", _sorted_words(F.col("sentence")).alias("x"))
+    two = targets.select("doc_id", _sorted_words(F.col("target")).alias("y")).distinct()
+    size, other = F.length("x"), F.length("y")
+    near = one.join(two, "doc_id").filter(200.0 * F.least(size, other) >= F.lit(least) * (size + other))
+    hits = near.filter(_ratio("x", "y") >= least).select("doc_id", "place").distinct().withColumn("marked", F.lit(True))
+    return one.select("doc_id", "place", "sentence").join(hits, ["doc_id", "place"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+
+
+def highlighted_sentences(documents: DataFrame, targets: DataFrame, text: str = "text", colour: str = "#FFFF77", least: float = 65.0) -> DataFrame:
+    """(doc_id, marked_text): coarse sentences joined by a blank, those like a target in a span."""
+    parts = documents.select("doc_id", F.posexplode(coarse_sentences(F.col(text))).alias("place", "sentence"))
+    shown = F.when(F.col("marked"), F.concat(F.lit(f'<span style="background-color: {colour}">'), "sentence", F.lit("</span>"))).otherwise(F.col("sentence"))
+    rows = fuzzy_sentences(parts, targets, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("s")))).alias("parts"))
+    joined = rows.select("doc_id", F.array_join(F.transform("parts", lambda x: x["s"]), " ").alias("marked_text"))
+    return documents.select("doc_id").join(joined, "doc_id", "left").withColumn("marked_text", F.coalesce("marked_text", F.lit("")))
+
+
+def zipped(one: DataFrame, two: DataFrame, by_one: str, by_two: str) -> DataFrame:
+    """Rows of both at equal places of their orders (by keys that are unique); the longer one's rest is left out.
+
+    The columns of `two` must have other names than those of `one`.
+    """
+    return numbered(one, by_one).join(numbered(two, by_two), "place").drop("place")
 
 
 def first_by_type(documents: DataFrame) -> DataFrame:

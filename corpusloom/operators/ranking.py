@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.sources.staging import stored
+
 NOISE_TOPIC = "unclassified papers"
 
 
@@ -22,19 +26,25 @@ def page(rows: DataFrame, number: int, order: list[Column], size: int = 30, tota
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def batches(rows: DataFrame, size: int, key: str) -> DataFrame:
-    """Adds `batch`: consecutive groups of `size` keys.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """Adds `place`: 0 for the row of least key, and so on.
 
-    Rows are dealt by ranges of the key; a batch number is a row's place in its range plus the
-    rows of the ranges before, whose counts are one small table.
+    Rows are dealt by ranges of the key and written; a row's number is its place in its range plus
+    the rows of the ranges before, whose counts are one small table.
     """
-    if size <= 0:
-        raise ValueError("a batch has at least one row")
-    dealt = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = stored(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "dealt")
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("_before")
-    return dealt.join(before, "_part").withColumn("batch", F.floor(place / size)).drop("_part", "_before")
+    # One row for each range, so never many.
+    return dealt.join(F.broadcast(before), "_part").withColumn("place", place).drop("_part", "_before")
+
+
+def batches(rows: DataFrame, size: int, key: str) -> DataFrame:
+    """Adds `batch`: consecutive groups of `size` keys."""
+    if size <= 0:
+        raise ValueError("a batch has at least one row")
+    return numbered(rows, key).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def top_per_group(rows: DataFrame, group: str, score: str, n: int, key: str = "doc_id") -> DataFrame:
@@ -71,6 +81,12 @@ def topic_labels(tfidf: DataFrame, elements: DataFrame, terms: int = 30) -> Data
     return named.unionByName(noise)
 
 
+def in_order(projects: DataFrame, ids: Sequence[int], key: str = "project_id") -> DataFrame:
+    """The projects of a list of ids, in the list's order."""
+    place = F.array_position(F.array(*[F.lit(i) for i in dict.fromkeys(ids)]), F.col(key))
+    return projects.filter(F.col(key).isin(*ids)).orderBy(place) if ids else projects.limit(0)
+
+
 def by_history(projects: DataFrame, counts: DataFrame, descending: bool) -> DataFrame:
     n = F.coalesce(F.col("n"), F.lit(0))
     rows = projects.join(counts, "project_id", "left").withColumn("n", n)
@@ -78,13 +94,14 @@ def by_history(projects: DataFrame, counts: DataFrame, descending: bool) -> Data
 
 
 def supporting_types(support: DataFrame, documents: DataFrame, whole: int, most: int = 3) -> DataFrame:
-    """For each consideration its percent and the first procedure types of its documents."""
-    rows = support.select("consideration", "frequency", F.posexplode_outer("documents").alias("place", "doc_id"))
-    named = rows.join(documents.select("doc_id", "procedure_type"), "doc_id", "left").groupBy("consideration", "frequency")
-    got = named.agg(F.array_sort(F.collect_list(F.when(F.col("procedure_type").isNotNull(), F.struct("place", "procedure_type")))).alias("t"))
-    types = F.slice(F.transform("t", lambda x: x["procedure_type"]), 1, most)
+    """For each consideration (rows of consideration, frequency, doc_id) its percent and the procedure
+    types of its first documents; documents without type do not count."""
+    named = support.join(documents.filter("procedure_type is not null").select("doc_id", "procedure_type"), "doc_id")
+    first = top_per_group(named.withColumn("_first", -F.col("doc_id")), "consideration", "_first", most)
+    types = first.groupBy("consideration").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "procedure_type"))), lambda x: x["procedure_type"]).alias("types"))
     percent = F.bround(100.0 * F.col("frequency") / F.lit(max(whole, 1)), 1)
-    return got.select("consideration", percent.alias("percent"), F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("Inconnu"))).alias("types"))
+    rows = support.select("consideration", "frequency").distinct().join(types, "consideration", "left")
+    return rows.select("consideration", percent.alias("percent"), F.coalesce("types", F.array(F.lit("Inconnu"))).alias("types"))
 
 
 def answer_table(answers: DataFrame, facets: dict[str, str], needle: str, order: str, descending: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,18 @@ def matching(corpus: DataFrame, query: str, begin: date | None = None, end: date
     return rows.withColumn("_padded", padded_tokens(F.col(text))).filter(boolean.compiled(node, F.col("_padded"))).drop("_padded")
 
 
+#: The fields that a scan of the index gives.
+FIELDS = (
+    "id", "collector_name", "document_text", "procedure_type", "decision_type", "decision_date", "descriptors", "summary", "standards", "result", "record_key", "document", "language",
+)
+
+
+def scan(corpus: DataFrame, query: str, key: str = "id", text: str = "document_text", fields: Sequence[str] = FIELDS, slices: int = 1, **kw) -> DataFrame:
+    """Scored hits with a scan's fields (those that the corpus has) and `slice`, a number below `slices` by hash of the key."""
+    rows = corpus.select(*[c for c in fields if c in corpus.columns])
+    return scored(rows, query, key=key, text=text, **kw).withColumn("slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+
+
 def count_matching(corpus: DataFrame, query: str, **kw) -> DataFrame:
     return matching(corpus, query, **kw).agg(F.count(F.lit(1)).alias("n"))
 

@@ -30,23 +30,23 @@ def unchecked_hidden(choice: DataFrame) -> DataFrame:
 
 
 def snapshot(choice: DataFrame) -> DataFrame:
-    """One row: sorted ids that are yes, no, maybe and initial, and the number shown."""
-    ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("doc_id"))))
-    c = F.col("is_check")
-    return choice.agg(
-        ids(F.coalesce(c, F.lit(False))).alias("yes"),
-        ids(F.coalesce(~c, F.lit(False))).alias("no"),
-        ids(c.isNull()).alias("maybe"),
-        ids(F.col("is_initial")).alias("initial"),
-        F.count_if("to_display").alias("shown"),
-    )
+    """(doc_id, state, is_initial, to_display) with state `yes`, `no` or `maybe`: an iteration's rows.
+
+    Kept by iteration as rows, not as arrays, so a selection of any size is never one row.
+    """
+    state = F.when(F.col("is_check"), "yes").when(~F.col("is_check"), "no").otherwise("maybe")
+    return choice.select("doc_id", state.alias("state"), "is_initial", "to_display")
+
+
+def snapshot_counts(snap: DataFrame) -> DataFrame:
+    """One row: documents in each state, initial ones, and those shown."""
+    return snap.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("yes", "no", "maybe")], F.count_if("is_initial").alias("initial"), F.count_if("to_display").alias("shown"))
 
 
 def restored(snap: DataFrame) -> DataFrame:
-    """The selection that a snapshot holds."""
-    s = snap.withColumn("doc_id", F.explode(F.array_distinct(F.concat("yes", "no", "maybe"))))
-    has = lambda c: F.array_contains(c, F.col("doc_id"))
-    return s.select("doc_id", (~has("no")).alias("to_display"), has("initial").alias("is_initial"), F.when(has("yes"), True).when(has("no"), False).alias("is_check"))
+    """The selection that a snapshot holds: what was marked no is hidden."""
+    s = F.col("state")
+    return snap.select("doc_id", (s != "no").alias("to_display"), "is_initial", F.when(s == "yes", True).when(s == "no", False).alias("is_check"))
 
 
 def iterated(choice: DataFrame, points: DataFrame, excluded: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -61,6 +61,68 @@ def iterated(choice: DataFrame, points: DataFrame, excluded: DataFrame, k: int =
     return hidden.select(*STATE).unionByName(added), gone
 
 
+def next_iteration(iterations: DataFrame, refinement: int, choice: DataFrame, points: DataFrame, excluded: DataFrame, parent: int | None = None, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One more iteration of a refinement: (iterations, its selection, its excluded ids).
+
+    iterations: (refinement_id, id, parent). What came after the parent (the last one if none is
+    given) goes; the new iteration gets the next id. `excluded` are the parent's.
+    """
+    own = iterations.filter(F.col("refinement_id") == refinement)
+    last = own.agg(F.max("id")).first()[0]
+    if last is None:
+        raise ValueError(f"refinement {refinement} has no iteration")
+    parent = last if parent is None else parent
+    kept = pruned_after(iterations, refinement, parent)
+    refuse_more(kept.filter(F.col("refinement_id") == refinement), LIMIT_ITERATIONS, "iterations")
+    rows, gone = iterated(choice, points, excluded, k)
+    top = iterations.agg(F.max("id")).first()[0]
+    added = iterations.sparkSession.createDataFrame([(refinement, top + 1, parent)], iterations.select("refinement_id", "id", "parent").schema)
+    return kept.select("refinement_id", "id", "parent").unionByName(added), rows, gone
+
+
+def refuse_more(rows: DataFrame, most: int, what: str) -> None:
+    """An error once there are as many rows as may be."""
+    if rows.limit(most).count() >= most:
+        raise ValueError(f"there are {most} {what} already")
+
+
+def pruned_after(iterations: DataFrame, refinement: int, keep: int) -> DataFrame:
+    """Iterations without those from the refinement's last one up its parents to `keep`, which stays.
+
+    As in a walk from the last one: if `keep` is not among its parents, all of them but the root go.
+    """
+    own = iterations.filter(F.col("refinement_id") == refinement)
+    last = own.agg(F.max("id")).first()[0]
+    if last is None:
+        return iterations
+    chain = lineage(own, last).join(own.select("id", "parent"), "id")
+    at = chain.filter(F.col("id") == keep).select(F.min("depth").alias("upto"))
+    gone = chain.crossJoin(F.broadcast(at)).filter((F.col("depth") < F.coalesce("upto", F.lit(2**31 - 1))) & F.col("parent").isNotNull())
+    return iterations.join(gone.select("id"), "id", "left_anti")
+
+
+def without_iteration(iterations: DataFrame, refinement: int, gone: int) -> tuple[DataFrame, int | None]:
+    """Iterations without one, and the id of its parent; an unknown one and a root stay (None)."""
+    found = iterations.filter((F.col("refinement_id") == refinement) & (F.col("id") == gone)).first()
+    if found is None or found["parent"] is None:
+        return iterations, None
+    return iterations.filter(F.col("id") != gone), found["parent"]
+
+
+def reset(iterations: DataFrame, refinement: int) -> tuple[DataFrame, int | None]:
+    """Iterations after a walk from the refinement's last one to its root, and the root; what is passed goes."""
+    own = iterations.filter(F.col("refinement_id") == refinement)
+    last = own.agg(F.max("id")).first()[0]
+    if last is None:
+        return iterations, None
+    root = lineage(own, last).orderBy(F.desc("depth")).first()["id"]
+    return pruned_after(iterations, refinement, root), root
+
+
+def all_displayed(choice: DataFrame) -> DataFrame:
+    return choice.withColumn("to_display", F.lit(True))
+
+
 def lineage(iterations: DataFrame, start: int) -> DataFrame:
     """(id, depth) from an iteration up to its root, by a recursive query over (id, parent)."""
     spark = iterations.sparkSession

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corpusloom.functions.phrases import pair_counts
+from corpusloom.sources.staging import stored
 
 NOISE = -1
 
@@ -48,15 +52,32 @@ def token_lengths(rows: DataFrame, text: str, tokens: Column) -> DataFrame:
     return rows.filter(F.coalesce(F.trim(text), F.lit("")) != "").agg(F.max(tokens).alias("longest"), F.count(F.lit(1)).alias("n"))
 
 
+def median(rows: DataFrame, value: str) -> DataFrame:
+    """One row with the exact `median` of the values that are not null; null if there are none.
+
+    Equal values are one row; those are dealt by range and numbered by running counts, range by
+    range, so no task holds all of them.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    dealt = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("c").alias("size"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    placed = dealt.join(F.broadcast(parts), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return placed.agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def score_summary(rows: DataFrame, score: str, threshold: float, digits: int = 3) -> DataFrame:
     """mean, median, sample deviation (0 for one row), percent at or above a threshold."""
     s = F.col(score)
-    return rows.agg(
+    plain = rows.agg(
         F.bround(F.avg(s), digits).alias("mean"),
-        F.bround(F.median(s), digits).alias("median"),
         F.bround(F.coalesce(F.stddev_samp(s), F.lit(0.0)), digits).alias("deviation"),
         F.bround(100 * F.avg((s >= threshold).cast("int")), 2).alias("percent"),
     )
+    return plain.crossJoin(median(rows, score)).select("mean", F.bround("median", digits).alias("median"), "deviation", "percent")
 
 
 POLAR = ("oui", "non", "peut_etre", "mixte")
@@ -70,9 +91,11 @@ def polar_answers(rows: DataFrame, label: str, labels: tuple[str, ...] = POLAR)
 
 
 def consideration_support(rows: DataFrame) -> DataFrame:
-    """From (doc_id, consideration, supported): frequency and sorted supporting documents."""
-    yes = F.col("supported")
-    return rows.groupBy("consideration").agg(F.count_if(yes).alias("frequency"), F.array_sort(F.collect_set(F.when(yes, F.col("doc_id")))).alias("documents"))
+    """From (doc_id, consideration, supported): (consideration, frequency, doc_id), a row for each supporting
+    document, and one without for a consideration that none supports."""
+    frequency = rows.groupBy("consideration").agg(F.count_if("supported").alias("frequency"))
+    support = rows.filter("supported").select("consideration", "doc_id").distinct()
+    return frequency.join(support, "consideration", "left")
 
 
 def valid_scores(rows: DataFrame, score: str) -> DataFrame:
@@ -108,3 +131,12 @@ def noise_summary(elements: DataFrame) -> DataFrame:
 def corpus_counts(tokens: DataFrame) -> DataFrame:
     """(term, n) of a frame of token arrays."""
     return tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ngram_counts(tokens: DataFrame) -> DataFrame:
+    """(size, a, b, n): counts of words (size 1, without b), of pairs (size 2), and of all of either size (without a and b), by one pass."""
+    pairs = stored(pair_counts(tokens), "pairs")
+    words = pairs.groupBy("a").agg(F.sum("n").alias("n")).select(F.lit(1).alias("size"), "a", F.lit(None).cast("string").alias("b"), "n")
+    both = words.unionByName(pairs.filter("b is not null").select(F.lit(2).alias("size"), "a", "b", "n"))
+    none = F.lit(None).cast("string")
+    return both.unionByName(both.groupBy("size").agg(F.sum("n").alias("n")).select("size", none.alias("a"), none.alias("b"), "n"))

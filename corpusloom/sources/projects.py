@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import search
 from corpusloom.plans import boolean
+from corpusloom.sources.records import upserted
 
 SHARED_QUERY = boolean.EVERYTHING
 
@@ -63,18 +65,45 @@ def merged_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def load(records: DataFrame, target: str, key: str = "record_key") -> int:
-    """Write records below `target` by key, the last of each, and return how many it then has."""
-    from corpusloom.sources.records import upserted
+    """Write records below `target` by key, the last of each, and return how many it then has.
 
+    Whole states are written side by side (`state=1`, `state=2`, ...) and a state counts once it is
+    complete, so a job that is lost on the way leaves the state before; older ones are then deleted.
+    """
     spark = records.sparkSession
-    try:
-        old = spark.read.parquet(target)
-    except AnalysisException:
-        old = records.limit(0)
-    staged = target.rstrip("/") + "__next"
-    upserted(old, records, key).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+    number, old = current_state(spark, target)
+    upserted(records.limit(0) if old is None else old, records, key).write.mode("overwrite").parquet(f"{target.rstrip('/')}/state={number + 1}")
+    folder, files = _folder(spark, target)
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("state=") and int(name[6:]) <= number:
+            files.delete(status.getPath(), True)
+    return current_state(spark, target)[1].count()
+
+
+def _folder(spark: SparkSession, target: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_state(spark: SparkSession, target: str) -> tuple[int, DataFrame | None]:
+    """Number and rows of the latest complete state of a loaded table; 0 and none if there is none."""
+    folder, files = _folder(spark, target)
+    done = [0]
+    if files.exists(folder):
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("state=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                done.append(int(name[6:]))
+    return max(done), spark.read.parquet(f"{target.rstrip('/')}/state={max(done)}") if max(done) else None
+
+
+def whole_project(corpora: Mapping[str, Callable[[], DataFrame]], project: int, documents: str, scores: str, query: str = SHARED_QUERY, since: date = date(2000, 1, 1), until: date | None = None, day: str = "decision_date") -> dict[str, str]:
+    """A project of all documents of a range of days (from 2000 to today by default), or of a query's; returns what went wrong by source."""
+    hits, wrong = project_documents(corpora, query, begin=since, end=until or date.today(), day=day)
+    if hits is not None:
+        save_project(hits, project, documents, scores)
+    return wrong
 
 
 def deleted(tables: Mapping[str, DataFrame], project: int, shared: tuple[int, ...] = ()) -> dict[str, DataFrame]:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from corpusloom.sources.staging import if_small, stored
+
 #: Source fields and their names here.
 ROOT_FIELDS = {
     "resume": "summary", "normes": "standards", "proc_year": "procedure_year", "parties": "parties_involved", "recours": "appeals",
@@ -39,10 +42,46 @@ def read_records(spark: SparkSession, path: str, lenient: bool = False) -> DataF
     return spark.read.schema(RAW).option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
 
 
-def field_names(spark: SparkSession, path: str) -> list[str]:
-    """All keys of a JSON-lines file."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, value) of text files, lines counted from 1.
+
+    A file may be read in several blocks; a line's number is its place in its block plus the lines
+    of the file's blocks before, whose counts are one small table. Files are taken not to change.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = if_small(stored(blocks.withColumn("before", before).select("file", "block", "first", "before"), "blocks"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_number"), "value")
+
+
+def numbered_records(spark: SparkSession, path: str, schema: StructType = RAW) -> DataFrame:
+    """(file, line_number, record, bad) of JSON lines; `bad` is the line where it is no JSON of the schema, else null."""
+    whole = StructType([*schema.fields, StructField("_bad", StringType())])
+    parsed = numbered_lines(spark, path).withColumn("r", F.from_json("value", whole, {"columnNameOfCorruptRecord": "_bad"}))
+    record = F.when(F.col("r._bad").isNull(), F.struct(*[F.col(f"r.{f.name}") for f in schema.fields]))
+    return parsed.select("file", "line_number", record.alias("record"), F.col("r._bad").alias("bad"))
+
+
+def bad_lines(numbered: DataFrame) -> DataFrame:
+    """(file, line_number, bad): what a lenient scan leaves out."""
+    return numbered.filter("bad is not null").select("file", "line_number", "bad")
+
+
+def field_names(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """All keys of a JSON-lines file; an error if there are more than `most`."""
     rows = spark.read.text(path).select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("k"))
-    return [r["k"] for r in rows.distinct().orderBy("k").limit(100_000).collect()]
+    found = [r["k"] for r in rows.distinct().orderBy("k").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} keys")
+    return found
+
+
+def key_types(records: DataFrame, value: str = "value") -> DataFrame:
+    """(key, types): the kinds of value that each key of JSON objects has, sorted."""
+    records.select(F.try_parse_json(value).alias("v")).createOrReplaceTempView("_typed")
+    each = records.sparkSession.sql("SELECT f.key, schema_of_variant(f.value) AS kind FROM _typed, LATERAL variant_explode(v) AS f")
+    return each.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("types"))
 
 
 def field_types(records: DataFrame, value: str = "value") -> DataFrame:
@@ -88,11 +127,11 @@ def normalized(records: DataFrame, strict: bool = False) -> DataFrame:
 def upserted(old: DataFrame, new: DataFrame, key: str = "record_key", create_only: bool = False, order: str | None = None) -> DataFrame:
     """Rows of both by key: the new replace the old, or only add to them. New rows without key go.
 
-    Of new rows with one key the one of greatest `order` counts (any, without).
+    Of new rows with one key the one of greatest `order` counts; without, the last one read.
     """
-    fresh = new.filter(F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy(F.col(order).desc() if order else F.lit(0))
-    fresh = fresh.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    fresh = new.filter(F.col(key).isNotNull()).withColumn("_n", F.col(order) if order else F.monotonically_increasing_id())
+    columns = [F.col(f"`{c}`") for c in new.columns]
+    fresh = fresh.groupBy(key).agg(F.max_by(F.struct(*columns), "_n").alias("_r")).select("_r.*")
     if create_only:
         return old.unionByName(fresh.join(old.select(key), key, "left_anti").select(*old.columns))
     return old.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(*old.columns))
@@ -138,13 +177,36 @@ def feed_scan(records: DataFrame, spiders: list[str] = (), language: str | None
     return records.limit(limit) if limit is not None else records
 
 
+def write_feed(records: DataFrame, path: str) -> None:
+    """Feed records as Parquet by spider and language: `feed_scan` of what is read back opens the folders that it asks for alone."""
+    records.write.mode("append").partitionBy("spider", "language").parquet(path)
+
+
 def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def write_inputs(records: DataFrame, path: str, key: str = "record_key") -> DataFrame:
+    """Write a JSON file for each keyed record that has none below `path` yet; returns those that it wrote."""
+    spark = records.sparkSession
+    try:
+        done = spark.read.schema(f"`{key}` string, body string").json(path).select(F.col(key).cast("string"))
+    except AnalysisException:
+        done = spark.createDataFrame([], f"`{key}` string")
+    fresh = records.filter(F.coalesce(F.col(key), F.lit("")) != "").join(done, key, "left_anti")
+    fresh = stored(fresh.dropDuplicates([key]), "inputs")
+    fresh.select(F.col(key), F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns])).alias("body")).write.mode("append").partitionBy(key).json(path)
+    return fresh
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def indices_to_restore(snapshots: DataFrame, there: DataFrame) -> DataFrame:
+    """(name, index): the latest snapshot's indices (an array) that are not there (index)."""
+    return latest_snapshot(snapshots).select("name", F.explode("indices").alias("index")).join(there.select("index"), "index", "left_anti").select("name", "index")
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.desc("start_time"), "name").limit(1)

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,42 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+_RUNS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A folder for this application's own tables below the shared one; it is deleted when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_folder(spark)}/corpusloom/{app}"
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), _RUNS[app])
+    return _RUNS[app]
+
+
+def _delete(jvm, settings, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(settings).delete(p, True)
+    except (Py4JError, OSError):
+        pass  # the JVM has ended already
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends at the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `stored` table that no later plan reads."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
 def table_bytes(df: DataFrame) -> int:
     """What the optimizer takes a table to hold in memory, from its files and the columns that are read.
 

@@ -3,6 +3,7 @@
 import json
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +16,12 @@ from corpusloom.streaming import ingest
 @pytest.fixture(scope="module")
 def decisions(spark):
     rows = [
-        (1, "Cst.29.al2;LPAC.20;RPAC.44A;CO.336c.al1.letb", "FONCTIONNAIRE;LICENCIEMENT ADMINISTRATIF;JUSTE MOTIF", "PARTIELMNT ADMIS", "ATA/1060/2020", date(2020, 10, 27)),
-        (2, "Cst.29.al2;LPAC.22;RPAC.20;LPol.1.al2", "POLICE;RÉSILIATION;MOTIF;PROPORTIONNALITÉ", "REJETE", "ATA/1189/2022", date(2022, 11, 29)),
-        (3, "LPA.46;LPA.47;LPA.62", "NOTIFICATION IRRÉGULIÈRE;CALCUL DU DÉLAI", "", "ATA/220/2012", date(2012, 4, 17)),
-        (4, "LPAC.21.al3;LPAC.22;RPAC.46A;Cst.36.al3", "DROIT DE LA FONCTION PUBLIQUE;", None, "ATA/1261/2018", None),
+        (1, "AAA.1.al2;BBB.20;CCC.44x;DDD.336c.al1", "BRIDGE;ROAD WORKS;TOLL", "IN PART", "N/10/2020", date(2020, 10, 27)),
+        (2, "AAA.1.al2;BBB.22;CCC.20;EEE.1", "POLICE;RIVER;TOLL;FERRY", "DENIED", "N/11/2022", date(2022, 11, 29)),
+        (3, "FFF.46;FFF.47", "LATE NOTICE;COUNT OF DAYS", "", "N/22/2012", date(2012, 4, 17)),
+        (4, "BBB.21.al3;BBB.22;AAA.36", "PUBLIC SERVICE;", None, "N/12/2018", None),
     ]
-    return spark.createDataFrame(rows, "doc_id int, standards string, descriptors string, result string, decision_type string, day date").withColumn("topic", F.lit("administratif, résiliation"))
+    return spark.createDataFrame(rows, "doc_id int, standards string, descriptors string, result string, decision_type string, day date").withColumn("topic", F.lit("harbour, crossing"))
 
 
 FACETS = {"Topic": facets.topic("topic"), "Norm": facets.pattern("standards"), "Result": facets.result("result"), "No": facets.equals("decision_type"), "year_range": facets.years("day"), "D": facets.pattern("descriptors")}
@@ -30,14 +31,14 @@ FACETS = {"Topic": facets.topic("topic"), "Norm": facets.pattern("standards"), "
     ("chosen", "ids"),
     [
         ({}, [1, 2, 3, 4]),
-        ({"filter-union-0": {"Topic": ["Topic 1 : Administratif"]}}, [1, 2, 3, 4]),
-        ({"filter-union-0": {"Norm": ["LPAC.20"]}}, [1]),
-        ({"filter-union-0": {"Norm": ["LPAC.20", "lpa.46"], "year_range": ["2011-2013"]}}, [3]),
+        ({"filter-union-0": {"Topic": ["Topic 1 : Harbour"]}}, [1, 2, 3, 4]),
+        ({"filter-union-0": {"Norm": ["BBB.20"]}}, [1]),
+        ({"filter-union-0": {"Norm": ["BBB.20", "fff.46"], "year_range": ["2011-2013"]}}, [3]),
         ({"filter-union-0": {"Norm": ["nothing"], "year_range": ["2020"]}}, [1]),
         ({"filter-union-0": {"Norm": ["nothing"]}}, []),
-        ({"filter-union-0": {"Norm": ["LPAC.20"]}, "filter-union-1": {"Result": ["NO RESULT"]}}, [1, 3]),
-        ({"filter-union-0": {"Topic": ["administratif"]}, "filter-exclude-0": {"Norm": ["LPAC.20"], "No": ["ATA/220/2012"]}}, [2, 4]),
-        ({"filter-exclude-0": {"D": ["motif"]}}, [3, 4]),
+        ({"filter-union-0": {"Norm": ["BBB.20"]}, "filter-union-1": {"Result": ["NO RESULT"]}}, [1, 3]),
+        ({"filter-union-0": {"Topic": ["harbour"]}, "filter-exclude-0": {"Norm": ["BBB.20"], "No": ["N/22/2012"]}}, [2, 4]),
+        ({"filter-exclude-0": {"D": ["toll"]}}, [3, 4]),
     ],
 )
 def test_facets(decisions, chosen, ids):
@@ -47,8 +48,9 @@ def test_facets(decisions, chosen, ids):
 def test_payloads(decisions):
     assert facets.parse_payload({"filter-union-0": '{"a": ["b"]}', "other": '{"a": []}', "filter-x": "{}", "filter-y": "no", "filter-z": ""}) == {"filter-union-0": {"a": ["b"]}}
     assert facets.payload_from_client([("union", "Norm", "x", 0), ("union", "Norm", "y", 0), ("exclude", "D", "z", 1)]) == {"filter-union-0": {"Norm": ["x", "y"]}, "filter-exclude-1": {"D": ["z"]}}
-    assert facets.rendered({"filter-union-0": {"a": ["x"], "b": ["y", "z"]}, "filter-exclude-0": {"c": ["w"]}}) == "(x AND (y OR z)) NOT (w)"
-    assert [r["value"] for r in facets.options(decisions.filter("doc_id = 4"), "descriptors").collect()] == ["", "DROIT DE LA FONCTION PUBLIQUE"]
+    assert facets.rendered({"filter-union-0": {"a": ["x"], "b": ["y", "z"]}, "filter-exclude-0": {"c": ["w"]}}) == ("(a: x<b> AND </b>b: y<b> AND </b>b: z)", "(c: w)")
+    assert 'title="salt, tide">Topic 3</span>' in facets.rendered({"filter-union-0": {"Topic": ["3: salt, tide"]}})[0]
+    assert [r["value"] for r in facets.options(decisions.filter("doc_id = 4"), "descriptors").collect()] == ["", "PUBLIC SERVICE"]
 
 
 def test_citations(spark):
@@ -102,11 +104,12 @@ def test_feed(spark):
 
 
 def test_passages(spark):
-    assert passages.unwrapped("Premiere ligne sans point\nseconde ligne.\nTroisieme ligne.") == "Premiere ligne sans point seconde ligne. Troisieme ligne."
-    assert passages.unwrapped("Ligne A\\nLigne B\\n\\tC \\u00e9") == "Ligne A Ligne B C é"
+    assert passages.unwrapped("Le bateau part\ndemain matin.\n\nIl   revient\tjeudi.") == "Le bateau part demain matin. Il revient jeudi."
+    assert passages.unwrapped("Un\\nDeux\\n\\tTrois \\u00e9") == "Un Deux Trois é"
+    assert passages.unwrapped("12\u00a0000 fr. \u00a0 en tout\u00a0!") == "12\u00a0000 fr. en tout\u00a0!"
     assert passages.repaired("\u00e2\u0080\u0099 \u00c3\u00a2 \u00c3") == "\u2019 â à" and passages.repaired("\u00c3\u00a2", legacy=True) == "à\u00a2"
-    assert passages.sentences("Selon l'art. 5 CPC. La demande est admise.") == ["Selon l'art. 5 CPC.", "La demande est admise."]
-    assert passages.sentences("Consid. 1. Faits (cf. art. 5 LTF). Ensuite. 2.1. Règle.") == ["Consid. 1.", "Faits (cf. art. 5 LTF).", "Ensuite.", "2.1. Règle."]
+    assert passages.sentences("Comme dit l'art. 12 XYZ. Le pont reste ouvert.") == ["Comme dit l'art. 12 XYZ.", "Le pont reste ouvert."]
+    assert passages.sentences("Consid. 4. Le quai (cf. art. 9 ABC). Puis la digue. 7.2. La rade.") == ["Consid. 4.", "Le quai (cf. art. 9 ABC).", "Puis la digue.", "7.2. La rade."]
     assert passages.sentences("Vu cela. (ATF 1. Et 2). Non! oui; Mais. Fin") == ["Vu cela. (ATF 1. Et 2).", "Non! oui; Mais.", "Fin"]
     assert passages.plain_sentences("Art. 1. Le test. M. Dupont. Fin.\nSuite") == ["Art. 1. Le test.", "M. Dupont.", "Fin.", "Suite"]
     assert passages.headed_sentences("Titre\nEN FAIT\nA. Le recours\nest admis. Oui.\nEN DROIT\nLe 12.03.2020, p. ex. ceci. Fin.") == ["Titre", "EN FAIT\n\nA.", "Le recours est admis.", "Oui.", "EN DROIT\n\nLe 12.03.2020, p. ex. ceci.", "Fin."]
@@ -115,7 +118,10 @@ def test_passages(spark):
     chunks = passages.packed_chunks([f"sentence number {k} of the text." for k in range(60)], most=50, overlap=10)
     assert all(passages.token_estimate(c) <= 60 for c in chunks) and len(chunks) > 5 and chunks[1].startswith(chunks[0][-40:])
     assert passages.packed_chunks(["ab cd " * 20], most=10, overlap=0)[0] == "ab cd ab cd ab cd ab cd ab cd"
-    assert passages.packed_chunks(["Premiere phrase.", "Deuxieme phrase."], most=40, overlap=0) == ["Premiere phrase. Deuxieme phrase."]
+    assert passages.packed_chunks(["Le port dort.", "La mer monte."], most=40, overlap=0) == ["Le port dort. La mer monte."]
+    plain = ["Art. 1. Le test. M. Dupont. Fin.\nSuite", "Voir p. 3. Le 2.5. Zone 4. Encore 1. Non? Oui! C.fam. Bref", "  ", None]
+    column = spark.createDataFrame([(t,) for t in plain], "t string").select(passages.plain_sentence_column(F.col("t")))
+    assert [r[0] for r in column.collect()] == [passages.plain_sentences(t or "") for t in plain]
     assert passages.packed_chunks(["a.", "b" * 30], most=100) == ["a. " + "b" * 30]
     parts = passages.split_recursively("word " * 600, 1000, 200)
     assert all(len(p) <= 1000 for p in parts) and len(parts) >= 3
@@ -146,7 +152,8 @@ def test_phrases(spark):
 def test_selection(spark):
     choice = spark.createDataFrame([(k, True, True, None) for k in range(1, 5)], "doc_id int, to_display boolean, is_initial boolean, is_check boolean")
     c = selection.marked(choice, yes=[1], no=[2])
-    assert selection.snapshot(c).first().asDict() == {"yes": [1], "no": [2], "maybe": [3, 4], "initial": [1, 2, 3, 4], "shown": 4}
+    assert {r["doc_id"]: r["state"] for r in selection.snapshot(c).collect()} == {1: "yes", 2: "no", 3: "maybe", 4: "maybe"}
+    assert selection.snapshot_counts(selection.snapshot(c)).first().asDict() == {"yes": 1, "no": 1, "maybe": 2, "initial": 4, "shown": 4}
     points = spark.createDataFrame([(k, float(k), 0.0) for k in range(1, 30)], "doc_id int, pos_x double, pos_y double")
     new, gone = selection.iterated(c, points, spark.createDataFrame([(6,)], "doc_id int"), k=6)
     assert sorted(r["doc_id"] for r in new.collect()) == [1, 2, 3, 4, 5, 7] and sorted(r["doc_id"] for r in gone.collect()) == [2, 6]
@@ -163,7 +170,7 @@ def test_ranking(spark):
     assert [r["doc_id"] for r in ranking.page(rows, 99, [F.asc("doc_id")], 10).collect()] == [20, 21, 22, 23, 24]
     got = ranking.batches(rows, 10, "doc_id").groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in got] == [10, 10, 5]
-    support = spark.createDataFrame([("c", 2, [1, 2]), ("d", 0, [])], "consideration string, frequency int, documents array<int>")
+    support = spark.createDataFrame([("c", 2, 1), ("c", 2, 2), ("d", 0, None)], "consideration string, frequency int, doc_id int")
     docs = spark.createDataFrame([(1, "A/1"), (2, "B/2")], "doc_id int, procedure_type string")
     assert {r["consideration"]: (r["percent"], r["types"]) for r in ranking.supporting_types(support, docs, 3).collect()} == {"c": (66.7, ["A/1", "B/2"]), "d": (0.0, ["Inconnu"])}
 
@@ -206,6 +213,149 @@ def test_joins(spark):
     assert [r["doc_id"] for r in joins.resolved_references(refs, "k", "v", docs).orderBy("place").collect()] == [1, 2]
 
 
+def test_fuzzy_ratio_is_that_of_insertions_and_deletions(spark):
+    import random
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abAB ") for _ in range(rng.randint(0, 30))), "".join(rng.choice("abAB ") for _ in range(rng.randint(0, 90)))) for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(joins.fuzzy_ratio(F.col("a"), F.col("b"))).collect()]
+    for (a, b), r in zip(pairs, got, strict=True):
+        x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+        assert abs(r - (200 * common(x, y) / (len(x) + len(y)) if x or y else 0)) < 1e-9
+    shown = joins.highlighted_sentences(spark.createDataFrame([(1, "The boat left. Nobody knew why!"), (2, "")], "doc_id int, text string"), spark.createDataFrame([(1, "The boat left")], "doc_id int, target string"))
+    assert {r["doc_id"]: r["marked_text"] for r in shown.collect()} == {1: '<span style="background-color: #FFFF77">The boat left.</span> Nobody knew why!', 2: ""}
+
+
+def test_nearest_points_match_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([rng.gauss(0, 1), rng.gauss(40, 0.1), 7.0]), rng.choice([rng.gauss(0, 1), 3.0])) for k in range(900)] + [(900, 1e4, -1e4)]
+    points = spark.createDataFrame(rows, "doc_id int, pos_x double, pos_y double")
+    got = {}
+    for r in joins.nearest_points(points, points.filter("doc_id % 9 = 0"), 7).collect():
+        got.setdefault(r["doc_id"], []).append((r["d2"], r["neighbour"]))
+    for k, x, y in rows[::9]:
+        near = sorted(((a - x) ** 2 + (b - y) ** 2, j) for j, a, b in rows if j != k)[:7]
+        assert np.allclose([d for d, _ in sorted(got[k])], [d for d, _ in near], rtol=1e-9) and {j for _, j in got[k]} == {j for _, j in near}
+    few = points.filter("doc_id < 3")
+    assert joins.nearest_points(few, few, 7).count() == 6 and joins.nearest_points(few.limit(0), few, 7).count() == 0
+
+
+def test_iterations(spark):
+    rows = [(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 9, None)]
+    tree = spark.createDataFrame(rows, "refinement_id int, id int, parent int")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(selection.pruned_after(tree, 1, 2)) == [1, 2, 9] and ids(selection.pruned_after(tree, 1, 4)) == [1, 2, 3, 4, 9] and ids(selection.pruned_after(tree, 7, 4)) == [1, 2, 3, 4, 9]
+    left, root = selection.reset(tree, 1)
+    assert ids(left) == [1, 9] and root == 1 and selection.reset(tree, 5)[1] is None
+    left, parent = selection.without_iteration(tree, 1, 4)
+    assert ids(left) == [1, 2, 3, 9] and parent == 3 and selection.without_iteration(tree, 1, 1)[1] is None
+    choice = spark.createDataFrame([(k, True, True, {1: True, 2: False}.get(k)) for k in range(1, 5)], "doc_id int, to_display boolean, is_initial boolean, is_check boolean")
+    points = spark.createDataFrame([(k, float(k), 0.0) for k in range(1, 30)], "doc_id int, pos_x double, pos_y double")
+    after, own, gone = selection.next_iteration(tree, 1, choice, points, spark.createDataFrame([(6,)], "doc_id int"), parent=2, k=6)
+    assert ids(after) == [1, 2, 9, 10] and after.filter("id = 10").first()["parent"] == 2 and own.count() == 6 and gone.count() == 2
+    with pytest.raises(ValueError, match="15 iterations"):
+        selection.next_iteration(spark.createDataFrame([(1, k, k - 1 or None) for k in range(1, 16)], tree.schema), 1, choice, points, gone)
+
+
+def test_studies(spark):
+    rows = [(k, w, 1.0) for k in range(40) for w in (["x", "y", f"z{k}"] if k < 20 else ["p", "q", f"z{k}"])]
+    points = clustering.document_vectors(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), 32)
+    assert clustering.search_space(3, 100) == clustering.search_space(5, 100)[:3]
+    space = [clustering.Density(2, 0.5, 3), clustering.Density(99, 0.5, 3), clustering.Density(2, 1.0, 4)]
+    trials = clustering.study(points, 3, space=space, jobs=2)
+    assert clustering.count_trials(trials) == 2 and trials.filter("state = 'FAIL'").first()["number"] == 1
+    known = spark.createDataFrame([(0, '{"dimensions": 2, "width": 9.0, "least": 3}', "COMPLETE", 5.0)], clustering.TRIALS)
+    again = clustering.study(points, 3, known, space=space)
+    assert clustering.best_params(again)["width"] == 9.0 and clustering.count_trials(again) == 2
+    labels = {r["doc_id"]: r["cluster_id"] for r in clustering.density(points, space[2]).collect()}
+    assert labels[0] != labels[39] or -1 in labels.values()
+    assert clustering.clustered(points.limit(5)) == (None, None) and clustering.best_params(trials.limit(0)) is None
+    early = clustering.early_map(points)
+    assert early.count() == 40 and clustering.without_provisional(early.select("doc_id", "cluster_id")).count() == 0
+    assert clustering.silhouette(points, early) == -1.0
+
+
+def test_collections_and_models(spark):
+    have = {"new": spark.range(2), "old": spark.range(0)}
+    assert vectors.collection(have, "new").count() == 2 and vectors.collection(have, "gone", {"gone": "old"}).count() == 0
+    assert vectors.has_collection(have, "new") and not vectors.has_collection(have, "gone", {"gone": "old"}) and not vectors.has_collection(have, "none")
+    calls = []
+
+    def shaky(texts):
+        calls.append(len(texts))
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return [t.upper() for t in texts]
+
+    assert answers.insistent(shaky, ["a"], 3, 0.0) == ["A"] and len(calls) == 3
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        answers.insistent(shaky, ["a"], 2, 0.0)
+    chunks = spark.createDataFrame([("1", "t1"), ("2", "t2")], "chunk_id string, text string")
+    held = chunks.limit(1).select("chunk_id", "text", F.array(F.lit(1.0)).alias("embedding"))
+    more = vectors.with_new_chunks(held, chunks, lambda ts: [[float(len(t))] for t in ts])
+    assert sorted((r["chunk_id"], r["embedding"]) for r in more.collect()) == [("1", [1.0]), ("2", [2.0])]
+    told = answers.summary_of_sections(spark.createDataFrame([(1, {"Majeure": ["m"]}, '{"Mineure-Subsommation": ["s"]}', True), (2, {}, "x", False)], "doc_id int, citation_context map<string,array<string>>, answer string, valid boolean"), "Q", lambda ts: ['{"summary": "' + str("m" in t and "s" in t) + '"}' for t in ts])
+    assert told.first().asDict() == {"summary_answer": '{"summary": "True"}', "valid_answer_count": 1}
+    none = answers.summary_of_sections(spark.createDataFrame([], "doc_id int, citation_context map<string,array<string>>, answer string, valid boolean"), "Q", lambda ts: ts)
+    assert none.first()["summary_answer"] == answers.NO_SUMMARY
+    elements = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.5)], "doc_id int, cluster_id int, prob double")
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "doc_id int, position int, text string")
+    assert answers.summary(answers.cluster_context(elements, parts, 0, F.length("text"), 1), "Sum", lambda ts: [t[-3:] for t in ts]).first()["summary"] == "a\nb"
+    rags = spark.createDataFrame([(7, 1, "q", '{"summary": "s"}')], "rag_id int, project_id int, query string, summary_answer string")
+    given = spark.createDataFrame([(7, 3, 0.5, '{"x": ["y"]}')], "rag_id int, doc_id int, confidence_score double, c string").withColumn("citation_context", F.parse_json("c"))
+    now = answers.current_run(rags, given, 7).first()
+    assert now["summary"] == "s" and now["has_section_ans"] and now["has_confidence_score"]
+    table = spark.range(1).select(answers.reference_table(F.array(F.struct(F.lit("t").alias("text"), F.lit("[1], [3] and 99").alias("reference"))), F.create_map(F.lit(1).cast("long"), F.lit("A"), F.lit(3).cast("long"), F.lit("B"))).alias("t")).first()["t"]
+    assert [(r["doc_id"], r["procedure_type"]) for r in table[0]["references"]] == [(1, "A"), (3, "B")]
+    judged = answers.considered(spark.createDataFrame([(1, "yes it is"), (2, "no")], "doc_id int, answer string"), ["yes", "no"], lambda a, c: a.contains(c))
+    assert judged.filter("supported").count() == 2
+    assert [r[0] for r in spark.createDataFrame([("Oui, car",), ("Non.",), ("oui et non",), ("bof",)], "a string").select(answers.closed_category(F.col("a"))).collect()] == ["oui", "non", "mixte", "peut_etre"]
+
+
+def test_cleaning_with_lemmas(spark):
+    df = spark.createDataFrame([(1, ["cats", "ran", "quickly", "of"]), (2, [])], "doc_id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat", "NOUN"), ("ran", "run", "VERB"), ("of", "of", "ADP")], "word string, lemma string, pos string")
+    assert {r["doc_id"]: r["tokens"] for r in text.lemmatized(df, lemmas).collect()} == {1: ["cat", "run", "quickly"], 2: []}
+    docs = spark.createDataFrame([(1, "le recours est admis par la cour"), (2, "the appeal is granted by the court"), (3, None)], "doc_id int, text string")
+    good, bad = text.prepared(docs)
+    assert [r["doc_id"] for r in good.collect()] == [1] and sorted(r["doc_id"] for r in bad.collect()) == [2, 3]
+
+
+def test_files(spark, tmp_path):
+    from corpusloom.sources import projects
+
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"cle_fiche": str(k)}) if k != 5 else "{broken" for k in range(2000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = records.numbered_records(spark, str(tmp_path / "a.jsonl"))
+        assert sorted((r["line_number"], r["record"]["cle_fiche"]) for r in found.filter("bad is null").collect()) == [(k + 1, str(k)) for k in range(2000) if k != 5]
+        assert [(r["line_number"], r["bad"]) for r in records.bad_lines(found).collect()] == [(6, "{broken")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("", 3), (None, 4)], "record_key string, v int")
+    assert records.write_inputs(rows.limit(1), str(tmp_path / "in")).count() == 1
+    assert [r["record_key"] for r in records.write_inputs(rows, str(tmp_path / "in")).collect()] == ["b"]
+    with pytest.raises(ValueError, match="more than 0 keys"):
+        records.field_names(spark, str(tmp_path / "a.jsonl"), 0)
+    one = spark.createDataFrame([("k", 1), ("k", 2)], "record_key string, v int").coalesce(1)
+    assert projects.load(one, str(tmp_path / "t")) == 1 and projects.current_state(spark, str(tmp_path / "t"))[1].first()["v"] == 2
+    (tmp_path / "t" / "state=9").mkdir()
+    assert projects.load(one.withColumn("record_key", F.lit("l")), str(tmp_path / "t")) == 2 and projects.current_state(spark, str(tmp_path / "t"))[0] == 2
+    snaps = spark.createDataFrame([("s1", 1, ["a"]), ("s2", 2, ["a", "b"])], "name string, start_time int, indices array<string>")
+    assert [r["index"] for r in records.indices_to_restore(snaps, spark.createDataFrame([("a",)], "index string")).collect()] == ["b"]
+
+
 def test_vectors_and_clusters(spark):
     rows = [(k, [1.0 + k * 0.01, 0.0] if k < 10 else [0.0, 1.0 + k * 0.01]) for k in range(20)]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
@@ -258,14 +408,20 @@ def test_rendering(spark):
 
     choice = spark.createDataFrame([(1, True), (2, False)], "doc_id int, to_display boolean")
     docs = spark.createDataFrame([(1, "the word", "s", "en"), (2, "x", "s", "en")], "doc_id int, text string, source string, lang string")
-    topics = spark.createDataFrame([(1, "word, other", 1)], "doc_id int, topic string, order int")
+    topics = spark.createDataFrame([(1, "the, other", 1, "#abc")], "doc_id int, topic string, order int, colour string")
     row = render.rendered_rows(choice, docs, topics, ["word"]).first()
-    assert row["excerpt"] == 'the <span class="query">word</span>' and row["label"] == "Topic 1 : word, other"
+    assert row["excerpt"] == '<span style="background-color: #abc40">the</span> <span class="query">word</span>' and row["label"] == "Topic 1 : the, other"
+    assert render.rendered_rows(choice, docs, topics.withColumn("topic", F.lit("")), ["word"]).count() == 0
+    clusters = spark.createDataFrame([(k, f"t{k}", k + 1) for k in range(1500)] + [(-1, "unclassified papers", -1)], "cluster_id int, topic string, order int")
+    colours = {r["cluster_id"]: r["colour"] for r in render.coloured(clusters).collect()}
+    assert colours[-1] == "#9494b8" and all(len(c) == 7 for c in colours.values()) and len(set(colours.values())) > 700
+    points = spark.createDataFrame([(1, 3, 0.0, 1.0), (2, -1, 1.0, 1.0)], "doc_id int, cluster_id int, pos_x double, pos_y double")
+    assert render.scatter(points, docs, clusters).count() == 2 and [r["label"] for r in render.centre_labels(points, clusters).collect()] == ["Topic 4"]
     text_ = spark.range(1).select(render.citation_text(F.lit("H"), {"Faits": F.lit("f"), "Droit": F.lit(" ")}, F.lit("q")).alias("t"), render.chunk_prompt(F.array(F.lit("a"), F.lit("b"))).alias("p")).first()
     assert text_["t"] == "H\nFaits : f\n« q »" and text_["p"] == "[1] a\n[2] b"
     assert predicates.year_range("2017-2022") == (date(2017, 1, 1), date(2022, 12, 31))
     assert boolean.from_text("anything", lambda t: "(a OR b) AND c") == "( a OR b ) AND c".replace("( ", "(").replace(" )", ")")
-    s = spark.range(1).select(answers.parsed_summary(F.lit('{"summary": "s", "considerations": ["c"]}')).alias("a"), answers.parsed_summary(F.lit("plain")).alias("b")).first()
-    assert s["a"]["considerations"] == ["c"] and s["b"]["summary"] == "plain" and s["b"]["considerations"] == []
+    s = spark.range(1).select(answers.parsed_summary(F.lit('{"summary": "s", "considerations": [{"text": " c"}]}')).alias("a"), answers.parsed_summary(F.lit("plain")).alias("b")).first()
+    assert s["a"]["considerations"][0]["text"] == "c" and s["b"]["summary"] == "plain" and s["b"]["considerations"] == []
     faults = spark.range(1).select(passages.classification_faults(F.array(*[F.lit(k) for k in (1, 2)]), F.array(F.lit(1), F.lit(3)), F.array(F.lit(1))).alias("f")).first()["f"]
     assert faults == ["unknown ids: 3", "ids in both classes: 1", "missing ids: 2"]
