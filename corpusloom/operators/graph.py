@@ -11,13 +11,26 @@ from corpusloom.sources.staging import discard, if_small, stored
 SALTS = 32
 
 
+def _jumped(low: DataFrame, moved: DataFrame) -> DataFrame:
+    """`low` with each label replaced by that label's own, if it is less.
+
+    moved: (via, far), labels that are not their component's last. The members of a settled component,
+    however many, meet nothing; a label that many carry is split by their ids.
+    """
+    near = if_small(moved)
+    on = F.col("label") == F.col("via")
+    if near is moved:
+        near = moved.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        on = on & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("part"))
+    return low.join(near, on, "left").select("id", F.least("label", "far").alias("label"), "was")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, label) for every id in `links` (a, b): label is the least id of its component; a stored table.
 
     Each round takes the least label among neighbours and then that label's own label, so paths
     shorten by halves. Labels are least values, so they combine before the shuffle and a hub is no hot
-    spot; labels that are settled meet nothing, so the members of a big component are no hot key.
-    Each round is written and read again.
+    spot. Each round is written and read again.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
     labels = stored(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("label")), "labels")
@@ -25,10 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         near = both.join(labels, both["src"] == labels["id"]).select(F.col("dst").alias("id"), "label")
         own = labels.select("id", "label", F.col("label").alias("was"))
         low = own.unionByName(near, allowMissingColumns=True).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        moved = stored(labels.filter("label != id").select(F.col("id").alias("via"), F.col("label").alias("far"), F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("part")), "moved")
-        salted = low.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        new = salted.join(if_small(moved), (F.col("label") == F.col("via")) & (salted["part"] == moved["part"]), "left")
-        new = stored(new.select("id", F.least("label", "far").alias("label"), "was"), "labels")
+        moved = stored(labels.filter("label != id").select(F.col("id").alias("via"), F.col("label").alias("far")), "moved")
+        new = stored(_jumped(low, moved), "labels")
         changed = new.filter("label != was").limit(1).count()
         discard(moved)
         discard(labels)
