@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let, positions
-from corpusloom.sources.staging import shared_folder, table_bytes
+from corpusloom.sources import staging
+from corpusloom.sources.staging import discard, run_folder, table_bytes
 
-__all__ = ["let", "positions", "shared_folder", "table_bytes"]
+__all__ = ["discard", "let", "positions", "run_folder", "table_bytes"]
 
 #: Rows that go to a Python worker at once while a table is stored: whole texts make them large.
 BATCH_ROWS = 1000
@@ -61,20 +61,8 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends at the files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a `stored` table that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    with small_batches(df.sparkSession):
+        return staging.stored(df, name)
 
 
 class Scratch:

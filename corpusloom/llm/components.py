@@ -1,50 +1,7 @@
-"""Connected components of a table of links, without a driver's or a task's view of the whole."""
+"""Connected components of links, as the engine has them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from corpusloom.operators.graph import connected_components
 
-from corpusloom.llm.common import Scratch, checked_broadcast, discard, stored
-
-#: Where labels that move are too many to be broadcast, each is joined in so many parts.
-SALTS = 32
-
-
-def _jumped(low: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """`low` with each label replaced by that label's own, if it is less.
-
-    Only labels that are no component's last need one, so the members of a settled component, however
-    many, meet nothing; a label that many carry is split by their ids.
-    """
-    moved = scratch.stored(labels.filter("label < id").select(F.col("id").alias("via"), F.col("label").alias("far")), "moved")
-    moved, small = checked_broadcast(moved, 1_000_000)
-    on = F.col("label") == F.col("via")
-    if not small:
-        moved = moved.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-        on = on & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("part"))
-    return low.join(moved, on, "left").select("id", F.least("label", "far").alias("label"), "was")
-
-
-def connected_components(links: DataFrame) -> DataFrame:
-    """(id, label) for every id in `links` (a, b): label is the least id of its component.
-
-    Each round takes the least label among neighbours and then the label's own label, so paths
-    shorten by halves; labels are least values, so they combine before the shuffle and a hub is
-    no hot spot. Each round is written and read again.
-    """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
-    labels = stored(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("label")), "labels")
-    while True:
-        scratch = Scratch()
-        near = both.join(labels, both["src"] == labels["id"]).select(F.col("dst").alias("id"), "label")
-        low = labels.select("id", "label", F.col("label").alias("was")).unionByName(near.withColumn("was", F.lit(None).cast("long")))
-        low = low.groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        new = stored(_jumped(low, labels, scratch), "labels")
-        scratch.clear()
-        changed = new.filter("label != was").limit(1).count()
-        discard(labels)
-        labels = new.select("id", "label")
-        if not changed:
-            discard(both)
-            return labels
+__all__ = ["connected_components"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, langid, lengths, neardup, oracles, order, packing, quality, substring, urls
-from corpusloom.llm.common import shared_folder, split_words, stored
+from corpusloom.llm.common import run_folder, split_words, stored
 from corpusloom.sources.tables import read_table
 
 
@@ -55,7 +55,7 @@ def op7_url_filters(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/corpusloom/order-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/order-{uuid.uuid4().hex}"
     order.write_order(read_table(spark, root, "documents"), path, lengths.production_tokenizer())
     return order.read_order(spark, path, digest=True)
 
