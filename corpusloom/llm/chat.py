@@ -17,7 +17,8 @@ one character restores them.
 Cases: null text and null role are empty; a record of unknown layout or that is not JSON has null
 turns and fingerprint's mapping is null; no turns give an empty string; rows with null conversation
 id form one conversation; turns with equal numbers are ordered by role and text, repeated rows
-repeat; empty tables work.
+repeat; empty tables work. Columns of records, whatever their names, stay, but for `mapping`,
+`formatted` and `loss_mask`, which are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ tokens all hold up to the limit, and where quantiles lie. Sums run over blocks o
 and within blocks after, so no task needs the whole histogram in order.
 
 Cases: null text is empty and has length 0; rows are counted one by one, so repeated rows count
-as often as they are there; an empty table gives an empty histogram.
+as often as they are there; an empty table gives an empty histogram. A text of any length is
+encoded whole; other columns, but for those grouped by, are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ a bucket; batches are drawn within one.
 Documents are handled one by one where they are read: nothing is shuffled.
 
 Cases: null text is empty and gives the single piece of END; rows are packed one by one, so
-repeated rows and ids, and rows with null doc_id, give pieces of their own; empty tables work.
+repeated rows and ids, and rows with null doc_id, give pieces of their own; empty tables work. A
+text of any length is packed in its row; other columns are not read. Sequence ids are unique, but
+which piece has which depends on how the table's files are cut into partitions.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END)
 
 def digests(packed: DataFrame) -> DataFrame:
     """The pieces with a CRC in place of their ids."""
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def with_digests(packed: DataFrame) -> DataFrame:
