@@ -31,16 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-_RUNS: dict[str, str] = {}
+_RUNS: set[str] = set()
 
 
 def run_folder(spark: SparkSession) -> str:
     """A folder for this application's own tables below the shared one; it is deleted when Python ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _RUNS:
-        _RUNS[app] = f"{shared_folder(spark)}/corpusloom/{app}"
-        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), _RUNS[app])
-    return _RUNS[app]
+    path = f"{shared_folder(spark)}/corpusloom/{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        atexit.register(_delete, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
 
 
 def _delete(jvm, settings, path: str) -> None:
