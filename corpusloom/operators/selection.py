@@ -80,6 +80,14 @@ def next_iteration(iterations: DataFrame, refinement: int, choice: DataFrame, po
     return kept.select("refinement_id", "id", "parent").unionByName(added), rows, gone
 
 
+def next_refinement(refinements: DataFrame, project: int, filters: str, origin: int | None = None) -> DataFrame:
+    """Refinements (project_id, id, filters, origin) and a new one of a project, unless it has LIMIT_REFINEMENTS of them."""
+    refuse_more(refinements.filter(F.col("project_id") == project), LIMIT_REFINEMENTS, "refinements")
+    top = refinements.agg(F.max("id")).first()[0] or 0
+    rows = refinements.select("project_id", "id", "filters", "origin")
+    return rows.unionByName(refinements.sparkSession.createDataFrame([(project, top + 1, filters, origin)], rows.schema))
+
+
 def refuse_more(rows: DataFrame, most: int, what: str) -> None:
     """An error once there are as many rows as may be."""
     if rows.limit(most).count() >= most:

@@ -113,6 +113,12 @@ def deleted(tables: Mapping[str, DataFrame], project: int, shared: tuple[int, ..
     return {name: without_project(t, project, shared) for name, t in tables.items()}
 
 
+def without_finished(tables: Mapping[str, DataFrame], projects: DataFrame, shared: tuple[int, ...] = (), status: str = "completed") -> dict[str, DataFrame]:
+    """Every table without the rows of projects (project_id, status) that are finished; shared ones stay."""
+    gone = projects.filter((F.col("status") == status) & ~F.col("project_id").isin(*shared)).select("project_id")
+    return {name: t.join(gone, "project_id", "left_anti") for name, t in tables.items()}
+
+
 def estimated_new(corpora: Mapping[str, DataFrame], query: str, since, until, day: str) -> DataFrame:
     """Hits of all sources in a range of days."""
     counts = [search.count_matching(c, query, begin=since, end=until, day=day) for c in corpora.values()]

@@ -39,6 +39,9 @@ def read_records(spark: SparkSession, path: str, lenient: bool = False) -> DataF
     """JSON lines with the schema given; a broken line stops the scan, or is dropped if lenient."""
     if PurePosixPath(path).suffix not in (".jsonl", ".json") and "*" not in path:
         raise ValueError(f"not a .json or .jsonl file: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder):
+        raise FileNotFoundError(path)
     return spark.read.schema(RAW).option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
 
 

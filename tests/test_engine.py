@@ -263,6 +263,11 @@ def test_iterations(spark):
     points = spark.createDataFrame([(k, float(k), 0.0) for k in range(1, 30)], "doc_id int, pos_x double, pos_y double")
     after, own, gone = selection.next_iteration(tree, 1, choice, points, spark.createDataFrame([(6,)], "doc_id int"), parent=2, k=6)
     assert ids(after) == [1, 2, 9, 10] and after.filter("id = 10").first()["parent"] == 2 and own.count() == 6 and gone.count() == 2
+    more = spark.createDataFrame([(5, k, "{}", None) for k in range(1, 15)], "project_id int, id int, filters string, origin int")
+    full = selection.next_refinement(more, 5, "{}", 3)
+    assert full.count() == 15 and full.filter("origin = 3").first()["id"] == 15
+    with pytest.raises(ValueError, match="15 refinements"):
+        selection.next_refinement(full, 5, "{}")
     with pytest.raises(ValueError, match="15 iterations"):
         selection.next_iteration(spark.createDataFrame([(1, k, k - 1 or None) for k in range(1, 16)], tree.schema), 1, choice, points, gone)
 
@@ -352,6 +357,10 @@ def test_files(spark, tmp_path):
     assert projects.load(one, str(tmp_path / "t")) == 1 and projects.current_state(spark, str(tmp_path / "t"))[1].first()["v"] == 2
     (tmp_path / "t" / "state=9").mkdir()
     assert projects.load(one.withColumn("record_key", F.lit("l")), str(tmp_path / "t")) == 2 and projects.current_state(spark, str(tmp_path / "t"))[0] == 2
+    with pytest.raises(FileNotFoundError):
+        records.read_records(spark, str(tmp_path / "none.jsonl"))
+    own = spark.createDataFrame([(1, "completed"), (2, "running"), (3, "completed")], "project_id int, status string")
+    assert [r["project_id"] for r in projects.without_finished({"p": own}, own, shared=(3,))["p"].orderBy("project_id").collect()] == [2, 3]
     snaps = spark.createDataFrame([("s1", 1, ["a"]), ("s2", 2, ["a", "b"])], "name string, start_time int, indices array<string>")
     assert [r["index"] for r in records.indices_to_restore(snaps, spark.createDataFrame([("a",)], "index string")).collect()] == ["b"]
 
