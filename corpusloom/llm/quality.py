@@ -4,15 +4,15 @@ Statistics come from array functions within a row, so a text is never exploded.
 from minimum-covariance-determinant estimates for each language and source. Three deterministic
 starts are taken: medians with scaled median deviations, spatial signs around them, and the mean
 and scatter of all rows. From each, concentration steps keep the part of the rows that is nearest
-by Mahalanobis distance and estimate centre and scatter from it again, until no estimate changes
-any more; of the starts, that with the least determinant counts. Everything that crosses rows is a
+by Mahalanobis distance and estimate centre and scatter from it again. After two of them the start
+with the least determinant goes on alone, until no group's determinant falls any more. Everything that crosses rows is a
 sum or a count of integers, so it combines before the shuffle, a source that holds a third of the
 rows is no hot spot, and a lost executor changes no digit.
 
 The part that is kept is met up to a bin of 1/32 octave of distance: as rows of one bin are kept or
 left together, ties are settled without an order, and a bin's few rows more or less are all that
-tells the steps from exact ones. Because of them a determinant could rise again, so steps end after
-`steps` in any case. A scatter gets a floor on its diagonal.
+tells the steps from exact ones. A step that would raise a determinant because of them is not taken.
+A scatter gets a floor on its diagonal.
 
 Cases: null or empty text has no words and fails the base rules; null language or source is a
 group of its own; rows are judged one by one, so repeated rows and ids give repeated results;
@@ -44,15 +44,15 @@ BIN = 16
 class QualityRules:
     """Limits of the base rules and of the outlier test.
 
-    coverage: part of a group's rows that its estimates rest on. steps: concentration steps at most,
-    should estimates not settle before. tail: probability beyond the cut if rows were normal. floors: the least standard deviation taken for each transformed
+    coverage: part of a group's rows that its estimates rest on. steps: further concentration steps at
+    most, should determinants fall on. tail: probability beyond the cut if rows were normal. floors: the least standard deviation taken for each transformed
     statistic, which also keeps a scatter of constant statistics invertible.
     """
 
     min_words: int = 10
     max_repeat_percent: int = 20
     coverage: float = 0.75
-    steps: int = 30
+    steps: int = 10
     tail: float = 1e-9
     min_rows: int = 40
     floors: tuple[float, ...] = (0.08, 0.04, 0.12, 0.12)
@@ -142,15 +142,18 @@ KEY = ["g", "start"]
 CENTRE, SCATTER, FACTOR = [f"m{i}" for i in range(DIMS)], [f"s{i}{j}" for i, j in PAIRS], [f"w{i}{j}" for i, j in PAIRS]
 
 
-def _moments(df: DataFrame, factor: float) -> DataFrame:
-    """Centre and scatter (lower triangle) of each group and start, in units of 1 / SCALE."""
+def _sums() -> list[Column]:
+    """Count, sums and sums of products of q0, ...: whole numbers, so exact in any order."""
     big = lambda c: F.sum(c.cast("decimal(38,0)"))
     q = [F.col(f"q{i}") for i in range(DIMS)]
-    sums = df.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[big(q[i]).alias(f"a{i}") for i in range(DIMS)],
-        *[big(q[i] * q[j]).alias(f"b{i}{j}") for i, j in PAIRS],
-    )
+    return [F.count(F.lit(1)).alias("n"), *[big(q[i]).alias(f"a{i}") for i in range(DIMS)], *[big(q[i] * q[j]).alias(f"b{i}{j}") for i, j in PAIRS]]
+
+
+SUMS = ["n", *[f"a{i}" for i in range(DIMS)], *[f"b{i}{j}" for i, j in PAIRS]]
+
+
+def _moments(sums: DataFrame, factor: float) -> DataFrame:
+    """Centre and scatter (lower triangle) of each group and start, in units of 1 / SCALE, from their sums."""
     f = lambda c: F.col(c).cast("double")
     means = [(f(f"a{i}") / f("n")).alias(f"m{i}") for i in range(DIMS)]
     cov = [((f(f"b{i}{j}") - f(f"a{i}") * f(f"a{j}") / f("n")) / F.greatest(f("n") - 1, F.lit(1.0)) * factor).alias(f"s{i}{j}") for i, j in PAIRS]
@@ -228,7 +231,7 @@ def _signs(rows: DataFrame, medians: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """Factored estimates of all starts."""
     medians = stored(_factored(_medians(rows), floors), "estimates")
-    everything = _moments(rows.withColumn("start", F.lit(2)), 1.0)
+    everything = _moments(rows.groupBy("g", F.lit(2).alias("start")).agg(*_sums()), 1.0)
     out = stored(medians.unionByName(_factored(_signs(rows, medians).unionByName(everything), floors)), "estimates")
     discard(medians)
     return out
@@ -246,33 +249,48 @@ def _with_estimates(rows: DataFrame, est: DataFrame) -> DataFrame:
     return rows.join(est.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))), ["g", "salt"])
 
 
-def _concentrated(rows: DataFrame, rules: QualityRules) -> DataFrame:
-    """The estimate of least determinant of each group: g, m_i, w_ij, logdet."""
-    cut = chi2_quantile(rules.coverage, DIMS)
-    factor = rules.coverage / _chi2_cdf(cut, DIMS + 2)
+def _step(rows: DataFrame, est: DataFrame, rules: QualityRules, factor: float) -> DataFrame:
+    """The estimates after one concentration step.
+
+    One pass over the rows gives counts and sums for each bin of distance; which bins hold the
+    nearest rows, and their sums, then follow from that small table.
+    """
     bin_of = F.floor(32 * F.log2(_distance() + 1e-3)).cast("long")
+    binned = _with_estimates(rows, est).groupBy(*KEY, bin_of.alias("bin")).agg(*_sums())
+    own = Window.partitionBy(*KEY)
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = binned.withColumns({"before": before, "all": F.sum("n").over(own)}).filter(F.col("before") < F.col("all") * F.lit(rules.coverage))
+    return _factored(_moments(near.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]), factor), rules.floors)
+
+
+#: Concentration steps after which only the best start of each group goes on.
+FIRST_STEPS = 2
+#: A step counts if the determinant falls by this part at least.
+GAIN = 1e-3
+
+
+def _concentrated(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    """The estimate of least determinant of each group: g, m_i, w_ij, logdet.
+
+    All starts take FIRST_STEPS steps; of each group that with the least determinant then goes on.
+    A step that does not lower a group's determinant is not taken, so steps come to rest.
+    """
+    factor = rules.coverage / _chi2_cdf(chi2_quantile(rules.coverage, DIMS), DIMS + 2)
+    fields = ["logdet", "start", *CENTRE, *FACTOR]
     est = _starts(rows, rules.floors)
-    for _ in range(rules.steps):
-        far = _with_estimates(rows, est).select(*KEY, "salt", bin_of.alias("bin"), *[f"q{i}" for i in range(DIMS)])
-        limit = stored(_upto(far.groupBy(*KEY, "bin").agg(F.count(F.lit(1)).alias("c")), KEY, rules.coverage).withColumnRenamed("bin", "limit"), "limits")
-        near, ok = checked_broadcast(limit, 3 * MAX_GROUPS)
-        on = KEY if ok else [*KEY, "salt"]
-        near = near if ok else near.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-        new = stored(_factored(_moments(far.join(near, on).filter("bin <= limit"), factor), rules.floors), "estimates")
-        now = [(F.col(f"now.{c}") == F.col(f"was.{c}")) for c in (*CENTRE, *FACTOR)]
-        same = now[0]
-        for c in now[1:]:
-            same = same & c
-        moved = new.alias("now").join(est.alias("was"), KEY).filter(~same).limit(1).count()
+    for k in range(FIRST_STEPS + rules.steps):
+        new = _step(rows, est, rules, factor)
+        if k == FIRST_STEPS - 1:
+            new = new.groupBy("g").agg(F.min(F.struct(*fields)).alias("e")).select("g", *[F.col(f"e.{c}") for c in fields])
+        if k >= FIRST_STEPS:
+            new = new.join(est.select("g", F.struct(*fields).alias("was")), "g").withColumn("fell", F.col("logdet") < F.col("was.logdet") - GAIN)
+            new = new.select("g", *[F.when(F.col("fell"), F.col(c)).otherwise(F.col(f"was.{c}")).alias(c) for c in fields], "fell")
+        new = stored(new, "estimates")
         discard(est)
-        discard(limit)
-        est = new
-        if not moved:
+        est = new.drop("fell")
+        if k >= FIRST_STEPS and not new.filter("fell").limit(1).count():
             break
-    best = est.groupBy("g").agg(F.min(F.struct("logdet", "start", *CENTRE, *FACTOR)).alias("e"))
-    out = stored(best.select("g", *[f"e.{c}" for c in (*CENTRE, *FACTOR, "logdet")]), "estimates")
-    discard(est)
-    return out
+    return est
 
 
 def _levels(rows: DataFrame, rules: QualityRules) -> DataFrame:
@@ -321,7 +339,7 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), carr
     discard(used)
     outside = chi2_quantile(1 - rules.tail, DIMS)
     judged = _grouped(rows.select("*", *vectors, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")), level.drop("groups"))
-    own, ok = checked_broadcast(est.drop("logdet"), MAX_GROUPS)
+    own, ok = checked_broadcast(est.drop("logdet", "start"), MAX_GROUPS)
     own = own if ok else own.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     judged = judged.join(own, ["g"] if ok else ["g", "salt"], "left").withColumn("distance", _distance())
     keep = ~F.col("base_failed") & F.coalesce(F.col("distance") <= outside, F.lit(True))
