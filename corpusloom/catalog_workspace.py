@@ -163,8 +163,8 @@ def r_restored(spark, root):
 
 
 def _iterations(spark, root):
-    """A tree of versions for each of some refinements: the parent of 8 is 4, of 9 too."""
-    return spark.range(1, 64).select((F.col("id") % 1).alias("refinement_id"), "id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
+    """A refinement's tree of versions: the parent of 8 is 4, of 9 too."""
+    return spark.range(1, 64).select(F.lit(0).alias("refinement_id"), "id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
 
 
 @query("r_pruned", "SELECT range AS id FROM range(1, 64) WHERE range NOT IN (63, 31, 15)")
@@ -304,7 +304,7 @@ def t_plain_sentences(spark, root):
 
 @query(
     "t_labels",
-    """SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'faits' ELSE 'droit' END AS label, CASE WHEN n_chars % 3 = 0 THEN 0.6 ELSE 0.5 END AS confidence, CASE WHEN n_chars % 3 = 0 THEN 'droit' ELSE 'faits' END AS second FROM documents""",
+    """SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'faits' ELSE 'droit' END AS label, CAST(CASE WHEN n_chars % 3 = 0 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN n_chars % 3 = 0 THEN 'droit' ELSE 'faits' END AS second FROM documents""",
 )
 def t_labels(spark, root):
     p = F.when(F.col("n_chars") % 3 == 0, F.create_map(F.lit("faits"), F.lit(0.6), F.lit("droit"), F.lit(0.4))).otherwise(F.create_map(F.lit("faits"), F.lit(0.36), F.lit("droit"), F.lit(0.5)))
@@ -324,7 +324,7 @@ def a_context(spark, root):
 
 @query(
     "a_faithfulness",
-    f"""SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 2, 3, 4) THEN 0.0 WHEN doc_id % 7 = 5 THEN 0.75 ELSE 0.5 END AS faithfulness FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1, 2, 3, 4) THEN 0 WHEN doc_id % 7 = 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS faithfulness FROM documents""",
 )
 def a_faithfulness(spark, root):
     rows = said(spark, root).withColumns({"citation": F.lit("content and more"), "citation_context": F.when(F.pmod("doc_id", F.lit(7)) == 5, F.array(F.lit("The appeal"), F.lit("admitted."))).otherwise(F.array().cast("array<string>"))})
@@ -383,7 +383,7 @@ def a_section_answers(spark, root):
 def a_run(spark, root):
     docs = read_table(spark, root, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise("some words").alias("text"), F.lit("").alias("citation"), F.array(F.lit("some words")).alias("citation_context"))
     none = spark.createDataFrame([], "key string, answer string")
-    return answers.run_answers(docs.withColumn("text", F.col("text")), "q", none, lambda q, ts: ["some words" for _ in ts], answers.overlap_scorer)["counts"]
+    return answers.run_answers(docs, "q", none, lambda q, ts: ["some words" for _ in ts], answers.overlap_scorer)["counts"]
 
 
 # Vectors and clusters.
