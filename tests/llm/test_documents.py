@@ -86,8 +86,9 @@ def test_quality_statistics(docs, rows, nothing):
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert found(got, *names) == expected(want)
     assert not got.filter("base_failed and kept").count()
-    assert quality.quality_verdicts(nothing).count() == 0
-    kept = quality.quality_filter(docs)
+    few = quality.QualityRules(steps=1)
+    assert quality.quality_verdicts(nothing, few).count() == 0
+    kept = quality.quality_filter(docs, few)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
@@ -110,7 +111,7 @@ def test_small_groups_are_judged_by_all_of_their_language(spark):
     got = quality.quality_verdicts(spark.createDataFrame(clean + bad, schema))
     assert {r["doc_id"] for r in got.filter("kept").collect()} == {r[0] for r in clean}
     assert not got.filter("distance is null").count()
-    few = quality.quality_verdicts(spark.createDataFrame(clean[:30] + bad, schema))
+    few = quality.quality_verdicts(spark.createDataFrame(clean[:30] + bad, schema), quality.QualityRules(steps=1))
     assert few.filter("kept").count() == 34 and few.filter("distance is null").count() == 34
 
 
