@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, langid, lengths, neardup, oracles, order, packing, quality, substring, urls
+from corpusloom.llm import chat, decontaminate, divergence, langid, lengths, lines, neardup, oracles, order, packing, quality, substring, urls, whitening
 from corpusloom.llm.common import run_folder, split_words, stored
 from corpusloom.sources.tables import read_table
 
@@ -84,6 +84,19 @@ def op10_packing(spark: SparkSession, root: str) -> DataFrame:
     return stored(packing.digests(packing.pack(read_table(spark, root, "documents"), packing.production_tokenizer())), "pieces")
 
 
+def op11_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whitened_components(read_table(spark, root, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    cut = lines.keep_lines(read_table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit(read_table(spark, root, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -95,6 +108,9 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_packing": op10_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 #: The others rest on tokenizers, trained models or iterated estimates; tests hold them against brute force.
 ORACLE = {
@@ -102,4 +118,6 @@ ORACLE = {
     "op5_substring_dedup": oracles.OP5,
     "op6_near_duplicates": oracles.OP6,
     "op9_chat_formatting": oracles.op9(MARKS),
+    "op12_line_dedup": oracles.OP12,
+    "op13_source_divergence": oracles.OP13,
 }
