@@ -3,7 +3,7 @@
 Smoothed shares are whole parts of 10^9, so all values are exact. Terms that a group lacks have one
 share, its baseline: sums over all kept terms start from the baselines' value times their number, and
 only terms that occur in either group correct it. Corrections for terms in both groups are summed over
-tiles of BLOCK x BLOCK sources, never written as rows. The top ranks of a group come from radix
+tiles of sources (`Audit.block` a side), never written as rows. The top ranks of a group come from radix
 selection: histograms over the bits of all groups' values, eight at a time, narrow each group down
 to the bin of its kth value, and ties at that value are narrowed by the bytes of their names.
 
@@ -31,9 +31,6 @@ from corpusloom.sources.staging import if_small
 from corpusloom.sources.tables import spread
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-#: Sources of a side of a tile; a task holds one tile of sums.
-BLOCK = 512
-
 
 @dataclass(frozen=True)
 class Audit:
@@ -45,6 +42,8 @@ class Audit:
     sortable: int = 1000
     #: Distinct terms that a task counts before it passes its counts on.
     most_counts: int = 400_000
+    #: Sources of a side of a tile; a task holds one tile of sums.
+    block: int = 512
 
 
 #: The value of a share p against a share q.
@@ -96,10 +95,10 @@ def _share(n: str, total: str, kept: str) -> Column:
     return F.expr(f"1 + if({kept} > 0, cast(1000000000 * cast({n} + 2 as decimal(20, 0)) as decimal(38, 0)) div {over}, null)")
 
 
-def _terms_by_tile(terms: DataFrame, many: bool) -> DataFrame:
+def _terms_by_tile(shares: DataFrame, block: int, many: bool) -> DataFrame:
     """lang, i, j, a, b: for each kept term the shares of its sources in blocks i and j (a list each), i <= j."""
     entry = F.struct("sid", "p", "p0")
-    blocks = terms.groupBy("lang", "term", F.expr(f"sid div {BLOCK}").alias("block")).agg(F.collect_list(entry).alias("own"))
+    blocks = shares.groupBy("lang", "term", F.expr(f"sid div {block}").alias("block")).agg(F.collect_list(entry).alias("own"))
     same = blocks.select("lang", F.col("block").alias("i"), F.col("block").alias("j"), F.col("own").alias("a"), F.col("own").alias("b"))
     if not many:
         return same
@@ -112,27 +111,31 @@ def _values(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(block: int):
     """Sums of a tile's corrections, for rows in order of tiles; pairs exist in bounded chunks of arrays only."""
-    tile, sums = None, np.zeros((BLOCK, BLOCK), dtype=np.int64)
-
-    def told() -> Iterator[pa.RecordBatch]:
-        a, b = np.nonzero(sums)
-        if len(a):
-            lang, i, j = tile
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a + i * BLOCK), pa.array(b + j * BLOCK), pa.array(sums[a, b])], names=["lang", "a", "b", "value"])
-        sums[:] = 0
-
-    for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)] if keys else []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if keys[lo] != tile:
-                yield from told()
-                tile = keys[lo]
-            for at in range(lo, hi, 256):
-                _add(sums, batch.column(3).slice(at, min(256, hi - at)), batch.column(4).slice(at, min(256, hi - at)), tile[1] == tile[2])
-    yield from told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sums = None, np.zeros((block, block), dtype=np.int64)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            a, b = np.nonzero(sums)
+            if len(a):
+                lang, i, j = tile
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a + i * block), pa.array(b + j * block), pa.array(sums[a, b])], names=["lang", "a", "b", "value"])
+            sums[:] = 0
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)] if keys else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if keys[lo] != tile:
+                    yield from told()
+                    tile = keys[lo]
+                for at in range(lo, hi, 256):
+                    _add(sums, *(batch.column(k).slice(at, min(256, hi - at)) for k in (3, 4)), tile[1] == tile[2])
+        yield from told()
+
+    return run
 
 
 def _add(sums: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> None:
@@ -140,12 +143,12 @@ def _add(sums: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> None:
     sides = []
     for side in (left, right):
         flat = side.flatten()
-        fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        sides.append((np.diff(side.offsets.to_numpy()), *fields))
+        sides.append((np.diff(side.offsets.to_numpy()), *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))))
     (m, sid_a, p, p0), (k, sid_b, q, q0) = sides
     row = np.repeat(np.arange(len(m)), m)
     times, start = k[row], (np.cumsum(k) - k)[row]
-    for lo in range(0, len(row), 2048):  # at most 2,048 x BLOCK pairs at once
+    block = len(sums)
+    for lo in range(0, len(row), 2048):  # at most 2,048 x block pairs at once
         t = times[lo : lo + 2048]
         one = np.repeat(np.arange(lo, lo + len(t)), t)
         other = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(start[lo : lo + 2048], t)
@@ -154,10 +157,10 @@ def _add(sums: np.ndarray, left: pa.Array, right: pa.Array, same: bool) -> None:
             one, other = one[ahead], other[ahead]
         a, a0, b, b0 = p[one], p0[one], q[other], q0[other]
         gain = _values(a, b) - _values(a, b0) - _values(a0, b) + _values(a0, b0)
-        np.add.at(sums, (sid_a[one] % BLOCK, sid_b[other] % BLOCK), gain)
+        np.add.at(sums, (sid_a[one] % block, sid_b[other] % block), gain)
 
 
-def _pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
+def _pair_values(shares: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """lang, a, b (numbers of sources, a < b), value."""
     one = groups.select("lang", F.col("sid").alias("a"), F.col("p0").alias("p"), "kept")
     two = groups.select("lang", F.col("sid").alias("b"), F.col("p0").alias("q"))
@@ -166,9 +169,9 @@ def _pair_values(shares: DataFrame, groups: DataFrame) -> DataFrame:
     profile = shares.groupBy("lang", "sid", "p", "p0").agg(F.count(F.lit(1)).alias("times"))
     met = profile.join(two, "lang").filter("sid <> b")
     single = met.select("lang", F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b"), F.expr(f"times * ({F_PQ} - ((p0 - q) * (p0 - q)) div (p0 + q))").alias("value"))
-    many = (groups.agg(F.max("sid")).head()[0] or 0) >= BLOCK
-    tiles = _terms_by_tile(shares, many).repartition("lang", "i", "j", F.pmod(F.xxhash64("a"), F.lit(64))).sortWithinPartitions("lang", "i", "j")
-    both = tiles.mapInArrow(tidy(_tiles), "lang string, a long, b long, value long")
+    many = (groups.agg(F.max("sid")).head()[0] or 0) >= block
+    tiles = _terms_by_tile(shares, block, many).repartition("lang", "i", "j", F.pmod(F.xxhash64("a"), F.lit(64))).sortWithinPartitions("lang", "i", "j")
+    both = tiles.mapInArrow(tidy(_tiles(block)), "lang string, a long, b long, value long")
     # Each part combines before the shuffle: a task passes on one row for each pair that it has met.
     return base.unionByName(single).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
@@ -246,7 +249,7 @@ def audit(docs: DataFrame, rule: Audit = Audit()) -> DataFrame:
     shares = scratch.stored(shares, "shares")
     terms = scratch.stored(shares.filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(F_PQ).alias("value")), "overused")
     terms = top_ranked(terms, ["lang", "source"], rule.ranks, rule.sortable)
-    pairs = _pair_values(shares, known).select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("side"))
+    pairs = _pair_values(shares, known, rule.block).select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("side"))
     names = known.select("lang", "sid", F.col("source").alias("name"))
     pairs = pairs.select("lang", "value", "side.own", "side.other")
     pairs = pairs.join(names.withColumnsRenamed({"sid": "own", "name": "source"}), ["lang", "own"]).join(names.withColumnsRenamed({"sid": "other", "name": "item"}), ["lang", "other"])
