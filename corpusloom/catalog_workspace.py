@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import CHOICE, FACETS, choice, corpus, elements, query, said, support_rows, texts, tokenized
 from corpusloom.functions import legal, passages, text
-from corpusloom.operators import answers, clustering, facets, joins, ranking, selection, stats, vectors
+from corpusloom.operators import answers, clustering, facets, hierarchy, joins, ranking, selection, stats, vectors
 from corpusloom.plans import boolean
 from corpusloom.sources import records
 from corpusloom.sources.staging import run_folder
@@ -406,6 +406,34 @@ def v_density(spark, root):
     return clustering.density_clusters(points, 0.05, 5, 2).select("doc_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.round("prob", 6).alias("prob"))
 
 
+def _minimax(steps: int) -> str:
+    """m0 to m<steps>: the least heaviest step of ways of at most 2 ** k steps."""
+    shorter = "SELECT a, b, min(u) AS u FROM (SELECT * FROM m{0} UNION ALL SELECT x.a, y.b, greatest(x.u, y.u) AS u FROM m{0} x JOIN m{0} y ON x.b = y.a WHERE x.a <> y.b) GROUP BY a, b"
+    return ", ".join(f"m{k + 1} AS MATERIALIZED ({shorter.format(k)})" for k in range(steps))
+
+
+@query(
+    "v_hierarchy",
+    f"""WITH p AS MATERIALIZED (SELECT doc_id, pos_x AS x, pos_y AS y FROM {{elements}}),
+       d AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.doc_id <> b.doc_id),
+       core AS MATERIALIZED (SELECT a, d AS c FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM d) WHERE r = 3),
+       m0 AS MATERIALIZED (SELECT d.a, d.b, greatest(d.d, x.c, y.c) AS u FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b), {_minimax(9)},
+       u AS MATERIALIZED (SELECT * FROM m9 UNION ALL SELECT doc_id, doc_id, 0 FROM p),
+       v AS MATERIALIZED (SELECT a, u AS v FROM (SELECT a, u, row_number() OVER (PARTITION BY a ORDER BY u) AS r FROM u) WHERE r = 4),
+       k AS MATERIALIZED (SELECT u.a AS p, u.b AS x, v.v, w.v AS vx FROM u JOIN v ON v.a = u.a AND u.u <= v.v JOIN v w ON w.a = u.b),
+       born AS MATERIALIZED (SELECT p, min(x) AS home FROM k GROUP BY p HAVING min(vx) >= max(v)),
+       leaf AS (SELECT k.p, min(born.home) AS home FROM k JOIN born ON born.p = k.x GROUP BY k.p HAVING count(DISTINCT born.home) = 1),
+       c AS (SELECT home, min(v.v) AS dense, row_number() OVER (ORDER BY count(*) DESC, min(p)) - 1 AS cluster_id, count(*) OVER () AS n FROM leaf JOIN v ON v.a = leaf.p GROUP BY home)
+       SELECT doc_id, CASE WHEN n > 1 OR v.v = dense THEN cluster_id ELSE -1 END AS cluster_id, round(CASE WHEN n > 1 OR v.v = dense THEN dense / v.v ELSE 0 END, 6) AS prob
+       FROM (SELECT doc_id FROM p) LEFT JOIN leaf ON leaf.p = doc_id LEFT JOIN c USING (home) LEFT JOIN v ON v.a = doc_id""",
+)
+def v_hierarchy(spark, root):
+    """Leaves of the hierarchy by density of the map, at least four documents each."""
+    points = elements(spark, root).select("doc_id", F.array("pos_x", "pos_y").alias("p"))
+    found = hierarchy.hierarchical_clusters(points, how=hierarchy.Hierarchy(4, 3, "euclidean"))
+    return found.select("doc_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.round("prob", 6).alias("prob"))
+
+
 _COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 

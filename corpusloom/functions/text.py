@@ -117,18 +117,22 @@ def prepared(docs: DataFrame, text: str = "text", language: Callable[[Column], C
     return rows.filter(good), rows.filter(~good).select(key)
 
 
+#: What must surround a word that is highlighted (whole words, no quotes or brackets before, not inside of a tag).
+BEFORE, AFTER = r"""\b(?<!["'<>])""", r"(?![^<>]*>)\b"
+
+
 def highlighted(text: Column, words: Iterable[str], css: str = "", colour: str = "") -> Column:
     """Whole words in a span of a class, or of a colour, whatever their case; not inside of tags or next to quotes."""
     style = f'class="{css}"' if css else f'style="background-color: {colour}40"'
     for w in filter(None, words):
-        text = F.regexp_replace(text, rf"""(?iU)\b(?<!["'<>])({_literal(w)})(?![^<>]*>)\b""", f"<span {style}>$1</span>")
+        text = F.regexp_replace(text, f"(?iU){BEFORE}({_literal(w)}){AFTER}", f"<span {style}>$1</span>")
     return text
 
 
 def highlighted_by_row(text: Column, words: Column, colour: Column) -> Column:
     """The same in a colour for words that differ from row to row: an array, folded one word after the other."""
     escaped = lambda w: F.regexp_replace(w, r"(?U)([^\w\s])", r"\\$1")
-    pattern = lambda w: F.concat(F.lit(r"""(?iU)\b(?<!["'<>])("""), escaped(w), F.lit(r""")(?![^<>]*>)\b"""))
+    pattern = lambda w: F.concat(F.lit(f"(?iU){BEFORE}("), escaped(w), F.lit(f"){AFTER}"))
     put = F.concat(F.lit('<span style="background-color: '), F.coalesce(colour, F.lit("")), F.lit('40">$1</span>'))
     return F.aggregate(F.filter(words, lambda w: w != ""), text, lambda t, w: F.regexp_replace(t, pattern(w), put))
 

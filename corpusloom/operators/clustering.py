@@ -1,4 +1,8 @@
-"""Clusters and maps of weighted documents. The clusterer is a parameter: by density, or Spark's k-means.
+"""Clusters and maps of weighted documents.
+
+Documents are laid out in few dimensions by their angular neighbours and clustered there by hierarchical
+density; a study searches the parameters of both for the best density-based validity. Clusters by dense
+cells of a grid, and Spark's k-means, are there as cheaper ways.
 
 Labels are numbers from 0, -1 is noise, probabilities lie between 0 and 1. Vectors come from hashed
 terms, so no vocabulary is gathered in one place.
@@ -8,7 +12,6 @@ from __future__ import annotations
 
 import itertools
 import json
-import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -22,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators import layout
 from corpusloom.operators.graph import connected_components
+from corpusloom.operators.hierarchy import Hierarchy, point_labels, row_labels, spanning_tree, validity
+from corpusloom.operators.sampler import Range, Sampler
 from corpusloom.operators.stats import NOISE
 from corpusloom.sources.staging import stored
 
@@ -121,39 +127,95 @@ def density_clusters(points: DataFrame, width: float, least: int, dimensions: in
     return placed.join(named, "cell", "left").select(key, F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
-def search_space(count: int, documents: int, seed: int = 5) -> list[Density]:
-    """The first trials of an endless series; which one has which number depends on the seed alone."""
-    draw = random.Random(seed)
-    most = max(5, min(50, documents // 20))
-    return [Density(draw.randint(2, 5), round(draw.uniform(0.2, 1.2), 3), draw.randint(3, most)) for _ in range(count)]
+@dataclass(frozen=True)
+class Hierarchical:
+    """A projection by layout to so many dimensions, and clusters by hierarchical density there."""
+
+    dimensions: int
+    further: float
+    min_cluster_size: int
+    min_samples: int
+
+
+#: Dimensions that are tried, at most.
+MOST_DIMENSIONS = 400
+
+
+def search_ranges(documents: int, terms: int) -> tuple[Range, ...]:
+    """Ranges of the parameters of Hierarchical for a collection of so many documents and terms (or cells of terms)."""
+    half = max(2, round(documents / 2) - 1)
+    return (
+        Range("dimensions", 2, max(2, min(documents, terms, MOST_DIMENSIONS)), True),
+        Range("further", 2.0, max(3.0, min(20.0, round(documents / 20)))),
+        Range("min_cluster_size", 2, half, True),
+        Range("min_samples", 2, half, True),
+    )
+
+
+def projected_by_layout(vectors: DataFrame, trial: Hierarchical, key: str = "doc_id") -> DataFrame:
+    """(key, p): places of a layout of the vectors, which are ml vectors or arrays."""
+    how = layout.Layout(dimensions=trial.dimensions, further=trial.further)
+    return layout.laid_out(_arrays(vectors), key, "features", how).select(key, F.col("y").alias("p"))
+
+
+def _arrays(vectors: DataFrame) -> DataFrame:
+    return vectors if vectors.schema["features"].dataType.typeName() == "array" else vectors.withColumn("features", vector_to_array("features"))
+
+
+def hierarchical(vectors: DataFrame, trial: Hierarchical, key: str = "doc_id") -> tuple[DataFrame, float]:
+    """((key, cluster_id, prob), density-based validity) of a trial."""
+    places = stored(projected_by_layout(vectors, trial, key), "projected")
+    how = Hierarchy(trial.min_cluster_size, trial.min_samples, "cosine")
+    tree = spanning_tree(places, key, how)
+    labels = stored(point_labels(tree, how), "labels")
+    return row_labels(vectors, tree, labels, key), validity(tree, labels)
 
 
 TRIALS = "number int, params string, state string, score double"
 
 
-def study(vectors: DataFrame, wanted: int, done: DataFrame | None = None, jobs: int = 1, clusterer: Clusterer = density, space: Sequence | None = None) -> DataFrame:
+def scored_density(vectors: DataFrame, trial: Density) -> tuple[DataFrame, float]:
+    """Clusters by dense cells, scored by silhouette and the share that is no noise."""
+    labels = stored(density(vectors, trial), "trial")
+    noise = labels.agg(F.avg((F.col("cluster_id") < 0).cast("double"))).first()[0] or 0.0
+    return labels, silhouette(vectors, labels) * (1 - noise)
+
+
+def study(vectors: DataFrame, wanted: int, done: DataFrame | None = None, jobs: int = 1, run: Callable = hierarchical, kind: type = Hierarchical, ranges: tuple[Range, ...] | None = None, seed: int = 5) -> DataFrame:
     """The trials table (TRIALS) with `wanted` trials: those of `done` that are complete, and new ones for the numbers that lack.
 
-    `jobs` trials run at a time, as Spark jobs side by side. A trial that fails is recorded as such
-    and tried again when the study is resumed. Write the table to resume later.
+    `run(vectors, kind(**parameters))` gives labels and a score. Parameters are asked of a sampler
+    that knows all trials so far; `jobs` trials are asked for, and run, at a time, as Spark jobs side by
+    side. A trial that fails is recorded as such and tried again when the study is resumed. Write the
+    table to resume later.
     """
     spark = vectors.sparkSession
-    kept = [] if done is None else [tuple(r) for r in done.filter((F.col("state") == "COMPLETE") & (F.col("number") < wanted)).select(*[c.split()[0] for c in TRIALS.split(", ")]).collect()]
-    space = search_space(wanted, vectors.count()) if space is None else space
-    left = sorted(set(range(min(wanted, len(space)))) - {r[0] for r in kept})
-
-    def run(number: int) -> tuple:
-        told = json.dumps(asdict(space[number]))
+    names = [c.split()[0] for c in TRIALS.split(", ")]
+    # One row a trial, of which there are as many as were wanted.
+    kept = [] if done is None else [tuple(r) for r in done.filter((F.col("state") == "COMPLETE") & (F.col("number") < wanted)).select(*names).collect()]
+    if ranges is None:
+        first = _arrays(vectors.limit(1)).select(F.size("features").alias("terms")).head()
+        ranges = search_ranges(vectors.count(), first["terms"] if first else 2)
+    sampler = Sampler(ranges, seed)
+    left = sorted(set(range(wanted)) - {r[0] for r in kept})
+
+    def tried(number: int, params: dict) -> tuple:
+        told = json.dumps(params)
         try:
-            labels = stored(clusterer(vectors, space[number]), "trial")
-            noise = labels.agg(F.avg((F.col("cluster_id") < 0).cast("double"))).first()[0] or 0.0
-            return number, told, "COMPLETE", silhouette(vectors, labels) * (1 - noise)
+            return number, told, "COMPLETE", float(run(vectors, kind(**params))[1])
         except PySparkException:
             return number, told, "FAIL", None
 
+    failed = []
     with ThreadPoolExecutor(max(1, jobs)) as pool:
-        made = list(pool.map(run, left))
-    return spark.createDataFrame(kept + made, TRIALS)
+        for start in range(0, len(left), max(1, jobs)):
+            asked: list[tuple[int, dict]] = []
+            known = [(json.loads(r[1]), r[3]) for r in sorted(kept)]
+            for number in left[start : start + max(1, jobs)]:
+                asked.append((number, sampler.ask(number, known, [p for _, p in asked])))
+            for row in pool.map(lambda x: tried(*x), asked):
+                (kept if row[2] == "COMPLETE" else failed).append(row)
+    return spark.createDataFrame(sorted(kept + failed), TRIALS)
 
 
 def count_trials(trials: DataFrame) -> int:
@@ -173,7 +235,7 @@ def clustered(vectors: DataFrame, wanted: int = 10, done: DataFrame | None = Non
         return None, done
     trials = study(vectors, wanted, done, jobs)
     best = best_params(trials)
-    return (density(vectors, Density(**best)) if best else None), trials
+    return (hierarchical(vectors, Hierarchical(**best))[0] if best else None), trials
 
 
 #: Topic and number of the one cluster that an early map has until clusters are found.
@@ -202,17 +264,10 @@ def trials_left(done: int, wanted: int, jobs: int, legacy: bool = False) -> list
     return [left // jobs + (0 if legacy else int(i < left % jobs)) for i in range(jobs)]
 
 
-def neighbour_count(documents: int) -> int:
-    from math import log10
-
-    return 10 if documents <= 10_000 else round(10 + 15 * (log10(documents) - 4))
-
-
 def mapped(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos_x, pos_y): the first two principal components."""
-    rows = PCA(k=2, inputCol="features", outputCol="p").fit(vectors).transform(vectors)
-    p = vector_to_array("p")
-    return rows.select(key, F.get(p, F.lit(0)).alias("pos_x"), F.get(p, F.lit(1)).alias("pos_y"))
+    """(key, pos_x, pos_y): the map of the vectors that have a direction, by the layout's defaults."""
+    places = layout.laid_out(_arrays(vectors), key, "features")
+    return places.select(key, F.get("y", F.lit(0)).alias("pos_x"), F.get("y", F.lit(1)).alias("pos_y"))
 
 
 def palette(topics: Sequence[str], noise: str = "unclassified papers") -> dict[str, str]:

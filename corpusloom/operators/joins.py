@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import coarse_sentences
+from corpusloom.operators import neighbours
 from corpusloom.operators.ranking import numbered
 from corpusloom.sources.staging import stored
 
@@ -60,48 +61,14 @@ def carried_scores(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     return both.crossJoin(F.broadcast(sides)).filter("sides = 2").select("doc_id", "score")
 
 
-#: Points of a cell of the map, on average.
-PER_CELL = 64
-
-
 def nearest_points(points: DataFrame, selected: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
-    """(doc_id, neighbour, d2, place): for each selected document its k nearest others on the map.
+    """(doc_id, neighbour, d2, place): for each selected document its k nearest others on the map, by distance, then number.
 
-    The map is cut into cells of a grid, finer for more points. A document meets the points of the
-    rings of cells around its own: first of so few rings that k points are expected, then of as
-    many as its k-th best so far (or their lack) asks for, until no nearer one can lie outside. So
-    pairs grow with the documents that are selected, not with all points times all selected.
+    Documents without a place on the map are no one's neighbours and have none.
     """
-    edge = points.agg(F.count(F.lit(1)).alias("n"), F.min("pos_x"), F.max("pos_x"), F.min("pos_y"), F.max("pos_y")).first()
-    n, lo_x, hi_x, lo_y, hi_y = (edge[i] for i in range(5))
-    cells = max(1, math.isqrt(max(n, 1) // PER_CELL))
-    size = max((hi_x or 0) - (lo_x or 0), (hi_y or 0) - (lo_y or 0)) / cells or 1.0
-    cell = lambda c, lo: F.floor((F.col(c) - F.lit(lo or 0.0)) / F.lit(size)).cast("int")
-    placed = points.withColumns({"cx": cell("pos_x", lo_x), "cy": cell("pos_y", lo_y)}).select(F.col(key).alias("neighbour"), "pos_x", "pos_y", "cx", "cy")
-    dealt = stored(placed, "cells")
-    chosen = stored(points.join(selected.select(key), key, "left_semi").select(F.col(key).alias("doc_id"), F.col("pos_x").alias("qx"), F.col("pos_y").alias("qy")), "chosen")
-    d2 = F.pow(F.col("pos_x") - F.col("qx"), F.lit(2)) + F.pow(F.col("pos_y") - F.col("qy"), F.lit(2))
-    best = Window.partitionBy("doc_id").orderBy("d2", "neighbour")
-    home_x, home_y = F.floor((F.col("qx") - F.lit(lo_x or 0.0)) / F.lit(size)).cast("int"), F.floor((F.col("qy") - F.lit(lo_y or 0.0)) / F.lit(size)).cast("int")
-
-    def within(queries: DataFrame) -> DataFrame:
-        """The k best of queries (doc_id, qx, qy, rings) among points at most so many cells away, and all that is left of the map."""
-        reach = lambda home: F.sequence(F.greatest(home - F.col("rings"), F.lit(0)), F.least(home + F.col("rings"), F.lit(cells)))
-        met = queries.withColumn("cx", F.explode(reach(home_x))).withColumn("cy", F.explode(reach(home_y)))
-        pairs = met.join(dealt, ["cx", "cy"]).filter(F.col("neighbour") != F.col("doc_id"))
-        return pairs.select("doc_id", "qx", "qy", "rings", "neighbour", d2.alias("d2")).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-
-    found, open_ = [], chosen.withColumn("rings", F.lit(max(1, math.ceil(math.sqrt((k + 1) / PER_CELL)))))
-    while True:
-        near = stored(within(open_), "near")
-        # A query is settled once its k-th best lies within the rings that were read, or the whole map was.
-        last = near.groupBy("doc_id").agg(F.max("place").alias("got"), F.sqrt(F.max("d2")).alias("far"))
-        asked = open_.join(last, "doc_id", "left").withColumn("need", F.when(F.coalesce("got", F.lit(0)) >= k, (F.floor(F.col("far") / size) + 1).cast("int")).otherwise(2 * F.col("rings")))
-        more = stored(asked.filter((F.col("rings") < cells + 1) & (F.col("need") > F.col("rings"))).select("doc_id", "qx", "qy", F.least("need", F.lit(cells + 1)).alias("rings")), "open")
-        found.append(near.join(more.select("doc_id"), "doc_id", "left_anti").select("doc_id", "neighbour", "d2", "place"))
-        if not more.limit(1).count():
-            return reduce(DataFrame.unionByName, found)
-        open_ = more
+    placed = points.filter("pos_x is not null and pos_y is not null").select(F.col(key).alias("id"), F.array("pos_x", "pos_y").alias("p"))
+    found = neighbours.nearest(neighbours.space_of(placed, 2), k, selected.select(F.col(key).alias("id")))
+    return found.select(F.col("id").alias("doc_id"), "neighbour", "d2", "place")
 
 
 def _common(a: str, b: str) -> int:

@@ -15,34 +15,39 @@ from corpusloom.streaming import ingest
 
 @pytest.fixture(scope="module")
 def decisions(spark):
-    rows = [
-        (1, "AAA.1.al2;BBB.20;CCC.44x;DDD.336c.al1", "BRIDGE;ROAD WORKS;TOLL", "IN PART", "N/10/2020", date(2020, 10, 27)),
-        (2, "AAA.1.al2;BBB.22;CCC.20;EEE.1", "POLICE;RIVER;TOLL;FERRY", "DENIED", "N/11/2022", date(2022, 11, 29)),
-        (3, "FFF.46;FFF.47", "LATE NOTICE;COUNT OF DAYS", "", "N/22/2012", date(2012, 4, 17)),
-        (4, "BBB.21.al3;BBB.22;AAA.36", "PUBLIC SERVICE;", None, "N/12/2018", None),
-    ]
-    return spark.createDataFrame(rows, "doc_id int, standards string, descriptors string, result string, decision_type string, day date").withColumn("topic", F.lit("harbour, crossing"))
+    """Permits of a harbour: a permit of year y cites y - 2000 of the rules QX.1 to QX.9, every third has no outcome, every fifth no date."""
+    rows = []
+    for k in range(1, 13):
+        rules = ";".join(f"QX.{j}" for j in range(1, 10) if (k + j) % 4 == 0)
+        goods = ";".join(g for j, g in enumerate(["GRAIN", "TIMBER", "SALT FISH", "COAL"]) if (k >> j) & 1)
+        rows.append((k, rules or None, goods, [None, "granted", "refused"][k % 3], f"P-{k:03}", None if k % 5 == 0 else date(2000 + k, 1 + k % 12, 3)))
+    return spark.createDataFrame(rows, "doc_id int, standards string, descriptors string, result string, decision_type string, day date").withColumn("topic", F.when(F.col("doc_id") % 2 == 0, "harbour, cargo").otherwise("quay, crane"))
 
 
 FACETS = {"Topic": facets.topic("topic"), "Norm": facets.pattern("standards"), "Result": facets.result("result"), "No": facets.equals("decision_type"), "year_range": facets.years("day"), "D": facets.pattern("descriptors")}
 
 
+def cites(k, j):
+    return (k + j) % 4 == 0
+
+
 @pytest.mark.parametrize(
-    ("chosen", "ids"),
+    ("chosen", "fits"),
     [
-        ({}, [1, 2, 3, 4]),
-        ({"filter-union-0": {"Topic": ["Topic 1 : Harbour"]}}, [1, 2, 3, 4]),
-        ({"filter-union-0": {"Norm": ["BBB.20"]}}, [1]),
-        ({"filter-union-0": {"Norm": ["BBB.20", "fff.46"], "year_range": ["2011-2013"]}}, [3]),
-        ({"filter-union-0": {"Norm": ["nothing"], "year_range": ["2020"]}}, [1]),
-        ({"filter-union-0": {"Norm": ["nothing"]}}, []),
-        ({"filter-union-0": {"Norm": ["BBB.20"]}, "filter-union-1": {"Result": ["NO RESULT"]}}, [1, 3]),
-        ({"filter-union-0": {"Topic": ["harbour"]}, "filter-exclude-0": {"Norm": ["BBB.20"], "No": ["N/22/2012"]}}, [2, 4]),
-        ({"filter-exclude-0": {"D": ["toll"]}}, [3, 4]),
+        ({}, lambda k: True),
+        ({"filter-union-0": {"Topic": ["4 : Harbour"]}}, lambda k: k % 2 == 0),
+        ({"filter-union-0": {"Norm": ["qx.3"]}}, lambda k: cites(k, 3)),
+        ({"filter-union-0": {"Norm": ["QX.1", "QX.2"], "year_range": ["2003-2009"]}}, lambda k: (cites(k, 1) or cites(k, 2)) and 3 <= k <= 9 and k % 5),
+        ({"filter-union-0": {"D": ["no such"], "year_range": ["2007"]}}, lambda k: k == 7),
+        ({"filter-union-0": {"D": ["no such"]}}, lambda k: False),
+        ({"filter-union-0": {"No": ["P-004"]}, "filter-union-1": {"Result": ["refused"]}}, lambda k: k == 4 or k % 3 == 2),
+        ({"filter-union-0": {"Topic": ["crane"]}, "filter-exclude-0": {"D": ["salt.fish"], "No": ["P-001"]}}, lambda k: k % 2 == 1 and not k & 4 and k != 1),
+        ({"filter-exclude-0": {"Norm": ["QX"]}}, lambda k: not any(cites(k, j) for j in range(1, 10))),
     ],
 )
-def test_facets(decisions, chosen, ids):
-    assert [r["doc_id"] for r in facets.filtered(decisions, chosen, FACETS).orderBy("doc_id").collect()] == ids
+def test_facets(decisions, chosen, fits):
+    got = sorted(r["doc_id"] for r in facets.filtered(decisions, chosen, FACETS).collect())
+    assert got == [k for k in range(1, 13) if fits(k)]
 
 
 def test_payloads(decisions):
@@ -50,7 +55,10 @@ def test_payloads(decisions):
     assert facets.payload_from_client([("union", "Norm", "x", 0), ("union", "Norm", "y", 0), ("exclude", "D", "z", 1)]) == {"filter-union-0": {"Norm": ["x", "y"]}, "filter-exclude-1": {"D": ["z"]}}
     assert facets.rendered({"filter-union-0": {"a": ["x"], "b": ["y", "z"]}, "filter-exclude-0": {"c": ["w"]}}) == ("(a: x<b> AND </b>b: y<b> AND </b>b: z)", "(c: w)")
     assert 'title="salt, tide">Topic 3</span>' in facets.rendered({"filter-union-0": {"Topic": ["3: salt, tide"]}})[0]
-    assert [r["value"] for r in facets.options(decisions.filter("doc_id = 4"), "descriptors").collect()] == ["", "PUBLIC SERVICE"]
+    shown = facets.with_tips("topic 1, Topic 11 <b title='Topic 1'>", {"Topic 1": "one", "Topic 11": "Topic 1"})
+    assert shown.count("<span") == 2 and 'title="one">topic 1</span>, ' in shown and 'title="Topic 1">Topic 11</span>' in shown and shown.endswith("<b title='Topic 1'>")
+    assert facets.with_tips("a", {}) == "a"
+    assert [r["value"] for r in facets.options(decisions.filter("doc_id in (5, 6)"), "descriptors").collect()] == ["GRAIN", "SALT FISH", "TIMBER"]
 
 
 def test_citations(spark):
@@ -104,21 +112,26 @@ def test_feed(spark):
 
 
 def test_passages(spark):
-    assert passages.unwrapped("Le bateau part\ndemain matin.\n\nIl   revient\tjeudi.") == "Le bateau part demain matin. Il revient jeudi."
-    assert passages.unwrapped("Un\\nDeux\\n\\tTrois \\u00e9") == "Un Deux Trois é"
-    assert passages.unwrapped("12\u00a0000 fr. \u00a0 en tout\u00a0!") == "12\u00a0000 fr. en tout\u00a0!"
+    for blank in (" ", "\n", "\n\n", " \t ", "\\n", "\\t"):
+        assert passages.unwrapped(f"deux{blank}mots") == "deux mots"
+    assert passages.unwrapped("\\u00e0 5\u00a0km\u00a0; \u00a0 vu") == "\u00e0 5\u00a0km\u00a0; vu"
     assert passages.repaired("\u00e2\u0080\u0099 \u00c3\u00a2 \u00c3") == "\u2019 â à" and passages.repaired("\u00c3\u00a2", legacy=True) == "à\u00a2"
-    assert passages.sentences("Comme dit l'art. 12 XYZ. Le pont reste ouvert.") == ["Comme dit l'art. 12 XYZ.", "Le pont reste ouvert."]
-    assert passages.sentences("Consid. 4. Le quai (cf. art. 9 ABC). Puis la digue. 7.2. La rade.") == ["Consid. 4.", "Le quai (cf. art. 9 ABC).", "Puis la digue.", "7.2. La rade."]
-    assert passages.sentences("Vu cela. (ATF 1. Et 2). Non! oui; Mais. Fin") == ["Vu cela. (ATF 1. Et 2).", "Non! oui; Mais.", "Fin"]
-    assert passages.plain_sentences("Art. 1. Le test. M. Dupont. Fin.\nSuite") == ["Art. 1. Le test.", "M. Dupont.", "Fin.", "Suite"]
-    assert passages.headed_sentences("Titre\nEN FAIT\nA. Le recours\nest admis. Oui.\nEN DROIT\nLe 12.03.2020, p. ex. ceci. Fin.") == ["Titre", "EN FAIT\n\nA.", "Le recours est admis.", "Oui.", "EN DROIT\n\nLe 12.03.2020, p. ex. ceci.", "Fin."]
+    # Generated clauses: an end in front of a capital, a digit or a quote parts two; what protects or joins does not.
+    clauses = [f"{w} {k} {'x' * (1 + k)}" for k, w in enumerate(["Rouge", "Vert", "Bleu", "Gris"])]
+    for mark in (".", "!", "?", "..."):
+        assert passages.sentences(" ".join(c + mark for c in clauses)) == [c + mark for c in clauses]
+    for joined in ("Selon l'art. 77 YY ceci", "Il y a 3.14 m ici", "Soit (cf. n. 4. Et plus) tout", "Un point. encore", "Suite; Autre"):
+        assert passages.sentences(f"{joined}. {clauses[0]}.") == [f"{joined}.", f"{clauses[0]}."]
+    assert passages.sentences("8. 8.1 Ouverture. Clos.") == ["8. 8.1 Ouverture.", "Clos."]
+    assert passages.plain_sentences("M. Quai parle. Oui.\nArt. 8. Non. Fin") == ["M. Quai parle.", "Oui.", "Art. 8. Non.", "Fin"]
+    assert passages.headed_sentences("Objet\nEN FAIT\nB. La grue\nse lève. Bien.\nEN DROIT\nDu 01.02.1999, p. ex. cela. Bon.") == ["Objet", "EN FAIT\n\nB.", "La grue se lève.", "Bien.", "EN DROIT\n\nDu 01.02.1999, p. ex. cela.", "Bon."]
     long = "c" * 70 + " d e f g h i j."
     assert passages.merge_short(["a b.", long, "EN DROIT", long, "x."]) == [f"a b. {long}", f"EN DROIT {long} x."]
     chunks = passages.packed_chunks([f"sentence number {k} of the text." for k in range(60)], most=50, overlap=10)
     assert all(passages.token_estimate(c) <= 60 for c in chunks) and len(chunks) > 5 and chunks[1].startswith(chunks[0][-40:])
     assert passages.packed_chunks(["ab cd " * 20], most=10, overlap=0)[0] == "ab cd ab cd ab cd ab cd ab cd"
-    assert passages.packed_chunks(["Le port dort.", "La mer monte."], most=40, overlap=0) == ["Le port dort. La mer monte."]
+    for n in range(1, 8):
+        assert passages.packed_chunks([f"n{k}." for k in range(n)], most=400, overlap=0) == [" ".join(f"n{k}." for k in range(n))]
     plain = ["Art. 1. Le test. M. Dupont. Fin.\nSuite", "Voir p. 3. Le 2.5. Zone 4. Encore 1. Non? Oui! C.fam. Bref", "  ", None]
     column = spark.createDataFrame([(t,) for t in plain], "t string").select(passages.plain_sentence_column(F.col("t")))
     assert [r[0] for r in column.collect()] == [passages.plain_sentences(t or "") for t in plain]
@@ -273,23 +286,43 @@ def test_iterations(spark):
 
 
 def test_studies(spark):
+    """Trials by a clusterer of one's own: asked of the sampler, resumed, failures tried again."""
+    from pyspark.errors import PySparkException
+
     rows = [(k, w, 1.0) for k in range(40) for w in (["x", "y", f"z{k}"] if k < 20 else ["p", "q", f"z{k}"])]
     points = clustering.document_vectors(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), 32)
-    assert clustering.search_space(3, 100) == clustering.search_space(5, 100)[:3]
-    space = [clustering.Density(2, 0.5, 3), clustering.Density(99, 0.5, 3), clustering.Density(2, 1.0, 4)]
-    trials = clustering.study(points, 3, space=space, jobs=2)
-    assert clustering.count_trials(trials) == 2 and trials.filter("state = 'FAIL'").first()["number"] == 1
-    known = spark.createDataFrame([(0, '{"dimensions": 2, "width": 9.0, "least": 3}', "COMPLETE", 5.0)], clustering.TRIALS)
-    again = clustering.study(points, 3, known, space=space)
-    assert clustering.best_params(again)["width"] == 9.0 and clustering.count_trials(again) == 2
-    labels = {r["doc_id"]: r["cluster_id"] for r in clustering.density(points, space[2]).collect()}
-    assert labels[0] != labels[39] or -1 in labels.values()
+    ranges = (clustering.Range("dimensions", 2, 3, True), clustering.Range("width", 0.4, 0.6), clustering.Range("least", 3, 4, True))
+    tried = []
+
+    def run(vectors, trial):
+        tried.append(trial)
+        if len(tried) == 2:
+            raise PySparkException("lost")
+        return None, trial.width
+
+    trials = clustering.study(points, 4, jobs=1, run=run, kind=clustering.Density, ranges=ranges)
+    assert clustering.count_trials(trials) == 3 and trials.filter("state = 'FAIL'").first()["number"] == 1
+    again = clustering.study(points, 4, trials, jobs=3, run=run, kind=clustering.Density, ranges=ranges)
+    assert clustering.count_trials(again) == 4 and len(tried) == 5 and tried[4] == tried[1]
+    assert clustering.best_params(again)["width"] == max(t.width for t in tried)
+    labels, score = clustering.scored_density(points, clustering.Density(2, 0.5, 3))
+    assert labels.count() == 40 and -1 <= score <= 1
     assert clustering.clustered(points.limit(5)) == (None, None) and clustering.best_params(trials.limit(0)) is None
     early = clustering.early_map(points)
     assert early.count() == 40 and clustering.without_provisional(early.select("doc_id", "cluster_id")).count() == 0
     assert clustering.silhouette(points, early) == -1.0
 
 
+def test_clustered_collection(spark):
+    """Two subjects are told apart by a study of three trials."""
+    rows = [(k, w, 1.0) for k in range(60) for w in ([f"x{k % 4}", "y", f"z{k % 7}"] if k < 30 else [f"p{k % 4}", "q", f"r{k % 7}"])]
+    points = clustering.document_vectors(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), 32)
+    labels, trials = clustering.clustered(points, 3, jobs=3)
+    assert clustering.count_trials(trials) == 3
+    found = {r["doc_id"]: r["cluster_id"] for r in labels.collect()}
+    assert len(found) == 60 and not {found[k] for k in range(30)} & {found[k] for k in range(30, 60)} - {-1}
+
+
 def test_collections_and_models(spark):
     have = {"new": spark.range(2), "old": spark.range(0)}
     assert vectors.collection(have, "new").count() == 2 and vectors.collection(have, "gone", {"gone": "old"}).count() == 0
