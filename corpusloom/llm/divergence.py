@@ -170,7 +170,7 @@ def _pair_values(shares: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     met = profile.join(two, "lang").filter("sid <> b")
     single = met.select("lang", F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b"), F.expr(f"times * ({F_PQ} - ((p0 - q) * (p0 - q)) div (p0 + q))").alias("value"))
     many = (groups.agg(F.max("sid")).head()[0] or 0) >= block
-    tiles = _terms_by_tile(shares, block, many).repartition("lang", "i", "j", F.pmod(F.xxhash64("a"), F.lit(64))).sortWithinPartitions("lang", "i", "j")
+    tiles = _terms_by_tile(shares, block, many).repartition("lang", "i", "j", F.xxhash64("a")).sortWithinPartitions("lang", "i", "j")
     both = tiles.mapInArrow(tidy(_tiles(block)), "lang string, a long, b long, value long")
     # Each part combines before the shuffle: a task passes on one row for each pair that it has met.
     return base.unionByName(single).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

@@ -6,11 +6,13 @@ table of SLOTS rows with a weight for each language. Learned transition weights
 Forward-backward gives each word's probability of each language; a document's is the mean of its
 words'.
 
-Training takes a sample of at most `per_language` passages of `chars` characters of each language's
-labelled documents, the same from any part of a text, chosen by hash; so what reaches the driver is
-bounded however long the texts are. Words are labelled with their document's language and spliced
-into sequences that switch language now and then, so that transitions are learned from switches.
-More than `languages` languages are refused, as the model has a weight for each feature and language.
+Training takes a sample of at most `passages` passages of `chars` characters in all, as many of each
+language (and at most `per_language`), the same from any part of a text, chosen by hash; so what
+reaches the driver is bounded however many the languages and however long the texts are. Beyond
+`passages` languages each gives one passage, shortened so that the total stays. Words are labelled
+with their document's language and spliced into sequences that switch language now and then, so that
+transitions are learned from switches. More than `languages` languages are refused, as the model has
+a weight for each feature and language: 512 KB a language while it is trained.
 
 Work is done at array speed for whole batches: features of all characters at once, the chain for
 all documents of a slice in step. Memory follows the slice's text, not the batch's.
@@ -51,12 +53,13 @@ def _letters() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Training:
-    """per_language: passages of `chars` characters sampled of each of at most `languages` languages.
+    """passages: sampled in all, of `chars` characters each, and per_language of one of at most `languages` languages.
     steps: gradient steps of `batch` sequences of `words` words."""
 
+    passages: int = 600
     per_language: int = 150
     chars: int = 4000
-    languages: int = 2000
+    languages: int = 1000
     steps: int = 150
     batch: int = 48
     words: int = 32
@@ -107,10 +110,16 @@ class Features:
             total = w if total is None else np.add(total, w, out=total)
         return np.add.reduceat(total, self.bounds, axis=0) + weights[self.lexicon]
 
-    def lists(self) -> list[np.ndarray]:
-        """The slots of each word."""
-        edge = np.append(self.bounds, len(self.rows[0][0]) if self.rows else 0)
-        return [np.concatenate([*(s[a:b][v[a:b]] for s, v in self.rows), [self.lexicon[k]]]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+    def by_word(self) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, bounds): the slots of all words in a row, word w's from bounds[w] on."""
+        n = len(self.bounds)
+        word = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(self.bounds, len(self.rows[0][0])))) if n else np.zeros(0, np.int32)
+        skipped = self.bounds[0] if n else 0
+        owners = [word[v[skipped:]] for _, v in self.rows if n] + [np.arange(n, dtype=np.int32)]
+        slots = [s[skipped:][v[skipped:]] for s, v in self.rows if n] + [self.lexicon if n else np.zeros(0, np.int32)]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(slots)[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
 
 
 def _chain(e: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -179,8 +188,8 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
     languages = sorted(set(labels))
     size, rng = len(languages), np.random.default_rng(how.seed)
     f = Features(texts)
-    words = f.lists()
-    label = np.repeat([languages.index(x) for x in labels], f.per_text)
+    words, bounds = f.by_word()
+    label = np.repeat(np.searchsorted(languages, labels), f.per_text)
     place = [np.flatnonzero(label == k) for k in range(size)]
     weights, moved = np.zeros((SLOTS, size), dtype=np.float32), np.full((SLOTS, size), 1e-6, dtype=np.float32)
     trans, trans_moved = np.zeros((size, size), dtype=np.float32), np.full((size, size), 1e-6, dtype=np.float32)
@@ -196,12 +205,13 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
                 run = place[k][s : s + n]
                 picked[t : t + len(run), b], gold[t : t + len(run), b] = run, k
                 t += len(run)
-        slots = [words[w] for w in picked.reshape(-1)]
-        owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-        used, flat = np.unique(np.concatenate(slots), return_inverse=True)
+        chosen = picked.reshape(-1)
+        counts = bounds[chosen + 1] - bounds[chosen]  # one at least, the lexicon's
+        starts = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(chosen)), counts)
+        used, flat = np.unique(words[np.arange(counts.sum()) - starts[owner] + bounds[chosen][owner]], return_inverse=True)
         own = weights[used]
-        e = np.zeros((len(slots), size), dtype=np.float32)
-        np.add.at(e, owner, own[flat])
+        e = np.add.reduceat(own[flat], starts, axis=0)
         e = np.exp(e - e.max(axis=1, keepdims=True)) + np.float32(1e-30)
         step = np.exp(trans)
         shape = (how.words, how.batch, size)
@@ -220,9 +230,9 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
         whole = ((alpha[:-1] @ step) * ahead).sum(axis=2, keepdims=True)
         edges = step * ((alpha[:-1] / whole).reshape(-1, size).T @ ahead.reshape(-1, size))
         delta = -node.reshape(-1, size)
-        delta[np.arange(len(slots)), gold.reshape(-1)] += 1
-        pull = np.zeros_like(own)
-        np.add.at(pull, flat, delta[owner])
+        delta[np.arange(len(chosen)), gold.reshape(-1)] += 1
+        order = np.argsort(flat, kind="stable")
+        pull = np.add.reduceat(delta[owner[order]], np.searchsorted(flat[order], np.arange(len(used))), axis=0)
         pull = pull / how.batch - 1e-4 * own
         moved[used] += pull * pull
         weights[used] += how.rate * pull / np.sqrt(moved[used])
@@ -235,7 +245,7 @@ def fit(texts: list[str], labels: list[str], how: Training = Training()) -> Crf:
 
 
 def _sample(labelled: DataFrame, how: Training) -> DataFrame:
-    """(doc_id, lang, text) of at most `per_language` passages of each language; which ones, a hash says.
+    """(doc_id, lang, piece, text) of as many passages of each language as the bounds allow; which ones, a hash says.
 
     Texts are not moved: passages are ranked by their places, and the few chosen places go to the texts.
     """
@@ -243,14 +253,16 @@ def _sample(labelled: DataFrame, how: Training) -> DataFrame:
     last = F.greatest(F.ceil(F.length("text") / how.chars) - 1, F.lit(0)).cast("int")
     places = own.select("doc_id", "lang", "h", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h", "piece"), "doc_id", "h", "piece")
-    chosen = places.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= how.per_language)
-    chosen = stored(chosen.select("doc_id", "lang", "h", "piece").distinct(), "places")
-    n = chosen.select("lang").distinct().count()
+    n = labelled.select("lang").distinct().count()
     if n > how.languages:
         raise ValueError(f"{n} languages; a model of at most {how.languages} is trained (Training.languages)")
-    # At most per_language * languages rows, by construction.
+    each = max(1, min(how.per_language, how.passages // max(1, n)))
+    chars = min(how.chars, how.chars * how.passages // max(1, n * each))
+    chosen = places.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= each)
+    # At most max(passages, languages) rows, by construction.
+    chosen = stored(chosen.select("doc_id", "lang", "h", "piece").distinct(), "places")
     met = own.join(F.broadcast(chosen), ["doc_id", "lang", "h"])
-    return met.select("doc_id", "lang", "piece", F.substring("text", F.col("piece") * how.chars + 1, F.lit(how.chars)).alias("text")).distinct()
+    return met.select("doc_id", "lang", "piece", F.substring("text", F.col("piece") * how.chars + 1, F.lit(chars)).alias("text")).distinct()
 
 
 def train(labelled: DataFrame, how: Training = Training()) -> Crf | None:

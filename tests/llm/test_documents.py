@@ -482,10 +482,10 @@ def test_language_id(spark, docs, nothing):
 def test_many_languages(spark):
     rows = [(2 * k + j, f"{chr(0x4E00 + k)}{chr(0x6E00 + k)} " * 5, f"l{k:04}") for k in range(1200) for j in range(2)]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.train(known, langid.Training(per_language=1, steps=2, batch=8, words=8))
+    model = langid.train(known, langid.Training(languages=1200, steps=2, batch=8, words=8))
     assert model.languages == sorted({r[2] for r in rows})
     with pytest.raises(ValueError, match="1200 languages"):
-        langid.train(known, langid.Training(languages=1000))
+        langid.train(known)
 
 
 def test_training_passages_are_bounded(spark):
@@ -495,6 +495,37 @@ def test_training_passages_are_bounded(spark):
     got = langid._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), how).collect()
     assert sorted(r["lang"] for r in got) == ["x"] * 5 + ["y"] and all(len(r["text"]) <= 100 for r in got)
     assert any(r["piece"] > 9 for r in got)
+    # The total is bounded too: shares of it fall as languages rise, down to one short passage each.
+    many = spark.createDataFrame([(k, "ab" * 500, f"l{k % 30}") for k in range(300)], "doc_id long, text string, lang string")
+    shares = langid._sample(many, langid.Training(passages=60, chars=100)).collect()
+    assert len(shares) == 60 and {len(r["text"]) for r in shares} == {100}
+    shares = langid._sample(many, langid.Training(passages=10, chars=100)).collect()
+    assert len(shares) == 30 and {len(r["text"]) for r in shares} == {33}
+
+
+def test_training_of_many_languages_is_bounded():
+    """200 languages with as much text as the bounds let in, in a process of its own that tells its peak."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    program = """
+import random, resource
+from corpusloom.llm import langid
+how = langid.Training()
+rng = random.Random(1)
+texts, labels = [], []
+for k in range(200):
+    letters = [chr(0x400 + 7 * k + j) for j in range(7)]
+    for _ in range(how.passages // 200):
+        texts.append(" ".join("".join(rng.choices(letters, k=5)) for _ in range(how.chars // 6)))
+        labels.append(f"l{k}")
+model = langid.fit(texts, labels, how)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, len(model.languages))
+"""
+    out = subprocess.run([sys.executable, "-c", program], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=600)
+    peak, n = map(int, out.stdout.split())
+    assert n == 200 and peak < 1000
 
 
 def test_forward_backward_is_exact():
