@@ -56,8 +56,9 @@ TREES = HASHES // DEPTH
 ESTIMATE = 55
 #: As many make a link likely; the first pass proposes such pairs, and each row's nearest.
 LIKELY = 68
-#: Rows that are compared at once.
+#: Rows that are compared at once, and shingles of such rows: either cuts a region into parts, of which a block has two.
 BLOCK = 1024
+MOST_SHINGLES = 2_000_000
 #: Regions of more rows are cut deeper, STEP values at a time, LEVELS times.
 CROWD = 4096
 STEP = 3
@@ -409,6 +410,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int)
     return met.mapInArrow(tidy(partial(_linked, shingle=shingle)), PAIRS).distinct()
 
 
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """`rows` (region, id, n and weight of the region, ...) with i and j: a copy for each block of two parts of the region that holds the row's part."""
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / MOST_SHINGLES), F.lit(1)).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
 def _mixed(named: DataFrame, reps: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of a level's regions with different components that may link: by block; and the (id, label) of crowded regions, if any.
 
@@ -424,9 +432,8 @@ def _mixed(named: DataFrame, reps: DataFrame, scratch: Scratch, level: int) -> t
         rows = rows.filter(F.col("n") <= CROWD)
     rows = rows.join(own, "id")
     rows = rows.join(gone, "id", "left") if gone is not None else rows.withColumn("crowded", F.lit(None).cast("array<long>"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "n_shingles", "signature", "crowded")
+    weights = named.join(mixed, "region").join(own.select("id", "n_shingles"), "id").groupBy("region").agg(F.sum("n_shingles").alias("weight"))
+    rows = _in_parts(rows.join(weights, "region")).select("region", "i", "j", "id", "label", "n_shingles", "signature", "crowded")
     found = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(tidy(partial(_involved, level=level)), INVOLVED)
     return scratch.stored(found, "involved"), left
 

@@ -503,6 +503,39 @@ def test_training_passages_are_bounded(spark):
     assert len(shares) == 30 and {len(r["text"]) for r in shares} == {33}
 
 
+def test_blocks_of_long_texts_are_bounded(spark):
+    """A region of 2,048 rows of 20,000 words: its blocks hold bounded words, each pair of rows meets, and a block's links take bounded memory."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    n, words = 2048, 20_000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("region"), "id", F.lit(n).cast("long").alias("n"), F.lit(n * words).cast("long").alias("weight"))
+    blocks = {}
+    for r in neardup._in_parts(rows).collect():
+        blocks.setdefault((r["i"], r["j"]), set()).add(r["id"])
+    most = max(map(len, blocks.values()))
+    assert most * words < 2.5 * neardup.MOST_SHINGLES and most < 2 * neardup.BLOCK
+    met = {(min(a, b), max(a, b)) for own in blocks.values() for a in own for b in own if a < 100 and b < 100}
+    assert len(met) == 100 * 101 // 2
+    program = f"""
+import random, resource
+import pyarrow as pa
+from corpusloom.llm import neardup
+rng = random.Random(1)
+word = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+texts = [" ".join(rng.choices(word, k={words})) for _ in range({most} - 1)]
+texts.append(texts[0] + " more")
+rows = [(7, 0, 1, k, k, t) for k, t in enumerate(texts)]
+batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 50], strict=True)], names=list("abcdef")) for k in range(0, len(rows), 50)]
+del rows, texts
+print([b.to_pylist() for b in neardup._joining(iter(batches), 4)], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, sep="|")
+"""
+    out = subprocess.run([sys.executable, "-c", program], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=600)
+    links, peak = out.stdout.split("|")
+    assert links == str([[{"a": 0, "b": most - 1}]]) and int(peak) < 1000
+
+
 def test_training_of_many_languages_is_bounded():
     """200 languages with as much text as the bounds let in, in a process of its own that tells its peak."""
     import subprocess
