@@ -754,4 +754,4 @@ def q_html_text(spark, root):
 
 FLAGSHIP = "q_bm25_top20"
 
-from corpusloom import catalog_workspace  # noqa: E402, F401  (registers its queries)
+from corpusloom import catalog_learning, catalog_workspace  # noqa: E402, F401  (register their queries)
