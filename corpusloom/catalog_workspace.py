@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import CHOICE, FACETS, choice, corpus, elements, query, said, support_rows, texts, tokenized
 from corpusloom.functions import legal, passages, text
-from corpusloom.operators import answers, clustering, facets, hierarchy, joins, ranking, selection, stats, vectors
+from corpusloom.operators import answers, clustering, cursor, facets, hierarchy, joins, ranking, selection, stats, vectors
 from corpusloom.plans import boolean
-from corpusloom.sources import records
+from corpusloom.sources import feed, records
 from corpusloom.sources.staging import run_folder
 from corpusloom.sources.tables import read_table
 
@@ -503,6 +504,29 @@ def s_feed(spark, root):
     return records.feed_scan(spark.read.parquet(path), ["src1"], "fr").select(F.col("record_key").cast("long").alias("doc_id"), F.col("language").alias("lang"))
 
 
+@query("s_feed_source", "SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de') AND source = 'src1' AND text IS NOT NULL AND trim(text) <> ''")
+def s_feed_source(spark, root):
+    """The same records through the feed as a data source, which is asked for one spider and two languages."""
+    path = f"{run_folder(spark)}/feed-{uuid.uuid4().hex}"
+    hit = F.to_json(F.struct(F.col("doc_id").cast("string").alias("Signatur"), F.coalesce("source", F.lit("none")).alias("Spider"), F.lit("2020-01-01").alias("Datum"), F.coalesce("lang", F.lit("none")).alias("Sprache"), F.struct(F.col("text").alias("content")).alias("attachment")))
+    hits = texts(spark, root).select(F.coalesce("source", F.lit("none")).alias("spider"), F.coalesce("lang", F.lit("none")).alias("language"), hit.alias("value"))
+    feed.write_feed_lines(hits, path)
+    asked = feed.feed_hits(spark, path, ["src1"], since="2019-12-31").filter("language in ('fr', 'de')")
+    return records.feed_records(asked, "feed").select(F.col("record_key").cast("long").alias("doc_id"), F.col("language").alias("lang"))
+
+
+@query("r_cursor_pages", "SELECT doc_id, CAST(row_number() OVER (ORDER BY pos_x DESC, doc_id) - 1 AS INTEGER) // 40 AS page FROM {elements}")
+def r_cursor_pages(spark, root):
+    """A frozen scan in pages of 40, each by the cursor of the one before."""
+    scores = elements(spark, root).select("doc_id", F.col("pos_x").alias("score"))
+    frozen = cursor.freeze(scores, f"{run_folder(spark)}/frozen-{uuid.uuid4().hex}")
+    at, pages = None, []
+    while rows := cursor.page_after(frozen, at, 40).collect():  # what a reader sees, a page at a time
+        pages.append([(r["doc_id"], len(pages)) for r in rows])
+        at = cursor.cursor_of(frozen, rows)
+    return spark.createDataFrame([r for p in pages for r in p], "doc_id long, page int")
+
+
 @query("x_prepared", "SELECT count(*) AS documents FROM documents")
 def x_prepared(spark, root):
     """Processed and rejected documents add up to all."""
