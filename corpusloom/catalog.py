@@ -398,13 +398,6 @@ def r_iterate(spark, root):
     return selection.iterated(choice(spark, root), elements(spark, root), none)[0]
 
 
-@query("r_lineage", "WITH RECURSIVE up(id, depth) AS (SELECT 1000, 0 UNION ALL SELECT id // 2, depth + 1 FROM up WHERE id > 1) SELECT CAST(id AS BIGINT) AS id, depth FROM up")
-def r_lineage(spark, root):
-    half = F.floor(F.col("id") / 2).cast("long")
-    tree = spark.range(1, 1025).select("id", F.when(F.col("id") > 1, half).alias("parent"))
-    return selection.lineage(tree, 1000)
-
-
 @query(
     "r_topic_labels",
     """WITH t AS (SELECT doc_id, unnest(tokens) AS term FROM {tokenized}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 from datetime import date
+from json import loads
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
-from corpusloom.catalog import CHOICE, FACETS, choice, corpus, elements, query, said, support_rows, texts, tokenized
+from corpusloom.catalog import _PROFILE, CHOICE, FACETS, choice, corpus, elements, query, said, support_rows, texts, tokenized
 from corpusloom.functions import legal, passages, text
 from corpusloom.operators import answers, clustering, cursor, facets, hierarchy, joins, ranking, selection, stats, vectors
 from corpusloom.plans import boolean
@@ -15,26 +18,42 @@ from corpusloom.sources import feed, records
 from corpusloom.sources.staging import run_folder
 from corpusloom.sources.tables import read_table
 
-# The query language itself: what is done on the driver, as rows.
+# The query language itself, over queries made of the words of turns.
 
-ASKED = ("this AND", "(a OR b", "a b", '"one', "()", "not a", "a not b or c", "(a AND b) OR c", "", "a AND OR b", 'foo "bar baz" and x')
+_WORDED = """(SELECT conv_id, turn, (conv_id + 3 * turn) % 9 AS kind, w[1] AS a, w[2] AS b, w[3] AS c FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]{2,}'), lambda x: x NOT IN ('and', 'or', 'not')) AS w FROM conversations) WHERE len(w) >= 3)"""
 
 
-def _plan(q: str) -> tuple[str, bool, str]:
+def _asked(spark, root):
+    """(conv_id, turn, query): a template, right or wrong, filled with a turn's first words."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), F.lit(1)), lambda w: ~w.isin("and", "or", "not"))
+    a, b, c = (F.get("w", F.lit(k)) for k in range(3))
+    made = F.array(
+        F.concat_ws(" ", a, F.lit("AND"), b), F.concat_ws(" ", a, F.lit("OR"), b, F.lit("NOT"), c), F.concat(F.lit("("), a, F.lit(" or "), b, F.lit(") and "), c), F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('" AND '), c),
+        F.concat(a, F.lit(" AND")), F.concat(F.lit("("), a), F.concat_ws(" ", a, b), F.concat(F.lit('"'), a), F.lit(""),
+    )
+    rows = read_table(spark, root, "conversations").select("conv_id", "turn", words.alias("w")).filter("size(w) >= 3")
+    return rows.select("conv_id", "turn", F.get(made, ((F.col("conv_id") + 3 * F.col("turn")) % 9).cast("int")).alias("query"))
+
+
+def _plan(q: str) -> tuple[bool, str]:
     try:
-        return q, True, boolean.normalized(q)
+        return True, boolean.normalized(q)
     except boolean.QueryError as e:
-        return q, False, type(e).__name__
+        return False, type(e).__name__
+
+
+@F.pandas_udf(StructType().add("valid", BooleanType()).add("told", StringType()))
+def _planned(queries: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_plan(q) for q in queries], columns=["valid", "told"])
 
 
 @query(
     "q_canonical",
-    """SELECT * FROM (VALUES ('this AND', false, 'LogicalOperatorError'), ('(a OR b', false, 'UnmatchedParenthesesError'), ('a b', false, 'ExpressionValidationError'),
-       ('"one', false, 'UnmatchedQuotesError'), ('()', false, 'EmptyParenthesisError'), ('not a', true, 'not a'), ('a not b or c', true, 'a not b or c'), ('(a AND b) OR c', true, '(a AND b) OR c'),
-       ('', false, 'EmptyQueryError'), ('a AND OR b', false, 'LogicalOperatorError'), ('foo "bar baz" and x', false, 'ExpressionValidationError')) AS t(query, valid, told)""",
+    f"""SELECT conv_id, turn, kind < 4 AS valid, CASE kind WHEN 0 THEN a || ' AND ' || b WHEN 1 THEN a || ' OR ' || b || ' NOT ' || c WHEN 2 THEN '(' || a || ' or ' || b || ') and ' || c WHEN 3 THEN '"' || a || ' ' || b || '" AND ' || c
+        WHEN 4 THEN 'LogicalOperatorError' WHEN 5 THEN 'UnmatchedParenthesesError' WHEN 6 THEN 'ExpressionValidationError' WHEN 7 THEN 'UnmatchedQuotesError' ELSE 'EmptyQueryError' END AS told FROM {_WORDED}""",
 )
 def q_canonical(spark, root):
-    return spark.createDataFrame([_plan(q) for q in ASKED], "query string, valid boolean, told string")
+    return _asked(spark, root).select("conv_id", "turn", _planned("query").alias("p")).select("conv_id", "turn", "p.valid", "p.told")
 
 
 @query("q_keywords", "SELECT doc_id, 'of the' AS keyword FROM documents WHERE contains(lower(text), 'of the') UNION ALL SELECT doc_id, 'from' FROM documents WHERE contains(lower(text), 'from')")
@@ -48,11 +67,29 @@ def q_keywords(spark, root):
 # Facets.
 
 
-@query("u_payload", "SELECT * FROM (VALUES ('filter-union-0', 'Norm', 'x'), ('filter-union-0', 'Norm', 'y'), ('filter-exclude-1', 'D', 'z')) AS t(grp, facet, value)")
+def _sent(spark, root):
+    """(k, name, segment, sent): what a client sends for each customer, as JSON; some fields are no filters, some say nothing."""
+    json = lambda *pairs: F.to_json(F.create_map(*[x for name, values in pairs for x in (F.lit(name), values)]))
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    union = json(("Norm", F.array(name, segment)), ("Result", F.array(segment)))
+    gone = F.when(F.col("c_custkey") % 2 == 0, json(("D", F.array(name)))).otherwise("{}")
+    sent = F.to_json(F.create_map(F.lit("filter-union-0"), union, F.lit("filter-exclude-0"), gone, F.lit("filter-bad"), F.lit("no"), F.lit("page"), union))
+    return read_table(spark, root, "customer").select(F.col("c_custkey").alias("k"), sent.alias("sent"))
+
+
+@F.pandas_udf(ArrayType(StructType().add("grp", StringType()).add("facet", StringType()).add("value", StringType())))
+def _parsed(sent: pd.Series) -> pd.Series:
+    each = lambda text: [(g, f, v) for g, fs in facets.parse_payload(loads(text)).items() for f, vs in fs.items() for v in vs]
+    return sent.map(each)
+
+
+@query(
+    "u_payload",
+    """SELECT c_custkey AS k, grp, facet, value FROM (SELECT c_custkey, 'filter-union-0' AS grp, 'Norm' AS facet, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'filter-union-0', 'Norm', c_mktsegment FROM customer
+       UNION ALL SELECT c_custkey, 'filter-union-0', 'Result', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'filter-exclude-0', 'D', c_name FROM customer WHERE c_custkey % 2 = 0)""",
+)
 def u_payload(spark, root):
-    sent = {"filter-union-0": '{"Norm": ["x", "y"]}', "filter-exclude-1": '{"D": ["z"]}', "filter-empty": "{}", "filter-bad": "no", "page": '{"a": ["b"]}'}
-    rows = [(g, f, v) for g, fs in facets.parse_payload(sent).items() for f, vs in fs.items() for v in vs]
-    return spark.createDataFrame(rows, "grp string, facet string, value string")
+    return _sent(spark, root).select("k", F.inline(_parsed("sent")))
 
 
 _TOPICS = {"filter-union-0": {"Topic": ["1: LPAC"], "Result": ["ADMIS", "NO RESULT"]}, "filter-exclude-0": {"Topic": ["unclassified papers"]}}
@@ -73,21 +110,24 @@ def u_clustered_facets(spark, root):
     return facets.filtered(marked, _TOPICS, FACETS | {"Topic": facets.topic("standards")}, clustered=F.col("in_cluster")).select("doc_id")
 
 
-@query("u_small_corpus_base", "SELECT doc_id FROM documents WHERE doc_id < 15")
+@query("u_small_corpus_base", "SELECT doc_id FROM documents")
 def u_small_corpus_base(spark, root):
-    """All documents count while there are fewer than clustering asks for."""
-    few = read_table(spark, root, "documents").filter("doc_id < 15")
-    return facets.with_clusters_only(few, elements(spark, root).filter("doc_id % 2 = 0"), 20, True).select("doc_id")
+    """All documents count while there are fewer than clustering asks for, which is more than any table has here."""
+    docs = read_table(spark, root, "documents")
+    return facets.with_clusters_only(docs, elements(spark, root).filter("doc_id % 2 = 0"), 1 << 40, True).select("doc_id")
+
+
+@F.pandas_udf(StructType().add("shown", StringType()).add("hidden", StringType()))
+def _shown(sent: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([facets.rendered(facets.parse_payload(loads(text))) for text in sent], columns=["shown", "hidden"])
 
 
 @query(
     "u_rendered",
-    """SELECT '(<span data-toggle="tooltip" data-placement="bottom" title="alpha, beta">Topic 2</span><b> AND </b>Norm: x)<b> OR </b>(Result: y)' AS shown,
-       '(<span data-toggle="tooltip" data-placement="bottom" title="unclassified papers">unclassified papers</span><b> OR </b>D: z)' AS hidden""",
+    """SELECT c_custkey AS k, '(Norm: ' || c_name || '<b> AND </b>Norm: ' || c_mktsegment || '<b> AND </b>Result: ' || c_mktsegment || ')' AS shown, CASE WHEN c_custkey % 2 = 0 THEN '(D: ' || c_name || ')' ELSE '' END AS hidden FROM customer""",
 )
 def u_rendered(spark, root):
-    chosen = {"filter-union-0": {"Topic": ["2: alpha, beta"], "Norm": ["x"]}, "filter-union-1": {"Result": ["y"]}, "filter-exclude-0": {"Topic": ["unclassified papers"], "D": ["z"]}}
-    return spark.createDataFrame([facets.rendered(chosen)], "shown string, hidden string")
+    return _sent(spark, root).select("k", _shown("sent").alias("s")).select("k", "s.shown", "s.hidden")
 
 
 # Lookups.
@@ -164,29 +204,40 @@ def r_restored(spark, root):
 
 
 def _iterations(spark, root):
-    """A refinement's tree of versions: the parent of 8 is 4, of 9 too."""
-    return spark.range(1, 64).select(F.lit(0).alias("refinement_id"), "id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
+    """A refinement's tree of versions, numbered as customers are: the parent of 8 is 4, of 9 too."""
+    ids = read_table(spark, root, "customer").filter("c_custkey > 0").select(F.col("c_custkey").cast("long").alias("id"))
+    return ids.select(F.lit(0).alias("refinement_id"), "id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("parent"))
+
 
+_UP = """WITH RECURSIVE t AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer WHERE c_custkey > 0),
+       up(id, parent, depth) AS (SELECT id, parent, 0 FROM t WHERE id = (SELECT max(id) FROM t) UNION ALL SELECT t.id, t.parent, up.depth + 1 FROM up JOIN t ON t.id = up.parent)"""
 
-@query("r_pruned", "SELECT range AS id FROM range(1, 64) WHERE range NOT IN (63, 31, 15)")
+
+@query("r_lineage", f"{_UP} SELECT id, depth FROM up")
+def r_lineage(spark, root):
+    tree = _iterations(spark, root)
+    return selection.lineage(tree, tree.agg(F.max("id")).first()[0])
+
+
+@query("r_pruned", f"{_UP} SELECT id FROM t WHERE id NOT IN (SELECT id FROM up WHERE parent IS NOT NULL AND depth < coalesce((SELECT depth FROM up WHERE id = 2), 1000))")
 def r_pruned(spark, root):
-    """Iterations that are left when one goes on from 7, on the way from the last one to the root."""
-    return selection.pruned_after(_iterations(spark, root), 0, 7).select("id")
+    """Iterations that are left when one goes on from 2: what lies on the way to it from the last one goes; all but the root if it is not on that way."""
+    return selection.pruned_after(_iterations(spark, root), 0, 2).select("id")
 
 
-@query("r_reset", "SELECT range AS id FROM range(1, 64) WHERE range NOT IN (63, 31, 15, 7, 3)")
+@query("r_reset", f"{_UP} SELECT id FROM t WHERE id NOT IN (SELECT id FROM up WHERE parent IS NOT NULL)")
 def r_reset(spark, root):
     return selection.reset(_iterations(spark, root), 0)[0].select("id")
 
 
-@query("r_removed", "SELECT range AS id FROM range(1, 64) WHERE range <> 20")
+@query("r_removed", "SELECT c_custkey AS id FROM customer WHERE c_custkey > 0 AND c_custkey <> 20")
 def r_removed(spark, root):
     return selection.without_iteration(_iterations(spark, root), 0, 20)[0].select("id")
 
 
 @query(
     "r_listed",
-    "SELECT range AS id, row_number() OVER (ORDER BY range) AS ordinal, range = 1 AS is_root, range = 9 AS is_active, range < 32 AS is_parent FROM range(1, 64)",
+    "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS ordinal, c_custkey = 1 AS is_root, c_custkey = 9 AS is_active, 2 * c_custkey <= (SELECT max(c_custkey) FROM customer) AS is_parent FROM customer WHERE c_custkey > 0",
 )
 def r_listed(spark, root):
     return selection.listed(_iterations(spark, root).withColumn("project_id", F.lit(1)), 9).withColumn("ordinal", F.col("ordinal").cast("long"))
@@ -239,10 +290,12 @@ def g_valid_scores(spark, root):
     return stats.valid_scores(read_table(spark, root, "labels"), "quality")
 
 
-@query("g_valid_sections", "SELECT count(*) FILTER (doc_id % 4 IN (0, 2)) AS n FROM documents")
+@query("g_valid_sections", "SELECT count(*) AS n FROM documents WHERE n_chars % 7 <> 0 AND ((n_chars >= 500 AND lang <> '') OR (n_chars > 3000 AND source <> ''))")
 def g_valid_sections(spark, root):
-    kinds = F.array(F.lit('{"Mineure-Faits": ["x"]}'), F.lit('{"Mineure-Faits": [], "Other": "y"}'), F.lit('{"Majeure": "z"}'), F.lit("no json"))
-    rows = read_table(spark, root, "documents").select(F.get(kinds, F.pmod("doc_id", F.lit(4)).cast("int")).alias("answer"))
+    """Answers that hold a document's language or source in their sections, or its text instead of JSON."""
+    facts, major = F.when(F.col("n_chars") < 500, "").otherwise(F.col("lang")), F.when(F.col("n_chars") > 3000, F.col("source"))
+    told = F.to_json(F.struct(facts.alias("Mineure-Faits"), major.alias("Majeure"), F.lit("y").alias("Other")))
+    rows = read_table(spark, root, "documents").select(F.when(F.col("n_chars") % 7 == 0, F.concat(F.lit("told: "), "text")).otherwise(told).alias("answer"))
     return stats.valid_sections(rows, "answer", ("Mineure-Faits", "Majeure"))
 
 
@@ -277,25 +330,35 @@ def t_faults(spark, root):
     return read_table(spark, root, "customer").select(F.col("c_custkey").alias("k"), F.array_join(passages.classification_faults(F.array(F.lit(1), F.lit(2)), major, minor), "; ").alias("faults"))
 
 
-CITED = ("art. 336c al. 1 let. b CO", "Article 29 Cst.", "LPA.46", "nothing cited here", "art. 8 ZGB")
+#: Codes, how a citation names them, and what follows an address's statute for article n; each document cites an article of its own number.
+CITED = ("CO", "Cst", "LPA", "ZGB")
+_ADDRESS = """CASE doc_id % 5 WHEN 0 THEN 'https://www.fedlex.admin.ch/eli/cc/27/317_321_377/fr#art_' || n || 'b' WHEN 1 THEN 'https://www.fedlex.admin.ch/eli/cc/1999/404/fr#art_' || n
+       WHEN 2 THEN 'https://silgeneve.ch/legis/data/rsg_e5_10.htm' WHEN 3 THEN 'https://www.fedlex.admin.ch/eli/cc/24/233_245_233/fr#art_' || n END"""
+
+
+def _cited(spark, root):
+    """(doc_id, source, cited): a citation in one of four manners, or the document's source, which is none."""
+    n = (F.col("n_chars") % 400 + 1).cast("string")
+    kinds = F.array(
+        F.concat(F.lit("voir l'art. "), n, F.lit("b al. 2 CO")), F.concat(F.lit("Article "), n, F.lit(" Cst.")), F.concat(F.lit("LPA."), n), F.concat(F.lit("art. "), n, F.lit(" ZGB")), F.coalesce("source", F.lit("")),
+    )
+    return read_table(spark, root, "documents").select("doc_id", "source", F.get(kinds, F.pmod("doc_id", F.lit(5)).cast("int")).alias("cited"))
 
 
 @query(
     "t_citations",
-    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CO art. 336c al. 1 let. b' WHEN 1 THEN 'Cst art. 29' WHEN 2 THEN 'LPA art. 46' WHEN 3 THEN 'nothing cited here' ELSE 'ZGB art. 8' END AS label,
-       CASE doc_id % 5 WHEN 0 THEN 'https://www.fedlex.admin.ch/eli/cc/27/317_321_377/fr#art_336c' WHEN 1 THEN 'https://www.fedlex.admin.ch/eli/cc/1999/404/fr#art_29'
-       WHEN 2 THEN 'https://silgeneve.ch/legis/data/rsg_e5_10.htm' WHEN 4 THEN 'https://www.fedlex.admin.ch/eli/cc/24/233_245_233/fr#art_8' END AS url FROM documents""",
+    f"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CO art. ' || n || 'b al. 2' WHEN 1 THEN 'Cst art. ' || n WHEN 2 THEN 'LPA art. ' || n WHEN 3 THEN 'ZGB art. ' || n ELSE nullif(source, '') END AS label, {_ADDRESS} AS url
+        FROM (SELECT *, n_chars % 400 + 1 AS n FROM documents)""",
 )
 def t_citations(spark, root):
-    cited = F.get(F.array(*[F.lit(c) for c in CITED]), F.pmod("doc_id", F.lit(5)).cast("int"))
-    r = read_table(spark, root, "documents").select("doc_id", legal.reference(cited).alias("r"))
+    r = _cited(spark, root).select("doc_id", legal.reference(F.col("cited")).alias("r"))
     return r.select("doc_id", "r.label", "r.url")
 
 
-@query("t_law_articles", "SELECT doc_id, 'art. 8 CC' AS article, 'https://www.fedlex.admin.ch/eli/cc/24/233_245_233/fr#art_8' AS article_url FROM documents UNION ALL SELECT doc_id, 'unknown', NULL FROM documents")
+@query("t_law_articles", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'voir l''art. ' || n || 'b al. 2 CO' WHEN 1 THEN 'Article ' || n || ' Cst.' WHEN 2 THEN 'LPA.' || n WHEN 3 THEN 'art. ' || n || ' ZGB' ELSE coalesce(source, '') END AS article, {_ADDRESS} AS article_url FROM (SELECT *, n_chars % 400 + 1 AS n FROM documents) UNION ALL SELECT doc_id, source, NULL FROM documents")
 def t_law_articles(spark, root):
-    rows = F.array(F.struct(F.lit("art. 8 CC").alias("article")), F.struct(F.lit("unknown").alias("article")))
-    return read_table(spark, root, "documents").select("doc_id", F.explode(legal.law_articles(rows)).alias("a")).select("doc_id", "a.article", "a.article_url")
+    rows = F.array(F.struct(F.col("cited").alias("article")), F.struct(F.col("source").alias("article")))
+    return _cited(spark, root).select("doc_id", F.explode(legal.law_articles(rows)).alias("a")).select("doc_id", "a.article", "a.article_url")
 
 
 @query("t_plain_sentences")
@@ -368,23 +431,32 @@ def a_classified(spark, root):
     return answers.classified(docs, cache, "m", lambda t: F.filter(F.split(t, " "), lambda w: w != ""), lambda t: F.array(F.lit("slice"))).select("doc_id", "path", "key")
 
 
-@query("a_section_answers", "SELECT count(*) AS n, count(*) FILTER (v) AS valid FROM (SELECT vec_id // 50 AS d, count(*) >= 0 AS v FROM embeddings GROUP BY vec_id // 50)")
+@query(
+    "a_section_answers",
+    """SELECT d AS doc_id, CASE WHEN n >= 5 THEN '{"Mineure-Subsommation": ["' || n || '"]}' ELSE '{"Mineure-Subsommation": []}' END AS answer, n >= 5 AS valid FROM (SELECT d, least(8, count(*) FILTER (label % 2 = 0 AND place <= 10)) AS n
+       FROM (SELECT vec_id // 50 AS d, label, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, vec_id) AS place FROM embeddings) GROUP BY d)""",
+)
 def a_section_answers(spark, root):
-    """Answers of documents from their best chunks by section, by a model that repeats what it is asked."""
+    """Answers of documents from their best chunks by section, by a model that counts the chunks it is shown and says nothing of few."""
     e = read_table(spark, root, "embeddings")
     first = e.filter("vec_id = 0").first()["embedding"]
     section = F.when(F.col("label") % 2 == 0, answers.SUBSUMPTION).otherwise(answers.MAJOR_SECTION)
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 50).alias("record_key"), section.alias("section"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("text"), "embedding")
     docs = chunks.select("record_key").distinct().select(F.col("record_key").alias("doc_id"), "record_key")
-    told = answers.section_answers(docs, chunks, first, "What?", lambda asked: ['{"Mineure-Subsommation": ["' + str(len(a)) + '"]}' for a in asked])
-    return told.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid"))
 
+    def model(asked):
+        counts = [a.count("chunk ") for a in asked]
+        return ['{"Mineure-Subsommation": ["' + str(n) + '"]}' if n >= 5 else '{"Mineure-Subsommation": []}' for n in counts]
 
-@query("a_run", "SELECT count(*) AS num_documents, count(*) FILTER (doc_id % 3 <> 0) AS valid_answer_count FROM documents")
+    return answers.section_answers(docs, chunks, first, "What?", model).select("doc_id", "answer", "valid")
+
+
+@query("a_run", "SELECT count(*) AS num_documents, count(*) FILTER (lang = 'en' AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS valid_answer_count FROM documents")
 def a_run(spark, root):
-    docs = read_table(spark, root, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise("some words").alias("text"), F.lit("").alias("citation"), F.array(F.lit("some words")).alias("citation_context"))
+    """A model that answers with a text's words, which the contexts of English documents hold."""
+    docs = texts(spark, root).select("doc_id", "text", F.lit("").alias("citation"), F.array(F.when(F.col("lang") == "en", F.col("text")).otherwise(F.lit(""))).alias("citation_context"))
     none = spark.createDataFrame([], "key string, answer string")
-    return answers.run_answers(docs, "q", none, lambda q, ts: ["some words" for _ in ts], answers.overlap_scorer)["counts"]
+    return answers.run_answers(docs, "q", none, lambda q, ts: ts, answers.overlap_scorer)["counts"]
 
 
 # Vectors and clusters.
@@ -452,11 +524,11 @@ def v_best_of_section(spark, root):
 
 @query(
     "v_similar_words",
-    f"SELECT q.vec_id AS keyword, e.vec_id AS word, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {_COS.format(a='e.embedding', b='q.embedding')} >= 0.3",
+    f"SELECT q.vec_id AS keyword, e.vec_id AS word, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {_COS.format(a='e.embedding', b='q.embedding')} >= 0.3",
 )
 def v_similar_words(spark, root):
     words = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
-    return vectors.similar_words(words.filter("word % 100 = 0"), words, 0.3).withColumn("similarity", F.round("similarity", 6))
+    return vectors.similar_words(words.filter("word % 20 = 0"), words, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("v_cache_totals", "SELECT count(DISTINCT conv_id) AS documents, count(DISTINCT conv_id) FILTER (conv_id % 2 = 0) AS cached, count(*) AS chunks FROM conversations WHERE text IS NOT NULL")
@@ -480,9 +552,16 @@ def s_numbered_lines(spark, root):
     return records.numbered_records(spark, path).select("line_number", F.col("record.cle_fiche").alias("record_key"))
 
 
-@query("s_key_types", "SELECT * FROM (VALUES ('a', 'BIGINT,STRING'), ('b', 'ARRAY<BIGINT>')) AS t(key, types)")
+@query(
+    "s_key_types",
+    """SELECT key, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM (SELECT 'k' AS key, CASE WHEN o_totalprice > 150000 THEN 'BIGINT' ELSE 'STRING' END AS kind FROM orders
+       UNION ALL SELECT 's', 'STRING' FROM orders WHERE o_totalprice > 150000 UNION ALL SELECT 'q', 'ARRAY<BIGINT>' FROM orders WHERE o_totalprice <= 150000) GROUP BY key""",
+)
 def s_key_types(spark, root):
-    rows = read_table(spark, root, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.lit('{"a": 1}')).otherwise(F.lit('{"a": "x", "b": [1]}')).alias("value"))
+    """JSON of orders: cheap ones and dear ones have other keys, and one key's values are of two kinds."""
+    dear = F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")))
+    cheap = F.to_json(F.struct(F.col("o_orderpriority").alias("k"), F.array("o_orderkey").alias("q")))
+    rows = read_table(spark, root, "orders").select(F.when(F.col("o_totalprice") > 150000, dear).otherwise(cheap).alias("value"))
     return records.key_types(rows).withColumn("types", F.array_join("types", ","))
 
 
@@ -527,11 +606,14 @@ def r_cursor_pages(spark, root):
     return spark.createDataFrame([r for p in pages for r in p], "doc_id long, page int")
 
 
-@query("x_prepared", "SELECT count(*) AS documents FROM documents")
+@query(
+    "x_prepared",
+    f"SELECT doc_id, CASE WHEN greatest(n_fr, n_de, n_it, n_en) = 0 THEN NULL WHEN n_fr >= greatest(n_de, n_it, n_en) THEN 'fr' WHEN n_de >= greatest(n_it, n_en) THEN 'de' WHEN n_it >= n_en THEN 'it' END AS language FROM (SELECT doc_id, {_PROFILE} FROM {{tokenized}})",
+)
 def x_prepared(spark, root):
-    """Processed and rejected documents add up to all."""
+    """Processed documents with their language, rejected ones without."""
     good, bad = text.prepared(texts(spark, root))
-    return good.select("doc_id").unionByName(bad).agg(F.countDistinct("doc_id").alias("documents"))
+    return good.filter("prepared != ''").select("doc_id", "language").unionByName(bad.withColumn("language", F.lit(None).cast("string")))
 
 
 @query("q_dated_preview", "SELECT count(*) AS n FROM {corpus} WHERE decision_date BETWEEN DATE '2005-01-01' AND DATE '2006-12-31' AND text <> ''")

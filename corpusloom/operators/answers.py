@@ -240,10 +240,10 @@ def run_answers(documents: DataFrame, question: str, cache: DataFrame, model: Ca
 
 
 def cluster_context(elements: DataFrame, chunks: DataFrame, cluster: int, tokens: Column, limit: int) -> DataFrame:
-    """One row, `context`: chunks of a cluster's documents, likeliest documents first, while the tokens before are within the limit."""
+    """One row, `context`: chunks of a cluster's documents, likeliest documents first, while the tokens before are within the limit. Chunks without tokens say nothing and go."""
     own = elements.filter(F.col("cluster_id") == cluster).select("doc_id", "prob")
     rows = own.join(chunks, "doc_id").select(F.lit(1).alias("g"), F.struct((-F.col("prob")).alias("p"), "doc_id", "position").alias("at"), "text", tokens.alias("n"))
-    kept = prompt_parts(rows.orderBy("at").limit(limit + 1), "g", "at", "n", limit)
+    kept = prompt_parts(rows.filter("n > 0").orderBy("at").limit(limit + 1), "g", "at", "n", limit)
     return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("context"))
 
 

@@ -133,14 +133,14 @@ def all_displayed(choice: DataFrame) -> DataFrame:
 
 def lineage(iterations: DataFrame, start: int) -> DataFrame:
     """(id, depth) from an iteration up to its root, by a recursive query over (id, parent)."""
-    spark = iterations.sparkSession
-    iterations.select("id", "parent").createOrReplaceTempView("_iterations")
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, parent, depth) AS (
-              SELECT id, parent, 0 FROM _iterations WHERE id = {int(start)}
+    return iterations.sparkSession.sql(
+        """WITH RECURSIVE up(id, parent, depth) AS (
+              SELECT id, parent, 0 FROM {tree} WHERE id = {start}
               UNION ALL
-              SELECT i.id, i.parent, up.depth + 1 FROM _iterations i JOIN up ON i.id = up.parent)
-            SELECT id, depth FROM up"""
+              SELECT i.id, i.parent, up.depth + 1 FROM {tree} i JOIN up ON i.id = up.parent)
+            SELECT id, depth FROM up""",
+        tree=iterations.select("id", "parent"),
+        start=int(start),
     )
 
 

@@ -180,15 +180,38 @@ def has_collection(collections: Mapping[str, DataFrame], name: str, fallbacks: M
 
 
 def similar_words(keywords: DataFrame, vocabulary: DataFrame, least: float = 0.75) -> DataFrame:
-    """(keyword, word, similarity) of vocabulary words whose vector is like a keyword's; both are (word, vector).
+    """(keyword, word, similarity) of vocabulary words whose vector is like a keyword's; both are (word, vector), without null vectors.
 
-    Keywords are a stated query set: they meet the vocabulary in blocks of a checked size.
+    Keywords are a stated query set: blocks of at most about QUERIES of them go to all tasks, where a
+    matrix product scores a batch of the vocabulary and only likenesses of at least `least` go on.
     """
-    from corpusloom.operators.blocks import against_all
+    kinds = [t.schema["word"].dataType.simpleString() for t in (keywords, vocabulary)]
+    rows = vocabulary.select("word", F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    asked = keywords.select("word", F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    blocks = max(1, -(-asked.count() // QUERIES))
+
+    def scored_by(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, queries = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    part = batch.slice(at, 500)
+                    if len(part):
+                        s = queries @ _unit(_matrix(part.column(1))).T
+                        q, w = np.nonzero(s >= least)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(w)), pa.array(s[q, w])], names=["keyword", "word", "similarity"])
+
+        return run
 
-    near = cosine(F.col("vector"), F.col("asked"))
-    asked = keywords.select(F.col("word").alias("keyword"), F.col("vector").alias("asked"))
-    return against_all(asked, "keyword", lambda q: vocabulary.crossJoin(q).select("keyword", "word", near.alias("similarity")).filter(F.col("similarity") >= least))
+    found = []
+    for i in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        if block.num_rows:
+            shared = keywords.sparkSession.sparkContext.broadcast((block["word"].combine_chunks(), _unit(_matrix(block["v"].combine_chunks()))))
+            found.append(rows.mapInArrow(scored_by(shared), f"keyword {kinds[0]}, word {kinds[1]}, similarity double"))
+    if not found:
+        return keywords.sparkSession.createDataFrame([], f"keyword {kinds[0]}, word {kinds[1]}, similarity double")
+    return reduce(DataFrame.unionByName, found)
 
 
 def routed_sections(question: Column, hints: dict[str, Sequence[str]]) -> Column:

@@ -82,8 +82,8 @@ def field_names(spark: SparkSession, path: str, most: int = 100_000) -> list[str
 
 def key_types(records: DataFrame, value: str = "value") -> DataFrame:
     """(key, types): the kinds of value that each key of JSON objects has, sorted."""
-    records.select(F.try_parse_json(value).alias("v")).createOrReplaceTempView("_typed")
-    each = records.sparkSession.sql("SELECT f.key, schema_of_variant(f.value) AS kind FROM _typed, LATERAL variant_explode(v) AS f")
+    rows = records.select(F.try_parse_json(value).alias("v"))
+    each = records.sparkSession.sql("SELECT f.key, schema_of_variant(f.value) AS kind FROM {rows} AS t, LATERAL variant_explode(t.v) AS f", rows=rows)
     return each.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("types"))
 
 
