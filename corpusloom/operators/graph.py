@@ -11,39 +11,46 @@ from corpusloom.sources.staging import discard, if_small, stored
 SALTS = 32
 
 
-def _jumped(low: DataFrame, moved: DataFrame) -> DataFrame:
-    """`low` with each label replaced by that label's own, if it is less.
+def _renamed(rows: DataFrame, column: str, by: str, names: DataFrame) -> DataFrame:
+    """`rows` with `column` replaced by its name (via, far), where it has one.
 
-    moved: (via, far), labels that are not their component's last. The members of a settled component,
-    however many, meet nothing; a label that many carry is split by their ids.
+    Rows that keep theirs, however many, meet nothing if the names are few enough to be broadcast; else
+    a value that many rows carry is split by `by`, an expression that tells these rows apart.
     """
-    near = if_small(moved)
-    on = F.col("label") == F.col("via")
-    if near is moved:
-        near = moved.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-        on = on & (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("part"))
-    return low.join(near, on, "left").select("id", F.least("label", "far").alias("label"), "was")
+    near = if_small(names)
+    on = F.col(column) == F.col("via")
+    if near is names:
+        near = names.withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        on = on & (F.pmod(F.xxhash64(by), F.lit(SALTS)) == F.col("part"))
+    return rows.join(near, on, "left").withColumn(column, F.coalesce("far", column)).select(*rows.columns)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, label) for every id in `links` (a, b): label is the least id of its component; a stored table.
 
-    Each round takes the least label among neighbours and then that label's own label, so paths
-    shorten by halves. Labels are least values, so they combine before the shuffle and a hub is no hot
-    spot. Each round is written and read again.
+    In each round each id that has a lesser neighbour takes the least one, the trees that this makes are
+    followed to their roots, by halves, and links are drawn between roots: those inside one tree go. So
+    links are met once or twice, not in every round. Least neighbours combine before the shuffle, so a
+    hub is no hot spot. Each step is written and read again.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
-    labels = stored(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["src"] == labels["id"]).select(F.col("dst").alias("id"), "label")
-        own = labels.select("id", "label", F.col("label").alias("was"))
-        low = own.unionByName(near, allowMissingColumns=True).groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        moved = stored(labels.filter("label != id").select(F.col("id").alias("via"), F.col("label").alias("far")), "moved")
-        new = stored(_jumped(low, moved), "labels")
-        changed = new.filter("label != was").limit(1).count()
-        discard(moved)
-        discard(labels)
-        labels = new.select("id", "label")
-        if not changed:
-            discard(both)
-            return labels
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")), "labels")
+    live = edges.filter("a != b")
+    while live.take(1):
+        up = stored(live.groupBy("b").agg(F.min("a").alias("far")).withColumnRenamed("b", "via"), "up")
+        while True:
+            new = stored(_renamed(up.select(F.col("via").alias("own"), F.col("far").alias("to"), F.col("far").alias("was")), "to", "own", up), "up")
+            changed = new.filter("to != was").take(1)
+            discard(up)
+            up = new.select(F.col("own").alias("via"), F.col("to").alias("far"))
+            if not changed:
+                break
+        before, labels = labels, stored(_renamed(labels, "label", "id", up), "labels")
+        discard(before)
+        drawn = _renamed(_renamed(live, "a", "b", up), "b", "a", up).filter("a != b")
+        new = stored(drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        discard(edges)
+        discard(up)
+        edges = live = new
+    discard(edges)
+    return labels
