@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import _bm25, corpus, query, texts
 from corpusloom.functions import classify, languages, tagging
-from corpusloom.operators import postings
+from corpusloom.operators import postings, vector_index
 from corpusloom.sources.staging import run_folder
 from corpusloom.sources.tables import read_table
 
@@ -146,3 +146,15 @@ def t_classified(spark, root):
     turns = read_table(spark, root, "conversations").select("conv_id", "turn", F.col("text").alias("sentence"))
     best = F.array_max(F.transform(F.map_entries("scores"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("label"))))
     return classify.classified(turns, classes).select("conv_id", "turn", best["label"].alias("label"), F.round(best["p"], 3).alias("confidence"))
+
+
+# An index of vectors.
+
+
+@query("v_index_topk")
+def v_index_topk(spark, root):
+    """The 30 chunks most alike to each of a stated set of chunks, by inverted lists and codes; recall is measured in a test."""
+    chunks = read_table(spark, root, "embeddings")
+    index = vector_index.build_index(chunks, f"{run_folder(spark)}/vectors-{uuid.uuid4().hex}", kept=["label"])
+    asked = chunks.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search_vectors(index, asked, 30).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "place")
