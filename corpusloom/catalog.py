@@ -665,6 +665,16 @@ def a_invalid(spark, root):
     return said(spark, root).select("doc_id", answers.invalid_exact(F.col("answer")).alias("invalid"))
 
 
+@query(
+    "a_invalid_kinds",
+    f"SELECT doc_id, starts_with(a, 'No') OR starts_with(a, 'R') AS by_prefix, contains(lower(a), 'error') OR contains(lower(a), 'disponible') AS by_marker FROM (SELECT doc_id, {_duck(SAID, 'doc_id % 7')} AS a FROM documents)",
+)
+def a_invalid_kinds(spark, root):
+    """The two looser ways to tell that an answer says nothing: how it begins, and what it holds."""
+    answer = F.col("answer")
+    return said(spark, root).select("doc_id", answers.invalid_prefix(answer, ("No", "R")).alias("by_prefix"), answers.invalid_marker(answer, ("Error", "disponible")).alias("by_marker"))
+
+
 def said(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, answer): valid and invalid answers by turns."""
     return read_table(spark, root, "documents").select("doc_id", F.get(F.array(*[F.lit(x) for x in SAID]), F.pmod("doc_id", F.lit(len(SAID))).cast("int")).alias("answer"))

@@ -440,6 +440,13 @@ def test_projects(spark, tmp_path):
     assert scores.count() == 3 and projects.side_table(spark, str(tmp_path / "none"), "a int").count() == 0
     new = spark.createDataFrame([("k", 1)], "record_key string, v int")
     assert projects.load(new, str(tmp_path / "t")) == 1 and projects.load(new.union(new.selectExpr("'j'", "2")), str(tmp_path / "t")) == 2
+    dated = spark.createDataFrame([(k, f"text {k}", date(1990 + 10 * k, 1, 1)) for k in range(4)] + [(9, "no day", None)], "doc_id int, text string, decision_date date")
+    assert projects.whole_project({"a": lambda: dated, "b": broken}, 8, str(tmp_path / "w"), str(tmp_path / "ws")) == {"b": "down"}
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "w")).collect()) == [1, 2, 3]
+    assert projects.whole_project({"a": lambda: dated}, 8, str(tmp_path / "v"), str(tmp_path / "vs"), until=date(2015, 1, 1)) == {}
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [1, 2]
+    shown = selection.all_displayed(spark.createDataFrame([(1, False), (2, None)], "doc_id int, to_display boolean"))
+    assert all(r["to_display"] for r in shown.collect())
     assert projects.deleted({"s": scores}, 7)["s"].count() == 0 and projects.deleted({"s": scores}, 7, (7,))["s"].count() == 3
 
 
