@@ -29,14 +29,17 @@ BLOCK = 256
 _LOADED: dict[tuple[str, str], object] = {}
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def rank_encoder(path: str, pattern: str):
     """An encoder from a file of ranks; `pattern` cuts texts into words."""
     if (path, pattern) not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _LOADED[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
     return _LOADED[path, pattern]
 
 

@@ -21,16 +21,15 @@ permutation of the numbers does not.
 
 Cases: null text is empty and gives one sequence of END; null doc_id comes back as null; rows are
 cut one by one, so repeated rows repeat; an empty table writes no shard. A text of any length is
-cut in its row. Other columns are not read. Tokenizers with more than 65,536 ids are refused.
+cut in its row, runs of blanks of any length too. Other columns are not read. Tokenizers with
+more than 65,536 ids are refused.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import small_batches, tidy
 from corpusloom.llm.lengths import rank_encoder
+from corpusloom.llm.rank_ids import blank_runs, rank_ids
 from corpusloom.llm.wordstream import mix
 
 HEAD = "<qqqI"
@@ -68,10 +68,6 @@ class Layout:
         return HEAD_SIZE + 2 * self.length + 1
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u2").tobytes()
-
-
 def _bits(n: int) -> int:
     return max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
 
@@ -118,11 +114,12 @@ TASK_BYTES = 1 << 26
 MOST_TASKS = 20_000
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None, bool]]:
+    """doc_id, text, whether it holds two blanks in a row."""
     for batch in batches:
         for k in range(0, len(batch), 500):
             part = batch.slice(k, 500)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), blank_runs(part.column(1)), strict=True)
 
 
 def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout: Layout = Layout()) -> int:
@@ -134,13 +131,13 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
     length, end, key = layout.length, layout.end, layout.key
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, n, digest = rank_encoder(*tokenizer).encode_ordinary, {}, 0, _Digest()
-        for doc, text in _rows(batches):
+        encode, known, n, digest = rank_ids(*tokenizer).ids, {}, 0, _Digest()
+        for doc, text, runs in _rows(batches):
             own = digest.add(doc, text)
             if own not in known:  # copies are counted once; so many digests are kept
                 if len(known) >= 100_000:
                     known.clear()
-                known[own] = len(encode(text or "")) // length + 1
+                known[own] = len(encode(text or "", runs)) // length + 1
             n += known[own]
         cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([digest.value()], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["part", "n", "digest"])
@@ -158,21 +155,20 @@ def write_order(docs: DataFrame, path: str, tokenizer: tuple[str, str], layout:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         at, (n_counted, known) = shared.value[0][part], shared.value[1][part]
-        stop, digest, encode = at + n_counted, _Digest(), rank_encoder(*tokenizer).encode_ordinary
+        stop, digest, encode = at + n_counted, _Digest(), rank_ids(*tokenizer).ids
         out: list[bytes] = []
-        filling = _packed([end] * length)
+        filling = np.full(length, end, dtype="<u2").tobytes()
 
         def done() -> pa.RecordBatch:
             slots = permute(np.arange(at - len(out), at), total, key)
             shard = slots // per_shard
             return pa.RecordBatch.from_arrays([pa.array((shard * tasks // shards).astype(np.int32)), pa.array(shard), pa.array(slots), pa.array(out, pa.binary())], names=["task", "shard", "slot", "record"])
 
-        for doc, text in _rows(batches):
+        for doc, text, runs in _rows(batches):
             digest.add(doc, text)
-            ids = encode(text) if text else []
-            ids.append(end)
-            n = len(ids)
-            raw = _packed(ids) + filling[2 * (n % length or length) :]
+            ids = encode(text or "", runs)
+            n = len(ids) + 1
+            raw = ids.astype("<u2").tobytes() + filling[2 * (len(ids) % length) :]
             for s in range(0, n, length):
                 out.append(struct.pack(HEAD, at, NO_ID if doc is None else doc, s, min(length, n - s)) + raw[2 * s : 2 * (s + length)])
                 at += 1
