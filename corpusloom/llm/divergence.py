@@ -181,13 +181,14 @@ def top_ranked(rows: DataFrame, group: list[str], ranks: int, sortable: int = 10
 
     A pass counts, for each group, the values that share the bits found so far by their next eight
     bits; the bin that holds the last rank gives those bits. A group is done when what lies in that
-    bin and above is at most `sortable` rows. If a single value has more, the same is done by the next
-    byte of the items, beyond what the bin's least and greatest item share. Groups are not null, and
-    a group's items differ. A stored table.
+    bin and above is at most `sortable` rows, or the bin is one row, which nothing cuts further: then
+    at most `ranks` rows are left, be that more than `sortable`. If a single value has more, the same
+    is done by the next byte of the items, beyond what the bin's least and greatest item share. Groups
+    are not null, and a group's items differ. A stored table.
     """
     scratch = Scratch()
     by = Window.partitionBy(*group)
-    over = F.col("before") + F.col("count") > sortable
+    over = (F.col("before") + F.col("count") > sortable) & (F.col("count") > 1)
 
     def narrowed(counted: DataFrame, bins: Column) -> DataFrame:
         """Of each group's bins, in order, the one in which the last wanted rank falls; `before` and `need` follow."""
