@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import let
 from corpusloom.functions.text import index_tokens
 from corpusloom.sources.staging import if_small
 
@@ -36,13 +37,15 @@ class SentenceClasses:
 
 def word_features(text: Column, most: int = 2) -> Column:
     """Words, and runs of up to `most` words joined by a blank; repeats stay."""
-    tokens = index_tokens(F.coalesce(text, F.lit("")))
 
-    def runs(k: int) -> Column:
-        starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
+    def runs(tokens: Column) -> Column:
+        found = [tokens]
+        for k in range(2, most + 1):
+            longer = F.zip_with(found[-1], F.slice(tokens, k, F.size(tokens)), lambda run, w: F.concat(run, F.lit(" "), w))
+            found.append(F.filter(longer, lambda run: run.isNotNull()))  # the last one has no word behind it
+        return F.concat(*found)
 
-    return F.concat(tokens, *[runs(k) for k in range(2, most + 1)])
+    return let(index_tokens(F.coalesce(text, F.lit(""))), runs)
 
 
 def _vectors(sentences: DataFrame, text: str, how: Fitting) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -108,3 +109,13 @@ def test_sentence_classes(spark):
     z = {r["id"]: r["scores"] for r in classify.weighed(features, weights, both, ["id"]).collect()}
     for k, (a, b) in {1: (1.1, -0.8), 2: (0.1, 0.2)}.items():
         assert abs(z[k]["a"] - math.exp(a) / (math.exp(a) + math.exp(b))) < 1e-12 and abs(z[k]["a"] + z[k]["b"] - 1) < 1e-12
+
+
+def test_word_features_of_a_long_line_take_linear_time(spark):
+    n = 60_000
+    line = " ".join(f"w{k % 97}" for k in range(n))
+    began = time.monotonic()
+    got = spark.createDataFrame([(line,)], "s string").select(F.size(classify.word_features(F.col("s"), 3)).alias("n")).first()["n"]
+    assert got == 3 * n - 3 and time.monotonic() - began < 60
+    short = spark.createDataFrame([("a",), ("a b",), ("",)], "s string").select(classify.word_features(F.col("s"), 3).alias("f"))
+    assert [r["f"] for r in short.collect()] == [["a"], ["a", "b", "a b"], []]
