@@ -7,11 +7,13 @@ key of the last row that was given.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.window import Window
 
 #: Missing scores come last.
 LAST = float("-inf")
@@ -66,6 +68,20 @@ def page_after(frozen: Frozen, cursor: tuple[float, int] | None = None, size: in
     return rows.orderBy(*order).limit(size).drop("_part")
 
 
+def all_pages(frozen: Frozen, size: int = 30) -> DataFrame:
+    """Every row with `page`, the number, from 0, of the page on which who goes from cursor to cursor meets it.
+
+    A row's place is its place in its range, of which each is one task's, behind the rows of the ranges before.
+    """
+    spark = frozen.rows.sparkSession
+    before = [0, *itertools.accumulate(n for _, n, _, _ in frozen.parts)]
+    starts = spark.createDataFrame([(p[0], b) for p, b in zip(frozen.parts, before, strict=False)], "_part int, _before long")
+    at = F.coalesce(F.col(frozen.score).cast("double"), F.lit(LAST))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(at.desc(), F.col(frozen.key).asc())) - 1
+    rows = frozen.rows.withColumn("_place", place).join(F.broadcast(starts), "_part")  # one row for each range
+    return rows.withColumn("page", F.floor((F.col("_before") + F.col("_place")) / size).cast("int")).drop("_part", "_place", "_before")
+
+
 def cursor_of(frozen: Frozen, rows: list) -> tuple[float, int] | None:
     """The cursor behind a page's collected rows; None where there are none."""
     if not rows:

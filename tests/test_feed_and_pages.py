@@ -6,6 +6,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, StringContains
 
 from corpusloom.operators import cursor
@@ -103,3 +104,31 @@ def test_pages_join_to_the_whole(spark, tmp_path, size):
 def test_pages_of_nothing(spark, tmp_path):
     frozen = cursor.freeze(spark.createDataFrame([], "doc_id int, score double"), str(tmp_path / "f"))
     assert frozen.total == 0 and cursor.page_after(frozen).collect() == [] and cursor.cursor_of(frozen, []) is None
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_all_pages_are_those_by_cursor(spark, tmp_path, size):
+    rng = random.Random(size)
+    rows = [(k, rng.choice([None, 1.5, float("nan"), rng.random(), 0.0, -0.0])) for k in range(130 if size > 1 else 12)]
+    frozen = cursor.freeze(spark.createDataFrame(rows, "doc_id int, score double").filter("not isnan(score) or score is null").repartition(5), str(tmp_path / "f"))
+    at, want = None, {}
+    for number in range(len(rows) + 1):
+        page = cursor.page_after(frozen, at, size).collect()
+        want |= {r["doc_id"]: number for r in page}
+        at = cursor.cursor_of(frozen, page) or at
+    assert {r["doc_id"]: r["page"] for r in cursor.all_pages(frozen, size).collect()} == want
+
+
+def test_jobs_do_not_grow_with_pages(spark, tmp_path):
+    from corpusloom import catalog
+
+    points = spark.range(2000).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.array((F.col("id") % 7).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    points.write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.sparkContext.setJobGroup("pages", "pages")
+    try:
+        got = {r["doc_id"]: r["page"] for r in catalog.QUERIES["r_cursor_pages"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    order = sorted(range(2000), key=lambda k: (-(k % 7), k))
+    assert got == {k: i // 40 for i, k in enumerate(order)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("pages")) < 25
