@@ -2,8 +2,8 @@
 
 Documents are dealt to zones by hash of their key, some thousands each. One row of the index holds a
 word's documents in one zone: how often and where it occurs in each, and the greatest share of its
-weight that any of them reaches. Rows are sorted by word, so a query's filter prunes files and row
-groups; counts and bounds are read without the places. The k best hits are looked for in the zones
+weight that any of them reaches. A zone is one file, whose rows are sorted by word, so a query's filter
+prunes its pages; counts and bounds are read without the places. The k best hits are looked for in the zones
 whose bounds are greatest, and then in those alone whose bounds reach the k-th best so far.
 """
 
@@ -16,6 +16,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import placed
 from corpusloom.functions.text import index_tokens
 from corpusloom.operators.search import K1, B, in_range
 from corpusloom.plans import boolean
@@ -47,14 +48,15 @@ def write_index(corpus: DataFrame, path: str, key: str = "doc_id", text: str = "
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).withColumn("zones", F.lit(zones))
     stats.write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").head()["mean"]
-    # A document's occurrences of a word first, then a zone's documents: both groups are bounded.
-    places = own.select("id", "zone", "length", F.posexplode("tokens").alias("place", "term"))
-    each = places.groupBy("term", "zone", "id", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    # Texts are dealt to their zones, and nothing else is: a zone's words are grouped inside the task that holds its texts.
+    dealt = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("zone", F.pmod(F.xxhash64("id"), F.lit(zones)).cast("int")).repartitionById(zones, "zone")
+    words = dealt.select("id", "zone", index_tokens(F.col("text")).alias("tokens")).select("id", "zone", F.size("tokens").alias("length"), F.explode(placed(F.col("tokens"))).alias("w"))
+    each = words.select("id", "zone", "length", "w.term", "w.places")
     tf = F.size("places")
     share = tf / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
     held = F.array_sort(F.collect_list(F.struct("id", tf.alias("tf"), "length", "places"))).alias("held")
-    table = each.groupBy("term", "zone").agg(F.count(F.lit(1)).alias("n"), F.max(share).alias("best"), held)
-    ordered = table.repartitionByRange("term", "zone").sortWithinPartitions("term", "zone")
+    table = each.groupBy("zone", "term").agg(F.count(F.lit(1)).alias("n"), F.max(share).alias("best"), held)
+    ordered = table.select("term", F.col("zone").cast("long").alias("zone"), "n", "best", "held").sortWithinPartitions("zone", "term")
     ordered.write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
     return open_index(spark, path)
 

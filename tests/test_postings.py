@@ -65,3 +65,23 @@ def test_top_skips_zones(corpus, index, monkeypatch):
 def test_empty_corpus(spark, corpus, tmp_path):
     index = postings.write_index(corpus.limit(0), str(tmp_path / "i"))
     assert index.n == 0 and postings.found(index, "red").count() == 0 and postings.top(index, "red", 5).count() == 0
+
+
+def test_building_moves_texts_once(spark, tmp_path):
+    """Shuffles hold the texts and no row for each word; a zone's rows are one file, sorted by word."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(300))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4).cache()
+    docs.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    index = postings.write_index(docs, str(tmp_path / "i"), zone=100)
+    assert written() - before < 1.5 * sum(len(t) for _, t in rows)
+    files = index.postings.select(F.input_file_name().alias("f"), "zone", "term", "held")
+    assert {len(r["z"]) for r in files.groupBy("f").agg(F.collect_set("zone").alias("z")).collect()} == {1}
+    places = {(r["term"], r["d"]["id"]): r["d"]["places"] for r in files.select("term", F.explode("held").alias("d")).filter("d.id < 20").collect()}
+    want = {}
+    for k, t in rows[:20]:
+        for i, w in enumerate(t.split()):
+            want.setdefault((w, k), []).append(i)
+    assert places == want
