@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions.text import answer_key, document_key, without_nul
 from corpusloom.operators.ranking import by_percent
 from corpusloom.operators.vectors import section_best
-from corpusloom.sources.staging import stored
+from corpusloom.sources.staging import if_small, stored
 
 NO_CONTEXT = "No relevant information found."
 #: Answers that say nothing, in lower case.
@@ -57,21 +57,25 @@ def faithfulness_key(question: str, answer: str, context: Sequence[str], model:
     return hashlib.sha256(body.encode()).hexdigest()
 
 
-def answered(docs: DataFrame, query: str, cache: DataFrame, model: Callable[[str, list[str]], list[str]]) -> DataFrame:
-    """(doc_id, key, answer, cached): cached answers, and the model's for the rest; no text gives NO_CONTEXT."""
+def answered(docs: DataFrame, query: str, cache: DataFrame, model: Callable[[str, list[str]], list[str]], kept: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, kept..., key, answer, cached): cached answers, and the model's for the rest; no text gives NO_CONTEXT.
+
+    Documents stay where they are unless the cache is too large for a broadcast.
+    """
     keyed = docs.withColumn("key", answer_key(F.lit(query), F.col("doc_id")))
-    hits = keyed.join(cache.select("key", "answer"), "key").select("doc_id", "key", "answer", F.lit(True).alias("cached"))
+    known = stored(cache.select("key", "answer"), "cache")
+    hits = keyed.join(if_small(known), "key").select("doc_id", *kept, "key", "answer", F.lit(True).alias("cached"))
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            filled = texts.fillna("").str.strip() != ""
-            out = pd.Series(NO_CONTEXT, index=texts.index)
-            if filled.any():
-                out[filled] = model(query, texts[filled].tolist())
-            yield out
+            given = texts.fillna("").tolist()
+            filled = [t for t in given if t.strip()]
+            said = iter(model(query, filled) if filled else ())
+            # Not by assignment to a Series: that pads all answers to the longest one's length.
+            yield pd.Series([next(said) if t.strip() else NO_CONTEXT for t in given], index=texts.index, dtype=object)
 
-    rest = keyed.join(cache.select("key"), "key", "left_anti").select("doc_id", "key", ask("text").alias("answer"), F.lit(False).alias("cached"))
+    rest = keyed.join(if_small(known.select("key")), "key", "left_anti").select("doc_id", *kept, "key", ask("text").alias("answer"), F.lit(False).alias("cached"))
     return hits.unionByName(rest)
 
 
@@ -226,10 +230,9 @@ def run_answers(documents: DataFrame, question: str, cache: DataFrame, model: Ca
     documents: (doc_id, text, citation, citation_context). `step` hears each step's name.
     """
     step("questioning_documents")
-    done = stored(answered(documents.select("doc_id", "text"), question, cache, model), "answers")
-    rows = documents.select("doc_id", "citation", "citation_context").join(done, "doc_id")
-    if most_valid is not None:
-        rows = first_valid(rows, ~invalid_exact(F.col("answer")), most_valid)
+    rows = answered(documents, question, cache, model, ["citation", "citation_context"])
+    if most_valid is not None:  # else answers are written once, with their scores
+        rows = first_valid(stored(rows, "answers"), ~invalid_exact(F.col("answer")), most_valid)
     step("scoring_answers")
     scored = stored(faithfulness(rows, scorer, invalid_exact(F.col("answer"))).withColumnRenamed("faithfulness", "confidence_score"), "scored")
     step("generating_statistics")

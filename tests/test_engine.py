@@ -474,3 +474,31 @@ def test_rendering(spark):
     assert s["a"]["considerations"][0]["text"] == "c" and s["b"]["summary"] == "plain" and s["b"]["considerations"] == []
     faults = spark.range(1).select(passages.classification_faults(F.array(*[F.lit(k) for k in (1, 2)]), F.array(F.lit(1), F.lit(3)), F.array(F.lit(1))).alias("f")).first()["f"]
     assert faults == ["unknown ids: 3", "ids in both classes: 1", "missing ids: 2"]
+
+
+def test_one_long_answer_takes_no_memory_for_the_others(spark):
+    import resource
+
+    def model(query, texts):
+        now = f"{resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024}"
+        return [now if t == "word" else t for t in texts]
+
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 7, F.repeat(F.lit("word "), 100_000)).otherwise("word").alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = {r["doc_id"]: r["answer"] for r in answers.answered(docs, "q", spark.createDataFrame([], "key string, answer string"), model).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1000 and len(got[7]) == 500_000
+    seen = sorted({int(a) for k, a in got.items() if k % 100 != 7})
+    assert seen[-1] - seen[0] < 300  # MB of the worker from batch to batch
+
+
+def test_a_run_carries_contexts_and_asks_once(spark):
+    docs = spark.createDataFrame([(1, "red fox", "c1", ["red"]), (2, "", "", []), (3, "old", "old", [])], "doc_id int, text string, citation string, citation_context array<string>")
+    cache = spark.createDataFrame([(3, "old answer")], "doc_id int, answer string").select(text.answer_key(F.lit("q"), F.col("doc_id")).alias("key"), "answer")
+    for most in (None, 5):
+        run = answers.run_answers(docs, "q", cache, lambda q, ts: ts, answers.overlap_scorer, most)
+        rows = {r["doc_id"]: (r["citation"], r["citation_context"], r["answer"], r["cached"], r["confidence_score"]) for r in run["answers"].collect()}
+        assert rows == {1: ("c1", ["red"], "red fox", False, 0.5), 2: ("", [], answers.NO_CONTEXT, False, 0.0), 3: ("old", [], "old answer", True, 0.5)}
+        assert run["counts"].first().asDict() == {"num_documents": 3, "valid_answer_count": 2}
