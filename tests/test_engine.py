@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import catalog
 from corpusloom.functions import legal, passages, phrases, text
 from corpusloom.operators import answers, clustering, facets, joins, ranking, selection, stats, vectors
 from corpusloom.sources import records
@@ -502,3 +503,18 @@ def test_a_run_carries_contexts_and_asks_once(spark):
         rows = {r["doc_id"]: (r["citation"], r["citation_context"], r["answer"], r["cached"], r["confidence_score"]) for r in run["answers"].collect()}
         assert rows == {1: ("c1", ["red"], "red fox", False, 0.5), 2: ("", [], answers.NO_CONTEXT, False, 0.0), 3: ("old", [], "old answer", True, 0.5)}
         assert run["counts"].first().asDict() == {"num_documents": 3, "valid_answer_count": 2}
+
+
+def test_clusters_move_sums_and_no_words(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{(k % 8) * 300 + j}" for j in rng.integers(0, 400, 3000)), "en") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = docs.select("doc_id", text.index_tokens(F.col("text")).alias("tokens"))
+    of = lambda weights: {r["doc_id"]: r["features"].toArray() for r in clustering.document_vectors(weights, 64).collect()}
+    plain, unit = of(phrases.weighed_terms(tokens).withColumnRenamed("raw", "tfidf")), of(phrases.tfidf(tokens))
+    assert len(plain) == 100 and all(np.allclose(plain[k], unit[k], atol=1e-12) for k in unit)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    found = catalog.QUERIES["v_clusters"](spark, str(tmp_path)).collect()
+    assert len(found) == 100 and written() - before < 0.5 * sum(len(t) for _, t, _ in rows)
