@@ -518,3 +518,20 @@ def test_clusters_move_sums_and_no_words(spark, tmp_path):
     before = written()
     found = catalog.QUERIES["v_clusters"](spark, str(tmp_path)).collect()
     assert len(found) == 100 and written() - before < 0.5 * sum(len(t) for _, t, _ in rows)
+
+
+def test_phrases_leave_only_their_result_on_disk(spark):
+    from pathlib import Path
+
+    from corpusloom.sources.staging import run_folder
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, [*(f"w{j}" for j in rng.integers(0, 3000, 200)), "new", "york", "city"]) for k in range(60)] + [(60, []), (61, ["new"])], "doc_id int, tokens array<string>")
+    names = lambda: {f.name for f in Path(run_folder(spark).removeprefix("file:")).glob("*") if f.is_dir()}
+    before = names()
+    got = {r["doc_id"]: r["tokens"] for r in phrases.ngrams(docs).collect()}
+    assert got[0][-1] == "new_york_city" and got[60] == [] and got[61] == ["new"]
+    assert [n.split("-")[0] for n in names() - before] == ["merged"]
+    pairs = phrases.pmi_bigrams(docs)
+    assert {f.rpartition("/")[0].rpartition("/")[2].split("-")[0] for f in pairs.inputFiles()} == {"pairs", "words", "sizes"}
+    assert pairs.filter("n < 2").count() == 0 and pairs.filter("a = 'new' and b = 'york' and n = 60").count() == 1
